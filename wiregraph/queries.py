@@ -1,9 +1,326 @@
-"""The registered queries of the graph operators and their SQL."""
+"""The registered queries of the graph operators over the derived graphs, and their SQL for DuckDB."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions.storage import durable
+from .operators import connectivity as C
+from .operators import convergence as V
+from .operators import groups as G
+from .operators import nodes as N
+from .operators import paths as P
+from .operators import stats as S
+from .operators import walks as W
+from .sources import derive
+
+THRESHOLD, HOPS = 46, 5
+
+
+def _spec() -> dict:
+    kind, brand = F.col("cell_type"), F.col("hemibrain_type")
+    return {"a": (kind == "PROMO") & (brand == "Brand#8"), "b": (kind == "LARGE") & (brand == "Brand#4")}
+
+
+class _Parts:
+    """What the path queries share: the thresholded part graph, the standard groups and their path sets."""
+
+    def __init__(self, spark: SparkSession, d: str):
+        self.annotations = derive.part_annotations(spark, d)
+        self.all_edges = derive.connections(spark, d, "l_partkey")
+        self.edges = durable(G.threshold(self.all_edges, THRESHOLD))
+        self.groups = durable(G.resolve(self.annotations, _spec()))
+
+    def paths(self, **options) -> DataFrame:
+        return durable(P.paths(self.edges, self.groups, HOPS, **options))
+
+    def nodes(self, rows: DataFrame) -> DataFrame:
+        return durable(N.node_table(rows))
+
+
+def _own(df: DataFrame, g: str) -> DataFrame:
+    return df.where(F.col("grp") == g)
+
+
+class _Meeting(_Parts):
+    """The two standard groups' path sets, their cells and what they have in common."""
+
+    def __init__(self, spark: SparkSession, d: str):
+        super().__init__(spark, d)
+        self.rows = self.paths()
+        self.cells = self.nodes(self.rows)
+        self.common = durable(V.edge_intersection(self.rows, "a", "b"))
+        self.shared = durable(V.intersection_nodes(self.common, _own(self.cells, "b")))
+        self.top = N.max_level(self.cells)
+
+    def visits(self, g: str, first: bool = False, per_start: bool = False) -> DataFrame:
+        other = _own(self.cells, "b" if g == "a" else "a")
+        return W.expected_visits(W.transitions(_own(self.rows, g)), _own(self.cells, g).where("level = 0"), HOPS, absorb=other if first else None, per_start=per_start)
+
+    def hits(self, g: str, first: bool) -> DataFrame:
+        return durable(W.hits_in(self.visits(g, first), _own(self.cells, "b" if g == "a" else "a")))
+
+
+class _Panel:
+    """Suppliers grouped by nation: those of one region onto those of another."""
+
+    def __init__(self, spark: SparkSession, d: str):
+        cells = durable(derive.supplier_annotations(spark, d))
+        self.edges = durable(derive.connections(spark, d, "l_suppkey"))
+        self.sources = G.by_type(cells.where("hemibrain_type = 'ASIA'"))
+        self.targets = G.by_type(cells.where("hemibrain_type in ('ASIA', 'EUROPE')"))
+        self.matrix = durable(C.matrix(self.edges, self.sources, self.targets))
+
+    def marginals(self) -> DataFrame:
+        return durable(C.marginals(self.matrix, self.edges, self.sources, self.targets))
+
+
+def _r(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def _paths(**options):
+    return lambda s, d: P.hop_summary(_Parts(s, d).paths(**options))
+
+
+def _resolve(s, d):
+    p = _Parts(s, d)
+    spec = _spec() | {"promo": "PROMO", "one": 17, "some": [3, 5, 3, 8]}
+    return G.resolve(p.annotations, spec).groupBy("grp").agg(F.count("*").alias("cells"), F.sum("root_id").alias("id_sum"))
+
+
+def _wide(s, d):
+    m = _Meeting(s, d)
+    v = W.visits_wide(m.visits("a"), HOPS)
+    return _r(v, *[f"v{i}" for i in range(HOPS + 1)])
+
+
+def _level_totals(s, d):
+    m = _Meeting(s, d)
+    parts = [W.level_totals(m.visits(g), m.shared).select(F.lit(g).alias("grp"), "level", "total", "scaled") for g in "ab"]
+    return _r(parts[0].unionByName(parts[1]), "total", "scaled")
+
+
+def _walks(s, d):
+    p = _Parts(s, d)
+    rows = _own(p.paths(), "a")
+    return W.sample_walks(W.transitions(rows), N.levels(rows).where("level = 0"), HOPS, reps=200)
+
+
+def _first_of_samples(s, d):
+    m = _Meeting(s, d)
+    walks = W.sample_walks(W.transitions(_own(m.rows, "a")), _own(m.cells, "a").where("level = 0"), HOPS, reps=200)
+    return W.first_hits_of(walks, _own(m.cells, "b")).groupBy("level").agg(F.count("*").alias("walks"))
+
+
+def _counts(s, d):
+    p = _Parts(s, d)
+    rows = _own(p.paths(), "a")
+    return W.sampled_visit_counts(W.transitions(rows), N.levels(rows).where("level = 0"), HOPS, reps=10_000)
+
+
+def _visit_query(first: bool, all_hits: bool):
+    def query(s, d):
+        m = _Meeting(s, d)
+        v = m.visits("a", first, per_start=True)
+        if first or all_hits:
+            v = W.hits_in(v, _own(m.cells, "b"))
+        return _r(v, "p").where("p > 0")
+
+    return query
+
+
+def _strongest(s, d):
+    p = _Panel(s, d)
+    return _r(C.strongest_partner(p.matrix, C.examples(p.marginals())), "strength")
+
+
+def _marginal_stats(s, d):
+    return _r(S.marginal_stats(_Panel(s, d).marginals()), "mean", "low", "high")
+
+
+def _meeting(f):
+    return lambda s, d: f(_Meeting(s, d))
+
+
+def _panel(f):
+    return lambda s, d: f(_Panel(s, d))
+
+
+def _pair_thresholded(s, d):
+    e = derive.connections(s, d, "l_suppkey")
+    return G.collapse(G.threshold(e, 150, per="pair"))
 
 
 def queries() -> dict:
-    return {}
+    return {
+        "edges_thresholded": lambda s, d: G.threshold(derive.connections(s, d, "l_partkey"), THRESHOLD),
+        "pair_thresholded": _pair_thresholded,
+        "lookup_group": lambda s, d: G.lookup(derive.part_annotations(s, d), "PROMO"),
+        "resolve_groups": _resolve,
+        "paths_downstream": _paths(),
+        "paths_upstream": _paths(downstream=False, upstream=True),
+        "paths_both": _paths(upstream=True),
+        "paths_recurrent": _paths(skip_recurrents=False),
+        "one_hop": lambda s, d: P.one_hop((p := _Parts(s, d)).edges, p.groups),
+        "path_edges": lambda s, d: _Parts(s, d).paths(),
+        "hop_summary": lambda s, d: P.hop_summary(P.one_hop((p := _Parts(s, d)).all_edges, p.groups)),
+        "path_size": lambda s, d: P.path_size(_Parts(s, d).paths()),
+        "node_levels": lambda s, d: N.levels(_Parts(s, d).paths()),
+        "node_levels_both": lambda s, d: N.levels(_Parts(s, d).paths(upstream=True)),
+        "node_degree": lambda s, d: N.degrees(_Parts(s, d).paths()),
+        "node_info": lambda s, d: N.node_table((p := _Parts(s, d)).paths(), p.annotations),
+        "level_profile": _meeting(lambda m: N.level_profile(m.cells, m.top)),
+        "edge_intersection": _meeting(lambda m: m.common),
+        "all_intersections": _meeting(lambda m: V.all_intersections(m.rows)),
+        "initial_cells": _meeting(lambda m: V.initial_cells(m.common)),
+        "intersection_nodes": _meeting(lambda m: m.shared),
+        "level_overlap": _meeting(lambda m: V.level_overlap(m.shared, m.top).select("level_a", "level_b", "cells", "degree")),
+        "level_overlap_initial": _meeting(lambda m: V.level_overlap(m.shared, m.top).select("level_a", "level_b", "initial_cells", "initial_degree")),
+        "overlap_marginals": _meeting(lambda m: V.overlap_marginals(V.level_overlap(m.shared, m.top))),
+        "transition_probs": lambda s, d: _r(W.transitions(_own(_Parts(s, d).paths(), "a")), "p"),
+        "cumulative_weights": lambda s, d: W.cumulative(W.transitions(_own(_Parts(s, d).paths(), "a"))).drop("p"),
+        "expected_visits": _visit_query(False, False),
+        "first_hits": _visit_query(True, False),
+        "all_hits": _visit_query(False, True),
+        "visits_wide": _wide,
+        "visit_level_totals": _level_totals,
+        "visit_overlap": _meeting(lambda m: _r(V.visit_overlap(m.hits("a", False), m.hits("b", False), m.shared, m.top), "share")),
+        "convergence_score": _meeting(lambda m: _r(V.convergence_score(m.hits("a", False), m.hits("b", False), m.shared), "score")),
+        "type_share": _meeting(lambda m: W.type_share(m.visits("a"), m.annotations)),
+        "type_composition": _meeting(lambda m: V.type_composition(m.shared, m.annotations)),
+        "sample_walks": _walks,
+        "sampled_first_hits": _first_of_samples,
+        "sampled_visit_counts": _counts,
+        "connectivity_matrix": _panel(lambda p: C.of_all(p.matrix).where("source_group = 'NATION_12' and target_group = 'NATION_13'")),
+        "connectivity_panel": _panel(lambda p: C.of_all(p.matrix)),
+        "connectivity_by_transmitter": _panel(lambda p: p.matrix),
+        "connectivity_marginals": _panel(lambda p: p.marginals()),
+        "connectivity_dense": _panel(lambda p: C.dense(p.matrix, p.sources, p.targets, "NATION_12", "NATION_13")),
+        "transmitter_totals": _panel(lambda p: C.transmitter_totals(p.matrix, p.edges)),
+        "matrix_order": _panel(lambda p: C.order(p.marginals())),
+        "scaled_totals": _panel(lambda p: _r(C.scaled_totals(p.marginals()), "scaled")),
+        "example_cells": _panel(lambda p: C.examples(p.marginals())),
+        "strongest_partner": _strongest,
+        "marginal_stats": _marginal_stats,
+        "marginal_histogram": _panel(lambda p: S.marginal_histogram(p.marginals(), 25)),
+        "bootstrap_ci": _panel(lambda p: S.bootstrap_ci(p.marginals(), reps=1000)),
+    }
+
+
+_LEAD = "lead({k}) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)"
+_EDGES = "select pre, post, neuropil, cast(sum(q) as bigint) weight, transmitter from (select {k} pre, " + _LEAD + " post, l_returnflag neuropil, l_linestatus transmitter, cast(l_quantity as bigint) q from lineitem) where post is not null group by pre, post, neuropil, transmitter"
+_PARTS = f"""with recursive e0 as ({_EDGES.format(k="l_partkey")}), e as (select * from e0 where weight >= {THRESHOLD}),
+g as (select 'a' grp, p_partkey root_id from part where p_type = 'PROMO' and p_brand = 'Brand#8' union select 'b', p_partkey from part where p_type = 'LARGE' and p_brand = 'Brand#4'),
+wd as (select grp, root_id node, 0 hop from g union select grp, post, hop + 1 from wd join e on node = pre where hop < {HOPS}),
+wu as (select grp, root_id node, 0 hop from g union select grp, pre, hop + 1 from wu join e on node = post where hop < {HOPS}),
+dd as (select grp, node, min(hop) d from wd group by all), du as (select grp, node, min(hop) d from wu group by all),
+p as (select a.grp, pre, post, neuropil, weight, transmitter, b.d as hop from e join dd a on pre = a.node join dd b on post = b.node and a.grp = b.grp and b.d = a.d + 1),
+pu as (select a.grp, pre, post, neuropil, weight, transmitter, -b.d as hop from e join du a on post = a.node join du b on pre = b.node and a.grp = b.grp and b.d = a.d + 1),
+pb as (select * from p union all select * from pu),
+pr as (select grp, pre, post, neuropil, weight, transmitter, w.hop + 1 as hop from e join wd w on pre = node where w.hop < {HOPS})
+"""
+
+
+def _nodes(p: str, name: str) -> str:
+    key = "case when hop > 0 then abs(hop) else 1000 + abs(hop) end"
+    return f"""{name}1 as (select grp, pre root_id, arg_min(hop, {key}) h from {p} group by all), {name}2 as (select grp, post root_id, arg_min(hop, {key}) h from {p} group by all),
+{name}d as (select grp, root_id, count(*) degree from (select distinct grp, pre, post, x root_id from (select grp, pre, post, pre x, 0 s from {p} union select grp, pre, post, post, 1 from {p} where pre != post) union all select distinct grp, pre, post, pre from {p} where pre = post) group by all),
+{name} as (select grp, root_id, cast(coalesce(case when a.h > 0 then a.h - 1 else a.h end, case when b.h > 0 then b.h else b.h + 1 end) as int) as level, degree from {name}1 a full join {name}2 b using (grp, root_id) join {name}d using (grp, root_id))
+"""
+
+
+def _summary(p: str) -> str:
+    return f"select grp, hop, count(distinct case when hop > 0 then post else pre end) cells, cast(sum(weight) as bigint) synapses, count(*) n_rows from {p} group by grp, hop"
+
+
+_MEET = _PARTS + "," + _nodes("p", "n") + """, common as (select * from p where grp = 'a' and (pre, post) in (select (pre, post) from p where grp = 'b')),
+""" + _nodes("common", "c") + """, top as (select max(level) t from n), initial as (select distinct pre root_id from common where pre not in (select post from common)),
+shared as (select c.root_id, c.level level_a, n.level level_b, c.degree, c.root_id in (select root_id from initial) as initial from c join n on n.grp = 'b' and n.root_id = c.root_id),
+grid as (select cast(a as int) level_a, cast(b as int) level_b from (select unnest(range(t + 1)) a from top), (select unnest(range(t + 1)) b from top)),
+tr as (select grp, pre, post, w weight, w / sum(w) over (partition by grp, pre) prob from (select grp, pre, post, cast(sum(weight) as bigint) w from p group by all))
+"""
+
+
+def _visits(name: str, g: str, first: bool) -> str:
+    other = "b" if g == "a" else "a"
+    out = [f"{name}0 as (select root_id as start, root_id, 1.0::double p from n where grp = '{g}' and level = 0)"]
+    for i in range(1, HOPS + 1):
+        stop = f" and {name}{i - 1}.root_id not in (select root_id from n where grp = '{other}')" if first and i > 1 else ""
+        out.append(f"{name}{i} as (select start, post root_id, sum(p * prob) p from {name}{i - 1} join tr on tr.grp = '{g}' and pre = {name}{i - 1}.root_id where true{stop} group by all)")
+    out.append(f"{name} as (" + " union all ".join(f"select start, {i} as level, root_id, p from {name}{i}" for i in range(HOPS + 1)) + ")")
+    return ", ".join(out)
+
+
+_VISITS = _MEET + "," + _visits("va", "a", False) + "," + _visits("vb", "b", False) + "," + _visits("fa", "a", True) + """,
+ha as (select * from va where level = 0 or root_id in (select root_id from n where grp = 'b')), hb as (select * from vb where level = 0 or root_id in (select root_id from n where grp = 'a')),
+hf as (select * from fa where level = 0 or root_id in (select root_id from n where grp = 'b'))
+"""
+_PANEL = f"""with e as ({_EDGES.format(k="l_suppkey")}), cells as (select s_suppkey root_id, n_name grp, r_name region from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey),
+s as (select grp source_group, root_id pre from cells where region = 'ASIA'), t as (select grp target_group, root_id post from cells where region in ('ASIA', 'EUROPE')),
+x as (select source_group, target_group, transmitter, pre, post, weight from e join s using (pre) join t using (post)),
+m as (select source_group, target_group, transmitter, pre, post, cast(sum(weight) as bigint) synapses from x group by all union all select source_group, target_group, 'all', pre, post, cast(sum(weight) as bigint) from x group by all),
+kinds as (select distinct transmitter from e union select 'all'),
+cell as (select source_group, tg.target_group, transmitter, 'source' side, pre as cell from s, (select distinct target_group from t) tg, kinds union all select sg.source_group, target_group, transmitter, 'target', post from t, (select distinct source_group from s) sg, kinds),
+found as (select source_group, target_group, transmitter, 'source' side, pre as cell, sum(synapses) synapses, count(*) filter (synapses > 0) partners from m group by all union all select source_group, target_group, transmitter, 'target', post, sum(synapses), count(*) filter (synapses > 0) from m group by all),
+mg as (select cell.*, cast(coalesce(synapses, 0) as bigint) synapses, cast(coalesce(partners, 0) as bigint) partners from cell left join found using (source_group, target_group, transmitter, side, cell)),
+rk as (select *, row_number() over (partition by source_group, target_group, side order by synapses, cell) - 1 r, count(*) over (partition by source_group, target_group, side) n from mg where transmitter = 'all'),
+ex as (select source_group, target_group, side, cell, synapses, cast(r as int) sel_rank from rk where r in (round_even(0.0 * (n - 1), 0), round_even(0.25 * (n - 1), 0), round_even(0.5 * (n - 1), 0), round_even(0.75 * (n - 1), 0), round_even(1.0 * (n - 1), 0)))
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    keys = "source_group, target_group"
+    return {
+        "edges_thresholded": _PARTS + "select * from e",
+        "pair_thresholded": f"with e as ({_EDGES.format(k='l_suppkey')}) select pre, post, cast(sum(weight) as bigint) weight from e group by pre, post having sum(weight) >= 150",
+        "lookup_group": "select distinct p_partkey root_id from part where p_type = 'PROMO'",
+        "resolve_groups": _PARTS + "select grp, count(*) cells, cast(sum(root_id) as bigint) id_sum from (select * from g union all select 'promo', p_partkey from part where p_type = 'PROMO' union all values ('one', 17), ('some', 3), ('some', 5), ('some', 8)) group by grp",
+        "paths_downstream": _PARTS + _summary("p"),
+        "paths_upstream": _PARTS + _summary("pu"),
+        "paths_both": _PARTS + _summary("pb"),
+        "paths_recurrent": _PARTS + _summary("pr"),
+        "one_hop": _PARTS + "select grp, pre, post, neuropil, weight, transmitter, 1 hop from e join g on pre = root_id",
+        "path_edges": _PARTS + "select * from p",
+        "hop_summary": _PARTS + ", o as (select grp, e0.*, 1 hop from e0 join g on pre = root_id)" + _summary("o"),
+        "path_size": _PARTS + "select grp, count(distinct x) cells, count(*) // 2 n_rows from (select grp, unnest([pre, post]) x from p) group by grp",
+        "node_levels": _PARTS + "," + _nodes("p", "n") + "select grp, root_id, level from n",
+        "node_levels_both": _PARTS + "," + _nodes("pb", "n") + "select grp, root_id, level from n",
+        "node_degree": _PARTS + "," + _nodes("p", "n") + "select grp, root_id, degree from n",
+        "node_info": _PARTS + "," + _nodes("p", "n") + "select grp, root_id, level, degree, p_type cell_type, p_brand hemibrain_type from n left join part on root_id = p_partkey",
+        "level_profile": _MEET + "select gl.grp, cast(l as int) as level, count(root_id) cells, cast(coalesce(sum(degree), 0) as bigint) degree from (select grp, unnest(range(t + 1)) l from (select distinct grp from n), top) gl left join n on n.grp = gl.grp and n.level = l group by gl.grp, l",
+        "edge_intersection": _MEET + "select * from common",
+        "all_intersections": _MEET + "select 'a' group_a, 'b' group_b, count(*) pairs from (select distinct pre, post from common)",
+        "initial_cells": _MEET + "select root_id from initial",
+        "intersection_nodes": _MEET + "select * from shared",
+        "level_overlap": _MEET + "select level_a, level_b, count(root_id) cells, cast(coalesce(sum(degree), 0) as bigint) degree from grid left join shared using (level_a, level_b) group by all",
+        "level_overlap_initial": _MEET + "select level_a, level_b, count(root_id) initial_cells, cast(coalesce(sum(degree), 0) as bigint) initial_degree from grid left join (select * from shared where initial) using (level_a, level_b) group by all",
+        "overlap_marginals": _MEET + ", o as (select level_a, level_b, count(root_id) cells, coalesce(sum(degree), 0) degree from grid left join shared using (level_a, level_b) group by all) select 'a' side, level_a as level, cast(sum(cells) as bigint) cells, cast(sum(degree) as bigint) degree from o group by level_a union all select 'b', level_b, cast(sum(cells) as bigint), cast(sum(degree) as bigint) from o group by level_b",
+        "transition_probs": _MEET + "select pre, post, weight, round(prob, 6) p from tr where grp = 'a'",
+        "cumulative_weights": _MEET + "select pre, post, weight, cast(sum(weight) over w as bigint) cum_hi, cast(sum(weight) over w - weight as bigint) cum_lo from tr where grp = 'a' window w as (partition by pre order by post rows unbounded preceding)",
+        "expected_visits": _VISITS + "select start, level, root_id, round(p, 6) p from va where round(p, 6) > 0",
+        "first_hits": _VISITS + "select start, level, root_id, round(p, 6) p from hf where round(p, 6) > 0",
+        "all_hits": _VISITS + "select start, level, root_id, round(p, 6) p from ha where round(p, 6) > 0",
+        "visits_wide": _VISITS + "select root_id, " + ", ".join(f"round(coalesce(sum(p) filter (level = {i}), 0), 6) v{i}" for i in range(HOPS + 1)) + " from va group by root_id",
+        "visit_level_totals": _VISITS + ", lt as (select 'a' grp, level, sum(p) total from va where root_id in (select root_id from shared) group by level union all select 'b', level, sum(p) from vb where root_id in (select root_id from shared) group by level) select grp, level, round(total, 6) total, round(total / max(total) over (partition by grp), 6) scaled from lt",
+        "visit_overlap": _VISITS + ", o as (select a.level level_a, b.level level_b, sum(a.p * b.p) x from (select root_id, level, sum(p) p from ha group by all) a join (select root_id, level, sum(p) p from hb group by all) b using (root_id) where root_id in (select root_id from shared) group by all) select level_a, level_b, round(coalesce(x, 0) / (select sum(x) from o), 6) as share from grid left join o using (level_a, level_b)",
+        "convergence_score": _VISITS + "select root_id, round(coalesce((select sum(p) from ha where ha.root_id = shared.root_id), 0) * coalesce((select sum(p) from hb where hb.root_id = shared.root_id), 0), 6) score from shared",
+        "type_share": _VISITS + ", ty as (select p_type cell_type, sum(p) n from va join part on root_id = p_partkey where p_type is not null group by p_type) select cell_type, round(n / (select sum(n) from ty), 6) as share from ty order by 2 desc, 1 limit 11",
+        "type_composition": _MEET + "select level_a, level_b, coalesce(p_type, p_brand) cell_type, cast(sum(degree) as bigint) degree from shared join part on root_id = p_partkey group by all",
+        "connectivity_matrix": _PANEL + f"select {keys}, pre, post, synapses from m where transmitter = 'all' and source_group = 'NATION_12' and target_group = 'NATION_13'",
+        "connectivity_panel": _PANEL + f"select {keys}, pre, post, synapses from m where transmitter = 'all'",
+        "connectivity_by_transmitter": _PANEL + "select * from m",
+        "connectivity_marginals": _PANEL + "select * from mg",
+        "connectivity_dense": _PANEL + "select pre, post, cast(coalesce(synapses, 0) as bigint) synapses from (select pre, post from (select pre from s where source_group = 'NATION_12'), (select post from t where target_group = 'NATION_13')) left join (select pre, post, synapses from m where transmitter = 'all' and source_group = 'NATION_12' and target_group = 'NATION_13') using (pre, post)",
+        "transmitter_totals": _PANEL + f"select {keys}, transmitter, cast(coalesce(sum(synapses), 0) as bigint) synapses from (select * from (select distinct {keys} from m), (select transmitter from kinds where transmitter != 'all')) left join m using ({keys}, transmitter) group by all",
+        "matrix_order": _PANEL + f"select {keys}, side, cell, synapses, cast(row_number() over (partition by {keys}, side order by synapses desc, cell) as int) as position from mg where transmitter = 'all'",
+        "scaled_totals": _PANEL + f"select {keys}, side, cell, synapses, round(case when side = 'target' then synapses / nullif(max(synapses) over w, 0) else (synapses - min(synapses) over w) / nullif(max(synapses) over w - min(synapses) over w, 0) end, 6) scaled from mg where transmitter = 'all' window w as (partition by {keys}, side)",
+        "example_cells": _PANEL + "select * from ex",
+        "strongest_partner": _PANEL + f""", sel as (select {keys}, cell post, synapses total, sel_rank from ex where side = 'target'), sx as (select m.*, total, sel_rank from m join sel using ({keys}, post) where synapses > 0),
+best as (select {keys}, pre other, transmitter, post partner, synapses weight, total from sx where transmitter != 'all' and (source_group, target_group, pre) not in (select (source_group, target_group, post) from sel) qualify row_number() over (partition by {keys}, pre order by synapses desc, transmitter, sel_rank) = 1),
+both_ as (select * from best union all select {keys}, post, null, post, total, total from sel), top as (select {keys}, max(synapses) top from sx where transmitter = 'all' group by all)
+select {keys}, other, transmitter, partner, weight, round(weight / nullif(top, 0), 6) strength, partner || ' group (' || total || ' synapses)' as label from both_ left join top using ({keys})""",
+        "marginal_stats": _PANEL + f"select {keys}, transmitter, side, count(*) n, round(avg(synapses), 6) mean, round(avg(synapses) - {S.Z99} * stddev_pop(synapses) / sqrt(count(*)), 6) low, round(avg(synapses) + {S.Z99} * stddev_pop(synapses) / sqrt(count(*)), 6) high from mg group by all",
+        "marginal_histogram": _PANEL + f"select {keys}, transmitter, side, cast(synapses // 25 as bigint) bin, count(*) cells from mg group by all",
+    }
