@@ -53,3 +53,8 @@ def same_key(left: DataFrame, right: DataFrame, cols=("k_id", "k_a", "k_b")) ->
     for c in cols[1:]:
         on = on & (left[c] == right[c])
     return on
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is computed once a row: unlike a projection, a generator is not copied into later filters and lambdas."""
+    return df.select("*", F.explode(F.array(value)).alias(name))

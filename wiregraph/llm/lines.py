@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, row_key
+from .common import durable, once, row_key
 
 #: Documents from which on a template recurs; leading tokens of the tree; parts compared within a leaf; parts that must agree.
 MIN_DOCS, LEADING, PARTS, AGREE = 10, 3, 4, 3
@@ -115,9 +115,9 @@ def dedup(documents: DataFrame, *, id_col="doc_id", text_col="text", min_docs: i
     few = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS // 10 else gone
     x = docs.join(few, docs["_id"].eqNullSafe(few["k_id"]) & (docs["_a"] == few["k_a"]) & (docs["_b"] == few["k_b"]), "left")
     text = F.col(f"c_{text_col}")
-    x = x.withColumn("_lines", F.split(F.coalesce(text, F.lit("")), "\n"))
+    x = once(x, "_lines", F.split(F.coalesce(text, F.lit("")), "\n"))
     kept = F.expr("array_join(transform(array_except(sequence(0, size(_lines) - 1), places), i -> get(_lines, i)), '\n')")
-    x = x.withColumn("_kept", F.when(F.col("places").isNull(), text).otherwise(kept))
+    x = once(x, "_kept", F.when(F.col("places").isNull(), text).otherwise(kept))
     n_lines = F.when(text.isNull(), 0).otherwise(F.size("_lines")).cast("long")
     return x.select(*[(F.col("_kept") if c == text_col else F.col(f"c_{c}")).alias(c) for c in columns], n_lines.alias("n_lines"), F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_dropped"))
 
