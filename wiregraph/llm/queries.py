@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, licenses, lines, ngram_join, quality, sharding, urls
+from . import bpe, class_lm, decontaminate, licenses, lines, ngram_join, quality, sharding, urls
 from .common import table
 
 
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op2_benchmark_decontamination": lambda s, d: decontaminate.report(table(s, d, "documents"), table(s, d, "benchmark")),
         "op4_line_dedup": lambda s, d: lines.report(table(s, d, "documents")),
         "op5_bpe": lambda s, d: bpe.encode_decode(table(s, d, "documents"), bpe.default_vocabulary()),
+        "op6_class_lm": lambda s, d: class_lm.score(table(s, d, "documents")),
         "op7_license_scans": lambda s, d: licenses.report(table(s, d, "documents")),
         "op8_url_filters": lambda s, d: urls.judge_pages(table(s, d, "pages")),
         "op9_ngram_jaccard_join": lambda s, d: ngram_join.report(table(s, d, "documents")),
