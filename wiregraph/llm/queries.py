@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, class_lm, decontaminate, licenses, lines, ngram_join, quality, sharding, urls
+from . import bpe, class_lm, decontaminate, licenses, lines, ngram_join, quality, sharding, substrings, urls
 from .common import table
 
 
@@ -10,6 +10,7 @@ def queries() -> dict:
     return {
         "op1_sharding": lambda s, d: sharding.shard_documents(table(s, d, "documents")),
         "op2_benchmark_decontamination": lambda s, d: decontaminate.report(table(s, d, "documents"), table(s, d, "benchmark")),
+        "op3_suffix_array_dedup": lambda s, d: substrings.remove_repeats(table(s, d, "documents")),
         "op4_line_dedup": lambda s, d: lines.report(table(s, d, "documents")),
         "op5_bpe": lambda s, d: bpe.encode_decode(table(s, d, "documents"), bpe.default_vocabulary()),
         "op6_class_lm": lambda s, d: class_lm.score(table(s, d, "documents")),
