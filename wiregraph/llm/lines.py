@@ -12,7 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +24,7 @@ MIN_DOCS, LEADING, PARTS, AGREE = 10, 3, 4, 3
 #: Fewer tokens than this leave no part to compare.
 LEAST_TOKENS = LEADING + PARTS
 BROADCAST_ROWS = 500_000
-_DIGIT = re.compile(rb"[^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*")
+_DIGIT = re.compile(rb"[0-9]")
 VARIABLE = b"<*>"
 
 
@@ -34,9 +34,11 @@ def _hash(data: bytes) -> int:
 
 def parse(line: bytes) -> tuple[int, int, list[int]] | None:
     """(form, leaf, parts) of a line, None if it is blank: the masked line, its path in the tree, and hashes of the parts after it."""
-    tokens = _DIGIT.sub(VARIABLE, line).split()
+    tokens = line.split()
     if not tokens:
         return None
+    if _DIGIT.search(line):
+        tokens = [VARIABLE if _DIGIT.search(t) else t for t in tokens]
     n = len(tokens)
     form = _hash(b" ".join(tokens))
     if n < LEAST_TOKENS:
@@ -51,54 +53,65 @@ def parsed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     `new_leaf` is 1 for one form of each leaf of a document, so its sum counts documents.
     """
-    names = ["k_id", "k_a", "k_b", "form", "leaf", "new_leaf", *[f"p{i}" for i in range(PARTS)], "places"]
+    kind = documents.schema[id_col].dataType.simpleString()
+    schema = f"k_id {kind}, k_a long, k_b long, form long, leaf long, new_leaf int, {', '.join(f'p{i} long' for i in range(PARTS))}, places array<int>"
+
+    def table(batch: pa.RecordBatch, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+        keys = [batch.column(k).take(pa.array(at, pa.int64())) for k in ("k_id", "k_a", "k_b")]
+        form, leaf, new_leaf, parts, places = zip(*rows)
+        own = [pa.array(form, pa.int64()), pa.array(leaf, pa.int64()), pa.array(new_leaf, pa.int32())]
+        own += [pa.array(p, pa.int64()) for p in zip(*parts)] + [pa.array(places, pa.list_(pa.int32()))]
+        return pa.RecordBatch.from_arrays(keys + own, ["k_id", "k_a", "k_b", "form", "leaf", "new_leaf", *[f"p{i}" for i in range(PARTS)], "places"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            at: list[int] = []
             rows: list[tuple] = []
-            for k_id, k_a, k_b, text in zip(batch["k_id"], batch["k_a"], batch["k_b"], batch["t"]):
-                seen: dict[int, list] = {}
+            for d, text in enumerate(batch.column("t")):
+                seen: dict[int, list[int]] = {}
                 leaves = set()
-                for i, line in enumerate((text or "").encode("utf-8", "surrogatepass").split(b"\n")):
+                for i, line in enumerate((text.as_py() or b"").split(b"\n")):
                     if (found := parse(line)) is None:
                         continue
                     form, leaf, parts = found
                     if form in seen:
-                        seen[form][-1].append(i)
+                        seen[form].append(i)
                     else:
-                        seen[form] = [k_id, k_a, k_b, form, leaf, int(leaf not in leaves), *parts, [i]]
+                        seen[form] = [i]
+                        at.append(d)
+                        rows.append((form, leaf, int(leaf not in leaves), parts, seen[form]))
                         leaves.add(leaf)
-                rows.extend(seen.values())
                 if len(rows) > 50_000:
-                    yield pd.DataFrame(rows, columns=names).astype({"k_id": batch["k_id"].dtype})
-                    rows = []
-            yield pd.DataFrame(rows, columns=names).astype({"k_id": batch["k_id"].dtype})
+                    yield table(batch, at, rows)
+                    at, rows = [], []
+            if rows:
+                yield table(batch, at, rows)
 
-    kind = documents.schema[id_col].dataType.simpleString()
-    schema = f"k_id {kind}, k_a long, k_b long, form long, leaf long, new_leaf int, {', '.join(f'p{i} long' for i in range(PARTS))}, places array<int>"
-    return documents.select(*row_key(id_col, text_col), F.col(text_col).alias("t")).mapInPandas(run, schema)
+    return documents.select(*row_key(id_col, text_col), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, schema)
 
 
 def templates(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(kind, template, docs, first_id): recurring forms and recurring coherent leaves, by document count and least id."""
     parts = [f"p{i}" for i in range(PARTS)]
-    forms = lines.groupBy("form").agg(F.count("*").alias("docs"), F.min("k_id").alias("first_id")).where(F.col("docs") >= min_docs)
-    leaves = lines.where("leaf != form").groupBy("leaf").agg(F.sum("new_leaf").alias("docs"), F.min("k_id").alias("first_id"), *[F.min(p).alias(f"lo_{p}") for p in parts], *[F.max(p).alias(f"hi_{p}") for p in parts])
+    form = F.struct(F.lit("form").alias("kind"), F.col("form").alias("template"), F.lit(1).alias("new"), *[F.lit(0).cast("long").alias(p) for p in parts])
+    leaf = F.struct(F.lit("leaf").alias("kind"), F.col("leaf").alias("template"), F.col("new_leaf").alias("new"), *parts)
+    both = lines.select("k_id", F.explode(F.when(F.col("leaf") == F.col("form"), F.array(form)).otherwise(F.array(form, leaf))).alias("x")).select("k_id", "x.*")
+    counted = both.groupBy("kind", "template").agg(F.sum("new").alias("docs"), F.min("k_id").alias("first_id"), *[F.min(p).alias(f"lo_{p}") for p in parts], *[F.max(p).alias(f"hi_{p}") for p in parts])
     agree = sum(((F.col(f"lo_{p}") == F.col(f"hi_{p}")).cast("int") for p in parts), F.lit(0))
-    leaves = leaves.where((F.col("docs") >= min_docs) & (agree >= AGREE))
-    return forms.select(F.lit("form").alias("kind"), F.col("form").alias("template"), "docs", "first_id").union(leaves.select(F.lit("leaf"), "leaf", "docs", "first_id"))
+    return counted.where((F.col("docs") >= min_docs) & (agree >= AGREE)).select("kind", "template", "docs", "first_id")
 
 
 def dropped_lines(documents: DataFrame, *, id_col="doc_id", text_col="text", min_docs: int = MIN_DOCS) -> DataFrame:
     """(k_id, k_a, k_b, places): the numbers of the lines of each document that are recurring templates, but in their first document."""
     lines = parsed(documents, id_col, text_col)
     found = durable(templates(lines, min_docs))
-    few = found.count() <= BROADCAST_ROWS
-    out = None
-    for kind in ("form", "leaf"):
-        known = found.where(F.col("kind") == kind).select(F.col("template").alias(kind), "first_id")
-        part = lines.join(F.broadcast(known) if few else known, kind).where("not (k_id <=> first_id)").select("k_id", "k_a", "k_b", "places")
-        out = part if out is None else out.union(part)
+    form, leaf = (found.where(F.col("kind") == k).select(F.col("template").alias(k), F.struct("first_id").alias(f"{k}_first")) for k in ("form", "leaf"))
+    keys = ["k_id", "k_a", "k_b", "places"]
+    if found.count() <= BROADCAST_ROWS:
+        x = lines.join(F.broadcast(form), "form", "left").join(F.broadcast(leaf), "leaf", "left")
+        out = x.where("(form_first is not null and not (k_id <=> form_first.first_id)) or (leaf_first is not null and not (k_id <=> leaf_first.first_id))").select(*keys)
+    else:
+        out = lines.join(form, "form").where("not (k_id <=> form_first.first_id)").select(*keys).union(lines.join(leaf, "leaf").where("not (k_id <=> leaf_first.first_id)").select(*keys))
     return out.groupBy("k_id", "k_a", "k_b").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set("places")))).alias("places"))
 
 
@@ -112,7 +125,8 @@ def dedup(documents: DataFrame, *, id_col="doc_id", text_col="text", min_docs: i
     docs = documents.toDF(*[f"c_{c}" for c in columns])
     docs = docs.select("*", *[c.alias(f"_{n}") for n, c in zip(("id", "a", "b"), row_key(f"c_{id_col}", f"c_{text_col}"))])
     gone = durable(dropped_lines(documents, id_col=id_col, text_col=text_col, min_docs=min_docs))
-    few = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS // 10 else gone
+    size = gone.agg(F.sum(F.size("places") + 10)).first()[0] or 0  # numbers to send, keys included
+    few = F.broadcast(gone) if size <= BROADCAST_ROWS else gone
     x = docs.join(few, docs["_id"].eqNullSafe(few["k_id"]) & (docs["_a"] == few["k_a"]) & (docs["_b"] == few["k_b"]), "left")
     text = F.col(f"c_{text_col}")
     x = once(x, "_lines", F.split(F.coalesce(text, F.lit("")), "\n"))
