@@ -124,10 +124,9 @@ def dedup(documents: DataFrame, *, id_col="doc_id", text_col="text", min_docs: i
     columns = documents.columns
     docs = documents.toDF(*[f"c_{c}" for c in columns])
     docs = docs.select("*", *[c.alias(f"_{n}") for n, c in zip(("id", "a", "b"), row_key(f"c_{id_col}", f"c_{text_col}"))])
-    gone = durable(dropped_lines(documents, id_col=id_col, text_col=text_col, min_docs=min_docs))
-    size = gone.agg(F.sum(F.size("places") + 10)).first()[0] or 0  # numbers to send, keys included
-    few = F.broadcast(gone) if size <= BROADCAST_ROWS else gone
-    x = docs.join(few, docs["_id"].eqNullSafe(few["k_id"]) & (docs["_a"] == few["k_a"]) & (docs["_b"] == few["k_b"]), "left")
+    gone = dropped_lines(documents, id_col=id_col, text_col=text_col, min_docs=min_docs)
+    gone = gone.hint("merge")  # it grows with the documents, so it is never broadcast
+    x = docs.join(gone, docs["_id"].eqNullSafe(gone["k_id"]) & (docs["_a"] == gone["k_a"]) & (docs["_b"] == gone["k_b"]), "left")
     text = F.col(f"c_{text_col}")
     x = once(x, "_lines", F.split(F.coalesce(text, F.lit("")), "\n"))
     kept = F.expr("array_join(transform(array_except(sequence(0, size(_lines) - 1), places), i -> get(_lines, i)), '\n')")
