@@ -28,6 +28,7 @@ from .ngram_join import _powers
 
 LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1
+PIECE = LENGTH + SPAN - 1  # bytes of the longest piece
 BLOCK_BYTES, SHARD_BITS = 4_000_000, 9
 LAST = np.iinfo(np.int64).max
 
@@ -93,50 +94,84 @@ def suffix_array(text: list[int]) -> list[int]:
     return order
 
 
-def window_owners(pieces: list[bytes], owner: np.ndarray) -> list[np.ndarray]:
-    """For each window of each piece, the least owner of a piece that holds the same 50 bytes, by one suffix array over all pieces."""
-    text: list[int] = []
-    starts = []
-    for p in pieces:
-        starts.append(len(text))
-        text += p
-        text.append(-1)  # ends a piece; below every byte
-    text.append(-2)
-    order = np.array(suffix_array(text), np.int64)
-    sizes = np.array([len(p) for p in pieces])
-    piece = np.repeat(np.arange(len(pieces)), sizes + 1)
-    offset = np.arange(len(piece)) - np.repeat(np.array(starts), sizes + 1)
+def _rolling(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(total, inverse): (total[b] - total[a]) * inverse[a] is the hash of the bytes a..b, wherever they stand."""
+    power, inverse = _powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
+    return total, inverse
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each, `size` numbers."""
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
+
+
+def distinct(data: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the first of each kind, the kind of every piece): pieces of one kind have the same key and bytes.
+
+    Pieces are matched by hash and then compared byte for byte; those whose hash alone agrees are kinds of their own.
+    """
+    total, inverse = _rolling(data)
+    value = (total[start + size] - total[start]) * inverse[start]
+    order = np.lexsort((size, value, key))
+    same = np.all([x[order][1:] == x[order][:-1] for x in (key, value, size)], axis=0)
+    rank = np.arange(len(order))
+    rank[1:][same] = 0
+    leader = np.empty_like(order)
+    leader[order] = order[np.maximum.accumulate(rank)]
+    view, columns = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(PIECE, np.uint8)), PIECE), np.arange(PIECE)
+    follows = np.flatnonzero(leader != np.arange(len(leader)))
+    for part in np.array_split(follows, len(follows) // 50_000 + 1):
+        odd = ((view[start[part]] != view[start[leader[part]]]) & (columns < size[part, None])).any(1)
+        leader[part[odd]] = part[odd]
+    return np.unique(leader, return_inverse=True)
+
+
+def window_owners(data: np.ndarray, start: np.ndarray, size: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """For each window of each piece in turn, the least owner of a piece that holds the same 50 bytes, by one suffix array over all pieces."""
+    begin = np.cumsum(size + 1) - size - 1
+    raw = np.full(int(size.sum()) + len(size), -1, np.int16)  # -1 ends a piece; below every byte
+    raw[_spread(begin, size)] = data[_spread(start, size)]
+    order = np.array(suffix_array([*raw.tolist(), -2]), np.int64)
+    piece = np.repeat(np.arange(len(size)), size + 1)
+    offset = np.arange(len(piece)) - begin[piece]
     order = order[order < len(piece)]
-    order = order[offset[order] + LENGTH <= sizes[piece[order]]]
-    raw, columns = np.array(text, np.int16), np.arange(LENGTH)
+    order = order[offset[order] + LENGTH <= size[piece[order]]]
+    columns = np.arange(LENGTH)
     new = np.ones(len(order), bool)
     for lo in range(1, len(order), 200_000):  # neighbours in the array with the same 50 bytes
         rows = raw[order[lo - 1 : lo + 200_000, None] + columns]
         new[lo : lo + 200_000] = (rows[1:] != rows[:-1]).any(1)
     first = np.flatnonzero(new)
-    least = np.repeat(np.minimum.reduceat(owner[piece[order]], first), np.diff(np.append(first, len(order))))
     out = np.empty(len(piece), np.int64)
-    out[order] = least
-    return [out[s : s + n - LENGTH + 1] for s, n in zip(starts, sizes)]
+    out[order] = np.repeat(np.minimum.reduceat(owner[piece[order]], first), np.diff(np.append(first, len(order))))
+    return out[_spread(begin, size - LENGTH + 1)]
 
 
 def anchors(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(hash, document, first, last) of each anchor of a block: the windows first..last have it as their least gram."""
-    ends = np.cumsum(lengths)
-    valid = np.flatnonzero(np.arange(len(data)) + LENGTH <= np.repeat(ends, lengths))
-    if not len(valid):
-        return (np.zeros(0, np.int64),) * 4
-    power, inverse = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=total[1:])
+    """(hash, place, document, first, last) of each anchor of a block: the windows first..last have the gram there as their least."""
+    if len(data) < LENGTH:
+        return (np.zeros(0, np.int64),) * 5
+    total, inverse = _rolling(data)
     h = (total[GRAM:] - total[:-GRAM]) * inverse[: len(data) - GRAM + 1]
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     h = (h ^ (h >> np.uint64(32))).view(np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(h, SPAN)
-    at = valid + np.concatenate([view[c].argmin(1) for c in np.array_split(valid, len(valid) // 20_000 + 1)])
-    document = np.searchsorted(ends, valid, side="right")
-    cut = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (document[1:] != document[:-1]) | (valid[1:] != valid[:-1] + 1), [True]]))
-    return h[at[cut[:-1]]], document[cut[:-1]], valid[cut[:-1]], valid[cut[1:] - 1]
+    least, place, width = h, np.zeros(len(h), np.int8), 1
+    while width < SPAN:  # the least of ever wider spans, the first one where several are equal
+        k = min(width, SPAN - width)
+        later = least[k:] < least[:-k]
+        place = np.where(later, place[k:] + np.int8(k), place[:-k])
+        least, width = np.minimum(least[k:], least[:-k]), width + k
+    at = np.arange(len(least)) + place
+    ends = np.cumsum(lengths)
+    valid = np.zeros(len(data), bool)
+    valid[_spread(ends - lengths, np.maximum(lengths - LENGTH + 1, 0))] = True
+    valid = valid[: len(at)]
+    cut = np.append(np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (valid[1:] != valid[:-1])])), len(at))
+    first, last = cut[:-1], cut[1:] - 1
+    first, last = first[valid[first]], last[valid[first]]
+    return h[at[first]], at[first], np.searchsorted(ends, first, side="right"), first, last
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -202,26 +237,36 @@ def _ranges(h: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _pieces(row):
-    """(data, lengths, ids, shard -> [hash, least id, piece], runs): runs have (shard, number of the piece, first window, document)."""
-    data, lengths, ids, (h, document, first, last) = _anchors_of(row)
+    """(data, lengths, ids, pieces, found, runs) of a block.
+
+    pieces: shard, hash, place of the anchor, least id, start and size, in order of the shards; found: the piece of each
+    stretch of windows; runs: its first window and its document.
+    """
+    data, lengths, ids, (h, at, document, first, last) = _anchors_of(row)
     own, _ = _own_hashes(h, document)
-    marks = {m["shard"]: m["bits"] for m in row.marks} if row.marks is not None else {}
     shared = np.zeros(len(own), bool)
-    for s, at in _ranges(own):
+    marks = {m["shard"]: m["bits"] for m in row.marks} if row.marks is not None else {}
+    for s, places in _ranges(own):
         if s in marks:
-            shared[at] = np.unpackbits(np.frombuffer(marks[s], np.uint8), count=len(at)).astype(bool)
+            shared[places] = np.unpackbits(np.frombuffer(marks[s], np.uint8), count=len(places)).astype(bool)
     keep = np.flatnonzero(shared[np.searchsorted(own, h)]) if len(h) else np.zeros(0, np.int64)
-    raw, known, found, runs = data.tobytes(), {}, defaultdict(list), []
-    for k, s, d, a, b in zip(h[keep].tolist(), _shard(h[keep]).tolist(), document[keep].tolist(), first[keep].tolist(), last[keep].tolist()):
-        piece, i = raw[a : b + LENGTH], int(ids[d])
-        at = known.get(piece)
-        if at is None:
-            at = known[piece] = (s, len(found[s]))
-            found[s].append([k, i, piece])
-        elif found[s][at[1]][1] > i:
-            found[s][at[1]][1] = i
-        runs.append((*at, a, d))
-    return data, lengths, ids, found, runs
+    h, at, document, first, size = h[keep], at[keep] - first[keep], document[keep], first[keep], last[keep] - first[keep] + LENGTH
+    if not len(keep):
+        return data, lengths, ids, (h,) * 6, h, (first, document)
+    kinds, found = distinct(data, first, size, h)
+    owner = np.full(len(kinds), LAST)
+    np.minimum.at(owner, found, ids[document])
+    order = np.argsort(_shard(h[kinds]), kind="stable")
+    number = np.empty_like(order)
+    number[order] = np.arange(len(order))
+    kinds = kinds[order]
+    return data, lengths, ids, (_shard(h[kinds]), h[kinds], at[kinds], owner[order], first[kinds], size[kinds]), number[found], (first, document)
+
+
+def _cuts(x: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Where each stretch of equal values begins and ends."""
+    at = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]])).tolist() if len(x) else [0]
+    yield from zip(at, at[1:])
 
 
 def _share(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
@@ -233,40 +278,47 @@ def _share(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": group["block"].to_numpy(), "shard": key[0], "bits": bits})
 
 
+def _meeting(data: np.ndarray, h: np.ndarray, at: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which pieces can share a window with another: any window holds its anchor and the 13 bytes before it, or the 13 after it."""
+    total, inverse = _rolling(data)
+    side = (SPAN + 1) // 2 - 1
+    found = np.zeros(len(h), bool)
+    for has, begin in ((at >= side, start + at - side), (at + GRAM + side <= size, start + at)):
+        own = np.flatnonzero(has)
+        a = begin[own]
+        value = (total[a + GRAM + side] - total[a]) * inverse[a] ^ h[own].view(np.uint64)
+        _, kind, n = np.unique(value, return_inverse=True, return_counts=True)
+        found[own[n[kind] > 1]] = True
+    return found
+
+
 def _resolve(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     """For each block's pieces of a range, the least document that has each of their windows."""
-    number: dict[bytes, int] = {}
-    owner: list[int] = []
-    by_hash, lists = defaultdict(list), []
-    for hashes, ids, lengths, data in zip(group["hashes"], group["ids"], group["lengths"], group["data"]):
-        data, at, mine = zlib.decompress(data), 0, []
-        for h, i, n in zip(_unpack(hashes, np.int64).tolist(), _unpack(ids, np.int64).tolist(), _unpack(lengths, np.int32).tolist()):
-            piece = data[at : at + n]
-            at += n
-            k = number.get(piece)
-            if k is None:
-                k = number[piece] = len(owner)
-                owner.append(i)
-                by_hash[h].append(k)
-            elif i < owner[k]:
-                owner[k] = i
-            mine.append(k)
-        lists.append(mine)
-    names, owners = list(number), np.array(owner, np.int64)
-    result: list = [None] * len(names)
-    batch, size = [], 0
-    for ks in [*by_hash.values(), None]:
-        if ks is not None and len(ks) == 1:  # it meets no other piece
-            result[ks[0]] = np.full(len(names[ks[0]]) - LENGTH + 1, owners[ks[0]])
-            continue
-        if batch and (ks is None or size > 300_000):
-            for k, r in zip(batch, window_owners([names[k] for k in batch], owners[batch])):
-                result[k] = r
-            batch, size = [], 0
-        if ks is not None:
-            batch += ks
-            size += sum(len(names[k]) for k in ks)
-    return pd.DataFrame({"block": group["block"].to_numpy(), "shard": key[0], "least": [_pack(np.concatenate([result[k] for k in mine])) for mine in lists]})
+    h, ids = (np.concatenate([_unpack(x, np.int64) for x in group[c]]) for c in ("hashes", "ids"))
+    at, size = (np.concatenate([_unpack(x, np.uint8) for x in group[c]]).astype(np.int64) for c in ("places", "lengths"))
+    data = np.frombuffer(b"".join(zlib.decompress(x) for x in group["data"]), np.uint8)
+    counts = [len(_unpack(x, np.uint8)) for x in group["lengths"]]
+    start = np.cumsum(size) - size
+    kinds, found = distinct(data, start, size, h)
+    owner = np.full(len(kinds), LAST)
+    np.minimum.at(owner, found, ids)
+    h, at, start, size = h[kinds], at[kinds], start[kinds], size[kinds]
+    windows = size - LENGTH + 1
+    begin = np.cumsum(windows) - windows
+    least = np.repeat(owner, windows)  # so it is where a piece meets no other
+    meeting = np.flatnonzero(_meeting(data, h, at, start, size))
+    meeting = meeting[np.argsort(h[meeting], kind="stable")]
+    batch, bytes_ = [], 0
+    stretches = list(_cuts(h[meeting]))
+    for n, (a, b) in enumerate(stretches):
+        batch.append(meeting[a:b])
+        bytes_ += int(size[batch[-1]].sum())
+        if bytes_ > 300_000 or n == len(stretches) - 1:
+            own = np.concatenate(batch)
+            least[_spread(begin[own], windows[own])] = window_owners(data, start[own], size[own], owner[own])
+            batch, bytes_ = [], 0
+    parts = np.split(found, np.cumsum(counts)[:-1])
+    return pd.DataFrame({"block": group["block"].to_numpy(), "shard": key[0], "least": [_pack(least[_spread(begin[x], windows[x])]) for x in parts]})
 
 
 def remove_repeats(documents: DataFrame, *, id_col="doc_id", text_col="text", keep_text: bool = False) -> DataFrame:
@@ -281,27 +333,29 @@ def remove_repeats(documents: DataFrame, *, id_col="doc_id", text_col="text", ke
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                h, multi = _own_hashes(*_anchors_of(row)[3][:2])
+                found = _anchors_of(row)[3]
+                h, multi = _own_hashes(found[0], found[2])
                 rows = [(s, row.block, _pack(h[at]), np.packbits(multi[at]).tobytes()) for s, at in _ranges(h)]
                 yield pd.DataFrame(rows, columns=["shard", "block", "hashes", "multi"])
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                rows = [(s, row.block, _pack(np.array([x[0] for x in xs], np.int64)), _pack(np.array([x[1] for x in xs], np.int64)), _pack(np.array([len(x[2]) for x in xs], np.int32)), zlib.compress(b"".join(x[2] for x in xs), 1)) for s, xs in _pieces(row)[3].items()]
-                yield pd.DataFrame(rows, columns=["shard", "block", "hashes", "ids", "lengths", "data"])
+                data, _, _, (shard, h, at, owner, start, size), _, _ = _pieces(row)
+                rows = [(int(shard[a]), row.block, *(_pack(x[a:b]) for x in (h, owner, at.astype(np.uint8), size.astype(np.uint8))), _pack(data[_spread(start[a:b], size[a:b])])) for a, b in _cuts(shard)]
+                yield pd.DataFrame(rows, columns=["shard", "block", "hashes", "ids", "places", "lengths", "data"])
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                data, lengths, ids, found, runs = _pieces(row)
-                least = {}
-                for x in row.owners if row.owners is not None else []:
-                    n = [len(p[2]) - LENGTH + 1 for p in found[x["shard"]]]
-                    least[x["shard"]] = np.split(_unpack(x["least"], np.int64), np.cumsum(n)[:-1])
+                data, lengths, ids, (*_, size), found, (first, document) = _pieces(row)
                 step = np.zeros(len(data) + 1, np.int32)
-                for s, k, a, d in runs:
-                    at = a + np.flatnonzero(least[s][k] < ids[d])
+                if len(found):
+                    windows = size - LENGTH + 1
+                    least = np.concatenate([_unpack(x["least"], np.int64) for x in sorted(row.owners, key=lambda x: x["shard"])])
+                    n = windows[found]
+                    gone = least[_spread((np.cumsum(windows) - windows)[found], n)] < np.repeat(ids[document], n)
+                    at = _spread(first, n)[gone]  # each window is in one stretch
                     step[at] += 1
                     step[at + LENGTH] -= 1
                 gone = np.cumsum(step[:-1]) > 0
@@ -317,7 +371,7 @@ def remove_repeats(documents: DataFrame, *, id_col="doc_id", text_col="text", ke
     shared = cut.mapInPandas(hashes, "shard int, block string, hashes binary, multi binary").groupBy("shard").applyInPandas(_share, "block string, shard int, bits binary")
     marks = durable(shared.groupBy("block").agg(F.collect_list(F.struct("shard", "bits")).alias("marks")))
     marked = durable(cut.join(marks, "block", "left"))
-    resolved = marked.mapInPandas(pieces, "shard int, block string, hashes binary, ids binary, lengths binary, data binary").groupBy("shard").applyInPandas(_resolve, "block string, shard int, least binary")
+    resolved = marked.mapInPandas(pieces, "shard int, block string, hashes binary, ids binary, places binary, lengths binary, data binary").groupBy("shard").applyInPandas(_resolve, "block string, shard int, least binary")
     owners = durable(resolved.groupBy("block").agg(F.collect_list(F.struct("shard", "least")).alias("owners")))
     out = marked.join(owners, "block", "left").mapInPandas(apply, "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
     return out.withColumnRenamed("k", id_col)
