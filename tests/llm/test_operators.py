@@ -87,10 +87,8 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.report(empty, bench).count() == 0 and decontaminate.report(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
-def test_substrings(docs, empty):
-    for _ in range(300):
-        t = [random.choice([0, 1, 2, -1][: random.randint(1, 4)]) for _ in range(random.randint(0, 40))] + [-2]
-        assert substrings.suffix_array(t) == sorted(range(len(t)), key=lambda i: t[i:])
+def repeats_removed(docs):
+    """Rows of remove_repeats, by a table of all 50-byte strings."""
     all_rows = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()]
     least = {}
     for i, b in all_rows:
@@ -102,9 +100,22 @@ def test_substrings(docs, empty):
         for p in range(len(b) - 49):
             g[p : p + 50] |= least[b[p : p + 50]] < (1 << 61 if i is None else i)
         want.append((i, len(b), int(g.sum()), int(g[:1].sum() + (g[1:] & ~g[:-1]).sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~g].tobytes()).hexdigest()))
+    return sorted(want, key=str)
+
+
+def test_substrings(docs, empty):
+    for _ in range(300):
+        t = [random.choice([0, 1, 2, -1][: random.randint(1, 4)]) for _ in range(random.randint(0, 40))] + [-2]
+        assert substrings.suffix_array(t) == sorted(range(len(t)), key=lambda i: t[i:])
     got = substrings.remove_repeats(docs)
-    assert rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == sorted(want, key=str)
+    assert rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == repeats_removed(docs)
     assert substrings.remove_repeats(empty).count() == 0
+    # texts over many slices that share passages of 40 to 2,000 bytes, some around the ends of slices
+    word = lambda n: " ".join(random.choice("abcdefgh") * random.randint(1, 3) + str(random.randint(0, 999)) for _ in range(n))
+    shared = [word(400)[: random.randint(40, 2000)] for _ in range(30)]
+    long = [word(2) + "".join(random.choice(shared) + word(random.randint(1, 60)) for _ in range(150)) for _ in range(3)]
+    long = docs.sparkSession.createDataFrame([(i, t) for i, t in enumerate([*long, long[0][60_000:70_000], *shared])], "doc_id long, text string")
+    assert rows(substrings.remove_repeats(long), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == repeats_removed(long)
 
 
 def test_lines(docs, empty):

@@ -28,8 +28,9 @@ from .ngram_join import _powers
 
 LENGTH, GRAM = 50, 24
 SPAN = LENGTH - GRAM + 1
+BAND = SPAN // 3
 PIECE = LENGTH + SPAN - 1  # bytes of the longest piece
-BLOCK_BYTES, SHARD_BITS = 4_000_000, 9
+BLOCK_BYTES, SLICE_BYTES, SHARD_BYTES, ARRAY_BYTES = 4_000_000, 64_000, 2_000_000, 16_000
 LAST = np.iinfo(np.int64).max
 
 
@@ -107,13 +108,11 @@ def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
 
 
-def distinct(data: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def distinct(data: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(places of the first of each kind, the kind of every piece): pieces of one kind have the same key and bytes.
 
-    Pieces are matched by hash and then compared byte for byte; those whose hash alone agrees are kinds of their own.
+    Pieces are matched by the hash of their bytes, `value`, and then compared byte for byte; those whose hash alone agrees are kinds of their own.
     """
-    total, inverse = _rolling(data)
-    value = (total[start + size] - total[start]) * inverse[start]
     order = np.lexsort((size, value, key))
     same = np.all([x[order][1:] == x[order][:-1] for x in (key, value, size)], axis=0)
     rank = np.arange(len(order))
@@ -150,9 +149,19 @@ def window_owners(data: np.ndarray, start: np.ndarray, size: np.ndarray, owner:
 
 
 def anchors(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(hash, place, document, first, last) of each anchor of a block: the windows first..last have the gram there as their least."""
+    """(hash, place, document, first, last, hash of the piece) of each anchor of a block: the windows first..last have the gram there as their least."""
     if len(data) < LENGTH:
-        return (np.zeros(0, np.int64),) * 5
+        return (np.zeros(0, np.int64),) * 6
+    ends = np.cumsum(lengths)
+    valid = np.zeros(len(data), bool)
+    valid[_spread(ends - lengths, np.maximum(lengths - LENGTH + 1, 0))] = True
+    parts = [_slice_anchors(data[lo : lo + SLICE_BYTES + LENGTH - 1], valid[lo : lo + SLICE_BYTES], lo) for lo in range(0, len(data) - LENGTH + 1, SLICE_BYTES)]
+    h, at, first, last, value = (np.concatenate(x) for x in zip(*parts))
+    return h, at, np.searchsorted(ends, first, side="right"), first, last, value
+
+
+def _slice_anchors(data: np.ndarray, valid: np.ndarray, lo: int) -> tuple[np.ndarray, ...]:
+    """(hash, place, first, last, hash of the piece) for the windows that begin in a slice of a block; stretches end with the slice."""
     total, inverse = _rolling(data)
     h = (total[GRAM:] - total[:-GRAM]) * inverse[: len(data) - GRAM + 1]
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
@@ -163,15 +172,11 @@ def anchors(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
         later = least[k:] < least[:-k]
         place = np.where(later, place[k:] + np.int8(k), place[:-k])
         least, width = np.minimum(least[k:], least[:-k]), width + k
-    at = np.arange(len(least)) + place
-    ends = np.cumsum(lengths)
-    valid = np.zeros(len(data), bool)
-    valid[_spread(ends - lengths, np.maximum(lengths - LENGTH + 1, 0))] = True
-    valid = valid[: len(at)]
+    at, valid = np.arange(len(least)) + place, valid[: len(least)]
     cut = np.append(np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (valid[1:] != valid[:-1])])), len(at))
     first, last = cut[:-1], cut[1:] - 1
     first, last = first[valid[first]], last[valid[first]]
-    return h[at[first]], at[first], np.searchsorted(ends, first, side="right"), first, last
+    return h[at[first]], at[first] + lo, first + lo, last + lo, (total[last + LENGTH] - total[first]) * inverse[first]
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -182,9 +187,9 @@ def _unpack(b: bytes, kind) -> np.ndarray:
     return np.frombuffer(zlib.decompress(b), kind)
 
 
-def _shard(h: np.ndarray) -> np.ndarray:
+def _shard(h: np.ndarray, bits: int) -> np.ndarray:
     """The range of hashes, by leading bits."""
-    return (h.view(np.uint64) >> np.uint64(64 - SHARD_BITS)).astype(np.int64)
+    return (h.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _id(i) -> int | None:
@@ -227,40 +232,40 @@ def _own_hashes(h: np.ndarray, document: np.ndarray) -> tuple[np.ndarray, np.nda
     return h[first], np.maximum.reduceat(document, first) > np.minimum.reduceat(document, first)
 
 
-def _ranges(h: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+def _ranges(h: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
     """(shard, places) of hashes, by shard, in the order they have."""
-    s = _shard(h)
+    s = _shard(h, bits)
     order = np.argsort(s, kind="stable")
     at = np.flatnonzero(np.concatenate([[True], s[order][1:] != s[order][:-1], [True]])) if len(h) else [0]
     for a, b in zip(at, at[1:]):
         yield int(s[order[a]]), order[a:b]
 
 
-def _pieces(row):
+def _pieces(row, bits: int):
     """(data, lengths, ids, pieces, found, runs) of a block.
 
     pieces: shard, hash, place of the anchor, least id, start and size, in order of the shards; found: the piece of each
     stretch of windows; runs: its first window and its document.
     """
-    data, lengths, ids, (h, at, document, first, last) = _anchors_of(row)
+    data, lengths, ids, (h, at, document, first, last, value) = _anchors_of(row)
     own, _ = _own_hashes(h, document)
     shared = np.zeros(len(own), bool)
     marks = {m["shard"]: m["bits"] for m in row.marks} if row.marks is not None else {}
-    for s, places in _ranges(own):
+    for s, places in _ranges(own, bits):
         if s in marks:
             shared[places] = np.unpackbits(np.frombuffer(marks[s], np.uint8), count=len(places)).astype(bool)
     keep = np.flatnonzero(shared[np.searchsorted(own, h)]) if len(h) else np.zeros(0, np.int64)
     h, at, document, first, size = h[keep], at[keep] - first[keep], document[keep], first[keep], last[keep] - first[keep] + LENGTH
     if not len(keep):
         return data, lengths, ids, (h,) * 6, h, (first, document)
-    kinds, found = distinct(data, first, size, h)
+    kinds, found = distinct(data, first, size, h, value[keep])
     owner = np.full(len(kinds), LAST)
     np.minimum.at(owner, found, ids[document])
-    order = np.argsort(_shard(h[kinds]), kind="stable")
+    order = np.argsort(_shard(h[kinds], bits), kind="stable")
     number = np.empty_like(order)
     number[order] = np.arange(len(order))
     kinds = kinds[order]
-    return data, lengths, ids, (_shard(h[kinds]), h[kinds], at[kinds], owner[order], first[kinds], size[kinds]), number[found], (first, document)
+    return data, lengths, ids, (_shard(h[kinds], bits), h[kinds], at[kinds], owner[order], first[kinds], size[kinds]), number[found], (first, document)
 
 
 def _cuts(x: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -278,15 +283,18 @@ def _share(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": group["block"].to_numpy(), "shard": key[0], "bits": bits})
 
 
-def _meeting(data: np.ndarray, h: np.ndarray, at: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Which pieces can share a window with another: any window holds its anchor and the 13 bytes before it, or the 13 after it."""
-    total, inverse = _rolling(data)
-    side = (SPAN + 1) // 2 - 1
+def _meeting(total: np.ndarray, inverse: np.ndarray, h: np.ndarray, at: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which pieces can share a window with another.
+
+    A window has its anchor and 26 bytes more, so many before it and the rest after it; windows with 0 to 8, 9 to 17 or
+    18 to 26 before it agree at least on 18 bytes around the anchor.
+    """
     found = np.zeros(len(h), bool)
-    for has, begin in ((at >= side, start + at - side), (at + GRAM + side <= size, start + at)):
-        own = np.flatnonzero(has)
-        a = begin[own]
-        value = (total[a + GRAM + side] - total[a]) * inverse[a] ^ h[own].view(np.uint64)
+    for before in range(0, SPAN, BAND):
+        after = SPAN - BAND - before
+        own = np.flatnonzero((at >= before) & (at + GRAM + after <= size))
+        a = (start + at)[own] - before
+        value = (total[a + before + GRAM + after] - total[a]) * inverse[a] ^ h[own].view(np.uint64)
         _, kind, n = np.unique(value, return_inverse=True, return_counts=True)
         found[own[n[kind] > 1]] = True
     return found
@@ -299,21 +307,22 @@ def _resolve(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     data = np.frombuffer(b"".join(zlib.decompress(x) for x in group["data"]), np.uint8)
     counts = [len(_unpack(x, np.uint8)) for x in group["lengths"]]
     start = np.cumsum(size) - size
-    kinds, found = distinct(data, start, size, h)
+    total, inverse = _rolling(data)
+    kinds, found = distinct(data, start, size, h, (total[start + size] - total[start]) * inverse[start])
     owner = np.full(len(kinds), LAST)
     np.minimum.at(owner, found, ids)
     h, at, start, size = h[kinds], at[kinds], start[kinds], size[kinds]
     windows = size - LENGTH + 1
     begin = np.cumsum(windows) - windows
     least = np.repeat(owner, windows)  # so it is where a piece meets no other
-    meeting = np.flatnonzero(_meeting(data, h, at, start, size))
+    meeting = np.flatnonzero(_meeting(total, inverse, h, at, start, size))
     meeting = meeting[np.argsort(h[meeting], kind="stable")]
     batch, bytes_ = [], 0
     stretches = list(_cuts(h[meeting]))
     for n, (a, b) in enumerate(stretches):
         batch.append(meeting[a:b])
         bytes_ += int(size[batch[-1]].sum())
-        if bytes_ > 300_000 or n == len(stretches) - 1:
+        if bytes_ > ARRAY_BYTES or n == len(stretches) - 1:
             own = np.concatenate(batch)
             least[_spread(begin[own], windows[own])] = window_owners(data, start[own], size[own], owner[own])
             batch, bytes_ = [], 0
@@ -329,26 +338,28 @@ def remove_repeats(documents: DataFrame, *, id_col="doc_id", text_col="text", ke
     under 50 bytes stay whole.
     """
     cut = durable(blocks(documents, id_col, text_col))
+    size = cut.agg(F.sum(F.length("data"))).first()[0] or 0
+    bits = max(1, (size // SHARD_BYTES).bit_length())  # as many ranges as the input has shares of that size
 
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
                 found = _anchors_of(row)[3]
                 h, multi = _own_hashes(found[0], found[2])
-                rows = [(s, row.block, _pack(h[at]), np.packbits(multi[at]).tobytes()) for s, at in _ranges(h)]
+                rows = [(s, row.block, _pack(h[at]), np.packbits(multi[at]).tobytes()) for s, at in _ranges(h, bits)]
                 yield pd.DataFrame(rows, columns=["shard", "block", "hashes", "multi"])
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                data, _, _, (shard, h, at, owner, start, size), _, _ = _pieces(row)
+                data, _, _, (shard, h, at, owner, start, size), _, _ = _pieces(row, bits)
                 rows = [(int(shard[a]), row.block, *(_pack(x[a:b]) for x in (h, owner, at.astype(np.uint8), size.astype(np.uint8))), _pack(data[_spread(start[a:b], size[a:b])])) for a, b in _cuts(shard)]
                 yield pd.DataFrame(rows, columns=["shard", "block", "hashes", "ids", "places", "lengths", "data"])
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                data, lengths, ids, (*_, size), found, (first, document) = _pieces(row)
+                data, lengths, ids, (*_, size), found, (first, document) = _pieces(row, bits)
                 step = np.zeros(len(data) + 1, np.int32)
                 if len(found):
                     windows = size - LENGTH + 1
