@@ -6,7 +6,7 @@ with no recursion and no renaming.
 
 Every 50-byte window has an anchor: the least hash of its 24-byte strings, which depends on the window's bytes alone, so
 equal windows have equal anchors. Windows that share an anchor lie in one piece of text, and pieces meet by the
-anchor's hash: an array over the pieces of a range of hashes decides all their windows. Only anchors that two documents
+anchor's hash: arrays over the pieces of a share of the hashes decide all their windows. Only anchors that two documents
 have are followed. Documents are packed into blocks, and each block sends a piece once however often it has it.
 """
 
@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import batch_bytes, durable
 from .ngram_join import _powers
 
 LENGTH, GRAM = 50, 24
@@ -188,8 +188,8 @@ def _unpack(b: bytes, kind) -> np.ndarray:
 
 
 def _shard(h: np.ndarray, bits: int) -> np.ndarray:
-    """The range of hashes, by leading bits."""
-    return (h.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+    """The share of hashes, by leading bits of a product: anchors are minima, so their own leading bits are uneven."""
+    return ((h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _id(i) -> int | None:
@@ -275,7 +275,7 @@ def _cuts(x: np.ndarray) -> Iterator[tuple[int, int]]:
 
 
 def _share(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-    """For each block, which of its hashes of a range another document has too."""
+    """For each block, which of its hashes of a share another document has too."""
     hashes = [_unpack(b, np.int64) for b in group["hashes"]]
     value, n = np.unique(np.concatenate(hashes), return_counts=True)
     many = value[n > 1]
@@ -301,7 +301,7 @@ def _meeting(total: np.ndarray, inverse: np.ndarray, h: np.ndarray, at: np.ndarr
 
 
 def _resolve(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-    """For each block's pieces of a range, the least document that has each of their windows."""
+    """For each block's pieces of a share, the least document that has each of their windows."""
     h, ids = (np.concatenate([_unpack(x, np.int64) for x in group[c]]) for c in ("hashes", "ids"))
     at, size = (np.concatenate([_unpack(x, np.uint8) for x in group[c]]).astype(np.int64) for c in ("places", "lengths"))
     data = np.frombuffer(b"".join(zlib.decompress(x) for x in group["data"]), np.uint8)
@@ -337,9 +337,14 @@ def remove_repeats(documents: DataFrame, *, id_col="doc_id", text_col="text", ke
     input. A null text is empty; a null id counts as the largest; rows of the same id do not affect one another; texts
     under 50 bytes stay whole.
     """
+    with batch_bytes(documents.sparkSession, "8m"):
+        return _remove_repeats(documents, id_col, text_col, keep_text)
+
+
+def _remove_repeats(documents: DataFrame, id_col: str, text_col: str, keep_text: bool) -> DataFrame:
     cut = durable(blocks(documents, id_col, text_col))
     size = cut.agg(F.sum(F.length("data"))).first()[0] or 0
-    bits = max(1, (size // SHARD_BYTES).bit_length())  # as many ranges as the input has shares of that size
+    bits = max(1, (size // SHARD_BYTES).bit_length())  # as many shares as the input has parts of that size
 
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -385,4 +390,4 @@ def remove_repeats(documents: DataFrame, *, id_col="doc_id", text_col="text", ke
     resolved = marked.mapInPandas(pieces, "shard int, block string, hashes binary, ids binary, places binary, lengths binary, data binary").groupBy("shard").applyInPandas(_resolve, "block string, shard int, least binary")
     owners = durable(resolved.groupBy("block").agg(F.collect_list(F.struct("shard", "least")).alias("owners")))
     out = marked.join(owners, "block", "left").mapInPandas(apply, "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
-    return out.withColumnRenamed("k", id_col)
+    return durable(out.withColumnRenamed("k", id_col))
