@@ -103,6 +103,11 @@ def _rolling(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return total, inverse
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
 def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """start, start + 1, ... of each, `size` numbers."""
     return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
@@ -163,9 +168,7 @@ def anchors(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
 def _slice_anchors(data: np.ndarray, valid: np.ndarray, lo: int) -> tuple[np.ndarray, ...]:
     """(hash, place, first, last, hash of the piece) for the windows that begin in a slice of a block; stretches end with the slice."""
     total, inverse = _rolling(data)
-    h = (total[GRAM:] - total[:-GRAM]) * inverse[: len(data) - GRAM + 1]
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    h = (h ^ (h >> np.uint64(32))).view(np.int64)
+    h = _mixed((total[GRAM:] - total[:-GRAM]) * inverse[: len(data) - GRAM + 1])
     least, place, width = h, np.zeros(len(h), np.int8), 1
     while width < SPAN:  # the least of ever wider spans, the first one where several are equal
         k = min(width, SPAN - width)
@@ -244,7 +247,7 @@ def _ranges(h: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
 def _pieces(row, bits: int):
     """(data, lengths, ids, pieces, found, runs) of a block.
 
-    pieces: shard, hash, place of the anchor, least id, start and size, in order of the shards; found: the piece of each
+    pieces: shard, place of the anchor, least id, start and size, in order of the shards; found: the piece of each
     stretch of windows; runs: its first window and its document.
     """
     data, lengths, ids, (h, at, document, first, last, value) = _anchors_of(row)
@@ -257,7 +260,7 @@ def _pieces(row, bits: int):
     keep = np.flatnonzero(shared[np.searchsorted(own, h)]) if len(h) else np.zeros(0, np.int64)
     h, at, document, first, size = h[keep], at[keep] - first[keep], document[keep], first[keep], last[keep] - first[keep] + LENGTH
     if not len(keep):
-        return data, lengths, ids, (h,) * 6, h, (first, document)
+        return data, lengths, ids, (h,) * 5, h, (first, document)
     kinds, found = distinct(data, first, size, h, value[keep])
     owner = np.full(len(kinds), LAST)
     np.minimum.at(owner, found, ids[document])
@@ -265,7 +268,7 @@ def _pieces(row, bits: int):
     number = np.empty_like(order)
     number[order] = np.arange(len(order))
     kinds = kinds[order]
-    return data, lengths, ids, (_shard(h[kinds], bits), h[kinds], at[kinds], owner[order], first[kinds], size[kinds]), number[found], (first, document)
+    return data, lengths, ids, (_shard(h[kinds], bits), at[kinds], owner[order], first[kinds], size[kinds]), number[found], (first, document)
 
 
 def _cuts(x: np.ndarray) -> Iterator[tuple[int, int]]:
@@ -302,12 +305,13 @@ def _meeting(total: np.ndarray, inverse: np.ndarray, h: np.ndarray, at: np.ndarr
 
 def _resolve(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     """For each block's pieces of a share, the least document that has each of their windows."""
-    h, ids = (np.concatenate([_unpack(x, np.int64) for x in group[c]]) for c in ("hashes", "ids"))
+    ids = np.concatenate([_unpack(x, np.int64) for x in group["ids"]])
     at, size = (np.concatenate([_unpack(x, np.uint8) for x in group[c]]).astype(np.int64) for c in ("places", "lengths"))
     data = np.frombuffer(b"".join(zlib.decompress(x) for x in group["data"]), np.uint8)
     counts = [len(_unpack(x, np.uint8)) for x in group["lengths"]]
     start = np.cumsum(size) - size
     total, inverse = _rolling(data)
+    h = _mixed((total[start + at + GRAM] - total[start + at]) * inverse[start + at])  # of the anchors
     kinds, found = distinct(data, start, size, h, (total[start + size] - total[start]) * inverse[start])
     owner = np.full(len(kinds), LAST)
     np.minimum.at(owner, found, ids)
@@ -357,9 +361,9 @@ def _remove_repeats(documents: DataFrame, id_col: str, text_col: str, keep_text:
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                data, _, _, (shard, h, at, owner, start, size), _, _ = _pieces(row, bits)
-                rows = [(int(shard[a]), row.block, *(_pack(x[a:b]) for x in (h, owner, at.astype(np.uint8), size.astype(np.uint8))), _pack(data[_spread(start[a:b], size[a:b])])) for a, b in _cuts(shard)]
-                yield pd.DataFrame(rows, columns=["shard", "block", "hashes", "ids", "places", "lengths", "data"])
+                data, _, _, (shard, at, owner, start, size), _, _ = _pieces(row, bits)
+                rows = [(int(shard[a]), row.block, *(_pack(x[a:b]) for x in (owner, at.astype(np.uint8), size.astype(np.uint8))), _pack(data[_spread(start[a:b], size[a:b])])) for a, b in _cuts(shard)]
+                yield pd.DataFrame(rows, columns=["shard", "block", "ids", "places", "lengths", "data"])
 
     def apply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -386,8 +390,8 @@ def _remove_repeats(documents: DataFrame, id_col: str, text_col: str, keep_text:
 
     shared = cut.mapInPandas(hashes, "shard int, block string, hashes binary, multi binary").groupBy("shard").applyInPandas(_share, "block string, shard int, bits binary")
     marks = durable(shared.groupBy("block").agg(F.collect_list(F.struct("shard", "bits")).alias("marks")))
-    marked = durable(cut.join(marks, "block", "left"))
-    resolved = marked.mapInPandas(pieces, "shard int, block string, hashes binary, ids binary, places binary, lengths binary, data binary").groupBy("shard").applyInPandas(_resolve, "block string, shard int, least binary")
+    marked = cut.join(marks, "block", "left")  # made again for the last pass rather than written: it holds all texts
+    resolved = marked.mapInPandas(pieces, "shard int, block string, ids binary, places binary, lengths binary, data binary").groupBy("shard").applyInPandas(_resolve, "block string, shard int, least binary")
     owners = durable(resolved.groupBy("block").agg(F.collect_list(F.struct("shard", "least")).alias("owners")))
     out = marked.join(owners, "block", "left").mapInPandas(apply, "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
     return durable(out.withColumnRenamed("k", id_col))
