@@ -369,16 +369,17 @@ def _remove_repeats(documents: DataFrame, id_col: str, text_col: str, keep_text:
         for batch in batches:
             for row in batch.itertuples():
                 data, lengths, ids, (*_, size), found, (first, document) = _pieces(row, bits)
-                step = np.zeros(len(data) + 1, np.int32)
-                if len(found):
-                    windows = size - LENGTH + 1
-                    least = np.concatenate([_unpack(x["least"], np.int64) for x in sorted(row.owners, key=lambda x: x["shard"])])
-                    n = windows[found]
-                    gone = least[_spread((np.cumsum(windows) - windows)[found], n)] < np.repeat(ids[document], n)
-                    at = _spread(first, n)[gone]  # each window is in one stretch
+                step = np.zeros(len(data) + 1, np.int8)
+                windows = size - LENGTH + 1
+                begin = np.cumsum(windows) - windows
+                least = np.concatenate([_unpack(x["least"], np.int64) for x in sorted(row.owners, key=lambda x: x["shard"])]) if len(found) else begin
+                for part in np.array_split(np.arange(len(found)), len(found) // 20_000 + 1):
+                    n = windows[found[part]]
+                    earlier = least[_spread(begin[found[part]], n)] < np.repeat(ids[document[part]], n)
+                    at = _spread(first[part], n)[earlier]  # each window is in one stretch
                     step[at] += 1
                     step[at + LENGTH] -= 1
-                gone = np.cumsum(step[:-1]) > 0
+                gone = np.cumsum(step[:-1], dtype=np.int8) > 0  # 50 at most
                 rows, at = [], 0
                 for i, n in zip(row.ids, lengths.tolist()):
                     g, text = gone[at : at + n], data[at : at + n]
