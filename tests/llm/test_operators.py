@@ -155,6 +155,21 @@ def test_class_lm(docs, empty):
     assert class_lm.score(empty).count() == 0
 
 
+def test_class_lm_words_of_one_hash(spark):
+    """Words whose hashes share low bits have classes of their own: scores do not change if one of them is renamed."""
+    seen = {}
+    a, b = next((seen[k], w) for i in range(100_000) if (k := zlib.crc32((w := f"q{i}xy").encode()) & 0x3FFFF) in seen or seen.setdefault(k, w) is None)
+    random.seed(8)
+    pick = lambda *x: random.choice(x)
+    texts = [" ".join(f"{pick('the', 'this', 'any')} {pick('dog', 'cat', a)} {pick('runs', 'sits', b)} {pick('here', 'there')}" for _ in range(30)) for _ in range(60)]
+    other = "zzz0xy"
+    assert not any(other in t for t in texts)
+    frame = lambda t: spark.createDataFrame(list(enumerate(t)), "doc_id long, text string").repartition(3)
+    got, renamed = ({r["doc_id"]: r["score"] for r in class_lm.score(frame(t)).collect()} for t in (texts, [t.replace(b, other) for t in texts]))
+    assert got == pytest.approx(renamed)
+    assert sum(got.values()) >= sum(r["score"] for r in class_lm.score(frame(texts), rounds=1).collect()) - 1e-6
+
+
 def test_licenses(spark, docs, empty):
     notices = ["This work is licensed under the GNU General Public License, version 3.", "Licensed under CC BY-NC 4.0.", "Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "Nicht mit.", "the terms of public use", None]
     x = spark.createDataFrame([(i, f"some words\n{t}\nmore words" if t else t) for i, t in enumerate(notices)], "doc_id long, text string")

@@ -2,11 +2,11 @@
 
 Brown et al., "Class-Based n-gram Models of Natural Language" (1992), with the distributed exchange of Uszkoreit and
 Brants (2008): in each round every word moves to the class that fits its neighbours' classes best under the counts of
-the round before. Class assignments are kept for a fixed number of word hashes, so what tasks share does not grow;
-word counts are exact for every word.
+the round before, until the likelihood of the training text stops rising. Every word has its own class and counts.
 
-Documents are cut once into blocks of some megabytes, each with its own small vocabulary. Words meet their corpus
-counts by a join on (block, word), so no task holds the vocabulary of the corpus.
+Documents are cut once into blocks of some megabytes, each with its own small vocabulary, ordered by shares of word
+hashes. A share numbers its words exactly and sums their contexts over all blocks; each block gets back the numbers,
+counts and classes of its own words alone, so no task and no driver holds the vocabulary of the corpus.
 """
 
 from __future__ import annotations
@@ -22,12 +22,16 @@ from pyspark.sql import functions as F
 
 from .common import durable
 
-BLOCK_BYTES, CLASSES, BITS, ROUNDS, SHARD_BITS = 4_000_000, 48, 18, 2, 10
+BLOCK_BYTES, CLASSES, SHARES = 4_000_000, 48, 1024
+#: The exchange ends with the first round that raises the likelihood by less than this, in nats a token.
+RISE = 0.002
 #: Weight of the unigram class distribution in transitions.
 PRIOR = 24.0
 #: Stands for the end of a text in vocabularies: no word holds a blank.
-END = "\n"
-BUFFER = 6_000_000
+END = b"\n"
+#: Words of a share whose contexts are dense at once.
+CHUNK = 16_384
+REPLY = "block string, share int, data binary"
 
 
 def _pack(a: np.ndarray) -> bytes:
@@ -38,20 +42,38 @@ def _unpack(b: bytes, kind) -> np.ndarray:
     return np.frombuffer(zlib.decompress(b), kind)
 
 
+def _bounds(share: np.ndarray) -> np.ndarray:
+    """Where each share of a block's words begins, and the end of the last."""
+    return np.flatnonzero(np.concatenate([[True], share[1:] != share[:-1], [True]]))
+
+
+def _forget(df: DataFrame) -> None:
+    """Deletes a table of `durable` that is no longer read."""
+    for f in df.inputFiles()[:1]:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(f).getParent()
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def blocks(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per block: words with training counts and hashes, and every text as indices of words, its end included."""
+    """One row per block: words by share with training counts and first classes, and every text as indices of words, its end included."""
     kind = documents.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, k = TaskContext.get().partitionId(), 0
-        vocabulary: dict[bytes, int] = {END.encode(): 0}
+        vocabulary: dict[bytes, int] = {END: 0}
         ids, held, tokens, lengths, size = [], [], [], [], 0
 
         def row():
-            flat = np.array(tokens, np.int32)
-            train = np.repeat(~np.array(held, bool), lengths)
             words = list(vocabulary)
-            return pd.DataFrame({"block": [f"{part}-{k}"], "words": [[w.decode("utf-8", "replace") for w in words]], "counts": [np.bincount(flat[train], minlength=len(words))], "buckets": [_pack(np.array([zlib.crc32(w) & ((1 << BITS) - 1) for w in words], np.int32))], "ids": [ids], "held": [held], "tokens": [_pack(flat)], "lengths": [lengths]})
+            share = np.array([zlib.crc32(w) % SHARES for w in words], np.int32)
+            order = np.argsort(share, kind="stable")
+            rank = np.empty(len(words), np.int32)
+            rank[order] = np.arange(len(words))
+            flat = rank[np.array(tokens, np.int32)]
+            counts = np.bincount(flat[np.repeat(~np.array(held, bool), lengths)], minlength=len(words)).astype(np.int32)
+            words = [words[i] for i in order]
+            first = np.array([zlib.crc32(w[-2:]) % CLASSES for w in words], np.uint8)
+            return pd.DataFrame({"block": [f"{part}-{k}"], "words": [zlib.compress(b" ".join(words), 1)], "counts": [_pack(counts)], "shares": [_pack(share[order])], "first": [_pack(first)], "end": [rank[0]], "ids": [ids], "held": [held], "tokens": [_pack(flat)], "lengths": [lengths]})
 
         for batch in batches:
             for i, out, text in zip(batch["k"], batch["held"], batch["t"]):
@@ -65,150 +87,186 @@ def blocks(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 size += len(text or "") + 50
                 if size >= BLOCK_BYTES:
                     yield row()
-                    k, vocabulary, ids, held, tokens, lengths, size = k + 1, {END.encode(): 0}, [], [], [], [], 0
+                    k, vocabulary, ids, held, tokens, lengths, size = k + 1, {END: 0}, [], [], [], [], 0
         if ids:
             yield row()
 
     is_held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 7 == 2, F.lit(False))
-    schema = f"block string, words array<string>, counts array<long>, buckets binary, ids array<{kind}>, held array<boolean>, tokens binary, lengths array<int>"
+    schema = f"block string, words binary, counts binary, shares binary, first binary, end int, ids array<{kind}>, held array<boolean>, tokens binary, lengths array<int>"
     return documents.select(F.col(id_col).alias("k"), is_held.alias("held"), F.col(text_col).alias("t")).mapInPandas(run, schema)
 
 
-def _sequence(row, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(buckets, classes, classes before) of a block's training tokens; before a text stands the end."""
-    lengths = np.asarray(row.lengths)
-    tokens = _unpack(row.tokens, np.int32)[np.repeat(~np.asarray(row.held, bool), lengths)]
-    b = _unpack(row.buckets, np.int32)[tokens]
-    c = cls[b].astype(np.int64)
-    end = int(cls[_unpack(row.buckets, np.int32)[0]])
-    return b, c, np.concatenate([[end], c[:-1]]) if len(c) else c
+def _replies(df: DataFrame, name: str) -> DataFrame:
+    """(block, `name`): what the shares send to a block, in the order of its words."""
+    return df.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("share", "data")))["data"].alias(name))
 
 
-def _contexts(cut: DataFrame, cls: np.ndarray, words: bool) -> DataFrame:
-    """(shard, payload, cell, n): counts of hashes with the classes before and after them, packed by range of hashes, and of class pairs."""
-    share = cut.sparkSession.sparkContext.broadcast(cls)
-    k2 = 2 * CLASSES
+def numbered(cut: DataFrame) -> DataFrame:
+    """The blocks with, instead of words, their exact numbers within the share, corpus counts, and whether the block is the word's first."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cls = share.value
-        pairs, keys, counts, held = np.zeros(CLASSES * CLASSES, np.int64), [], [], 0
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples():
+                words, counts, share = zlib.decompress(row.words).split(b" "), _unpack(row.counts, np.int32), _unpack(row.shares, np.int32)
+                at = _bounds(share)
+                yield pd.DataFrame([(row.block, int(share[a]), zlib.compress(b" ".join(words[a:b]), 1), counts[a:b].tobytes()) for a, b in zip(at, at[1:])], columns=["block", "share", "words", "counts"])
+
+    def number(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        index: dict[bytes, int] = {}
+        found, counts = [], []
+        for words, n in zip(group["words"], group["counts"]):
+            had = len(index)
+            at = np.array([index.setdefault(w, len(index)) for w in zlib.decompress(words).split(b" ")], np.int64)
+            found.append((at, at >= had))
+            counts.append(np.frombuffer(n, np.int32))
+        total = np.bincount(np.concatenate([a for a, _ in found]), np.concatenate(counts), len(index)).astype(np.int64)
+        return pd.DataFrame({"block": group["block"], "share": key[0], "data": [_pack(np.concatenate([at, total[at], own.astype(np.int64)])) for at, own in found]})
+
+    def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parts = [[_unpack(d, np.int64).reshape(3, -1) for d in row] for row in batch["reply"]]
+            at, c, own = ([np.concatenate([p[i] for p in row]) for row in parts] for i in range(3))
+            yield batch.drop(columns="reply").assign(at=[_pack(a.astype(np.int32)) for a in at], c=[_pack(x) for x in c], own=[_pack(o.astype(bool)) for o in own])
 
-        def packed():
-            key, n = np.concatenate(keys), np.concatenate(counts)
-            order = np.argsort(key, kind="stable")
-            key, n = key[order], n[order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            return key[first], np.add.reduceat(n, first)
+    sent = cut.select("block", "words", "counts", "shares").mapInPandas(spread, "block string, share int, words binary, counts binary")
+    x = cut.drop("words", "counts").join(_replies(sent.groupBy("share").applyInPandas(number, REPLY), "reply"), "block")
+    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in x.schema.fields if f.name != "reply")
+    return x.mapInPandas(join, f"{names}, at binary, c binary, own binary")
 
+
+def _contexts(x: DataFrame) -> DataFrame:
+    """Per block and share, (share, block, classes, at, keys, counts): its words' counts with the classes before and after them; as (cell, n): counts of class pairs, then tokens and words seen once and words seen of each class."""
+    k2 = 2 * CLASSES
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cells = np.zeros(CLASSES * CLASSES + 3 * CLASSES, np.int64)
         for batch in batches:
             for row in batch.itertuples():
-                b, c, before = _sequence(row, cls)
-                if not len(c):
-                    continue
-                pairs += np.bincount(before * CLASSES + c, minlength=CLASSES * CLASSES)
-                if words:
-                    b = b.astype(np.int64) * k2
-                    key, n = np.unique(np.concatenate([b + before, b[:-1] + CLASSES + c[1:]]), return_counts=True)
-                    keys.append(key)
-                    counts.append(n)
-                    held += len(key)
-                    if held > BUFFER:
-                        key, n = packed()
-                        keys, counts, held = [key], [n], len(key) // 2
-        if keys:
-            key, n = packed()
-            shard = key // (k2 << SHARD_BITS)
-            at = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1], [True]]))
-            rows = [(int(shard[a]), _pack(np.diff(key[a:b], prepend=0).astype(np.int32)), _pack(n[a:b].astype(np.int32)), None, None) for a, b in zip(at, at[1:])]
-            yield pd.DataFrame(rows, columns=["shard", "keys", "counts", "cell", "n"])
-        some = np.flatnonzero(pairs)
-        yield pd.DataFrame({"shard": [-1] * len(some), "keys": [None] * len(some), "counts": [None] * len(some), "cell": some, "n": pairs[some]})
-
-    return cut.select("buckets", "tokens", "held", "lengths").mapInPandas(run, "shard int, keys binary, counts binary, cell int, n long")
-
-
-def _pairs(contexts: DataFrame) -> np.ndarray:
-    """Counts of class pairs: classes x classes numbers."""
-    out = np.zeros(CLASSES * CLASSES)
-    for r in contexts.where("shard = -1").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+                cls = np.concatenate([_unpack(d, np.uint8) for d in row.classes])
+                at, c, own, share = _unpack(row.at, np.int32), _unpack(row.c, np.int64), _unpack(row.own, bool), _unpack(row.shares, np.int32)
+                for i, n in enumerate((c, c == 1, c > 0)):
+                    cells[CLASSES * (CLASSES + i) : CLASSES * (CLASSES + i + 1)] += np.bincount(cls[own], n[own], CLASSES).astype(np.int64)
+                t = _unpack(row.tokens, np.int32)[np.repeat(~np.asarray(row.held, bool), np.asarray(row.lengths))].astype(np.int64)
+                k = cls[t].astype(np.int64)
+                before = np.concatenate([[int(cls[row.end])], k[:-1]]) if len(k) else k
+                cells[: CLASSES * CLASSES] += np.bincount(before * CLASSES + k, minlength=CLASSES * CLASSES)
+                key, n = np.unique(np.concatenate([t * k2 + before, t[:-1] * k2 + CLASSES + k[1:]]), return_counts=True)
+                n, ends = n.astype(np.int32), _bounds(share)
+                cuts = np.searchsorted(key, ends * k2)
+                rows = [(int(share[a]), row.block, _pack(cls[a:b]), _pack(at[a:b]), _pack(np.diff(key[p:q], prepend=a * k2).astype(np.int32)), _pack(n[p:q]), None, None) for a, b, p, q in zip(ends, ends[1:], cuts, cuts[1:])]
+                yield pd.DataFrame(rows, columns=["share", "block", "classes", "at", "keys", "counts", "cell", "n"])
+        some = np.flatnonzero(cells)
+        yield pd.DataFrame({"share": [None] * len(some), "block": None, "classes": None, "at": None, "keys": None, "counts": None, "cell": some, "n": cells[some]})
+
+    return x.mapInPandas(run, "share int, block string, classes binary, at binary, keys binary, counts binary, cell int, n long")
+
+
+def _cells(contexts: DataFrame) -> np.ndarray:
+    """Counts of class pairs, and three rows more: tokens, words seen once and words seen of each class."""
+    out = np.zeros(CLASSES * (CLASSES + 3))
+    for r in contexts.where("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         out[r["cell"]] = r["n"]
-    return out.reshape(CLASSES, CLASSES)
+    return out.reshape(CLASSES + 3, CLASSES)
 
 
-def exchange(cut: DataFrame, cls: np.ndarray) -> np.ndarray:
-    """One round: every hash to the class with the largest likelihood of its neighbours' classes, or where it was if unseen."""
-    contexts = durable(_contexts(cut, cls, True))
-    n = _pairs(contexts) + 0.1
+def likelihood(pairs: np.ndarray) -> float:
+    """Log likelihood of the training tokens by class, up to the words' own entropy, which no class changes."""
+    expected = np.outer(pairs.sum(1), pairs.sum(0))
+    some = pairs > 0
+    return float((pairs[some] * np.log(pairs[some] / expected[some])).sum())
+
+
+def move(contexts: DataFrame, pairs: np.ndarray) -> DataFrame:
+    """One round: every word to the class with the largest likelihood of its neighbours' classes; it stays in equal ones and if unseen."""
+    n = pairs + 0.1
     gain = np.log(n * n.sum() / (n.sum(1, keepdims=True) * n.sum(0, keepdims=True)))
-    share = cut.sparkSession.sparkContext.broadcast((cls, gain))
-    k2, width = 2 * CLASSES, 1 << SHARD_BITS
-
-    def move(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        cls, gain = share.value
-        counts = np.zeros(k2 << SHARD_BITS)
-        for k, n in zip(group["keys"], group["counts"]):
-            counts[np.cumsum(_unpack(k, np.int32), dtype=np.int64) - key[0] * (k2 << SHARD_BITS)] += _unpack(n, np.int32)
-        counts = counts.reshape(width, k2)
-        best = (counts[:, :CLASSES] @ gain + counts[:, CLASSES:] @ gain.T).argmax(1)
-        old = cls[key[0] * width : (key[0] + 1) * width]
-        return pd.DataFrame({"shard": [key[0]], "classes": [np.where(counts.any(1), best, old).astype(np.uint8).tobytes()]})
-
-    out = cls.copy()
-    for r in contexts.where("shard >= 0").groupBy("shard").applyInPandas(move, "shard int, classes binary").collect():
-        out[r["shard"] * width : (r["shard"] + 1) * width] = np.frombuffer(r["classes"], np.uint8)
-    return out
-
-
-def score(documents: DataFrame, *, id_col="doc_id", text_col="text", rounds: int = ROUNDS) -> DataFrame:
+    both = np.concatenate([gain, gain.T])
+    k2 = 2 * CLASSES
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        found = [_unpack(a, np.int32).astype(np.int64) for a in group["at"]]
+        cls = np.zeros(max(int(a.max()) for a in found) + 1, np.uint8)
+        keys, counts = [], []
+        for at, c, k, n in zip(found, group["classes"], group["keys"], group["counts"]):
+            cls[at] = _unpack(c, np.uint8)
+            k = np.cumsum(_unpack(k, np.int32), dtype=np.int64)
+            keys.append(at[k // k2] * k2 + k % k2)
+            counts.append(_unpack(n, np.int32))
+        k, n = np.concatenate(keys), np.concatenate(counts)
+        order = np.argsort(k)
+        k, n = k[order], n[order]
+        for a in range(0, len(cls), CHUNK):
+            old = cls[a : a + CHUNK]
+            p, q = np.searchsorted(k, [a * k2, (a + len(old)) * k2])
+            fit = np.bincount(k[p:q] - a * k2, n[p:q], len(old) * k2).reshape(-1, k2) @ both
+            best, rows = fit.argmax(1), np.arange(len(old))
+            cls[a : a + CHUNK] = np.where(fit[rows, best] > fit[rows, old] + 1e-9, best, old)
+        return pd.DataFrame({"block": group["block"], "share": key[0], "data": [_pack(cls[a]) for a in found]})
+
+    return contexts.where("share is not null").drop("cell", "n").groupBy("share").applyInPandas(run, REPLY)
+
+
+def exchange(cut: DataFrame, rounds: int | None = None) -> tuple[DataFrame, np.ndarray]:
+    """(block and classes of its words, counts by class as in `_cells`) when the likelihood rises by less than RISE, or after `rounds`."""
+    state, kept, before, k = cut.select("block", F.array("first").alias("classes")), None, 0.0, 0
+    while True:
+        contexts = durable(_contexts(cut.join(state, "block")))
+        cells = _cells(contexts)
+        now, tokens = likelihood(cells[:CLASSES]), cells[CLASSES].sum()
+        if kept is None or now > before:
+            last, kept = kept, (state, cells)
+        else:
+            last = (state, None)
+        if last and k > 1:
+            _forget(last[0])
+        done = not tokens or k == rounds or (k > 0 and now - before < RISE * tokens)
+        if not done:
+            state = durable(_replies(move(contexts, cells[:CLASSES]), "classes"))
+        _forget(contexts)
+        cut.sparkSession._jvm.System.gc()  # lets Spark drop the shuffles of the round
+        if done:
+            return kept
+        before, k = now, k + 1
+
+
+def score(documents: DataFrame, *, id_col="doc_id", text_col="text", rounds: int | None = None) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row.
 
     A token's probability is P(its class | class before) times its share of the class; a share u of each class, estimated
     from words seen once (Good-Turing), is left to unknown words. A null text counts as empty: its end alone. A null id
     is trained on. Repeated rows count each. Without training tokens all words are unknown; an empty table gives no rows.
+    `rounds` ends the exchange early; without it, the likelihood does.
     """
-    cut = durable(blocks(documents, id_col, text_col))
-    x = cut.select("block", F.posexplode(F.arrays_zip("words", "counts")).alias("at", "z")).select("block", "at", F.col("z.words").alias("word"), F.col("z.counts").alias("n")).repartition("word")
-    totals = x.groupBy("word").agg(F.sum("n").alias("c"), F.min(F.struct("block", "at")).alias("owner"))
-    bucket = F.crc32(F.col("word").cast("binary")).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
-    ending = F.pmod(F.crc32(F.substring("word", -2, 2).cast("binary")), F.lit(CLASSES)).cast("int")
-    counted = durable(x.join(totals, "word").select("block", "at", "c", ((F.col("owner.block") == F.col("block")) & (F.col("owner.at") == F.col("at"))).alias("own"), bucket.alias("bucket"), ending.alias("ending")))
-    stats = counted.where("own").groupBy("bucket").agg(F.sum("c").alias("c"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") > 0).alias("kinds"), F.max(F.struct("c", "ending"))["ending"].alias("ending")).toPandas()
-    at = stats["bucket"].to_numpy(int)
-    cls = np.zeros(1 << BITS, np.uint8)
-    cls[at] = stats["ending"]
-    for _ in range(rounds):
-        cls = exchange(cut, cls)
-    pairs = _pairs(_contexts(cut, cls, False))
-    tokens, kinds = int(stats["c"].sum()), int(stats["kinds"].sum())
-    size = np.bincount(cls[at], stats["c"], CLASSES)
-    once = np.bincount(cls[at], stats["once"], CLASSES)
+    raw = durable(blocks(documents, id_col, text_col))
+    cut = durable(numbered(raw))
+    _forget(raw)
+    classes, cells = exchange(cut, rounds)
+    pairs, (size, once, seen) = cells[:CLASSES], cells[CLASSES:]
+    tokens, kinds = int(size.sum()), int(seen.sum())
     unigram = (size + 0.5) / (size + 0.5).sum()
     step = np.log10((pairs + PRIOR * unigram) / (pairs.sum(1, keepdims=True) + PRIOR))
     unknown = (once + 0.5) / (size + 1.0)
-    model = (cls, step, np.log10(unknown), np.log10(1 - unknown) - np.log10(np.maximum(size, 1)))
-    share = documents.sparkSession.sparkContext.broadcast(model)
+    model = (step, np.log10(unknown), np.log10(1 - unknown) - np.log10(np.maximum(size, 1)))
     kind = documents.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cls, step, no, yes = share.value
+        step, no, yes = model
         for batch in batches:
             for row in batch.itertuples():
-                c = np.asarray(row.reply, np.int64)
-                b, token, lengths = _unpack(row.buckets, np.int32), _unpack(row.tokens, np.int32), np.asarray(row.lengths)
-                k = cls[b].astype(np.int64)
+                c, token, lengths = _unpack(row.c, np.int64), _unpack(row.tokens, np.int32), np.asarray(row.lengths)
+                k = np.concatenate([_unpack(d, np.uint8) for d in row.classes]).astype(np.int64)
                 starts = np.cumsum(lengths) - lengths
                 own = np.where(c > 0, np.log10(np.maximum(c, 1)) + yes[k], no[k])
                 kt = k[token]
                 before = np.empty_like(kt)
                 before[1:] = kt[:-1]
-                before[starts] = k[0]
+                before[starts] = k[row.end]
                 total = np.add.reduceat(step[before, kt] + own[token], starts)
                 base = np.add.reduceat(np.log10((c + 1) / (tokens + kinds + 1))[token], starts)
                 known = np.add.reduceat((c > 0).astype(np.int64)[token], starts)
                 yield pd.DataFrame({"k": list(row.ids), "held_out": list(row.held), "n_tokens": lengths.astype(np.int64), "n_known": known, "train_tokens": np.int64(tokens), "base_score": base, "score": total})
 
-    replies = counted.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "c"))).alias("reply")).select("block", F.col("reply.c").alias("reply"))
-    joined = cut.select("block", "buckets", "tokens", "lengths", "ids", "held").join(replies, "block").drop("block")
+    joined = cut.join(classes, "block").select("tokens", "lengths", "ids", "held", "end", "c", "classes")
     return joined.mapInPandas(run, f"k {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("k", id_col)
 
 
