@@ -238,6 +238,16 @@ def test_quality(spark, docs, empty):
         assert e == pytest.approx(math.log(tail(n, k, 0.01)))
 
 
+def test_quality_few_labels(spark):
+    """300 good labels a stratum certify joint settings; 250 do not, and a rule that loses good documents stays off."""
+    rate = lambda r: {"n_words": 1000, "word_chars": 5000, "n_symbols": r, "n_dup_lines": 0, "n_repeat_words": 0, "n_exclaims": 0, "n_lines": 10}
+    made = [(s, i, q, {**rate(160 if q == 0 and i % 2 else 0), "n_exclaims": (60 if q == 0 and not i % 2 else 0), "n_dup_lines": int(i % 10 == 0)}) for s, good in (("de", 300), ("en", 300), ("es", 300), ("fr", 250)) for q, n in ((1, good), (0, 40)) for i in range(n)]
+    rows_ = [(k, s, q, *[m[c] for c in quality.FEATURES]) for k, (s, _, q, m) in enumerate(made)]
+    x = spark.createDataFrame(rows_, "doc_id long, lang string, quality int, " + ", ".join(f"{c} long" for c in quality.FEATURES))
+    cuts = {r["stratum"]: (r["cut_symbols"], r["cut_exclamations"], r["cut_duplicate_lines"]) for r in quality.cutoffs(x.drop("quality"), x.select("doc_id", "quality")).collect()}
+    assert cuts == {s: (150, 50, None) for s in ("de", "en", "es")}
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 

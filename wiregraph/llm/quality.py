@@ -1,17 +1,19 @@
 """Quality rules with risk-controlled cutoffs, in DataFrame operations only.
 
-Each rule rejects a document whose rate exceeds a cutoff. For each stratum and rule, a cutoff is certified if an
-exact binomial test on labelled good documents rejects "more than alpha / rules of good documents would be lost" at
-level delta / (strata x rules x cutoffs): Bonferroni over all tests, and a union bound over the rules of a document.
-Of the certified cutoffs, the one that rejects most labelled bad documents is used, the laxest of equals; without
-a certified one the rule is off in that stratum.
+Each rule rejects a document whose rate exceeds a cutoff. Settings of all rules together are tested in fixed sequences,
+from lax to strict: path k of a stratum has the k rules that reject most labelled bad documents, and at each step all of
+them take the next cutoff, or the laxest one that rejects as many bad documents. Paths depend on bad documents alone, so
+the tests on good ones are of fixed settings. A setting is certified if an exact binomial test on labelled good
+documents rejects "more than alpha of good documents would be lost by any rule", at level delta / (strata x rules), for
+it and for all laxer ones of its path: no correction over cutoffs. Of the certified settings, the one that rejects most
+labelled bad documents is used, the laxest of equals; without a certified one no rule is on in that stratum.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACES, durable
@@ -68,16 +70,27 @@ def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", *, al
     """
     known = labels.where("quality is not null").select(id_col, "quality")
     rates = [F.expr(e).alias(r) for r, e in RULES.items()]
-    judged = measured.where(~base_failed()).select(id_col, F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), *rates).join(known, id_col)
-    long = judged.select("stratum", "quality", F.expr("stack(" + str(len(RULES)) + ", " + ", ".join(f"'{r}', {r}" for r in RULES) + ") as (rule, rate)"))
-    over = [F.count_if((F.col("rate") > c) & (F.col("quality") == q)).alias(f"{name}{c}") for c in CUTOFFS for name, q in (("k", 1), ("b", 0))]
-    counts = durable(long.groupBy("stratum", "rule").agg(F.count_if(F.col("quality") == 1).alias("n"), *over))
-    tests = counts.select("stratum", "rule", "n", F.expr("stack(" + str(len(CUTOFFS)) + ", " + ", ".join(f"{c}, k{c}, b{c}" for c in CUTOFFS) + ") as (cutoff, k, bad)"))
-    strata = counts.select("stratum").distinct().count()
-    level = math.log(delta / max(1, strata * len(RULES) * len(CUTOFFS)))
-    sure = tests.withColumn("log_p", F.expr(_log_tail(alpha / len(RULES)))).where((F.col("n") > 0) & (F.col("log_p") <= F.lit(level)) & (F.col("bad") > 0))
-    best = sure.groupBy("stratum", "rule").agg(F.max(F.struct("bad", "cutoff"))["cutoff"].alias("cutoff"))
-    return best.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES])
+    judged = durable(measured.where(~base_failed()).select(id_col, F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), *rates).join(known, id_col).drop(id_col))
+    strict = sorted(CUTOFFS, reverse=True)
+    numbered = judged.select("stratum", "quality", F.expr("stack(" + str(len(RULES)) + ", " + ", ".join(f"{i}, {r}" for i, r in enumerate(RULES)) + ") as (rule, rate)"))
+    bad = numbered.groupBy("stratum", "rule").agg(F.array(*[F.count_if((F.col("rate") > c) & (F.col("quality") == 0)) for c in strict]).alias("bad"))
+    cuts = "array(" + ", ".join(map(str, strict)) + ")"
+    steps = bad.select("stratum", "rule", F.expr("aggregate(bad, 0L, (a, b) -> a + b)").alias("weight"), F.expr(f"transform(bad, b -> if(b = 0, null, get({cuts}, cast(array_position(bad, b) as int) - 1)))").alias("steps"))
+    steps = steps.withColumn("place", F.row_number().over(Window.partitionBy("stratum").orderBy(F.desc("weight"), "rule")))
+    of = lambda i, c: F.max(F.when(F.col("rule") == i, F.col(c)))
+    paths = durable(steps.groupBy("stratum").agg(*[of(i, c).alias(f"{c}_{r}") for i, r in enumerate(RULES) for c in ("place", "steps")]))
+    strata = paths.count()
+    # steps of each path that a document gets through
+    through = ", ".join(f"if(place_{r} <= path, size(filter(steps_{r}, c -> c is null or {r} <= c)), {len(strict)})" for r in RULES)
+    x = judged.join(F.broadcast(paths) if strata <= BROADCAST_STRATA else paths, "stratum").withColumn("path", F.explode(F.sequence(F.lit(1), F.lit(len(RULES))))).withColumn("through", F.expr(f"least({through})"))
+    lost = [F.count_if((F.col("through") <= i) & (F.col("quality") == q)).alias(f"{name}{i}") for i in range(len(strict)) for name, q in (("k", 1), ("b", 0))]
+    counts = x.groupBy("stratum", "path").agg(F.count_if(F.col("quality") == 1).alias("n"), *lost)
+    tests = counts.select("stratum", "path", "n", F.expr("stack(" + str(len(strict)) + ", " + ", ".join(f"{i}, k{i}, b{i}" for i in range(len(strict))) + ") as (step, k, bad)"))
+    level = math.log(delta / max(1, strata * len(RULES)))
+    tests = tests.withColumn("passed", (F.col("n") > 0) & (F.expr(_log_tail(alpha)) <= F.lit(level)))
+    sure = tests.withColumn("passed", F.min("passed").over(Window.partitionBy("stratum", "path").orderBy("step"))).where("passed and bad > 0")
+    best = sure.groupBy("stratum").agg(F.max(F.struct("bad", -F.col("path"), -F.col("step"))).alias("b")).select("stratum", (-F.col("b.col2")).alias("path"), (-F.col("b.col3")).alias("step"))
+    return best.join(paths, "stratum").select("stratum", *[F.expr(f"if(place_{r} <= path, get(steps_{r}, step), null)").alias(f"cut_{r}") for r in RULES])
 
 
 def judge(measured: DataFrame, cuts: DataFrame, stratum: str = "lang") -> DataFrame:
