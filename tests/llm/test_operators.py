@@ -129,6 +129,16 @@ def test_lines(docs, empty):
     assert lines.dedup(empty).count() == 0
 
 
+def test_lines_stray_and_long(spark):
+    """A stray line of a leaf cancels no template of the others; long lines recur from fewer documents on."""
+    page = [f"read more about {w} on our news page today" for w in "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda".split()]
+    stray = "read more about nothing that anyone else has said"
+    passage, copy = (" ".join(f"{w}{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(n)) for w, n in (("p", 30), ("q", 120)))
+    made = [*page, stray, *[f"x\n{passage}"] * 4, *[f"x\n{copy}"] * 2]
+    got = {r["doc_id"]: r["n_dropped"] for r in lines.dedup(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(made))] == [0] + [1] * 10 + [0] + [0, 1, 1, 1] + [0, 1]
+
+
 def test_bpe(docs, empty):
     from tokenizers import Tokenizer
 

@@ -1,10 +1,11 @@
 """Line deduplication with a log-template tree of fixed depth.
 
 After He et al., "Drain: An Online Log Parsing Approach with Fixed Depth Tree" (2017): a line goes down the tree by its
-number of tokens and then its leading tokens, tokens with a digit counting as variable. Two things are templates of a
-leaf: each line with its variable tokens masked, and the whole leaf if its lines agree in all but one of the four parts
-that follow the leading tokens, which then is variable too. A template in many documents is dropped from all but the
-first of them. The tree is built by aggregations alone, so it does not depend on the order of lines.
+number of tokens and then its leading tokens, tokens with a digit counting as variable. Three things are templates of a
+leaf: each line with its variable tokens masked, each choice of three of the four parts that follow the leading tokens
+(the fourth then is variable, so other lines of the leaf cancel nothing), and long lines as they are. A template in many
+documents, or a long line in a few, is dropped from all but the first of them. The tree is built by aggregations alone,
+so it does not depend on the order of lines.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import durable, once, row_key
 
-#: Documents from which on a template recurs; leading tokens of the tree; parts compared within a leaf; parts that must agree.
-MIN_DOCS, LEADING, PARTS, AGREE = 10, 3, 4, 3
+#: Documents from which on a template recurs; leading tokens of the tree; parts compared within a leaf, all but one of which must agree.
+MIN_DOCS, LEADING, PARTS = 10, 3, 4
+#: Least tokens of a long line -> documents from which on it recurs as it is; the most tokens first.
+LONG = {100: 2, 20: 4}
 #: Fewer tokens than this leave no part to compare.
 LEAST_TOKENS = LEADING + PARTS
 BROADCAST_ROWS = 500_000
@@ -32,36 +35,35 @@ def _hash(data: bytes) -> int:
     return xxhash.xxh3_64_intdigest(data) - (1 << 63)
 
 
-def parse(line: bytes) -> tuple[int, int, list[int]] | None:
-    """(form, leaf, parts) of a line, None if it is blank: the masked line, its path in the tree, and hashes of the parts after it."""
+def parse(line: bytes) -> list[tuple[int, int]] | None:
+    """(key, documents needed, 0: MIN_DOCS) of each template the line belongs to, None if it is blank: masked, with one part variable, and as it is."""
     tokens = line.split()
     if not tokens:
         return None
+    n = len(tokens)
+    need = next((docs for least, docs in LONG.items() if n >= least), None)
+    exact = [(_hash(b"=" + b" ".join(tokens)), need)] if need else []
     if _DIGIT.search(line):
         tokens = [VARIABLE if _DIGIT.search(t) else t for t in tokens]
-    n = len(tokens)
-    form = _hash(b" ".join(tokens))
+    keys = [(_hash(b" ".join(tokens)), 0), *exact]
     if n < LEAST_TOKENS:
-        return form, form, [0] * PARTS
-    leaf = _hash(b"%d %s" % (n, b" ".join(tokens[:LEADING])))
+        return keys
     cut = [LEADING + (n - LEADING) * i // PARTS for i in range(PARTS + 1)]
-    return form, leaf, [_hash(b" ".join(tokens[a:b])) for a, b in zip(cut, cut[1:])]
+    for a, b in zip(cut, cut[1:]):
+        keys.append((_hash(b"%d %d %s\n%s" % (n, a, b" ".join(tokens[:a]), b" ".join(tokens[b:]))), 0))
+    return keys
 
 
 def parsed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(k_id, k_a, k_b, form, leaf, new_leaf, p0.., places): the different forms of each document with the numbers of their lines.
-
-    `new_leaf` is 1 for one form of each leaf of a document, so its sum counts documents.
-    """
+    """(k_id, k_a, k_b, key, need, places): the different templates of each document with the numbers of their lines."""
     kind = documents.schema[id_col].dataType.simpleString()
-    schema = f"k_id {kind}, k_a long, k_b long, form long, leaf long, new_leaf int, {', '.join(f'p{i} long' for i in range(PARTS))}, places array<int>"
+    schema = f"k_id {kind}, k_a long, k_b long, key long, need int, places array<int>"
 
     def table(batch: pa.RecordBatch, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
         keys = [batch.column(k).take(pa.array(at, pa.int64())) for k in ("k_id", "k_a", "k_b")]
-        form, leaf, new_leaf, parts, places = zip(*rows)
-        own = [pa.array(form, pa.int64()), pa.array(leaf, pa.int64()), pa.array(new_leaf, pa.int32())]
-        own += [pa.array(p, pa.int64()) for p in zip(*parts)] + [pa.array(places, pa.list_(pa.int32()))]
-        return pa.RecordBatch.from_arrays(keys + own, ["k_id", "k_a", "k_b", "form", "leaf", "new_leaf", *[f"p{i}" for i in range(PARTS)], "places"])
+        key, need, places = zip(*rows)
+        own = [pa.array(key, pa.int64()), pa.array(need, pa.int32()), pa.array(places, pa.list_(pa.int32()))]
+        return pa.RecordBatch.from_arrays(keys + own, ["k_id", "k_a", "k_b", "key", "need", "places"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,18 +71,14 @@ def parsed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
             rows: list[tuple] = []
             for d, text in enumerate(batch.column("t")):
                 seen: dict[int, list[int]] = {}
-                leaves = set()
                 for i, line in enumerate((text.as_py() or b"").split(b"\n")):
-                    if (found := parse(line)) is None:
-                        continue
-                    form, leaf, parts = found
-                    if form in seen:
-                        seen[form].append(i)
-                    else:
-                        seen[form] = [i]
-                        at.append(d)
-                        rows.append((form, leaf, int(leaf not in leaves), parts, seen[form]))
-                        leaves.add(leaf)
+                    for key, need in parse(line) or ():
+                        if key in seen:
+                            seen[key].append(i)
+                        else:
+                            seen[key] = [i]
+                            at.append(d)
+                            rows.append((key, need, seen[key]))
                 if len(rows) > 50_000:
                     yield table(batch, at, rows)
                     at, rows = [], []
@@ -91,27 +89,17 @@ def parsed(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def templates(lines: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(kind, template, docs, first_id): recurring forms and recurring coherent leaves, by document count and least id."""
-    parts = [f"p{i}" for i in range(PARTS)]
-    form = F.struct(F.lit("form").alias("kind"), F.col("form").alias("template"), F.lit(1).alias("new"), *[F.lit(0).cast("long").alias(p) for p in parts])
-    leaf = F.struct(F.lit("leaf").alias("kind"), F.col("leaf").alias("template"), F.col("new_leaf").alias("new"), *parts)
-    both = lines.select("k_id", F.explode(F.when(F.col("leaf") == F.col("form"), F.array(form)).otherwise(F.array(form, leaf))).alias("x")).select("k_id", "x.*")
-    counted = both.groupBy("kind", "template").agg(F.sum("new").alias("docs"), F.min("k_id").alias("first_id"), *[F.min(p).alias(f"lo_{p}") for p in parts], *[F.max(p).alias(f"hi_{p}") for p in parts])
-    agree = sum(((F.col(f"lo_{p}") == F.col(f"hi_{p}")).cast("int") for p in parts), F.lit(0))
-    return counted.where((F.col("docs") >= min_docs) & (agree >= AGREE)).select("kind", "template", "docs", "first_id")
+    """(key, docs, first_id): recurring templates, by document count and least id."""
+    counted = lines.groupBy("key").agg(F.count("*").alias("docs"), F.min("k_id").alias("first_id"), F.max("need").alias("need"))
+    return counted.where(F.col("docs") >= F.when(F.col("need") > 0, F.least("need", F.lit(min_docs))).otherwise(min_docs)).select("key", "docs", "first_id")
 
 
 def dropped_lines(documents: DataFrame, *, id_col="doc_id", text_col="text", min_docs: int = MIN_DOCS) -> DataFrame:
     """(k_id, k_a, k_b, places): the numbers of the lines of each document that are recurring templates, but in their first document."""
     lines = parsed(documents, id_col, text_col)
     found = durable(templates(lines, min_docs))
-    form, leaf = (found.where(F.col("kind") == k).select(F.col("template").alias(k), F.struct("first_id").alias(f"{k}_first")) for k in ("form", "leaf"))
-    keys = ["k_id", "k_a", "k_b", "places"]
-    if found.count() <= BROADCAST_ROWS:
-        x = lines.join(F.broadcast(form), "form", "left").join(F.broadcast(leaf), "leaf", "left")
-        out = x.where("(form_first is not null and not (k_id <=> form_first.first_id)) or (leaf_first is not null and not (k_id <=> leaf_first.first_id))").select(*keys)
-    else:
-        out = lines.join(form, "form").where("not (k_id <=> form_first.first_id)").select(*keys).union(lines.join(leaf, "leaf").where("not (k_id <=> leaf_first.first_id)").select(*keys))
+    firsts = found.select("key", "first_id")
+    out = lines.join(F.broadcast(firsts) if found.count() <= BROADCAST_ROWS else firsts, "key").where("not (k_id <=> first_id)")
     return out.groupBy("k_id", "k_a", "k_b").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set("places")))).alias("places"))
 
 
