@@ -99,6 +99,17 @@ def test_connectivity(spark, edges):
     assert j and all(all(r) for r in j)
 
 
+def test_bootstrap_of_large_groups(spark):
+    """A group of any size, in one part or more, has a percentile interval at the level asked for."""
+    sql = "select 's' source_group, 't' target_group, 'all' transmitter, 'source' side, cast(if(id < 3, 70000 + id, if({x}, id, 0)) as bigint) synapses from range(250000)"
+    few, many = (spark.sql(sql.format(x=x)) for x in ("false", "id % 4 = 0"))
+    wide, narrow = (S.bootstrap_ci(few, reps=400, level=v).first() for v in (0.99, 0.5))
+    assert wide["n"] == 250_000 and 0 <= wide["low"] <= narrow["low"] <= narrow["mean"] <= narrow["high"] <= wide["high"] and wide["high"] - wide["low"] > narrow["high"] - narrow["low"]
+    exact, boot = S.marginal_stats(many).first(), S.bootstrap_ci(many, reps=400).first()
+    assert boot["n"] == exact["n"] and boot["mean"] == pytest.approx(exact["mean"])
+    assert [boot["low"] - boot["mean"], boot["high"] - boot["mean"]] == pytest.approx([exact["low"] - exact["mean"], exact["high"] - exact["mean"]], rel=0.25)
+
+
 def test_sources_and_groups(spark, edges, annotations, tmp_path):
     path = str(tmp_path / "c.csv")
     with open(path, "w") as f:

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 KEYS = ["source_group", "target_group", "transmitter", "side"]
 #: Two-sided 99 % point of the normal distribution.
 Z99 = 2.5758293035489004
-#: Values of a group up to which it is resampled; larger groups take the closed form.
-RESAMPLE_CELLS = 200_000
+#: Different values of a group in one part, and resamples drawn at once.
+PART_VALUES, STEP = 50_000, 256
 
 
 def marginal_stats(marg: DataFrame, value: str = "synapses", z: float = Z99) -> DataFrame:
@@ -28,24 +28,44 @@ def marginal_histogram(marg: DataFrame, bin_width: int, value: str = "synapses")
     return marg.groupBy(*KEYS, F.floor(F.col(value) / bin_width).cast("long").alias("bin")).agg(F.count("*").alias("cells"))
 
 
+def _with(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on keys that may be null."""
+    named = other.toDF(*[f"_{c}" if c in keys else c for c in other.columns])
+    return df.join(named, [df[k].eqNullSafe(named[f"_{k}"]) for k in keys]).drop(*[f"_{k}" for k in keys])
+
+
 def bootstrap_ci(marg: DataFrame, value: str = "synapses", reps: int = 10_000, level: float = 0.99, seed: int = 1) -> DataFrame:
-    """(keys, n, mean, low, high): percentile intervals of resampled means.
+    """(keys, n, mean, low, high): percentile intervals of resampled means, for groups of every size alike.
 
-    Draws depend on the seed and the group's name alone. Groups of more than RESAMPLE_CELLS cells keep the closed form,
-    which they equal in the limit, so no task holds an unbounded group.
+    Groups are resampled as histograms of their different values, in parts that bound what a task holds: a part's share
+    of a resample's n draws is a multinomial draw over the parts' sizes, and its sum a multinomial draw over its values.
+    Draws depend on the seed and the names of group and part alone.
     """
-    tail = 100 * (1 - level) / 2
+    tail, names = 100 * (1 - level) / 2, ", ".join(f"{k} string" for k in KEYS)
 
-    def resample(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(g["v"].to_numpy(float))
-        rng, means, step = np.random.default_rng([seed, zlib.crc32(repr(key).encode())]), [], max(1, 2_000_000 // len(x))
+    def draw(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("v")
+        v, c, sizes, part = g["v"].to_numpy(float), g["c"].to_numpy(float), np.asarray(g["sizes"].iloc[0], np.int64), int(key[-1])
+        name = zlib.crc32(repr(key[:-1]).encode())
+        # every part of a group draws the same shares of all parts
+        shares, own = np.random.default_rng([seed, name]), np.random.default_rng([seed, name, part])
+        sums = []
+        step = max(1, min(STEP, 4_000_000 // max(len(v), len(sizes))))
         for at in range(0, reps, step):
-            means.append(x[rng.integers(0, len(x), (min(step, reps - at), len(x)))].mean(axis=1))
-        low, high = np.percentile(np.concatenate(means), [tail, 100 - tail])
-        return pd.DataFrame([(*key, len(x), x.mean(), low, high)])
-
-    sizes = marg.groupBy(*KEYS).agg(F.count("*").alias("n"))
-    large = sizes.where(F.col("n") > RESAMPLE_CELLS).select(*KEYS)
-    schema = ", ".join(f"{k} string" for k in KEYS) + ", n long, mean double, low double, high double"
-    few = marg.join(large, KEYS, "left_anti").select(*KEYS, F.col(value).alias("v")).groupBy(*KEYS).applyInPandas(resample, schema)
-    return few.unionByName(marginal_stats(marg.join(large, KEYS, "left_semi"), value))
+            n = shares.multinomial(int(sizes.sum()), sizes / sizes.sum(), min(step, reps - at))[:, part]
+            sums.append(own.multinomial(n, c / c.sum()) @ v)
+        return pd.DataFrame({**dict(zip(KEYS, key)), "n": [int(c.sum())], "total": [float(c @ v)], "sums": [np.concatenate(sums)]})
+
+    def interval(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        n = int(g["n"].sum())
+        low, high = np.percentile(np.sum(list(g["sums"]), axis=0) / n, [tail, 100 - tail])
+        return pd.DataFrame([(*key, n, g["total"].sum() / n, low, high)])
+
+    histogram = marg.groupBy(*KEYS, F.col(value).alias("v")).agg(F.count("*").alias("c"))
+    kinds = histogram.groupBy(*KEYS).agg(F.ceil(F.count("*") / PART_VALUES).alias("parts"))
+    parted = _with(histogram, kinds, KEYS).withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")))
+    found = parted.groupBy(*KEYS, "part").agg(F.sum("c").alias("size")).groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("part", "size"))).alias("s"))
+    # parts without values leave no gap in the numbers
+    sizes = found.select(*KEYS, F.posexplode("s").alias("at", "x"), F.col("s.size").alias("sizes")).select(*KEYS, F.col("x.part").alias("part"), F.col("at").cast("int").alias("at"), "sizes")
+    sums = _with(parted, sizes, [*KEYS, "part"]).select(*KEYS, "at", "v", "c", "sizes").groupBy(*KEYS, "at").applyInPandas(draw, f"{names}, n long, total double, sums array<double>")
+    return sums.groupBy(*KEYS).applyInPandas(interval, f"{names}, n long, mean double, low double, high double")

@@ -105,19 +105,19 @@ def _level_totals(s, d):
 def _walks(s, d):
     p = _Parts(s, d)
     rows = _own(p.paths(), "a")
-    return W.sample_walks(W.transitions(rows), N.levels(rows).where("level = 0"), HOPS, reps=200)
+    return W.sample_walks(W.transitions(rows), N.levels(rows).where("level = 0"), HOPS)
 
 
 def _first_of_samples(s, d):
     m = _Meeting(s, d)
-    walks = W.sample_walks(W.transitions(_own(m.rows, "a")), _own(m.cells, "a").where("level = 0"), HOPS, reps=200)
+    walks = W.sample_walks(W.transitions(_own(m.rows, "a")), _own(m.cells, "a").where("level = 0"), HOPS)
     return W.first_hits_of(walks, _own(m.cells, "b")).groupBy("level").agg(F.count("*").alias("walks"))
 
 
 def _counts(s, d):
     p = _Parts(s, d)
     rows = _own(p.paths(), "a")
-    return W.sampled_visit_counts(W.transitions(rows), N.levels(rows).where("level = 0"), HOPS, reps=10_000)
+    return W.sampled_visit_counts(W.transitions(rows), N.levels(rows).where("level = 0"), HOPS)
 
 
 def _visit_query(first: bool, all_hits: bool):
@@ -205,7 +205,7 @@ def queries() -> dict:
         "strongest_partner": _strongest,
         "marginal_stats": _marginal_stats,
         "marginal_histogram": _panel(lambda p: S.marginal_histogram(p.marginals(), 25)),
-        "bootstrap_ci": _panel(lambda p: S.bootstrap_ci(p.marginals(), reps=1000)),
+        "bootstrap_ci": _panel(lambda p: S.bootstrap_ci(p.marginals())),
     }
 
 
