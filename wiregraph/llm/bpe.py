@@ -196,9 +196,9 @@ def encode_decode(documents: DataFrame, vocabulary: str, *, id_col="doc_id", tex
     """(id, n_tokens, ids_sha256, decoded_sha256[, ids, decoded]) of every whole text, row by row without a shuffle.
 
     `vocabulary` is a path that every executor can read. A null text counts as empty: no tokens. Repeated rows give
-    repeated results; other columns are not read.
+    repeated results; other columns are not read; an empty table gives no rows; very long texts are encoded whole.
     """
-    schema = "k long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
+    schema = "k string, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>, decoded string" * keep_ids
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(vocabulary)
@@ -211,11 +211,11 @@ def encode_decode(documents: DataFrame, vocabulary: str, *, id_col="doc_id", tex
                 if not _valid(decoded):
                     decoded = decoded.decode("utf-8", "replace").encode()
                 rows.append((k, n, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()) + ((ids.tolist(), decoded.decode()) if keep_ids else ()))
-            yield pd.DataFrame(rows, columns=["k", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * keep_ids).astype({"k": batch["k"].dtype})
+            yield pd.DataFrame(rows, columns=["k", "n_tokens", "ids_sha256", "decoded_sha256"] + ["ids", "decoded"] * keep_ids)
 
-    schema = schema.replace("k long", f"k {documents.schema[id_col].dataType.simpleString()}", 1)
-    out = documents.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")).mapInPandas(run, schema)
-    return out.withColumnRenamed("k", id_col)
+    # ids go through Python as strings: pandas would round large ones where one of a batch is null
+    out = documents.select(F.col(id_col).cast("string").alias("k"), F.col(text_col).alias("t")).mapInPandas(run, schema)
+    return out.select(F.col("k").cast(documents.schema[id_col].dataType).alias(id_col), *out.columns[1:])
 
 
 def _valid(data: bytes) -> bool:

@@ -20,9 +20,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, forget
 
-BLOCK_BYTES, CLASSES, SHARES = 4_000_000, 48, 1024
+BLOCK_BYTES, CLASSES = 4_000_000, 48
+#: Shares of the word hashes: as many as the texts have parts of that size, but so many at least.
+LEAST_SHARES, SHARE_BYTES = 128, 32_000_000
+#: Cells of a dense table of (word, class of a neighbour) that a task holds; larger ones are sorted.
+DENSE = 16_000_000
 #: The exchange ends with the first round that raises the likelihood by less than this, in nats a token.
 RISE = 0.002
 #: Weight of the unigram class distribution in transitions.
@@ -35,11 +39,14 @@ REPLY = "block string, share int, data binary"
 
 
 def _pack(a: np.ndarray) -> bytes:
-    return zlib.compress(a.tobytes(), 1)
+    """Numbers of 0 or more in the narrowest type that holds them."""
+    kind = np.min_scalar_type(int(a.max())) if len(a) else np.dtype(np.uint8)
+    return zlib.compress(bytes([kind.itemsize]) + a.astype(kind).tobytes(), 1)
 
 
 def _unpack(b: bytes, kind) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(b), kind)
+    data = zlib.decompress(b)
+    return np.frombuffer(data, f"u{data[0]}", offset=1).astype(kind)
 
 
 def _bounds(share: np.ndarray) -> np.ndarray:
@@ -47,16 +54,8 @@ def _bounds(share: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], share[1:] != share[:-1], [True]]))
 
 
-def _forget(df: DataFrame) -> None:
-    """Deletes a table of `durable` that is no longer read."""
-    for f in df.inputFiles()[:1]:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(f).getParent()
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def blocks(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per block: words by share with training counts and first classes, and every text as indices of words, its end included."""
-    kind = documents.schema[id_col].dataType.simpleString()
+def blocks(documents: DataFrame, id_col: str, text_col: str, shares: int) -> DataFrame:
+    """One row per block: words by share with training counts and first classes, and every text as indices of words, its end included; ids as strings, which pandas cannot round."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, k = TaskContext.get().partitionId(), 0
@@ -65,7 +64,7 @@ def blocks(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
         def row():
             words = list(vocabulary)
-            share = np.array([zlib.crc32(w) % SHARES for w in words], np.int32)
+            share = np.array([zlib.crc32(w) % shares for w in words], np.int32)
             order = np.argsort(share, kind="stable")
             rank = np.empty(len(words), np.int32)
             rank[order] = np.arange(len(words))
@@ -92,8 +91,8 @@ def blocks(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield row()
 
     is_held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 7 == 2, F.lit(False))
-    schema = f"block string, words binary, counts binary, shares binary, first binary, end int, ids array<{kind}>, held array<boolean>, tokens binary, lengths array<int>"
-    return documents.select(F.col(id_col).alias("k"), is_held.alias("held"), F.col(text_col).alias("t")).mapInPandas(run, schema)
+    schema = "block string, words binary, counts binary, shares binary, first binary, end int, ids array<string>, held array<boolean>, tokens binary, lengths array<int>"
+    return documents.select(F.col(id_col).cast("string").alias("k"), is_held.alias("held"), F.col(text_col).alias("t")).mapInPandas(run, schema)
 
 
 def _replies(df: DataFrame, name: str) -> DataFrame:
@@ -150,10 +149,16 @@ def _contexts(x: DataFrame) -> DataFrame:
                 k = cls[t].astype(np.int64)
                 before = np.concatenate([[int(cls[row.end])], k[:-1]]) if len(k) else k
                 cells[: CLASSES * CLASSES] += np.bincount(before * CLASSES + k, minlength=CLASSES * CLASSES)
-                key, n = np.unique(np.concatenate([t * k2 + before, t[:-1] * k2 + CLASSES + k[1:]]), return_counts=True)
-                n, ends = n.astype(np.int32), _bounds(share)
+                key = np.concatenate([t * k2 + before, t[:-1] * k2 + CLASSES + k[1:]])
+                if len(cls) * k2 <= DENSE:
+                    table = np.bincount(key, minlength=1)
+                    key = np.flatnonzero(table)
+                    n = table[key]
+                else:
+                    key, n = np.unique(key, return_counts=True)
+                ends = _bounds(share)
                 cuts = np.searchsorted(key, ends * k2)
-                rows = [(int(share[a]), row.block, _pack(cls[a:b]), _pack(at[a:b]), _pack(np.diff(key[p:q], prepend=a * k2).astype(np.int32)), _pack(n[p:q]), None, None) for a, b, p, q in zip(ends, ends[1:], cuts, cuts[1:])]
+                rows = [(int(share[a]), row.block, _pack(cls[a:b]), _pack(at[a:b]), _pack(np.diff(key[p:q], prepend=a * k2)), _pack(n[p:q]), None, None) for a, b, p, q in zip(ends, ends[1:], cuts, cuts[1:])]
                 yield pd.DataFrame(rows, columns=["share", "block", "classes", "at", "keys", "counts", "cell", "n"])
         some = np.flatnonzero(cells)
         yield pd.DataFrame({"share": [None] * len(some), "block": None, "classes": None, "at": None, "keys": None, "counts": None, "cell": some, "n": cells[some]})
@@ -191,13 +196,14 @@ def move(contexts: DataFrame, pairs: np.ndarray) -> DataFrame:
             cls[at] = _unpack(c, np.uint8)
             k = np.cumsum(_unpack(k, np.int32), dtype=np.int64)
             keys.append(at[k // k2] * k2 + k % k2)
-            counts.append(_unpack(n, np.int32))
+            counts.append(_unpack(n, np.float64))
         k, n = np.concatenate(keys), np.concatenate(counts)
-        order = np.argsort(k)
-        k, n = k[order], n[order]
+        if len(cls) > CHUNK:
+            order = np.argsort(k)
+            k, n = k[order], n[order]
         for a in range(0, len(cls), CHUNK):
             old = cls[a : a + CHUNK]
-            p, q = np.searchsorted(k, [a * k2, (a + len(old)) * k2])
+            p, q = np.searchsorted(k, [a * k2, (a + len(old)) * k2]) if len(cls) > CHUNK else (0, len(k))
             fit = np.bincount(k[p:q] - a * k2, n[p:q], len(old) * k2).reshape(-1, k2) @ both
             best, rows = fit.argmax(1), np.arange(len(old))
             cls[a : a + CHUNK] = np.where(fit[rows, best] > fit[rows, old] + 1e-9, best, old)
@@ -208,9 +214,10 @@ def move(contexts: DataFrame, pairs: np.ndarray) -> DataFrame:
 
 def exchange(cut: DataFrame, rounds: int | None = None) -> tuple[DataFrame, np.ndarray]:
     """(block and classes of its words, counts by class as in `_cells`) when the likelihood rises by less than RISE, or after `rounds`."""
+    used = cut.select("block", "at", "c", "own", "shares", "tokens", "held", "lengths", "end")
     state, kept, before, k = cut.select("block", F.array("first").alias("classes")), None, 0.0, 0
     while True:
-        contexts = durable(_contexts(cut.join(state, "block")))
+        contexts = durable(_contexts(used.join(state, "block")))
         cells = _cells(contexts)
         now, tokens = likelihood(cells[:CLASSES]), cells[CLASSES].sum()
         if kept is None or now > before:
@@ -218,11 +225,11 @@ def exchange(cut: DataFrame, rounds: int | None = None) -> tuple[DataFrame, np.n
         else:
             last = (state, None)
         if last and k > 1:
-            _forget(last[0])
+            forget(last[0])
         done = not tokens or k == rounds or (k > 0 and now - before < RISE * tokens)
         if not done:
             state = durable(_replies(move(contexts, cells[:CLASSES]), "classes"))
-        _forget(contexts)
+        forget(contexts)
         cut.sparkSession._jvm.System.gc()  # lets Spark drop the shuffles of the round
         if done:
             return kept
@@ -234,12 +241,13 @@ def score(documents: DataFrame, *, id_col="doc_id", text_col="text", rounds: int
 
     A token's probability is P(its class | class before) times its share of the class; a share u of each class, estimated
     from words seen once (Good-Turing), is left to unknown words. A null text counts as empty: its end alone. A null id
-    is trained on. Repeated rows count each. Without training tokens all words are unknown; an empty table gives no rows.
+    is trained on. Repeated rows count each; very long texts are scored whole; no other column is read. Without training tokens all words are unknown; an empty table gives no rows.
     `rounds` ends the exchange early; without it, the likelihood does.
     """
-    raw = durable(blocks(documents, id_col, text_col))
+    texts_bytes = documents.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    raw = durable(blocks(documents, id_col, text_col, max(LEAST_SHARES, 1 << (texts_bytes // SHARE_BYTES).bit_length())))
     cut = durable(numbered(raw))
-    _forget(raw)
+    forget(raw)
     classes, cells = exchange(cut, rounds)
     pairs, (size, once, seen) = cells[:CLASSES], cells[CLASSES:]
     tokens, kinds = int(size.sum()), int(seen.sum())
@@ -247,7 +255,7 @@ def score(documents: DataFrame, *, id_col="doc_id", text_col="text", rounds: int
     step = np.log10((pairs + PRIOR * unigram) / (pairs.sum(1, keepdims=True) + PRIOR))
     unknown = (once + 0.5) / (size + 1.0)
     model = (step, np.log10(unknown), np.log10(1 - unknown) - np.log10(np.maximum(size, 1)))
-    kind = documents.schema[id_col].dataType.simpleString()
+    kind = documents.schema[id_col].dataType
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         step, no, yes = model
@@ -267,7 +275,8 @@ def score(documents: DataFrame, *, id_col="doc_id", text_col="text", rounds: int
                 yield pd.DataFrame({"k": list(row.ids), "held_out": list(row.held), "n_tokens": lengths.astype(np.int64), "n_known": known, "train_tokens": np.int64(tokens), "base_score": base, "score": total})
 
     joined = cut.join(classes, "block").select("tokens", "lengths", "ids", "held", "end", "c", "classes")
-    return joined.mapInPandas(run, f"k {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double").withColumnRenamed("k", id_col)
+    scored = joined.mapInPandas(run, "k string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return scored.select(F.col("k").cast(kind).alias(id_col), *scored.columns[1:])
 
 
 def perplexity(scored: DataFrame) -> DataFrame:

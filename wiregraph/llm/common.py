@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,15 +15,19 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The word patterns of the queries' contracts.
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPACES = r"[\x20\x09-\x0D]+"
+#: Estimated bytes up to which a side of a join is broadcast; above, the join shuffles.
+BROADCAST_BYTES = 32 << 20
+_OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where none is set (tests)."""
+    """The folder that the driver and all executors share; a temporary one where none is set and all run in one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", found) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-    return found.rstrip("/")
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not found and not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="spark-shared-"))
+    return (found or _OWN[0]).rstrip("/")
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -33,6 +38,18 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Deletes a table of `durable` that is no longer read."""
+    for f in df.inputFiles()[:1]:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(f).getParent()
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fit(df: DataFrame, row_bytes: int, rows: int | None = None) -> DataFrame:
+    """`df` to be broadcast if its rows, counted here unless given, at `row_bytes` each are within BROADCAST_BYTES."""
+    return F.broadcast(df) if (df.count() if rows is None else rows) * row_bytes <= BROADCAST_BYTES else df
+
+
 @contextmanager
 def batch_bytes(spark: SparkSession, size: str) -> Iterator[None]:
     """Within it, Arrow batches to and from Python end at `size` (plus a row); for jobs that run inside."""
@@ -72,3 +89,15 @@ def same_key(left: DataFrame, right: DataFrame, cols=("k_id", "k_a", "k_b")) ->
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     """Adds a column that is computed once a row: unlike a projection, a generator is not copied into later filters and lambdas."""
     return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def keyed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row key, and the columns of `df` as c_0, c_1, ... in their order, so that no name of theirs can clash."""
+    names = df.columns
+    x = df.toDF(*[f"c_{i}" for i in range(len(names))])
+    return x.select(*row_key(f"c_{names.index(id_col)}", f"c_{names.index(text_col)}"), "*")
+
+
+def unkeyed(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of `like` again, from a result of `keyed`."""
+    return df.select(*[F.col(f"c_{i}").alias(c) for i, c in enumerate(like.columns)])

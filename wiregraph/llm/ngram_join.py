@@ -1,28 +1,35 @@
 """Join of documents by the Jaccard similarity of their word 5-grams: a MinHash LSH forest, then exact verification.
 
-Bawa, Condie and Ganesan, "LSH Forest" (2005): each document is a leaf of several tries, its path in a trie being a
-sequence of minhashes. Matched prefixes are shortened from the full depth until pairs at the threshold meet in some
-trie with the target recall. Documents that share a trie node are candidates; connected candidates are compared in
-full, in blocks of bounded size, and only counts and one link to a block's least member leave a task.
+Bawa, Condie and Ganesan, "LSH Forest" (2005): each set of shingles is a leaf of several tries, its path in a trie being
+a sequence of minhash labels. Sets under a common trie node are candidates. Matched prefixes start at the full depth and
+are shortened, step by step, while the recall measured on the links found so far is below the target: a link of
+similarity s is found at depth d with probability p = 1 - (1 - s^d)^trees, so the links found stand for sum(1/p) links.
+
+Sets are numbered in the order of the first trie and cut into chunks. A trie node names the pairs of chunks to compare;
+the sets it holds are sent to a task for each such pair, compared exactly there, and only counts and a link to the
+least partner leave the task. Hubs of a trie or of links meet in joins of plain tables, which skew joins split.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, row_key, same_key
+from .common import durable, fit, forget, keyed, row_key, unkeyed
 from .components import components
+from .sharding import number_rows
 
 WORDS, THRESHOLD = 5, 0.8
-TREES, MAX_DEPTH, RECALL = 32, 12, 0.9999
-#: Most documents of a candidate group in one side of a block; documents of small groups a task gets at a time.
-CHUNK, BIN = 256, 1500
-BROADCAST_ROWS = 500_000
+#: Tries, labels of a path, labels by which prefixes are shortened at a time, the shortest prefix, and the recall that ends it.
+TREES, DEPTH, STEP, LEAST_DEPTH, RECALL = 24, 12, 2, 4, 0.9999
+DEPTHS = range(DEPTH, LEAST_DEPTH - 1, -STEP)
+#: Neighbours in the order of the first trie that form a chunk: two chunks at most are compared in a task.
+CHUNK = 256
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -59,20 +66,12 @@ def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(h ^ (h >> np.uint64(29)))
 
 
-def depth(threshold: float = THRESHOLD, trees: int = TREES, recall: float = RECALL, most: int = MAX_DEPTH) -> int:
-    """The longest prefix at which pairs at the threshold meet in some trie with probability `recall`, shortened step by step."""
-    d = most
-    while d > 1 and 1 - (1 - threshold**d) ** trees < recall:
-        d -= 1
-    return d
-
-
-def prefix_keys(sets: list[np.ndarray], trees: int, d: int, seed: int = 9) -> np.ndarray:
-    """(documents, trees) keys of the trie nodes at depth d: hashes of d minhashes each."""
+def paths(sets: list[np.ndarray], labels: int, seed: int = 9) -> np.ndarray:
+    """(documents, labels) 16-bit minhash labels."""
     rng = np.random.default_rng(seed)
-    mult = rng.integers(0, 2**31, trees * d, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-    add = rng.integers(0, 2**32, trees * d, dtype=np.uint32)
-    out = np.zeros((len(sets), trees), np.uint64)
+    mult = rng.integers(0, 2**31, labels, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+    add = rng.integers(0, 2**32, labels, dtype=np.uint32)
+    out = np.zeros((len(sets), labels), np.uint16)
     at = 0
     while at < len(sets):  # so many documents that their hashes stay in cache
         to, n = at, 0
@@ -82,46 +81,51 @@ def prefix_keys(sets: list[np.ndarray], trees: int, d: int, seed: int = 9) -> np
         flat = (np.concatenate(sets[at:to]) >> np.uint64(32)).astype(np.uint32)
         starts = np.cumsum([0] + [len(s) for s in sets[at : to - 1]])
         buf = np.empty_like(flat)
-        for t in range(trees):
-            key = np.full(to - at, t + 1, np.uint64)
-            for j in range(t * d, t * d + d):
-                np.multiply(flat, mult[j], out=buf)
-                np.add(buf, add[j], out=buf)
-                key = (key ^ np.minimum.reduceat(buf, starts)) * BASE
-                key ^= key >> np.uint64(32)
-            out[at:to, t] = key
+        for j in range(labels):
+            np.multiply(flat, mult[j], out=buf)
+            np.add(buf, add[j], out=buf)
+            out[at:to, j] = np.minimum.reduceat(buf, starts) * np.uint32(0x9E3779B1) >> np.uint32(16)
         at = to
     return out
 
 
-def signatures(documents: DataFrame, *, id_col="doc_id", text_col="text", threshold=THRESHOLD, trees=TREES, recall=RECALL) -> DataFrame:
-    """(k_id, k_a, k_b, n, s_hi, s_lo, keys): each row's number of shingles, the hash of their set and its trie nodes."""
-    d = depth(threshold, trees, recall)
+def signatures(documents: DataFrame, *, id_col="doc_id", text_col="text", trees=TREES) -> DataFrame:
+    """(k_id, k_a, k_b, n, s_hi, s_lo, path): each row's number of shingles, the hash of their set and its paths in all tries.
+
+    Ids go through Python as strings, so that pandas cannot round them where one of a batch is null.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingles(t) for t in batch["t"]]
             n = np.array([len(s) for s in sets], np.int64)
             some = [s for s in sets if len(s)]
-            keys = np.zeros((len(sets), trees), np.int64)
+            path = np.full(len(sets), b"", object)
             sums = np.zeros((len(sets), 2), np.int64)
             if some:
-                keys[n > 0] = prefix_keys(some, trees, d).view(np.int64)
+                path[n > 0] = [row.tobytes() for row in paths(some, trees * DEPTH)]
                 flat, starts = np.concatenate(some), np.cumsum([0] + [len(s) for s in some[:-1]])
                 other = (flat ^ (flat >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
                 other ^= other >> np.uint64(31)
                 sums[n > 0, 0] = np.add.reduceat(other, starts).view(np.int64)
                 sums[n > 0, 1] = np.add.reduceat(other * (other | np.uint64(1)), starts).view(np.int64)
-            yield pd.DataFrame({"k_id": batch["k_id"], "k_a": batch["k_a"], "k_b": batch["k_b"], "n": n, "s_hi": sums[:, 0], "s_lo": sums[:, 1], "keys": list(keys)})
+            yield pd.DataFrame({"k_id": batch["k_id"], "k_a": batch["k_a"], "k_b": batch["k_b"], "n": n, "s_hi": sums[:, 0], "s_lo": sums[:, 1], "path": path})
+
+    kind = documents.schema[id_col].dataType
+    x = documents.select(*row_key(id_col, text_col), F.col(text_col).alias("t")).withColumn("k_id", F.col("k_id").cast("string"))
+    return x.mapInPandas(run, "k_id string, k_a long, k_b long, n long, s_hi long, s_lo long, path binary").withColumn("k_id", F.col("k_id").cast(kind))
+
 
-    id_type = documents.schema[id_col].dataType.simpleString()
-    return documents.select(*row_key(id_col, text_col), F.col(text_col).alias("t")).mapInPandas(run, f"k_id {id_type}, k_a long, k_b long, n long, s_hi long, s_lo long, keys array<long>")
+def found_at(similarity, depth: int, trees: int):
+    """Probability that two sets of a similarity share a trie node at the depth."""
+    return 1 - (1 - similarity**depth) ** trees
 
 
-def _links(sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(links, head) of each document of a block: the weight of its partners, and the least index linked to it, directly or not.
+def _links(sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray, old: np.ndarray, threshold: Fraction, chances) -> tuple[np.ndarray, ...]:
+    """(links, head, pairs, standing) of each set of a block: the weight of its partners, the least index linked to it, directly or not, the partners, and what they stand for by each of `chances`.
 
-    `side` 0 or 1: only pairs of different sides are compared if both occur (other pairs belong to another block).
+    `side` 0 or 1: if both occur, only pairs of different sides are compared; pairs of two `old` sets were compared before.
+    Similarities are compared as integers. A column holds ones and zeros of 2^22 entries at most, so its products are exact.
     """
     n = len(sets)
     size = np.array([len(s) for s in sets])
@@ -132,18 +136,19 @@ def _links(sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray, thresho
     count = np.diff(np.append(first, len(flat)))
     keep = np.repeat(count > 1, count)  # a run of one document meets nothing
     row, column = row[keep], np.repeat(np.cumsum(count > 1) - 1, count)[keep]
-    both = np.zeros((n, n), np.float32)
+    both = np.zeros((n, n), np.int64)
     width, columns = max(1, 4_000_000 // n), int(column[-1]) + 1 if len(column) else 0
     for lo in range(0, columns, width):
         a, b = np.searchsorted(column, [lo, lo + width])
         x = np.zeros((n, min(width, columns - lo)), np.float32)
         x[row[a:b], column[a:b] - lo] = 1
-        both += x @ x.T
+        both += (x @ x.T).astype(np.int64)
     union = size[:, None] + size[None, :] - both
-    linked = both >= threshold * union - 1e-6 * union
+    linked = both * threshold.denominator >= union * threshold.numerator
     np.fill_diagonal(linked, False)
     if side.any() and not side.all():
         linked &= side[:, None] != side[None, :]
+    linked &= ~(old[:, None] & old[None, :])
     head = np.arange(n)
     while True:
         least = np.minimum(head, np.where(linked, head[None, :], n).min(axis=1, initial=n))
@@ -151,56 +156,103 @@ def _links(sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray, thresho
         if (least == head).all():
             break
         head = least
-    return linked @ weight, head
+    i, j = np.nonzero(linked)
+    similarity = both[i, j] / union[i, j]
+    standing = np.array([np.bincount(i, 1 / chance(similarity), n) for chance in chances])
+    return linked @ weight, head, linked.sum(1), standing
+
+
+def _members(sets: DataFrame, depth: int, trees: int) -> DataFrame:
+    """(u, a, b): each set under a trie node of this depth with others, and the chunks a <= b, its own among them, that the node names."""
+    key = F.array(*[F.xxhash64(F.lit(t), F.substring("path", 1 + t * 2 * DEPTH, 2 * depth)) for t in range(trees)])
+    nodes = sets.select("u", (F.col("u") / CHUNK).cast("int").alias("c"), F.explode(key).alias("key"))
+    shared = durable(nodes.groupBy("key").agg(F.min("u").alias("lo"), F.max("u").alias("hi"), F.min("c").alias("lo_c"), F.max("c").alias("hi_c")).where("lo < hi").drop("lo", "hi"))
+    held = durable(nodes.join(shared, "key"))
+    wide = held.where("lo_c < hi_c")
+    chunks = durable(wide.select("key", F.col("c").alias("other")).distinct())
+    across = wide.select("u", "c", "key").join(chunks, "key").select("u", F.least("c", "other").alias("a"), F.greatest("c", "other").alias("b"))
+    out = durable(held.where("lo_c = hi_c").select("u", F.col("c").alias("a"), F.col("c").alias("b")).unionByName(across).distinct())
+    for table in (shared, held, chunks):
+        forget(table)
+    return out
+
+
+def _verify(trees: int, threshold: Fraction):
+    """The links of the sets that meet in a pair of chunks, as a function of (key, group)."""
+    chances = [lambda s, d=d: found_at(s, d, trees) for d in DEPTHS]
+
+    def verify(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        g = group.drop_duplicates("u").sort_values("u")
+        u = g["u"].to_numpy()
+        links, head, pairs, standing = _links([shingles(t) for t in g["t"]], g["copies"].to_numpy(), (u // CHUNK == key[1]).astype(int), g["old"].to_numpy(bool), threshold, chances)
+        some = pairs > 0
+        return pd.DataFrame({"u": u[some], "links": links[some].astype(np.int64), "head": u[head[some]], "pairs": pairs[some].astype(np.int64), "standing": pd.Series(list(standing.T[some]), dtype=object)})
 
+    return verify
 
-def join(documents: DataFrame, *, id_col="doc_id", text_col="text", threshold=THRESHOLD, trees=TREES, recall=RECALL) -> DataFrame:
+
+def forest(documents: DataFrame, sets: DataFrame, *, id_col="doc_id", text_col="text", threshold=THRESHOLD, trees=TREES, recall=RECALL) -> tuple[DataFrame, list[tuple[int, float]]]:
+    """(u, links, head) rows of the sets with partners, once for each task that compared them; and the measured recall at each depth."""
+    exact = Fraction(threshold).limit_denominator(10_000)
+    docs = documents.select(*row_key(id_col, text_col), F.col(text_col).alias("t"))
+    known, found, steps = None, None, []
+    for at, depth in enumerate(DEPTHS):
+        members = _members(sets, depth, trees)
+        if known is not None:
+            now = durable(members.join(known, ["u", "a", "b"], "left").withColumn("old", F.coalesce("old", F.lit(False))))
+            grown = now.where("not old").select("a", "b").distinct()
+            sent = now.join(grown, ["a", "b"], "left_semi")
+            forget(known)
+            forget(members)
+        else:
+            sent = now = members.withColumn("old", F.lit(False))
+        own = durable(sent.select("u").distinct().join(sets.select("u", "copies", "r"), "u").select("u", "copies", F.col("r.k_id").alias("r_id"), F.col("r.k_a").alias("r_a"), F.col("r.k_b").alias("r_b")))
+        reps = fit(own, 100)
+        texts = docs.join(reps, docs["k_id"].eqNullSafe(reps["r_id"]) & (docs["k_a"] == reps["r_a"]) & (docs["k_b"] == reps["r_b"])).select("u", "copies", "t")
+
+        new = durable(sent.join(texts, "u").groupBy("a", "b").applyInPandas(_verify(trees, exact), "u long, links long, head long, pairs long, standing array<double>"))
+        forget(own)
+        found = new if found is None else found.unionByName(new)
+        known = now.select("u", "a", "b", F.lit(True).alias("old"))
+        total = found.agg(F.sum("pairs").alias("pairs"), F.sum(F.col("standing")[at]).alias("standing")).first()
+        # without links there is nothing to measure: the chance of a pair at the threshold
+        steps.append((depth, total["pairs"] / total["standing"] if total["pairs"] else found_at(threshold, depth, trees)))
+        if steps[-1][1] >= recall:
+            break
+    return found.select("u", "links", "head"), steps
+
+
+def classed(documents: DataFrame, *, id_col="doc_id", text_col="text", threshold=THRESHOLD, trees=TREES, recall=RECALL) -> DataFrame:
+    """(k_id, k_a, k_b, root, class_id, n_links, kept) of every row: see `join`; root is null for rows without a word, `kept` marks the rows that `keep_one` keeps."""
+    sig = durable(signatures(documents, id_col=id_col, text_col=text_col, trees=trees))
+    some = sig.where("n > 0")
+    # null ids come last
+    row = F.struct(F.col("k_id").isNull().alias("none"), "k_id", "k_a", "k_b")
+    grouped = some.groupBy("s_hi", "s_lo").agg(F.count("*").alias("copies"), F.min(row).alias("r"), F.first("path").alias("path")).withColumn("first", F.substring("path", 1, 2 * DEPTH))
+    sets = durable(number_rows(grouped, "first", "s_hi", "s_lo", name="u")[0].drop("first"))
+    found, _ = forest(documents, sets, id_col=id_col, text_col=text_col, threshold=threshold, trees=trees, recall=recall)
+    member = components(found.select("u", F.col("head").alias("v")))
+    links = found.groupBy("u").agg(F.sum("links").alias("links"))
+    own = sets.select("u", "s_hi", "s_lo", "copies", "r").join(links, "u", "left").join(member, F.col("u") == member["node"], "left")
+    own = durable(own.select("s_hi", "s_lo", "r", F.coalesce("component", "u").alias("root"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    least = durable(own.groupBy("root").agg(F.min("r").alias("least")))
+    own = durable(own.join(least, "root").select("s_hi", "s_lo", "root", "n_links", "least"))
+    kept = F.col("k_id").eqNullSafe(F.col("least.k_id")) & (F.col("k_a") == F.col("least.k_a")) & (F.col("k_b") == F.col("least.k_b"))
+    with_words = some.select("k_id", "k_a", "k_b", "s_hi", "s_lo").join(own, ["s_hi", "s_lo"]).select("k_id", "k_a", "k_b", "root", F.col("least.k_id").alias("class_id"), "n_links", kept.alias("kept"))
+    none = sig.where("n = 0").select("k_id", "k_a", "k_b", F.lit(None).cast("long").alias("root"), F.col("k_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("kept"))
+    return with_words.unionByName(none)
+
+
+def join(documents: DataFrame, **options) -> DataFrame:
     """(k_id, k_a, k_b, class_id, n_links) of every row: the least id linked to it, directly or through others, and its partners.
 
     Two rows are linked if the Jaccard similarity of their shingles reaches the threshold; rows with the same shingles
-    (copies) are linked and are compared once for all. Rows without a word have no links and are a class of their own.
-    Null ids: a class whose ids are all null has a null class_id. Candidates are never capped: a large group is cut
-    into chunks and every pair of chunks is compared in a task of its own.
+    (copies, repeated rows) are linked and are compared once for all. Null, empty and blank texts have no links and are
+    a class of their own. Null ids come after all others: a class whose ids are all null has a null class_id. An empty
+    table gives no rows; very long texts are compared whole; no other column is read. Candidates are never capped: the
+    sets of a large node are cut into chunks and every pair of chunks is compared in a task of its own.
     """
-    sig = durable(signatures(documents, id_col=id_col, text_col=text_col, threshold=threshold, trees=trees, recall=recall))
-    some = sig.where("n > 0")
-    sets = durable(some.groupBy("s_hi", "s_lo").agg(F.count("*").alias("copies"), F.min("k_id").alias("least_id"), F.min(F.struct("k_id", "k_a", "k_b")).alias("r"), F.first("keys").alias("keys")))
-    nodes = sets.select(F.col("s_hi").alias("node"), F.explode("keys").alias("key"))
-    heads = nodes.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    member = components(nodes.join(heads, "key").select(F.col("node").alias("u"), F.col("head").alias("v")))
-    # sets that share s_hi but not s_lo (a hash collision) are told apart again here, as texts are compared
-    cand = sets.select("s_hi", "s_lo", "copies", "r").join(member.withColumnRenamed("node", "s_hi"), "s_hi")
-    sizes = cand.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
-    cand = durable(cand.join(sizes, "component").withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int")).withColumn("chunk", F.pmod("s_lo", "chunks").cast("int")).select("component", "s_hi", "s_lo", "copies", F.col("r.k_id").alias("r_id"), F.col("r.k_a").alias("r_a"), F.col("r.k_b").alias("r_b"), "chunks", "chunk"))
-    total = cand.count()
-    docs = documents.select(*row_key(id_col, text_col), F.col(text_col).alias("t"))
-    reps = F.broadcast(cand) if total <= BROADCAST_ROWS else cand
-    texts = docs.join(reps, docs["k_id"].eqNullSafe(reps["r_id"]) & (docs["k_a"] == reps["r_a"]) & (docs["k_b"] == reps["r_b"]))
-    bins = max(1, total // BIN)
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("o")
-    block = F.when(F.col("chunks") == 1, F.concat(F.lit("b"), F.pmod(F.xxhash64("component"), F.lit(bins)).cast("string"))).otherwise(F.concat_ws(".", "component", F.least("chunk", "o"), F.greatest("chunk", "o")))
-    texts = texts.select("component", "s_hi", "s_lo", "copies", "chunks", "chunk", "t", other).withColumn("block", block).withColumn("side", (F.col("chunk") > F.col("o")).cast("int"))
-
-    def verify(group: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, g in group.drop_duplicates(["component", "s_hi", "s_lo"]).groupby("component", sort=False):
-            g = g.sort_values(["s_hi", "s_lo"])
-            links, head = _links([shingles(t) for t in g["t"]], g["copies"].to_numpy(), g["side"].to_numpy(), threshold)
-            hi, lo = g["s_hi"].to_numpy(), g["s_lo"].to_numpy()
-            out.append(pd.DataFrame({"s_hi": hi, "s_lo": lo, "links": links.astype(np.int64), "h_hi": hi[head], "h_lo": lo[head], "big": g["chunks"].to_numpy() > 1}))
-        return pd.concat(out) if out else pd.DataFrame(columns=["s_hi", "s_lo", "links", "h_hi", "h_lo", "big"])
-
-    found = durable(texts.groupBy("block").applyInPandas(verify, "s_hi long, s_lo long, links long, h_hi long, h_lo long, big boolean"))
-    name = lambda a, b: F.concat_ws(":", a, b)
-    across = components(found.where("big").select(name("s_hi", "s_lo").alias("u"), name("h_hi", "h_lo").alias("v")))
-    links = found.groupBy("s_hi", "s_lo").agg(F.sum("links").alias("links"), F.min(F.when(~F.col("big"), name("h_hi", "h_lo"))).alias("near"))
-    own = sets.select("s_hi", "s_lo", "copies", "least_id").join(links, ["s_hi", "s_lo"], "left").withColumn("self", name("s_hi", "s_lo"))
-    own = own.join(across, own["self"] == across["node"], "left").withColumn("root", F.coalesce("component", "near", "self"))
-    own = durable(own.select("s_hi", "s_lo", "least_id", "root", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
-    classes = own.groupBy("root").agg(F.min("least_id").alias("class_id"))
-    own = own.join(classes, "root").select("s_hi", "s_lo", "class_id", "n_links")
-    with_words = some.select("k_id", "k_a", "k_b", "s_hi", "s_lo").join(own, ["s_hi", "s_lo"]).select("k_id", "k_a", "k_b", "class_id", "n_links")
-    return with_words.unionByName(sig.where("n = 0").select("k_id", "k_a", "k_b", F.col("k_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    return classed(documents, **options).drop("root", "kept")
 
 
 def report(documents: DataFrame) -> DataFrame:
@@ -209,12 +261,19 @@ def report(documents: DataFrame) -> DataFrame:
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """The document with the least id of each class, with its columns; texts without words stay."""
-    classed = durable(join(documents))
-    gone = classed.where("not (k_id <=> class_id)")
-    repeated = classed.where("k_id <=> class_id and n_links > 0").groupBy("k_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    docs = documents.select("*", *[c.alias(f"_{n}") for n, c in zip(("id", "a", "b"), row_key("doc_id", "text"))])
-    few = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    kept = docs.join(few, docs["_id"].eqNullSafe(few["k_id"]) & (docs["_a"] == few["k_a"]) & (docs["_b"] == few["k_b"]), "left_anti")
-    kept = kept.dropDuplicates(["_id", "_a", "_b"]) if repeated else kept
-    return kept.select(*documents.columns)
+    """One row of each class, with its columns: the least id, of equal ones by the hash of the text; texts without words all stay.
+
+    Rows alike in id and text are one document: one of them stays. Any column names will do; an empty table stays empty.
+    """
+    rows = durable(classed(documents))
+    gone = rows.where("not kept").select("k_id", "k_a", "k_b")
+    twice = durable(rows.where("kept and root is not null").groupBy("k_id", "k_a", "k_b").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    x = keyed(documents)
+    on = lambda t: x["k_id"].eqNullSafe(t["k_id"]) & (x["k_a"] == t["k_a"]) & (x["k_b"] == t["k_b"])
+    gone = fit(gone, 80)
+    kept = x.join(gone, on(gone), "left_anti")
+    if repeated := twice.count():
+        few = fit(twice, 80, repeated)
+        single = kept.join(few, on(few), "left_anti")
+        kept = single.unionByName(kept.join(few, on(few), "left_semi").dropDuplicates(["k_id", "k_a", "k_b"]))
+    return unkeyed(kept, documents)

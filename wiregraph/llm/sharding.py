@@ -43,20 +43,23 @@ def permute(x: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def number_rows(df: DataFrame, *order: str) -> tuple[DataFrame, int]:
-    """`df` with `row_number` 0..n-1 in the order of the columns, and n.
+def number_rows(df: DataFrame, *order: str, name: str = "row_number") -> tuple[DataFrame, int]:
+    """`df` with its columns and `name`: 0..n-1 in the order of the columns; and n.
 
     Ranges are sorted apart and written once with each row's place, so a lost executor cannot renumber rows;
     only the count of each range goes through the driver. Rows equal in all order columns may change places.
     """
-    placed = durable(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
-    counts = sorted((r["_part"], r["n"]) for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect())
+    columns = df.columns
+    x = df.toDF(*[f"c_{i}" for i in range(len(columns))])
+    by = [f"c_{columns.index(c)}" for c in order]
+    placed = durable(x.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
+    counts = sorted((r["part"], r["n"]) for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect())
     starts, total = [], 0
     for part, n in counts:
         starts.append((part, total))
         total += n
-    offsets = df.sparkSession.createDataFrame(starts or [(0, 0)], "_part int, _start long")
-    return placed.join(F.broadcast(offsets), "_part").withColumn("row_number", F.col("_start") + F.col("_at")).drop("_part", "_at", "_start"), total
+    offsets = df.sparkSession.createDataFrame(starts or [(0, 0)], "part int, start long")
+    return placed.join(F.broadcast(offsets), "part").select(*[F.col(f"c_{i}").alias(c) for i, c in enumerate(columns)], (F.col("start") + F.col("at")).alias(name)), total
 
 
 def shard(df: DataFrame, order: list[str], n_shards: int, seed: int = 0) -> DataFrame:
@@ -64,8 +67,11 @@ def shard(df: DataFrame, order: list[str], n_shards: int, seed: int = 0) -> Data
 
     Shard counts differ by one at most and slots have no gaps, by construction. Any shard and slot lead back to
     a row number, so a reader can fetch the k-th sample of a shard without reading the others. Null keys sort
-    first; rows alike in `order` are interchangeable; an empty table gives no rows; other columns stay.
+    first; rows alike in `order` are interchangeable; an empty table gives no rows. Other columns stay; it is a
+    ValueError if one of them has the name of an added one.
     """
+    if clash := {"row_number", "position", "shard", "slot"} & set(df.columns):
+        raise ValueError(f"columns that the result adds are there already: {', '.join(sorted(clash))}")
     numbered, n = number_rows(df, *order)
 
     @F.pandas_udf("long")
@@ -80,7 +86,8 @@ def shard(df: DataFrame, order: list[str], n_shards: int, seed: int = 0) -> Data
 def shard_documents(documents: DataFrame, n_shards: int = 40, seed: int = 20) -> DataFrame:
     """Every row of documents (doc_id, text) to its shard and slot, under the law `rows`; only ids, sizes and checksums move.
 
-    A null text counts as empty: size 16, checksum 0. The law has no `grown_shard`.
+    A null text counts as empty: size 16, checksum 0. The law has no `grown_shard`. Repeated rows are numbered each;
+    very long texts cost one reading; other columns of documents, whatever their names, are not read.
     """
     text = F.coalesce("text", F.lit(""))
     rows = documents.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
