@@ -8,6 +8,10 @@ Every 50-byte window has an anchor: the least hash of its 24-byte strings, which
 equal windows have equal anchors. Windows that share an anchor lie in one piece of text, and pieces meet by the
 anchor's hash: arrays over the pieces of a share of the hashes decide all their windows. Only anchors that two documents
 have are followed. Documents are packed into blocks, and each block sends a piece once however often it has it.
+
+An anchor with many different pieces (a common phrase with different text around it) would bring all of them into one
+share. Its windows are sent one by one instead, each to the share of its own 50 bytes, so equal windows still meet and
+no share grows with the anchor.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ SPAN = LENGTH - GRAM + 1
 BAND = SPAN // 3
 PIECE = LENGTH + SPAN - 1  # bytes of the longest piece
 BLOCK_BYTES, SLICE_BYTES, SHARD_BYTES, ARRAY_BYTES = 4_000_000, 64_000, 2_000_000, 16_000
+#: Different pieces of an anchor, summed over blocks, from which on its windows go one by one.
+HOT = 20_000
 LAST = np.iinfo(np.int64).max
 
 
@@ -195,44 +201,43 @@ def _shard(h: np.ndarray, bits: int) -> np.ndarray:
     return ((h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _id(i) -> int | None:
-    return None if i is None or i != i else int(i)
-
-
 def blocks(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(block, ids, lengths, data): whole texts of some megabytes each."""
+    """(block, ids, none, lengths, data): whole texts of some megabytes each; a null id is LAST, and `none` says so."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, k, ids, data, size = TaskContext.get().partitionId(), 0, [], [], 0
-        row = lambda: pd.DataFrame({"block": [f"{part}-{k}"], "ids": [ids], "lengths": [[len(d) for d in data]], "data": [b"".join(data)]})
+        part, k, ids, none, data, size = TaskContext.get().partitionId(), 0, [], [], [], 0
+        row = lambda: pd.DataFrame({"block": [f"{part}-{k}"], "ids": [ids], "none": [none], "lengths": [[len(d) for d in data]], "data": [b"".join(data)]})
         for batch in batches:
-            for i, t in zip(batch["k"].tolist(), batch["t"]):
-                ids.append(_id(i))
+            for i, no, t in zip(batch["k"].tolist(), batch["none"].tolist(), batch["t"]):
+                ids.append(i)
+                none.append(no)
                 data.append((t or "").encode())
                 size += len(data[-1])
                 if size >= BLOCK_BYTES:
                     yield row()
-                    k, ids, data, size = k + 1, [], [], 0
+                    k, ids, none, data, size = k + 1, [], [], [], 0
         if ids:
             yield row()
 
-    return documents.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t")).mapInPandas(run, "block string, ids array<long>, lengths array<int>, data binary")
+    known = F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST)))  # pandas would round ids beside a null one
+    return documents.select(known.alias("k"), F.col(id_col).isNull().alias("none"), F.col(text_col).alias("t")).mapInPandas(run, "block string, ids array<long>, none array<boolean>, lengths array<int>, data binary")
 
 
 def _anchors_of(row):
     data, lengths = np.frombuffer(row.data, np.uint8), np.asarray(row.lengths, np.int64)
-    ids = np.array([LAST if _id(i) is None else int(i) for i in row.ids], np.int64)
-    return data, lengths, ids, anchors(data, lengths)
+    return data, lengths, np.asarray(row.ids, np.int64), anchors(data, lengths)
 
 
-def _own_hashes(h: np.ndarray, document: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Different hashes in order, and which of them several documents of the block have."""
+def _own_hashes(h: np.ndarray, document: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different hashes in order, which of them several documents of the block have, and how many different pieces."""
     if not len(h):
-        return h, np.zeros(0, bool)
-    order = np.lexsort((document, h))
-    h, document = h[order], document[order]
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    return h[first], np.maximum.reduceat(document, first) > np.minimum.reduceat(document, first)
+        return h, np.zeros(0, bool), np.zeros(0, np.int32)
+    order = np.lexsort((value, h))
+    h, document, value = h[order], document[order], value[order]
+    new = np.concatenate([[True], h[1:] != h[:-1]])
+    first = np.flatnonzero(new)
+    kinds = np.add.reduceat(new | np.concatenate([[True], value[1:] != value[:-1]]), first, dtype=np.int32)
+    return h[first], np.maximum.reduceat(document, first) > np.minimum.reduceat(document, first), kinds
 
 
 def _ranges(h: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -244,24 +249,43 @@ def _ranges(h: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
         yield int(s[order[a]]), order[a:b]
 
 
+def _window_hashes(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The hash of the 50 bytes from each place on, as `_rolling` gives it."""
+    view, power = np.lib.stride_tricks.sliding_window_view(data, LENGTH), _powers(LENGTH)[0][:LENGTH]
+    parts = np.array_split(start, len(start) // 50_000 + 1)
+    return np.concatenate([((view[p].astype(np.uint64) + np.uint64(1)) * power).sum(1, dtype=np.uint64) for p in parts])
+
+
 def _pieces(row, bits: int):
     """(data, lengths, ids, pieces, found, runs) of a block.
 
     pieces: shard, place of the anchor, least id, start and size, in order of the shards; found: the piece of each
-    stretch of windows; runs: its first window and its document.
+    stretch of windows (a single window each for hot anchors); runs: its first window and its document.
     """
     data, lengths, ids, (h, at, document, first, last, value) = _anchors_of(row)
-    own, _ = _own_hashes(h, document)
-    shared = np.zeros(len(own), bool)
-    marks = {m["shard"]: m["bits"] for m in row.marks} if row.marks is not None else {}
+    own, _, _ = _own_hashes(h, document, value)
+    shared, hot = np.zeros(len(own), bool), np.zeros(len(own), bool)
+    marks = {m["shard"]: m for m in row.marks} if row.marks is not None else {}
     for s, places in _ranges(own, bits):
         if s in marks:
-            shared[places] = np.unpackbits(np.frombuffer(marks[s], np.uint8), count=len(places)).astype(bool)
-    keep = np.flatnonzero(shared[np.searchsorted(own, h)]) if len(h) else np.zeros(0, np.int64)
-    h, at, document, first, size = h[keep], at[keep] - first[keep], document[keep], first[keep], last[keep] - first[keep] + LENGTH
+            for found, name in ((shared, "bits"), (hot, "hot")):
+                found[places] = np.unpackbits(np.frombuffer(zlib.decompress(marks[s][name]), np.uint8), count=len(places)).astype(bool)
+    of = np.searchsorted(own, h)
+    keep = np.flatnonzero(shared[of]) if len(h) else np.zeros(0, np.int64)
     if not len(keep):
-        return data, lengths, ids, (h,) * 5, h, (first, document)
-    kinds, found = distinct(data, first, size, h, value[keep])
+        return data, lengths, ids, (h[:0],) * 5, h[:0], (first[:0], document[:0])
+    hot = hot[of[keep]]
+    h, at, document, first, last, value = (x[keep] for x in (h, at, document, first, last, value))
+    if hot.any():
+        n = np.where(hot, last - first + 1, 1)
+        single = np.repeat(hot, n)
+        at, document, start, h, value, last = (np.repeat(x, n) for x in (at, document, first, h, value, last))
+        first = np.where(single, _spread(first, n), start)
+        last = np.where(single, first, last)
+        value[single] = _window_hashes(data, first[single])
+        h[single] = _mixed(value[single])
+    at, size = at - first, last - first + LENGTH
+    kinds, found = distinct(data, first, size, h, value)
     owner = np.full(len(kinds), LAST)
     np.minimum.at(owner, found, ids[document])
     order = np.argsort(_shard(h[kinds], bits), kind="stable")
@@ -277,13 +301,16 @@ def _cuts(x: np.ndarray) -> Iterator[tuple[int, int]]:
     yield from zip(at, at[1:])
 
 
-def _share(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-    """For each block, which of its hashes of a share another document has too."""
+def _share(key: tuple, group: pd.DataFrame, most: int) -> pd.DataFrame:
+    """For each block, which of its hashes of a share another document has too, and which are hot."""
     hashes = [_unpack(b, np.int64) for b in group["hashes"]]
-    value, n = np.unique(np.concatenate(hashes), return_counts=True)
-    many = value[n > 1]
-    bits = [np.packbits(np.unpackbits(np.frombuffer(m, np.uint8), count=len(x)).astype(bool) | np.isin(x, many, assume_unique=True)).tobytes() for x, m in zip(hashes, group["multi"])]
-    return pd.DataFrame({"block": group["block"].to_numpy(), "shard": key[0], "bits": bits})
+    value, of, n = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+    hot = np.bincount(of, np.concatenate([_unpack(b, np.int32) for b in group["kinds"]]), len(value)) > most
+    bits, marks = [], []
+    for x, m, at in zip(hashes, group["multi"], np.split(of, np.cumsum([len(x) for x in hashes])[:-1])):
+        bits.append(zlib.compress(np.packbits(np.unpackbits(np.frombuffer(m, np.uint8), count=len(x)).astype(bool) | (n > 1)[at]).tobytes(), 1))
+        marks.append(zlib.compress(np.packbits(hot[at]).tobytes(), 1))
+    return pd.DataFrame({"block": group["block"].to_numpy(), "shard": key[0], "bits": bits, "hot": marks})
 
 
 def _meeting(total: np.ndarray, inverse: np.ndarray, h: np.ndarray, at: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -334,18 +361,19 @@ def _resolve(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": group["block"].to_numpy(), "shard": key[0], "least": [_pack(least[_spread(begin[x], windows[x])]) for x in parts]})
 
 
-def remove_repeats(documents: DataFrame, *, id_col="doc_id", text_col="text", keep_text: bool = False) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of every row.
+def remove_repeats(documents: DataFrame, *, id_col="doc_id", text_col="text", keep_text: bool = False, hot: int = HOT) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256[, kept]) of every row; ids are whole numbers.
 
     A byte goes if a 50-byte string over it also starts in a document with a smaller id; strings are judged on the
     input. A null text is empty; a null id counts as the largest; rows of the same id do not affect one another; texts
-    under 50 bytes stay whole.
+    under 50 bytes stay whole, very long ones are cut into slices but judged whole. An empty table gives no rows; no other
+    column is read.
     """
     with batch_bytes(documents.sparkSession, "8m"):
-        return _remove_repeats(documents, id_col, text_col, keep_text)
+        return _remove_repeats(documents, id_col, text_col, keep_text, hot)
 
 
-def _remove_repeats(documents: DataFrame, id_col: str, text_col: str, keep_text: bool) -> DataFrame:
+def _remove_repeats(documents: DataFrame, id_col: str, text_col: str, keep_text: bool, hot: int) -> DataFrame:
     cut = durable(blocks(documents, id_col, text_col))
     size = cut.agg(F.sum(F.length("data"))).first()[0] or 0
     bits = max(1, (size // SHARD_BYTES).bit_length())  # as many shares as the input has parts of that size
@@ -354,9 +382,9 @@ def _remove_repeats(documents: DataFrame, id_col: str, text_col: str, keep_text:
         for batch in batches:
             for row in batch.itertuples():
                 found = _anchors_of(row)[3]
-                h, multi = _own_hashes(found[0], found[2])
-                rows = [(s, row.block, _pack(h[at]), np.packbits(multi[at]).tobytes()) for s, at in _ranges(h, bits)]
-                yield pd.DataFrame(rows, columns=["shard", "block", "hashes", "multi"])
+                h, multi, kinds = _own_hashes(found[0], found[2], found[5])
+                rows = [(s, row.block, _pack(h[at]), np.packbits(multi[at]).tobytes(), _pack(kinds[at])) for s, at in _ranges(h, bits)]
+                yield pd.DataFrame(rows, columns=["shard", "block", "hashes", "multi", "kinds"])
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -381,18 +409,18 @@ def _remove_repeats(documents: DataFrame, id_col: str, text_col: str, keep_text:
                     step[at + LENGTH] -= 1
                 gone = np.cumsum(step[:-1], dtype=np.int8) > 0  # 50 at most
                 rows, at = [], 0
-                for i, n in zip(row.ids, lengths.tolist()):
+                for i, no, n in zip(ids.tolist(), row.none, lengths.tolist()):
                     g, text = gone[at : at + n], data[at : at + n]
                     kept = text[~g].tobytes()
                     spans = int(g[:1].sum() + (g[1:] & ~g[:-1]).sum())
-                    rows.append((_id(i), n, int(g.sum()), spans, hashlib.sha256(kept).hexdigest()) + ((kept,) if keep_text else ()))
+                    rows.append((i, bool(no), n, int(g.sum()), spans, hashlib.sha256(kept).hexdigest()) + ((kept,) if keep_text else ()))
                     at += n
-                yield pd.DataFrame(rows, columns=["k", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text).astype({"k": "Int64"})
+                yield pd.DataFrame(rows, columns=["k", "none", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_text)
 
-    shared = cut.mapInPandas(hashes, "shard int, block string, hashes binary, multi binary").groupBy("shard").applyInPandas(_share, "block string, shard int, bits binary")
-    marks = durable(shared.groupBy("block").agg(F.collect_list(F.struct("shard", "bits")).alias("marks")))
+    shared = cut.mapInPandas(hashes, "shard int, block string, hashes binary, multi binary, kinds binary").groupBy("shard").applyInPandas(lambda key, group: _share(key, group, hot), "block string, shard int, bits binary, hot binary")
+    marks = durable(shared.groupBy("block").agg(F.collect_list(F.struct("shard", "bits", "hot")).alias("marks")))
     marked = cut.join(marks, "block", "left")  # made again for the last pass rather than written: it holds all texts
     resolved = marked.mapInPandas(pieces, "shard int, block string, ids binary, places binary, lengths binary, data binary").groupBy("shard").applyInPandas(_resolve, "block string, shard int, least binary")
     owners = durable(resolved.groupBy("block").agg(F.collect_list(F.struct("shard", "least")).alias("owners")))
-    out = marked.join(owners, "block", "left").mapInPandas(apply, "k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
-    return durable(out.withColumnRenamed("k", id_col))
+    out = marked.join(owners, "block", "left").mapInPandas(apply, "k long, none boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text)
+    return durable(out.select(F.when(~F.col("none"), F.col("k")).alias(id_col), *out.columns[2:]))

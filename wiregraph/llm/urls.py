@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, durable
+from .common import ascii_lower, durable, once
 from .components import components
 
 #: (verdict, host, path): a rule fits its host and all subdomains where the path starts with the rule's.
@@ -37,10 +37,11 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return F.concat(last["h"], last["p"]), last["v"]
 
 
-def _node(url: Column) -> Column:
-    """The url as a node: without fragment, its scheme and host in lower case; null without ://."""
-    head = F.regexp_extract(url, r"^[^/?#]*://[^/?#]*", 0)
-    return F.when(F.contains(url, F.lit("://")), F.concat(ascii_lower(head), F.regexp_extract(F.expr("substring(_u, char_length(regexp_extract(_u, '^[^/?#]*://[^/?#]*', 0)) + 1)"), r"^[^#]*", 0)))
+def _node(df: DataFrame, url_col: str, name: str) -> DataFrame:
+    """Adds the url as a node: without fragment, its scheme and host in lower case; null without ://."""
+    x = once(df, "_head", F.regexp_extract(url_col, r"^[^/?#]*://[^/?#]*", 0))
+    tail = F.regexp_extract(F.expr(f"substring({url_col}, char_length(_head) + 1)"), r"^[^#]*", 0)
+    return x.withColumn(name, F.when(F.col("_head") != "", F.concat(ascii_lower(F.col("_head")), tail))).drop("_head")
 
 
 def links(pages: DataFrame) -> DataFrame:
@@ -51,13 +52,13 @@ def links(pages: DataFrame) -> DataFrame:
     tags = F.filter(F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta)\b[^>]*>"), F.lit(0)), lambda t: t.rlike(r"(?i)\brel\s*=\s*[\"']?\s*canonical\b|http-equiv\s*=\s*[\"']?\s*refresh\b"))
     x = pages.where("url is not null and html is not null").select("url", F.explode(tags).alias("tag"))
     target = F.when(F.col("tag").rlike("(?i)^<link"), F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)).otherwise(F.regexp_extract("tag", r"(?is)\burl\s*=\s*[\"']?\s*([^\"'\s>;]+)", 1))
-    x = x.select("url", F.regexp_replace(target, "&amp;", "&").alias("to")).where("to != ''")
-    scheme, site = F.regexp_extract("url", r"^[^/?#]*://", 0), F.regexp_extract("url", r"^[^/?#]*://[^/?#]*", 0)
-    folder = F.regexp_extract("url", r"^[^/?#]*://[^/?#]*(?:/[^?#]*/|/)?", 0)
-    full = F.when(F.contains("to", F.lit("://")), F.col("to")).when(F.col("to").startswith("//"), F.concat(F.regexp_replace(scheme, "//$", ""), "to")).when(F.col("to").startswith("/"), F.concat(site, "to")).otherwise(F.concat(folder, "to"))
-    x = x.select("url", full.alias("to"))
-    u = x.withColumn("_u", F.col("url")).select("to", _node(F.col("_u")).alias("u"))
-    return u.withColumn("_u", F.col("to")).select("u", _node(F.col("_u")).alias("v")).where("u is not null and v is not null and u != v").distinct()
+    # each value once a row: nested expressions would be copied into code too long to compile
+    x = once(x.select("url", "tag"), "to", F.regexp_replace(target, "&amp;", "&")).where("to != ''")
+    x = once(x.select("url", "to"), "site", F.regexp_extract("url", r"^[^/?#]*://[^/?#]*", 0))
+    x = once(x, "folder", F.regexp_extract("url", r"^[^/?#]*://[^/?#]*(?:/[^?#]*/|/)?", 0))
+    full = F.when(F.contains("to", F.lit("://")), F.col("to")).when(F.col("to").startswith("//"), F.concat(F.regexp_extract("site", r"^[^/]*", 0), "to")).when(F.col("to").startswith("/"), F.concat("site", "to")).otherwise(F.concat("folder", "to"))
+    x = once(x, "full", full).select("url", "full")
+    return _node(_node(x, "url", "u"), "full", "v").select("u", "v").where("u is not null and v is not null and u != v").distinct()
 
 
 def blocked_nodes(edges: DataFrame, rules=RULES) -> DataFrame:
@@ -72,21 +73,34 @@ def judge_pages(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule and verdict of every row of pages (page_id, url, html).
 
     Repeated rows give repeated results; a null url has empty parts, fits no rule and is allowed. Without a rule or a
-    blocked equivalent a page is allowed.
+    blocked equivalent a page is allowed. Null and empty html has no links; very long pages are read whole; an empty table
+    gives no rows; other columns are not read.
     """
     x = with_parts(pages.select("page_id", "url"), "url")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    x = x.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("own"), F.col("url").alias("_u")).withColumn("node", _node(F.col("_u")))
+    x = _node(x.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("own"), "url"), "url", "node")
     bad = blocked_nodes(links(pages), rules)
     x = x.join(bad, x["node"] == bad["bad_node"], "left")
     return x.select("page_id", "host", "path", "rule", F.coalesce("own", F.when(F.col("bad_node").isNotNull(), "block").otherwise("allow")).alias("verdict"))
 
 
-#: DuckDB: rules written out; equivalence by a recursive walk over both directions of the edges.
+#: DuckDB: rules written out; tags, targets and nodes as in `links`; blocks walk over both directions of the edges.
 ORACLE = r"""
-with recursive p as (select page_id, url, html, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end r from pages),
-q as (select page_id, url, html, translate(regexp_extract(coalesce(r, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host, regexp_extract(substr(coalesce(r, ''), length(regexp_extract(coalesce(r, ''), '^[^/?#]*')) + 1), '^[^?#]*') path from p),
-rules(v, h, p) as (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
-own as (select page_id, host, path, arg_max(h || p, length(h || p)) as rule, arg_max(v, length(h || p)) as v from q join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by all)
-select q.page_id, q.host, q.path, own.rule, coalesce(own.v, 'allow') verdict from q left join own using (page_id)
+with recursive rules(v, h, p) as (values ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+tags as (select url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) tag from pages where url is not null and html is not null),
+targets as (select url, replace(case when regexp_matches(tag, '(?i)^<link') then regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?\s*([^"''\s>]+)', 1) else regexp_extract(tag, '(?is)\burl\s*=\s*["'']?\s*([^"''\s>;]+)', 1) end, '&amp;', '&') t, regexp_extract(url, '^[^/?#]*://[^/?#]*') site
+  from tags where regexp_matches(tag, '(?i)\brel\s*=\s*["'']?\s*canonical\b|http-equiv\s*=\s*["'']?\s*refresh\b')),
+pairs as (select url a, case when instr(t, '://') > 0 then t when starts_with(t, '//') then regexp_extract(site, '^[^/]*') || t when starts_with(t, '/') then site || t else regexp_extract(url, '^[^/?#]*://[^/?#]*(?:/[^?#]*/|/)?') || t end b from targets where t != ''),
+urls as (select a url from pairs union select b from pairs union select url from pages where url is not null),
+heads as (select url, regexp_extract(url, '^[^/?#]*://[^/?#]*') head from urls),
+nodes as (select url, translate(head, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') || regexp_extract(substr(url, length(head) + 1), '^[^#]*') node from heads where head != ''),
+edges as (select distinct x.node u, y.node v from pairs join nodes x on x.url = a join nodes y on y.url = b where x.node != y.node),
+both_ways as (select u, v from edges union select v, u from edges),
+parts as (select url, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end r from (select url from urls union select node from nodes)),
+hosts as (select url, regexp_extract(r, '^[^/?#]*') h0, r from parts),
+judged as (select url, translate(h0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host, regexp_extract(substr(r, length(h0) + 1), '^[^?#]*') path from hosts),
+own as (select url, arg_max(h || p, length(h || p)) as rule, arg_max(v, length(h || p)) as v from judged join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p) group by url),
+reached(node) as (select u from both_ways join own on own.url = u and own.v = 'block' union select b.v from reached join both_ways b on b.u = node)
+select pages.page_id, coalesce(j.host, '') host, coalesce(j.path, '') path, own.rule, coalesce(own.v, case when nodes.node in (select node from reached) then 'block' else 'allow' end) verdict
+from pages left join judged j using (url) left join own using (url) left join nodes using (url)
 """
