@@ -10,11 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORD, ascii_lower, row_key, same_key
+from .common import ALNUM_WORD, ascii_lower, durable, fit, keyed, row_key, same_key, unkeyed
 
 WINDOW = 10
-#: Rows of benchmark windows or fingerprints up to which they are broadcast; above, joins shuffle.
-BROADCAST_ROWS = 500_000
 #: Bits of the prefilter: 8 a fingerprint, within these bounds (the literal stays below 1 MB).
 LEAST_BITS, MOST_BITS = 1 << 12, 1 << 20
 
@@ -40,10 +38,6 @@ def _selected(w: int) -> str:
     return f"exists(sequence({lo}, {hi}), s -> get(grams, i) = array_min(slice(grams, s + 1, {w})))" if w > 1 else "true"
 
 
-def _fit(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def benchmark_windows(benchmark: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
     """(m, win, items): each different window of the items, its length in words and the ids that have it."""
     items = benchmark.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("words")).where("size(words) > 0").withColumn("m", F.least(F.size("words"), F.lit(window)))
@@ -59,11 +53,12 @@ def hits(documents: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text_co
     and each hit is extended to the windows around it, whose words are compared. No empty or null text has hits.
     """
     spark = documents.sparkSession
-    wins = benchmark_windows(benchmark, item_col, item_text_col, window).cache()
-    found = {r["m"]: r["n"] for r in wins.groupBy("m").agg(F.count("*").alias("n")).collect()}
+    wins = durable(benchmark_windows(benchmark, item_col, item_text_col, window))
+    weight = F.sum(F.octet_length("win") + F.octet_length(F.array_join("items", ",")) + 40 * F.size("items") + 60)
+    found = {r["m"]: (r["n"], r["b"] // r["n"] + 1) for r in wins.groupBy("m").agg(F.count("*").alias("n"), weight.alias("b")).collect()}
     docs = documents.select(*row_key(id_col, text_col), words(F.col(text_col)).alias("words"))
     out = None
-    for m, n_wins in sorted(found.items()):
+    for m, (n_wins, win_bytes) in sorted(found.items()):
         k, w = _lengths(m)
         # a window of m words has exactly one winnowing window: its fingerprint is the least of its grams
         prints = wins.where(F.col("m") == m).select(F.split("win", " ").alias("words")).select(F.array_min(F.expr(_grams(k, m))).alias("h")).distinct()
@@ -78,10 +73,10 @@ def hits(documents: DataFrame, benchmark: DataFrame, *, id_col="doc_id", text_co
         kept = f"if(size(grams) = 0, cast(array() as array<int>), filter(filter(sequence(0, size(grams) - 1), i -> {near}), i -> {_selected(w)}))"
         lo = f"greatest(i - {m - k}, 0)"
         at = grams.select("k_id", "k_a", "k_b", F.explode(F.expr(f"transform({kept}, i -> struct(get(grams, i) as h, {lo} as lo, slice(words, {lo} + 1, i + {m} - {lo}) as near))")).alias("f")).select("k_id", "k_a", "k_b", "f.*")
-        matched = at.join(_fit(prints, n_wins), "h")
+        matched = at.join(fit(prints, 40, n_wins), "h")
         # every span of m words around the shared gram
         spans = matched.select("k_id", "k_a", "k_b", F.explode(F.expr(f"transform(sequence(0, size(near) - {m}), j -> struct(cast(lo + j as int) as start, array_join(slice(near, j + 1, {m}), ' ') as win))")).alias("s")).select("k_id", "k_a", "k_b", "s.*").distinct()
-        part = spans.join(_fit(wins.where(F.col("m") == m), n_wins), "win").select("k_id", "k_a", "k_b", "start", "m", "items")
+        part = spans.join(fit(wins.where(F.col("m") == m), win_bytes, n_wins), "win").select("k_id", "k_a", "k_b", "start", "m", "items")
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], "k_id long, k_a long, k_b long, start int, m int, items array<string>")
 
@@ -107,11 +102,14 @@ def report(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `documents` that hold no benchmark window, with their columns."""
-    bad = hits(documents, benchmark).select("k_id", "k_a", "k_b").distinct()
-    keyed = documents.select("*", *[c.alias(f"_{n}") for n, c in zip(("id", "a", "b"), row_key("doc_id", "text"))])
-    on = keyed["_id"].eqNullSafe(bad["k_id"]) & (keyed["_a"] == bad["k_a"]) & (keyed["_b"] == bad["k_b"])
-    return keyed.join(bad, on, "left_anti").select(*documents.columns)
+    """The rows of `documents` that hold no benchmark window, with their columns.
+
+    Null and empty texts stay, as do all rows if the benchmark is empty; repeated rows stay or go together; texts of any
+    length are read whole; any column names will do; an empty table stays empty.
+    """
+    bad = durable(hits(documents, benchmark).select("k_id", "k_a", "k_b").distinct())
+    x, bad = keyed(documents), fit(bad, 80)
+    return unkeyed(x.join(bad, x["k_id"].eqNullSafe(bad["k_id"]) & (x["k_a"] == bad["k_a"]) & (x["k_b"] == bad["k_b"]), "left_anti"), documents)
 
 
 #: DuckDB: the contract written out plainly.

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, durable
+from .common import SPACES, durable, fit
 
 #: Rule -> rate in tenths of a percent, over the columns of `features`.
 RULES = {
@@ -27,7 +27,6 @@ RULES = {
 }
 CUTOFFS = (20, 50, 100, 150, 200, 300, 400, 500, 700)
 ALPHA, DELTA = 0.02, 0.05
-BROADCAST_STRATA = 100_000
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_exclaims", "n_lines"]
 
 
@@ -66,11 +65,14 @@ def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", *, al
     """(stratum, one column per rule: cutoff or null): the certified cutoffs.
 
     `measured` has FEATURES and the stratum; `labels` (id, quality 0/1) is a holdout: no rule or rate was fitted to it.
-    A null stratum counts as ''; repeated labels count once each; without labels there are no rows.
+    A null stratum counts as ''; without labels there are no rows. With a column text_key, texts alike in it count once
+    in a stratum for each label that they have, since copies are no independent trials; without it every row counts.
     """
     known = labels.where("quality is not null").select(id_col, "quality")
     rates = [F.expr(e).alias(r) for r, e in RULES.items()]
-    judged = durable(measured.where(~base_failed()).select(id_col, F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), *rates).join(known, id_col).drop(id_col))
+    copy = ["text_key"] if "text_key" in measured.columns else []
+    judged = measured.where(~base_failed()).select(id_col, F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), *copy, *rates).join(known, id_col).drop(id_col)
+    judged = durable(judged.dropDuplicates([*copy, "stratum", "quality"]).drop(*copy) if copy else judged)
     strict = sorted(CUTOFFS, reverse=True)
     numbered = judged.select("stratum", "quality", F.expr("stack(" + str(len(RULES)) + ", " + ", ".join(f"{i}, {r}" for i, r in enumerate(RULES)) + ") as (rule, rate)"))
     bad = numbered.groupBy("stratum", "rule").agg(F.array(*[F.count_if((F.col("rate") > c) & (F.col("quality") == 0)) for c in strict]).alias("bad"))
@@ -82,7 +84,7 @@ def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", *, al
     strata = paths.count()
     # steps of each path that a document gets through
     through = ", ".join(f"if(place_{r} <= path, size(filter(steps_{r}, c -> c is null or {r} <= c)), {len(strict)})" for r in RULES)
-    x = judged.join(F.broadcast(paths) if strata <= BROADCAST_STRATA else paths, "stratum").withColumn("path", F.explode(F.sequence(F.lit(1), F.lit(len(RULES))))).withColumn("through", F.expr(f"least({through})"))
+    x = judged.join(fit(paths, 600, strata), "stratum").withColumn("path", F.explode(F.sequence(F.lit(1), F.lit(len(RULES))))).withColumn("through", F.expr(f"least({through})"))
     lost = [F.count_if((F.col("through") <= i) & (F.col("quality") == q)).alias(f"{name}{i}") for i in range(len(strict)) for name, q in (("k", 1), ("b", 0))]
     counts = x.groupBy("stratum", "path").agg(F.count_if(F.col("quality") == 1).alias("n"), *lost)
     tests = counts.select("stratum", "path", "n", F.expr("stack(" + str(len(strict)) + ", " + ", ".join(f"{i}, k{i}, b{i}" for i in range(len(strict))) + ") as (step, k, bad)"))
@@ -95,9 +97,7 @@ def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", *, al
 
 def judge(measured: DataFrame, cuts: DataFrame, stratum: str = "lang") -> DataFrame:
     """`measured` with base_failed and kept; a stratum or rule without a cutoff rejects nothing."""
-    cuts = cuts.withColumnRenamed("stratum", "_stratum")
-    if cuts.count() <= BROADCAST_STRATA:
-        cuts = F.broadcast(cuts)
+    cuts = fit(cuts.withColumnRenamed("stratum", "_stratum"), 100)
     x = measured.withColumn("base_failed", base_failed())
     x = x.join(cuts, F.coalesce(x[stratum], F.lit("")) == cuts["_stratum"], "left")
     broken = F.lit(False)
@@ -106,15 +106,24 @@ def judge(measured: DataFrame, cuts: DataFrame, stratum: str = "lang") -> DataFr
     return x.withColumn("kept", ~F.col("base_failed") & ~broken).drop("_stratum", *[f"cut_{r}" for r in RULES])
 
 
+def _measured(documents: DataFrame) -> DataFrame:
+    """The counts of every document under c_0, c_1, ..., with doc_id, lang and the hash of its text."""
+    named = documents.toDF(*[f"c_{i}" for i in range(len(documents.columns))])
+    own = lambda c: F.col(f"c_{documents.columns.index(c)}")
+    return with_features(named.select("*", own("doc_id").alias("doc_id"), own("lang").alias("lang"), F.xxhash64(F.coalesce(own("text"), F.lit(""))).alias("text_key")), f"c_{documents.columns.index('text')}")
+
+
 def report(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Counts and verdict of every document; the texts are read once, their counts kept as a narrow table."""
-    measured = durable(with_features(documents.select("doc_id", "text", "lang")).drop("text"))
+    """Counts and verdict of every document; the texts are read once, their counts kept as a narrow table.
+
+    Null and empty texts have no words and fail the base; repeated rows are judged each; texts of any length are read
+    whole; an empty table gives no rows; other columns are not read.
+    """
+    measured = durable(_measured(documents.select("doc_id", "text", "lang")).drop("c_0", "c_1", "c_2"))
     return judge(measured, durable(cutoffs(measured, labels))).select("doc_id", *FEATURES[:5], "base_failed", "kept")
 
 
 def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of documents that the rules keep, with their columns."""
-    columns = documents.columns
-    named = documents.toDF(*[f"c_{c}" for c in columns]).withColumn("doc_id", F.col("c_doc_id")).withColumn("lang", F.col("c_lang"))
-    measured = durable(with_features(named, "c_text"))
-    return judge(measured, durable(cutoffs(measured, labels))).where("kept").select(*[F.col(f"c_{c}").alias(c) for c in columns])
+    """The rows of documents that the rules keep, with their columns; any column names will do, other cases as in `report`."""
+    measured = durable(_measured(documents))
+    return judge(measured, durable(cutoffs(measured, labels))).where("kept").select(*[F.col(f"c_{i}").alias(c) for i, c in enumerate(documents.columns)])
