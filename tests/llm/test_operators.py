@@ -286,7 +286,7 @@ def test_class_lm_score(spark):
     found, cells = class_lm.exchange(class_lm.durable(class_lm.numbered(raw)))
     of = {}
     for r in raw.join(found, "block").collect():
-        of |= dict(zip(zlib.decompress(r["words"]).split(b" "), np.concatenate([class_lm._unpack(d, np.int64) for d in r["classes"]]).tolist()))
+        of |= dict(zip(zlib.decompress(r["words"]).split(b" ")[:-1], np.concatenate([class_lm._unpack(d, np.int64) for d in r["classes"]]).tolist()))
     train = [[b"\n", *t.encode().split(), b"\n"] for i, t in made if zlib.crc32(str(i).encode()) % 7 != 2]
     words, pairs = Counter(w for t in train for w in t[1:]), Counter((of[a], of[b]) for t in train for a, b in zip(t, t[1:]))
     size, once, k = Counter(), Counter(), class_lm.CLASSES

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,13 +26,13 @@ from .common import durable, forget
 BLOCK_BYTES, CLASSES = 4_000_000, 48
 #: Shares of the word hashes: as many as the texts have parts of that size, but so many at least.
 LEAST_SHARES, SHARE_BYTES = 128, 32_000_000
-#: Cells of a dense table of (word, class of a neighbour) that a task holds; larger ones are sorted.
-DENSE = 16_000_000
+#: Letters in lower case, ASCII blanks as one of them.
+PLAIN = bytes(32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: The exchange ends with the first round that raises the likelihood by less than this, in nats a token.
 RISE = 0.002
 #: Weight of the unigram class distribution in transitions.
 PRIOR = 24.0
-#: Stands for the end of a text in vocabularies: no word holds a blank.
+#: Stands for the end of a text in vocabularies: no word holds a line end.
 END = b"\n"
 #: Words of a share whose contexts are dense at once.
 CHUNK = 16_384
@@ -54,41 +55,65 @@ def _bounds(share: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], share[1:] != share[:-1], [True]]))
 
 
+def _words(data: bytes) -> pa.BinaryArray:
+    """The words of bytes in which a blank follows each, with that blank."""
+    ends = np.flatnonzero(np.frombuffer(data, np.uint8) == 32) + 1
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(data)])
+
+
+def _bytes(words: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, bytes) of an array of words."""
+    _, offsets, data = words.buffers()
+    at = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1]
+    return at - at[0], np.frombuffer(data, np.uint8)[at[0] : at[-1]]
+
+
+def _hashes(words: pa.BinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first class) of each word, by its bytes and by its last two."""
+    at, data = _bytes(words)
+    size = np.diff(at)
+    place = np.arange(len(data)) - np.repeat(at[:-1], size)
+    power = np.cumprod(np.full(int(size.max(initial=1)), 0x9E3779B97F4A7C15, np.uint64))
+    h = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * power[place], at[:-1])
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    last, before = data[at[1:] - 2].astype(np.int64), np.where(size > 2, data[at[1:] - 3], 0).astype(np.int64)
+    return h ^ (h >> np.uint64(32)), (last * 131 + before * 7919) % CLASSES
+
+
 def blocks(documents: DataFrame, id_col: str, text_col: str, shares: int) -> DataFrame:
     """One row per block: words by share with training counts and first classes, and every text as indices of words, its end included; ids as strings, which pandas cannot round."""
 
+    def row(name: str, ids: list, held: list, texts: list[bytes]) -> pd.DataFrame:
+        coded = _words(b"".join(texts)).dictionary_encode()
+        token, words = coded.indices.to_numpy(), coded.dictionary
+        plain = np.diff(_bytes(words)[0]) > 1  # blanks in a row give words of none
+        token, words = (np.cumsum(plain) - 1)[token[plain[token]]], words.filter(pa.array(plain))
+        h, first = _hashes(words)
+        share = (h % np.uint64(shares)).astype(np.int32)
+        order = np.argsort(share, kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order))
+        end = words.index(END + b" ").as_py()
+        lengths = np.diff(np.flatnonzero(token == end), prepend=-1)
+        flat = rank[token]
+        counts = np.bincount(flat[np.repeat(~np.array(held, bool), lengths)], minlength=len(order))
+        packed = zlib.compress(_bytes(words.take(pa.array(order)))[1].tobytes(), 1)
+        return pd.DataFrame({"block": [name], "words": [packed], "counts": [_pack(counts)], "shares": [_pack(share[order])], "first": [_pack(first[order])], "end": [rank[end]], "ids": [ids], "held": [held], "tokens": [_pack(flat)], "lengths": [lengths.astype(np.int32)]})
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, k = TaskContext.get().partitionId(), 0
-        vocabulary: dict[bytes, int] = {END: 0}
-        ids, held, tokens, lengths, size = [], [], [], [], 0
-
-        def row():
-            words = list(vocabulary)
-            share = np.array([zlib.crc32(w) % shares for w in words], np.int32)
-            order = np.argsort(share, kind="stable")
-            rank = np.empty(len(words), np.int32)
-            rank[order] = np.arange(len(words))
-            flat = rank[np.array(tokens, np.int32)]
-            counts = np.bincount(flat[np.repeat(~np.array(held, bool), lengths)], minlength=len(words)).astype(np.int32)
-            words = [words[i] for i in order]
-            first = np.array([zlib.crc32(w[-2:]) % CLASSES for w in words], np.uint8)
-            return pd.DataFrame({"block": [f"{part}-{k}"], "words": [zlib.compress(b" ".join(words), 1)], "counts": [_pack(counts)], "shares": [_pack(share[order])], "first": [_pack(first)], "end": [rank[0]], "ids": [ids], "held": [held], "tokens": [_pack(flat)], "lengths": [lengths]})
-
+        ids, held, texts, size = [], [], [], 0
         for batch in batches:
             for i, out, text in zip(batch["k"], batch["held"], batch["t"]):
-                data = (text or "").encode().lower().split()
-                found = [vocabulary.setdefault(w, len(vocabulary)) for w in data]
-                tokens += found
-                tokens.append(0)
+                texts.append((text or "").encode().translate(PLAIN) + b" " + END + b" ")
                 ids.append(i)
                 held.append(bool(out))
-                lengths.append(len(found) + 1)
-                size += len(text or "") + 50
+                size += len(texts[-1]) + 50
                 if size >= BLOCK_BYTES:
-                    yield row()
-                    k, vocabulary, ids, held, tokens, lengths, size = k + 1, {END: 0}, [], [], [], [], 0
+                    yield row(f"{part}-{k}", ids, held, texts)
+                    k, ids, held, texts, size = k + 1, [], [], [], 0
         if ids:
-            yield row()
+            yield row(f"{part}-{k}", ids, held, texts)
 
     is_held = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 7 == 2, F.lit(False))
     schema = "block string, words binary, counts binary, shares binary, first binary, end int, ids array<string>, held array<boolean>, tokens binary, lengths array<int>"
@@ -106,31 +131,28 @@ def numbered(cut: DataFrame) -> DataFrame:
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.itertuples():
-                words, counts, share = zlib.decompress(row.words).split(b" "), _unpack(row.counts, np.int32), _unpack(row.shares, np.int32)
+                words, counts, share = _words(zlib.decompress(row.words)), _unpack(row.counts, np.int32), _unpack(row.shares, np.int32)
                 at = _bounds(share)
-                yield pd.DataFrame([(row.block, int(share[a]), zlib.compress(b" ".join(words[a:b]), 1), counts[a:b].tobytes()) for a, b in zip(at, at[1:])], columns=["block", "share", "words", "counts"])
+                yield pd.DataFrame([(row.block, int(share[a]), zlib.compress(_bytes(words[a:b])[1].tobytes(), 1), counts[a:b].tobytes()) for a, b in zip(at, at[1:])], columns=["block", "share", "words", "counts"])
 
     def number(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        index: dict[bytes, int] = {}
-        found, counts = [], []
-        for words, n in zip(group["words"], group["counts"]):
-            had = len(index)
-            at = np.array([index.setdefault(w, len(index)) for w in zlib.decompress(words).split(b" ")], np.int64)
-            found.append((at, at >= had))
-            counts.append(np.frombuffer(n, np.int32))
-        total = np.bincount(np.concatenate([a for a, _ in found]), np.concatenate(counts), len(index)).astype(np.int64)
-        return pd.DataFrame({"block": group["block"], "share": key[0], "data": [_pack(np.concatenate([at, total[at], own.astype(np.int64)])) for at, own in found]})
+        parts = [zlib.decompress(w) for w in group["words"]]
+        counts = [np.frombuffer(n, np.int32) for n in group["counts"]]
+        at = _words(b"".join(parts)).dictionary_encode().indices.to_numpy().astype(np.int64)
+        own = at > np.concatenate([[-1], np.maximum.accumulate(at)[:-1]])  # numbers rise where words first occur
+        total = np.bincount(at, np.concatenate(counts)).astype(np.int64)
+        cuts = np.cumsum([len(c) for c in counts])[:-1]
+        return pd.DataFrame({"block": group["block"], "share": key[0], "data": [_pack(np.concatenate([a, total[a], o.astype(np.int64)])) for a, o in zip(np.split(at, cuts), np.split(own, cuts))]})
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             parts = [[_unpack(d, np.int64).reshape(3, -1) for d in row] for row in batch["reply"]]
             at, c, own = ([np.concatenate([p[i] for p in row]) for row in parts] for i in range(3))
-            yield batch.drop(columns="reply").assign(at=[_pack(a.astype(np.int32)) for a in at], c=[_pack(x) for x in c], own=[_pack(o.astype(bool)) for o in own])
+            yield pd.DataFrame({"block": batch["block"], "at": [_pack(a) for a in at], "c": [_pack(x) for x in c], "own": [_pack(o) for o in own]})
 
     sent = cut.select("block", "words", "counts", "shares").mapInPandas(spread, "block string, share int, words binary, counts binary")
-    x = cut.drop("words", "counts").join(_replies(sent.groupBy("share").applyInPandas(number, REPLY), "reply"), "block")
-    names = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in x.schema.fields if f.name != "reply")
-    return x.mapInPandas(join, f"{names}, at binary, c binary, own binary")
+    replies = _replies(sent.groupBy("share").applyInPandas(number, REPLY), "reply").mapInPandas(join, "block string, at binary, c binary, own binary")
+    return cut.drop("words", "counts").join(replies, "block")
 
 
 def _contexts(x: DataFrame) -> DataFrame:
@@ -145,20 +167,18 @@ def _contexts(x: DataFrame) -> DataFrame:
                 at, c, own, share = _unpack(row.at, np.int32), _unpack(row.c, np.int64), _unpack(row.own, bool), _unpack(row.shares, np.int32)
                 for i, n in enumerate((c, c == 1, c > 0)):
                     cells[CLASSES * (CLASSES + i) : CLASSES * (CLASSES + i + 1)] += np.bincount(cls[own], n[own], CLASSES).astype(np.int64)
-                t = _unpack(row.tokens, np.int32)[np.repeat(~np.asarray(row.held, bool), np.asarray(row.lengths))].astype(np.int64)
-                k = cls[t].astype(np.int64)
-                before = np.concatenate([[int(cls[row.end])], k[:-1]]) if len(k) else k
+                t = _unpack(row.tokens, np.uint32)[np.repeat(~np.asarray(row.held, bool), np.asarray(row.lengths))]
+                k = cls[t].astype(np.uint32)
+                before = np.concatenate([cls[[row.end]], k[:-1]]).astype(np.uint32) if len(k) else k
                 cells[: CLASSES * CLASSES] += np.bincount(before * CLASSES + k, minlength=CLASSES * CLASSES)
-                key = np.concatenate([t * k2 + before, t[:-1] * k2 + CLASSES + k[1:]])
-                if len(cls) * k2 <= DENSE:
-                    table = np.bincount(key, minlength=1)
-                    key = np.flatnonzero(table)
-                    n = table[key]
-                else:
-                    key, n = np.unique(key, return_counts=True)
+                t *= np.uint32(k2)  # a block has far fewer than 2^32 / k2 words
+                key = np.concatenate([t + before, t[:-1] + np.uint32(CLASSES) + k[1:]])
+                key.sort()
+                first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[: len(key)])
+                key, n = key[first], np.diff(np.append(first, len(key))).astype(np.uint32)
                 ends = _bounds(share)
-                cuts = np.searchsorted(key, ends * k2)
-                rows = [(int(share[a]), row.block, _pack(cls[a:b]), _pack(at[a:b]), _pack(np.diff(key[p:q], prepend=a * k2)), _pack(n[p:q]), None, None) for a, b, p, q in zip(ends, ends[1:], cuts, cuts[1:])]
+                cuts = np.searchsorted(key, (ends * k2).astype(np.uint32))
+                rows = [(int(share[a]), row.block, _pack(cls[a:b]), _pack(at[a:b]), _pack(np.diff(key[p:q], prepend=key.dtype.type(a * k2))), _pack(n[p:q]), None, None) for a, b, p, q in zip(ends, ends[1:], cuts, cuts[1:])]
                 yield pd.DataFrame(rows, columns=["share", "block", "classes", "at", "keys", "counts", "cell", "n"])
         some = np.flatnonzero(cells)
         yield pd.DataFrame({"share": [None] * len(some), "block": None, "classes": None, "at": None, "keys": None, "counts": None, "cell": some, "n": cells[some]})
