@@ -5,9 +5,11 @@ a sequence of minhash labels. Sets under a common trie node are candidates. Matc
 are shortened, step by step, while the recall measured on the links found so far is below the target: a link of
 similarity s is found at depth d with probability p = 1 - (1 - s^d)^trees, so the links found stand for sum(1/p) links.
 
-Sets are numbered in the order of the first trie and cut into chunks. A trie node names the pairs of chunks to compare;
-the sets it holds are sent to a task for each such pair, compared exactly there, and only counts and a link to the
-least partner leave the task. Hubs of a trie or of links meet in joins of plain tables, which skew joins split.
+Sets are numbered so that those under a common node stand together, and cut into chunks. A trie node names the pairs of
+chunks to compare; the sets it holds are sent to a task for each such pair. Their signatures are compared first; only
+sets with a partner there that can reach the threshold are sent with their texts and compared exactly, and only counts
+and a link to the least partner leave the task. Hubs of a trie or of links meet in joins of plain tables, which skew
+joins split.
 """
 
 from __future__ import annotations
@@ -25,11 +27,15 @@ from .components import components
 from .sharding import number_rows
 
 WORDS, THRESHOLD = 5, 0.8
-#: Tries, labels of a path, labels by which prefixes are shortened at a time, the shortest prefix, and the recall that ends it.
-TREES, DEPTH, STEP, LEAST_DEPTH, RECALL = 24, 12, 2, 4, 0.9999
-DEPTHS = range(DEPTH, LEAST_DEPTH - 1, -STEP)
-#: Neighbours in the order of the first trie that form a chunk: two chunks at most are compared in a task.
-CHUNK = 256
+#: Tries, the lengths to which their prefixes are shortened in turn, and the recall that ends it; at the last length a pair at 0.8 is found with probability 0.9999.
+TREES, DEPTHS, RECALL = 24, (12, 9, 7, 5), 0.9999
+DEPTH = DEPTHS[0]
+#: Length of the prefixes by which sets are put in order, and sets in that order that form a chunk.
+ORDER_DEPTH, CHUNK = 7, 256
+#: Signatures reject a pair if their agreement is so many standard deviations below the threshold (2.9e-7 of pairs at it).
+DEVIATIONS = 5
+#: Rows of small pairs of chunks that a task gets at a time.
+BIN = 400
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -162,10 +168,27 @@ def _links(sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray, old: np
     return linked @ weight, head, linked.sum(1), standing
 
 
+def _nodes(sets: DataFrame, depth: int, trees: int) -> DataFrame:
+    """(u, key): the trie nodes of this depth that each set is under."""
+    key = F.array(*[F.xxhash64(F.lit(t), F.substring("path", 1 + t * 2 * DEPTH, 2 * depth)) for t in range(trees)])
+    return sets.select("u", F.explode(key).alias("key"))
+
+
+def _in_order(sets: DataFrame, trees: int) -> DataFrame:
+    """The sets with `u` anew: in the order of the least set that each shares a node with, then of the first trie."""
+    nodes = _nodes(sets, ORDER_DEPTH, trees)
+    least = durable(nodes.groupBy("key").agg(F.min("u").alias("lo"), F.max("u").alias("hi")).where("lo < hi").select("key", "lo"))
+    heads = durable(nodes.join(least, "key").groupBy("u").agg(F.min("lo").alias("lead")))
+    x = sets.join(heads, "u", "left").withColumn("lead", F.coalesce("lead", "u")).withColumnRenamed("u", "was")
+    out = durable(number_rows(x, "lead", "was", name="u")[0].drop("lead", "was"))
+    forget(least)
+    forget(heads)
+    return out
+
+
 def _members(sets: DataFrame, depth: int, trees: int) -> DataFrame:
     """(u, a, b): each set under a trie node of this depth with others, and the chunks a <= b, its own among them, that the node names."""
-    key = F.array(*[F.xxhash64(F.lit(t), F.substring("path", 1 + t * 2 * DEPTH, 2 * depth)) for t in range(trees)])
-    nodes = sets.select("u", (F.col("u") / CHUNK).cast("int").alias("c"), F.explode(key).alias("key"))
+    nodes = _nodes(sets, depth, trees).withColumn("c", (F.col("u") / CHUNK).cast("int"))
     shared = durable(nodes.groupBy("key").agg(F.min("u").alias("lo"), F.max("u").alias("hi"), F.min("c").alias("lo_c"), F.max("c").alias("hi_c")).where("lo < hi").drop("lo", "hi"))
     held = durable(nodes.join(shared, "key"))
     wide = held.where("lo_c < hi_c")
@@ -177,16 +200,50 @@ def _members(sets: DataFrame, depth: int, trees: int) -> DataFrame:
     return out
 
 
+def _pairs_of_chunks(group: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
+    """The rows of each pair of chunks (a, b), each set once, with the side it is on."""
+    for (_, b), g in group.drop_duplicates(["a", "b", "u"]).groupby(["a", "b"], sort=False):
+        if len(g) > 1:
+            g = g.sort_values("u")
+            yield g, (g["u"].to_numpy() // CHUNK == b).astype(int)
+
+
+def _screen(labels: int, threshold: Fraction):
+    """The sets whose signature agrees with that of a partner nearly as the threshold asks, as a function of a group."""
+    t = float(threshold)
+    least = labels * (t - DEVIATIONS * (t * (1 - t) / labels) ** 0.5)
+
+    def screen(group: pd.DataFrame) -> pd.DataFrame:
+        out = [group.iloc[:0]]
+        for g, side in _pairs_of_chunks(group):
+            path, old = np.frombuffer(b"".join(g["path"]), np.uint16).reshape(len(g), labels), g["old"].to_numpy(bool)
+            near = np.zeros(len(g), bool)
+            for i in range(len(g) - 1):
+                other = np.count_nonzero(path[i + 1 :] == path[i], axis=1) >= least
+                if side.any() and not side.all():
+                    other &= side[i + 1 :] != side[i]
+                if old[i]:
+                    other &= ~old[i + 1 :]
+                near[i] |= other.any()
+                near[i + 1 :] |= other
+            out.append(g[near])
+        return pd.concat(out)[["u", "a", "b", "old"]]
+
+    return screen
+
+
 def _verify(trees: int, threshold: Fraction):
-    """The links of the sets that meet in a pair of chunks, as a function of (key, group)."""
+    """The links of the sets that meet in pairs of chunks, as a function of a group."""
     chances = [lambda s, d=d: found_at(s, d, trees) for d in DEPTHS]
+    names = ["u", "links", "head", "pairs", "standing"]
 
-    def verify(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        g = group.drop_duplicates("u").sort_values("u")
-        u = g["u"].to_numpy()
-        links, head, pairs, standing = _links([shingles(t) for t in g["t"]], g["copies"].to_numpy(), (u // CHUNK == key[1]).astype(int), g["old"].to_numpy(bool), threshold, chances)
-        some = pairs > 0
-        return pd.DataFrame({"u": u[some], "links": links[some].astype(np.int64), "head": u[head[some]], "pairs": pairs[some].astype(np.int64), "standing": pd.Series(list(standing.T[some]), dtype=object)})
+    def verify(group: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for g, side in _pairs_of_chunks(group):
+            u = g["u"].to_numpy()
+            links, head, pairs, standing = _links([shingles(t) for t in g["t"]], g["copies"].to_numpy(), side, g["old"].to_numpy(bool), threshold, chances)
+            out += [(int(u[i]), int(links[i]), int(u[head[i]]), int(pairs[i]), standing[:, i]) for i in np.flatnonzero(pairs)]
+        return pd.DataFrame({n: pd.Series([r[k] for r in out], dtype=object if n == "standing" else np.int64) for k, n in enumerate(names)})
 
     return verify
 
@@ -206,12 +263,14 @@ def forest(documents: DataFrame, sets: DataFrame, *, id_col="doc_id", text_col="
             forget(members)
         else:
             sent = now = members.withColumn("old", F.lit(False))
-        own = durable(sent.select("u").distinct().join(sets.select("u", "copies", "r"), "u").select("u", "copies", F.col("r.k_id").alias("r_id"), F.col("r.k_a").alias("r_a"), F.col("r.k_b").alias("r_b")))
+        block = lambda rows: F.pmod(F.xxhash64("a", "b"), F.lit(max(1, rows // BIN))).alias("block")
+        near = durable(sent.join(sets.select("u", "path"), "u").groupBy(block(sent.count())).applyInPandas(_screen(trees * DEPTH, exact), "u long, a int, b int, old boolean"))
+        own = durable(near.select("u").distinct().join(sets.select("u", "copies", "r"), "u").select("u", "copies", F.col("r.k_id").alias("r_id"), F.col("r.k_a").alias("r_a"), F.col("r.k_b").alias("r_b")))
         reps = fit(own, 100)
         texts = docs.join(reps, docs["k_id"].eqNullSafe(reps["r_id"]) & (docs["k_a"] == reps["r_a"]) & (docs["k_b"] == reps["r_b"])).select("u", "copies", "t")
-
-        new = durable(sent.join(texts, "u").groupBy("a", "b").applyInPandas(_verify(trees, exact), "u long, links long, head long, pairs long, standing array<double>"))
+        new = durable(near.join(texts, "u").groupBy(block(near.count())).applyInPandas(_verify(trees, exact), "u long, links long, head long, pairs long, standing array<double>"))
         forget(own)
+        forget(near)
         found = new if found is None else found.unionByName(new)
         known = now.select("u", "a", "b", F.lit(True).alias("old"))
         total = found.agg(F.sum("pairs").alias("pairs"), F.sum(F.col("standing")[at]).alias("standing")).first()
@@ -229,7 +288,7 @@ def classed(documents: DataFrame, *, id_col="doc_id", text_col="text", threshold
     # null ids come last
     row = F.struct(F.col("k_id").isNull().alias("none"), "k_id", "k_a", "k_b")
     grouped = some.groupBy("s_hi", "s_lo").agg(F.count("*").alias("copies"), F.min(row).alias("r"), F.first("path").alias("path")).withColumn("first", F.substring("path", 1, 2 * DEPTH))
-    sets = durable(number_rows(grouped, "first", "s_hi", "s_lo", name="u")[0].drop("first"))
+    sets = _in_order(number_rows(grouped, "first", "s_hi", "s_lo", name="u")[0].drop("first"), trees)
     found, _ = forest(documents, sets, id_col=id_col, text_col=text_col, threshold=threshold, trees=trees, recall=recall)
     member = components(found.select("u", F.col("head").alias("v")))
     links = found.groupBy("u").agg(F.sum("links").alias("links"))
