@@ -28,7 +28,7 @@ from .sharding import number_rows
 
 WORDS, THRESHOLD = 5, 0.8
 #: Tries, the lengths to which their prefixes are shortened in turn, and the recall that ends it; at the last length a pair at 0.8 is found with probability 0.9999.
-TREES, DEPTHS, RECALL = 24, (12, 9, 7, 5), 0.9999
+TREES, DEPTHS, RECALL = 40, (12, 9, 7), 0.9999
 DEPTH = DEPTHS[0]
 #: Length of the prefixes by which sets are put in order, and sets in that order that form a chunk.
 ORDER_DEPTH, CHUNK = 7, 256
@@ -178,8 +178,9 @@ def _in_order(sets: DataFrame, trees: int) -> DataFrame:
     """The sets with `u` anew: in the order of the least set that each shares a node with, then of the first trie."""
     nodes = _nodes(sets, ORDER_DEPTH, trees)
     least = durable(nodes.groupBy("key").agg(F.min("u").alias("lo"), F.max("u").alias("hi")).where("lo < hi").select("key", "lo"))
-    heads = durable(nodes.join(least, "key").groupBy("u").agg(F.min("lo").alias("lead")))
-    x = sets.join(heads, "u", "left").withColumn("lead", F.coalesce("lead", "u")).withColumnRenamed("u", "was")
+    # tables that grow with the documents are never broadcast
+    heads = durable(nodes.join(least.hint("merge"), "key").groupBy("u").agg(F.min("lo").alias("lead")))
+    x = sets.join(heads.hint("merge"), "u", "left").withColumn("lead", F.coalesce("lead", "u")).withColumnRenamed("u", "was")
     out = durable(number_rows(x, "lead", "was", name="u")[0].drop("lead", "was"))
     forget(least)
     forget(heads)
@@ -188,9 +189,9 @@ def _in_order(sets: DataFrame, trees: int) -> DataFrame:
 
 def _members(sets: DataFrame, depth: int, trees: int) -> DataFrame:
     """(u, a, b): each set under a trie node of this depth with others, and the chunks a <= b, its own among them, that the node names."""
-    nodes = _nodes(sets, depth, trees).withColumn("c", (F.col("u") / CHUNK).cast("int"))
-    shared = durable(nodes.groupBy("key").agg(F.min("u").alias("lo"), F.max("u").alias("hi"), F.min("c").alias("lo_c"), F.max("c").alias("hi_c")).where("lo < hi").drop("lo", "hi"))
-    held = durable(nodes.join(shared, "key"))
+    nodes, chunk = _nodes(sets, depth, trees), lambda c: (F.col(c) / CHUNK).cast("int")
+    shared = durable(nodes.groupBy("key").agg(F.min("u").alias("lo"), F.max("u").alias("hi")).where("lo < hi").select("key", chunk("lo").alias("lo_c"), chunk("hi").alias("hi_c")))
+    held = durable(nodes.join(shared.hint("merge"), "key").withColumn("c", chunk("u")))
     wide = held.where("lo_c < hi_c")
     chunks = durable(wide.select("key", F.col("c").alias("other")).distinct())
     across = wide.select("u", "c", "key").join(chunks, "key").select("u", F.least("c", "other").alias("a"), F.greatest("c", "other").alias("b"))
