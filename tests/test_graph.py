@@ -70,14 +70,11 @@ def test_walks_agree(spark, edges):
     trans, starts = W.transitions(rows), group(spark, A=[1])
     exact = {(r.level, r.root_id - BASE): r.p for r in W.expected_visits(trans, starts, 3).collect()}
     assert exact == {(0, 1): 1, (1, 3): pytest.approx(10 / 21), (1, 4): pytest.approx(11 / 21), (2, 6): pytest.approx(17 / 28), (2, 7): pytest.approx(11 / 28), (3, 8): pytest.approx(11 / 28)}
-    reps = 4000
-    sampled = {(r.level, r.node - BASE): r.n for r in W.sample_walks(trans, starts, 3, reps).groupBy("level", "node").agg(F.count("*").alias("n")).collect()}
-    again = {(r.level, r.node - BASE): r.n for r in W.sample_walks(trans.repartition(1), starts, 3, reps).groupBy("level", "node").agg(F.count("*").alias("n")).collect()}
-    split = {(r.level, r.root_id - BASE): r.visits for r in W.sampled_visit_counts(trans, starts, 3, reps).collect()}
-    assert sampled == again
-    for k, p in exact.items():
-        error = 5 * (reps * p * (1 - p)) ** 0.5 + 1e-9
-        assert abs(sampled[k] - reps * p) <= error and abs(split[k] - reps * p) <= error
+    cells = group(spark, B=[6, 7, 8])
+    hits = W.hits_in(W.expected_visits(trans, starts, 3, absorb=cells, per_start=False), cells)
+    assert {r.level: r.p for r in W.first_hit_levels(hits).collect()} == {2: pytest.approx(1)}
+    wide = {r.root_id - BASE: tuple(r)[1:] for r in W.visits_wide(W.expected_visits(trans, starts, 3, per_start=False), 3).collect()}
+    assert wide[8] == (0, 0, 0, pytest.approx(11 / 28)) and wide[1] == (1, 0, 0, 0)
     last = W.transitions(rows, "last", "neuropil").where(F.col("pre") == 1 + BASE).collect()
     assert {r.post - BASE: r.p for r in last} == {3: 10 / 16, 4: 6 / 16}
 
@@ -92,6 +89,10 @@ def test_connectivity(spark, edges):
     best = {r.other - BASE: (r.transmitter, r.partner - BASE, r.weight, r.strength, r.label) for r in C.strongest_partner(m, C.examples(marg)).where("transmitter is not null").collect()}
     assert best == {3: ("ACH", 6, 6, 0.5, f"{BASE + 6} group (10 synapses)"), 4: ("GABA", 7, 12, 1.0, f"{BASE + 7} group (12 synapses)")}
     assert {(r.pre - BASE, r.post - BASE): r.synapses for r in C.dense(m, s, t, "C", "E").collect()} == {(3, 6): 6, (3, 7): 0, (4, 6): 4, (4, 7): 12}
+    assert {tuple(r)[1:] for r in C.wide(m.where("source_group = 'C'")).select("pre", str(BASE + 6), str(BASE + 7)).collect()} == {(6, 0), (4, 12)}
+    assert C.examples(marg, 1).count() == 2
+    back = {r.other - BASE: (r.transmitter, r.partner - BASE, r.weight) for r in C.strongest_partner(m, C.examples(marg), "source").where("transmitter is not null").collect()}
+    assert back == {6: ("ACH", 3, 6), 7: ("GABA", 4, 12)}
     same = C.marginals(C.matrix(edges, s, s), edges, s, s).where("transmitter = 'all' and side = 'source'")
     assert {r.cell - BASE: r.synapses for r in same.collect()} == {3: 3, 4: 0}
     exact, boot = S.marginal_stats(marg), S.bootstrap_ci(marg, reps=500)
@@ -99,6 +100,14 @@ def test_connectivity(spark, edges):
     assert j and all(all(r) for r in j)
 
 
+def test_analyses(spark, edges, annotations):
+    out = analyses.pathways(edges, group(spark, A=[1]), annotations, max_hops=3)
+    assert summary(out["paths"]) == {("A", 1): (2, 21, 3), ("A", 2): (2, 22, 3), ("A", 3): (1, 9, 1)} and out["nodes"].count() == 6
+    panel = analyses.connectivity_panel(edges, group(spark, C=[3, 4]), group(spark, E=[6, 7]))
+    assert panel["matrix"].count() == 6 and {r.transmitter: r.synapses for r in panel["transmitters"].collect()} == {"ACH": 6, "GABA": 16, "GLUT": 0}
+    assert {r.side: (r.n, r["mean"]) for r in S.marginal_stats(panel["marginals"], "partners").where("transmitter = 'all'").collect()} == {"source": (2, 1.5), "target": (2, 1.5)}
+
+
 def test_bootstrap_of_large_groups(spark):
     """A group of any size, in one part or more, has a percentile interval at the level asked for."""
     sql = "select 's' source_group, 't' target_group, 'all' transmitter, 'source' side, cast(if(id < 3, 70000 + id, if({x}, id, 0)) as bigint) synapses from range(250000)"
@@ -123,6 +132,13 @@ def test_sources_and_groups(spark, edges, annotations, tmp_path):
         tables.read_connections(spark, str(tmp_path / "c.txt"))
     tables.save({"e": edges.withColumn("grp", F.lit("g"))}, str(tmp_path / "out"), {"e": "grp"})
     assert tables.load(spark, str(tmp_path / "out"), "e")["e"].count() == 13
+    with open(str(tmp_path / "a.tsv"), "w") as f:
+        f.write("root_id\tcell_type\themibrain_type\n" + f"{1 + BASE}\tA\t\n{5 + BASE}\t\tD\n")
+    assert sorted(map(tuple, tables.read_annotations(spark, str(tmp_path / "a.tsv")).collect())) == [(1 + BASE, "A", None), (5 + BASE, None, "D")]
+    older = edges.union(spark.createDataFrame([(-1, 2, "X", 1, "ACH"), (3, -1, "X", 1, "ACH"), (None, 4, "X", 1, "ACH")], EDGES))
+    assert tables.without_sentinel(older).count() == 13 and tables.without_sentinel(older.where("pre is null")).count() == 0
+    with pytest.raises(ValueError, match="columns missing: root_id"):
+        G.lookup(annotations.drop("root_id"), "A")
     spec = {"c": "C", "d": F.col("hemibrain_type") == "D", "one": 1 + BASE, "some": [2 + BASE, 2 + BASE], "df": annotations.limit(2)}
     assert {r.grp: r["count"] for r in G.resolve(annotations, spec).groupBy("grp").count().collect()} == {"c": 2, "d": 1, "one": 1, "some": 1, "df": 2}
     assert G.threshold(edges, 11, "pair").count() == 3 and G.threshold(edges, 11).count() == 1

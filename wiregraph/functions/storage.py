@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,8 +12,10 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; one temporary folder for the process only where that is unset, as in tests."""
+    """spark.checkpoint.dir; a temporary folder only where that is unset and all runs in one process, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not found and not _OWN:
         _OWN.append(tempfile.mkdtemp(prefix="spark-shared-"))
     return (found or _OWN[0]).rstrip("/")

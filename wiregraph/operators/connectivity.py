@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 PAIR = ["source_group", "target_group"]
-#: Cells of a dense result beyond which it is refused.
-DENSE_CELLS = 100_000_000
+#: Target cells that meet the source cells in one task of a dense result.
+DENSE_TARGETS = 1000
 
 
 def pair_edges(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
@@ -33,11 +33,8 @@ def of_all(m: DataFrame) -> DataFrame:
 
 
 def _names(df: DataFrame, column: str) -> list:
-    """The different values of a column of few values, on the driver."""
-    found = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().limit(10_001).collect()]
-    if len(found) > 10_000:
-        raise ValueError(f"over 10,000 different values of {column}: ask for fewer groups")
-    return sorted(found)
+    """The different names of groups or transmitters, on the driver: the result has a row for each cell and name."""
+    return sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect())
 
 
 def _times(df: DataFrame, column: str, values: list) -> DataFrame:
@@ -60,12 +57,11 @@ def marginals(m: DataFrame, edges: DataFrame, sources: DataFrame, targets: DataF
 
 
 def dense(m: DataFrame, sources: DataFrame, targets: DataFrame, source: str, target: str) -> DataFrame:
-    """(pre, post, synapses) for every cell of one source and one target group, zero where not connected; refused if too large."""
+    """(pre, post, synapses) for every cell of one source and one target group, zero where not connected, in parts of DENSE_TARGETS targets."""
     s, t = sources.where(F.col("grp") == source).select(F.col("root_id").alias("pre")).distinct(), targets.where(F.col("grp") == target).select(F.col("root_id").alias("post")).distinct()
-    ids = [r[0] for r in t.limit(100_001).collect()]
-    if s.count() * len(ids) > DENSE_CELLS or len(ids) > 100_000:
-        raise ValueError("too many cells for a dense matrix")
-    full = s.withColumn("post", F.explode(F.lit(sorted(ids)) if ids else F.array().cast("array<long>")))
+    parts = t.count() // DENSE_TARGETS + 1
+    t = t.withColumn("part", F.pmod(F.xxhash64("post"), F.lit(parts)))
+    full = s.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))).join(t, "part").drop("part")
     known = of_all(m).where((F.col("source_group") == source) & (F.col("target_group") == target)).select("pre", "post", "synapses")
     return full.join(known, ["pre", "post"], "left").na.fill(0, ["synapses"])
 
@@ -99,7 +95,7 @@ def examples(marg: DataFrame, n: int = 5) -> DataFrame:
     """(pair, side, cell, synapses, sel_rank): up to n cells evenly spaced along the rising totals; each cell once."""
     up = Window.partitionBy(*PAIR, "side").orderBy("synapses", "cell")
     x = marg.where("transmitter = 'all'").withColumn("rank", F.row_number().over(up) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*PAIR, "side")))
-    wanted = F.array(*[F.bround(F.lit(i / (n - 1)) * (F.col("n") - 1), 0).cast("int") for i in range(n)])
+    wanted = F.array(*[F.bround(F.lit(i / max(1, n - 1)) * (F.col("n") - 1), 0).cast("int") for i in range(n)])
     return x.where(F.array_contains(wanted, F.col("rank"))).select(*PAIR, "side", "cell", "synapses", F.col("rank").alias("sel_rank"))
 
 

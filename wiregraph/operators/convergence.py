@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .nodes import degrees, levels
@@ -55,9 +55,8 @@ def visit_overlap(visits_a: DataFrame, visits_b: DataFrame, cells: DataFrame, ma
     a = visits_a.join(cells.select("root_id"), "root_id", "left_semi").select("root_id", F.col("level").alias("level_a"), F.col("p").alias("pa"))
     b = visits_b.select("root_id", F.col("level").alias("level_b"), F.col("p").alias("pb"))
     found = a.join(b, "root_id").groupBy("level_a", "level_b").agg(F.sum(F.col("pa") * F.col("pb")).alias("product"))
-    total = found.agg(F.sum("product")).first()[0] or 0.0
-    grid = _grid(cells.sparkSession, max_level).join(found, ["level_a", "level_b"], "left")
-    return grid.select("level_a", "level_b", (F.coalesce("product", F.lit(0.0)) / (total or 1.0)).alias("share"))
+    found = found.withColumn("share", F.try_divide("product", F.sum("product").over(Window.partitionBy())))  # one row a pair of levels
+    return _grid(cells.sparkSession, max_level).join(found, ["level_a", "level_b"], "left").select("level_a", "level_b", F.coalesce("share", F.lit(0.0)).alias("share"))
 
 
 def convergence_score(visits_a: DataFrame, visits_b: DataFrame, cells: DataFrame) -> DataFrame:

@@ -49,11 +49,12 @@ def threshold(edges: DataFrame, least: int, per: str = "row") -> DataFrame:
 def collapse(edges: DataFrame, edge_weight: str = "sum", order_col: str | None = None) -> DataFrame:
     """One weighted edge (pre, post, weight) for each pair: the sum over its different connection rows, or the last by `order_col`.
 
-    Copies of a row at several hops count once.
+    Copies of a row at several hops count once. Of rows equal in `order_col` the one with the last neuropil, transmitter
+    and weight counts.
     """
     rows = edges.dropDuplicates(["pre", "post", "neuropil", "transmitter", "weight"])
     if edge_weight == "sum":
         return rows.groupBy("pre", "post").agg(F.sum("weight").alias("weight"))
     if edge_weight != "last" or not order_col:
         raise ValueError("edge_weight: sum, or last with order_col")
-    return rows.groupBy("pre", "post").agg(F.max_by("weight", order_col).alias("weight"))
+    return rows.groupBy("pre", "post").agg(F.max_by("weight", F.struct(order_col, "neuropil", "transmitter", "weight")).alias("weight"))

@@ -1,11 +1,7 @@
-"""Weighted random walks: exact expected visits, samples, and sampled counts."""
+"""Weighted random walks: exact expected visits, first hits and their levels, for which no walk needs to be drawn."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,9 +29,11 @@ def expected_visits(trans: DataFrame, starts: DataFrame, max_level: int, *, abso
     """
     keys = ["start", "root_id"] if per_start else ["root_id"]
     state = starts.select("root_id").distinct().withColumn("start", F.col("root_id")).withColumn("p", F.lit(1.0)).select(*keys, "p")
-    step, out = trans.select(F.col("pre").alias("root_id"), "post", F.col("p").alias("share")), state.withColumn("level", F.lit(0))
+    # read once a level, so made once
+    step, stop = durable(trans.select(F.col("pre").alias("root_id"), "post", F.col("p").alias("share"))), None if absorb is None else durable(absorb.select("root_id").distinct())
+    out = state.withColumn("level", F.lit(0))
     for level in range(1, max_level + 1):
-        moving = state if absorb is None or level == 1 else state.join(absorb.select("root_id").distinct(), "root_id", "left_anti")
+        moving = state if stop is None or level == 1 else state.join(stop, "root_id", "left_anti")
         moved = moving.join(step, "root_id").withColumn("root_id", F.col("post")).groupBy(*keys).agg(F.sum(F.col("p") * F.col("share")).alias("p"))
         state = durable(moved)
         if state.isEmpty():
@@ -58,63 +56,20 @@ def visits_wide(visits: DataFrame, max_level: int) -> DataFrame:
 def level_totals(visits: DataFrame, cells: DataFrame) -> DataFrame:
     """(level, total, scaled): visits in the cells by level, and divided by the largest."""
     t = visits.join(cells.select("root_id").distinct(), "root_id", "left_semi").groupBy("level").agg(F.sum("p").alias("total"))
-    top = t.agg(F.max("total")).first()[0]
-    return t.withColumn("scaled", F.try_divide("total", F.lit(top).cast("double")))
+    return t.withColumn("scaled", F.try_divide("total", F.max("total").over(Window.partitionBy())))  # one row a level
 
 
-def type_share(visits: DataFrame, annotations: DataFrame, top: int = 11) -> DataFrame:
-    """The types with the largest share of all steps in cells of known type, most frequent first."""
+def type_share(visits: DataFrame, annotations: DataFrame, top: int = 11, cells: DataFrame | None = None) -> DataFrame:
+    """The types with the largest share of all steps in cells of known type, most frequent first; with `cells`, of the steps in these and of level 0."""
+    visits = visits if cells is None else hits_in(visits, cells)
     typed = visits.join(annotations.where("cell_type is not null").select("root_id", "cell_type"), "root_id").groupBy("cell_type").agg(F.sum("p").alias("n"))
-    total = typed.agg(F.sum("n")).first()[0] or 1.0
-    return typed.select("cell_type", F.round(F.col("n") / total, 6).alias("share")).orderBy(F.desc("share"), "cell_type").limit(top)
-
-
-def _choices(trans: DataFrame) -> DataFrame:
-    """One row per cell: its targets in order and the running sums of their shares (as long as the cell's degree)."""
-    return trans.groupBy(F.col("pre").alias("node")).agg(F.sort_array(F.collect_list(F.struct("post", "weight"))).alias("x")).select("node", F.col("x.post").alias("posts"), F.col("x.weight").alias("weights"))
-
+    share = F.coalesce(F.try_divide("n", F.sum("n").over(Window.partitionBy())), F.col("n"))  # one row a type
+    return typed.select("cell_type", F.round(share, 6).alias("share")).orderBy(F.desc("share"), "cell_type").limit(top)
 
-def _uniform(seed: int, *columns: str):
-    """A draw in [0, 1) that depends on the named values alone, so on no partitioning."""
-    return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *[F.col(c) for c in columns]), 11) / F.lit(float(1 << 53))
 
+def first_hit_levels(hits: DataFrame) -> DataFrame:
+    """(level, p): the mean number of walks, one from each start, whose first step in the cells is at that level.
 
-def sample_walks(trans: DataFrame, starts: DataFrame, max_level: int, reps: int = 100_000, seed: int = 1) -> DataFrame:
-    """(start, rep, level, node): `reps` walks from every start; a walk that has no way on has no more rows."""
-
-    @F.pandas_udf("long")
-    def draw(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for posts, weights, u in parts:
-            yield pd.Series([p[min(len(p) - 1, int(np.searchsorted((c := np.cumsum(w)), x * c[-1], side="right")))] for p, w, x in zip(posts, weights, u)], dtype="int64")
-
-    choices = durable(_choices(trans))
-    state = starts.select("root_id").distinct().select(F.col("root_id").alias("start"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long"))).alias("rep"), F.lit(0).alias("level"), F.col("root_id").alias("node"))
-    out = state
-    for level in range(1, max_level + 1):
-        state = durable(state.withColumn("level", F.lit(level)).withColumn("u", _uniform(seed, "start", "rep", "level")).join(choices, "node").select("start", "rep", "level", draw("posts", "weights", "u").alias("node")))
-        out = out.unionByName(state)
-    return out
-
-
-def first_hits_of(walks: DataFrame, cells: DataFrame) -> DataFrame:
-    """(start, rep, level): the first step, the start aside, at which a walk is in the cells."""
-    return walks.where("level > 0").join(cells.select(F.col("root_id").alias("node")).distinct(), "node", "left_semi").groupBy("start", "rep").agg(F.min("level").alias("level"))
-
-
-def sampled_visit_counts(trans: DataFrame, starts: DataFrame, max_level: int, reps: int = 100_000, seed: int = 1) -> DataFrame:
-    """(start, level, root_id, visits): counts of `reps` walks without walk rows, split at each cell by a multinomial draw."""
-
-    @F.pandas_udf("array<long>")
-    def split(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for n, weights, key in parts:
-            yield pd.Series([np.random.default_rng(k & (2**63 - 1)).multinomial(m, np.asarray(w, float) / np.sum(w)) for m, w, k in zip(n, weights, key)])
-
-    choices = durable(_choices(trans))
-    state = starts.select("root_id").distinct().select(F.col("root_id").alias("start"), F.lit(0).alias("level"), "root_id", F.lit(reps).cast("long").alias("visits"))
-    out = state
-    for level in range(1, max_level + 1):
-        drawn = state.join(choices, state["root_id"] == choices["node"]).withColumn("n", split("visits", "weights", F.xxhash64(F.lit(seed), "start", "root_id", F.lit(level))))
-        moved = drawn.select("start", F.explode(F.arrays_zip("posts", "n")).alias("z")).select("start", F.col("z.posts").alias("root_id"), F.col("z.n").alias("n")).where("n > 0")
-        state = durable(moved.groupBy("start", "root_id").agg(F.sum("n").alias("visits")).select("start", F.lit(level).alias("level"), "root_id", "visits"))
-        out = out.unionByName(state)
-    return out
+    `hits` are of `expected_visits` with these cells as `absorb`, taken in them by `hits_in`.
+    """
+    return hits.where("level > 0").groupBy("level").agg(F.sum("p").alias("p"))

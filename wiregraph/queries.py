@@ -13,6 +13,7 @@ from .operators import nodes as N
 from .operators import paths as P
 from .operators import stats as S
 from .operators import walks as W
+from .plans import analyses
 from .sources import derive
 
 THRESHOLD, HOPS = 46, 5
@@ -102,24 +103,6 @@ def _level_totals(s, d):
     return _r(parts[0].unionByName(parts[1]), "total", "scaled")
 
 
-def _walks(s, d):
-    p = _Parts(s, d)
-    rows = _own(p.paths(), "a")
-    return W.sample_walks(W.transitions(rows), N.levels(rows).where("level = 0"), HOPS)
-
-
-def _first_of_samples(s, d):
-    m = _Meeting(s, d)
-    walks = W.sample_walks(W.transitions(_own(m.rows, "a")), _own(m.cells, "a").where("level = 0"), HOPS)
-    return W.first_hits_of(walks, _own(m.cells, "b")).groupBy("level").agg(F.count("*").alias("walks"))
-
-
-def _counts(s, d):
-    p = _Parts(s, d)
-    rows = _own(p.paths(), "a")
-    return W.sampled_visit_counts(W.transitions(rows), N.levels(rows).where("level = 0"), HOPS)
-
-
 def _visit_query(first: bool, all_hits: bool):
     def query(s, d):
         m = _Meeting(s, d)
@@ -131,13 +114,26 @@ def _visit_query(first: bool, all_hits: bool):
     return query
 
 
-def _strongest(s, d):
-    p = _Panel(s, d)
-    return _r(C.strongest_partner(p.matrix, C.examples(p.marginals())), "strength")
+def _strongest(side: str):
+    def query(s, d):
+        p = _Panel(s, d)
+        return _r(C.strongest_partner(p.matrix, C.examples(p.marginals()), side), "strength")
+
+    return query
+
 
+def _marginal_stats(value: str):
+    return lambda s, d: _r(S.marginal_stats(_Panel(s, d).marginals(), value), "mean", "low", "high")
 
-def _marginal_stats(s, d):
-    return _r(S.marginal_stats(_Panel(s, d).marginals()), "mean", "low", "high")
+
+def _convergence(s, d):
+    p = _Parts(s, d)
+    return _r(analyses.downstream_convergence(p.edges, p.groups, "a", "b", max_hops=HOPS)["score"], "score")
+
+
+def _connectivity(s, d):
+    p = _Panel(s, d)
+    return _r(analyses.connectivity_panel(p.edges, p.sources, p.targets)["stats"], "mean", "low", "high")
 
 
 def _meeting(f):
@@ -190,9 +186,14 @@ def queries() -> dict:
         "convergence_score": _meeting(lambda m: _r(V.convergence_score(m.hits("a", False), m.hits("b", False), m.shared), "score")),
         "type_share": _meeting(lambda m: W.type_share(m.visits("a"), m.annotations)),
         "type_composition": _meeting(lambda m: V.type_composition(m.shared, m.annotations)),
-        "sample_walks": _walks,
-        "sampled_first_hits": _first_of_samples,
-        "sampled_visit_counts": _counts,
+        "visit_overlap_first": _meeting(lambda m: _r(V.visit_overlap(m.hits("a", True), m.hits("b", True), m.shared, m.top), "share")),
+        "convergence_score_first": _meeting(lambda m: _r(V.convergence_score(m.hits("a", True), m.hits("b", True), m.shared), "score")),
+        "first_hit_levels": _meeting(lambda m: _r(W.first_hit_levels(m.hits("a", True)), "p")),
+        "type_share_hits": _meeting(lambda m: W.type_share(m.visits("a"), m.annotations, cells=_own(m.cells, "b"))),
+        "collapse_last": lambda s, d: G.collapse(G.threshold(derive.connections(s, d, "l_suppkey"), 30), "last", "neuropil"),
+        "analysis_pathways": lambda s, d: analyses.pathways((p := _Parts(s, d)).edges, p.groups, p.annotations, max_hops=HOPS)["nodes"],
+        "analysis_convergence": _convergence,
+        "analysis_connectivity": _connectivity,
         "connectivity_matrix": _panel(lambda p: C.of_all(p.matrix).where("source_group = 'NATION_12' and target_group = 'NATION_13'")),
         "connectivity_panel": _panel(lambda p: C.of_all(p.matrix)),
         "connectivity_by_transmitter": _panel(lambda p: p.matrix),
@@ -202,8 +203,11 @@ def queries() -> dict:
         "matrix_order": _panel(lambda p: C.order(p.marginals())),
         "scaled_totals": _panel(lambda p: _r(C.scaled_totals(p.marginals()), "scaled")),
         "example_cells": _panel(lambda p: C.examples(p.marginals())),
-        "strongest_partner": _strongest,
-        "marginal_stats": _marginal_stats,
+        "strongest_partner": _strongest("target"),
+        "strongest_source_partner": _strongest("source"),
+        "marginal_stats": _marginal_stats("synapses"),
+        "partner_stats": _marginal_stats("partners"),
+        "partner_histogram": _panel(lambda p: S.marginal_histogram(p.marginals(), 3, "partners")),
         "marginal_histogram": _panel(lambda p: S.marginal_histogram(p.marginals(), 25)),
         "bootstrap_ci": _panel(lambda p: S.bootstrap_ci(p.marginals())),
     }
@@ -253,9 +257,9 @@ def _visits(name: str, g: str, first: bool) -> str:
     return ", ".join(out)
 
 
-_VISITS = _MEET + "," + _visits("va", "a", False) + "," + _visits("vb", "b", False) + "," + _visits("fa", "a", True) + """,
+_VISITS = _MEET + "," + _visits("va", "a", False) + "," + _visits("vb", "b", False) + "," + _visits("fa", "a", True) + "," + _visits("fb", "b", True) + """,
 ha as (select * from va where level = 0 or root_id in (select root_id from n where grp = 'b')), hb as (select * from vb where level = 0 or root_id in (select root_id from n where grp = 'a')),
-hf as (select * from fa where level = 0 or root_id in (select root_id from n where grp = 'b'))
+hf as (select * from fa where level = 0 or root_id in (select root_id from n where grp = 'b')), hg as (select * from fb where level = 0 or root_id in (select root_id from n where grp = 'a'))
 """
 _PANEL = f"""with e as ({_EDGES.format(k="l_suppkey")}), cells as (select s_suppkey root_id, n_name grp, r_name region from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey),
 s as (select grp source_group, root_id pre from cells where region = 'ASIA'), t as (select grp target_group, root_id post from cells where region in ('ASIA', 'EUROPE')),
@@ -270,6 +274,27 @@ ex as (select source_group, target_group, side, cell, synapses, cast(r as int) s
 """
 
 
+def _overlap(a: str, b: str) -> str:
+    return _VISITS + f", o as (select a.level level_a, b.level level_b, sum(a.p * b.p) x from (select root_id, level, sum(p) p from {a} group by all) a join (select root_id, level, sum(p) p from {b} group by all) b using (root_id) where root_id in (select root_id from shared) group by all) select level_a, level_b, round(coalesce(x, 0) / (select sum(x) from o), 6) as share from grid left join o using (level_a, level_b)"
+
+
+def _score(a: str, b: str) -> str:
+    return _VISITS + f"select root_id, round(coalesce((select sum(p) from {a} where {a}.root_id = shared.root_id), 0) * coalesce((select sum(p) from {b} where {b}.root_id = shared.root_id), 0), 6) score from shared"
+
+
+def _stats(value: str) -> str:
+    half = f"{S.Z99} * stddev_pop({value}) / sqrt(count(*))"
+    return _PANEL + f"select source_group, target_group, transmitter, side, count(*) n, round(avg({value}), 6) mean, round(avg({value}) - {half}, 6) low, round(avg({value}) + {half}, 6) high from mg group by all"
+
+
+def _partner(mine: str, theirs: str, side: str) -> str:
+    keys = "source_group, target_group"
+    return _PANEL + f""", sel as (select {keys}, cell {mine}, synapses total, sel_rank from ex where side = '{side}'), sx as (select m.*, total, sel_rank from m join sel using ({keys}, {mine}) where synapses > 0),
+best as (select {keys}, {theirs} other, transmitter, {mine} partner, synapses weight, total from sx where transmitter != 'all' and (source_group, target_group, {theirs}) not in (select (source_group, target_group, {mine}) from sel) qualify row_number() over (partition by {keys}, {theirs} order by synapses desc, transmitter, sel_rank) = 1),
+both_ as (select * from best union all select {keys}, {mine}, null, {mine}, total, total from sel), top as (select {keys}, max(synapses) top from sx where transmitter = 'all' group by all)
+select {keys}, other, transmitter, partner, weight, round(weight / nullif(top, 0), 6) strength, partner || ' group (' || total || ' synapses)' as label from both_ left join top using ({keys})"""
+
+
 def oracle_sql() -> dict[str, str]:
     keys = "source_group, target_group"
     return {
@@ -304,8 +329,8 @@ def oracle_sql() -> dict[str, str]:
         "all_hits": _VISITS + "select start, level, root_id, round(p, 6) p from ha where round(p, 6) > 0",
         "visits_wide": _VISITS + "select root_id, " + ", ".join(f"round(coalesce(sum(p) filter (level = {i}), 0), 6) v{i}" for i in range(HOPS + 1)) + " from va group by root_id",
         "visit_level_totals": _VISITS + ", lt as (select 'a' grp, level, sum(p) total from va where root_id in (select root_id from shared) group by level union all select 'b', level, sum(p) from vb where root_id in (select root_id from shared) group by level) select grp, level, round(total, 6) total, round(total / max(total) over (partition by grp), 6) scaled from lt",
-        "visit_overlap": _VISITS + ", o as (select a.level level_a, b.level level_b, sum(a.p * b.p) x from (select root_id, level, sum(p) p from ha group by all) a join (select root_id, level, sum(p) p from hb group by all) b using (root_id) where root_id in (select root_id from shared) group by all) select level_a, level_b, round(coalesce(x, 0) / (select sum(x) from o), 6) as share from grid left join o using (level_a, level_b)",
-        "convergence_score": _VISITS + "select root_id, round(coalesce((select sum(p) from ha where ha.root_id = shared.root_id), 0) * coalesce((select sum(p) from hb where hb.root_id = shared.root_id), 0), 6) score from shared",
+        "visit_overlap": _overlap("ha", "hb"),
+        "convergence_score": _score("ha", "hb"),
         "type_share": _VISITS + ", ty as (select p_type cell_type, sum(p) n from va join part on root_id = p_partkey where p_type is not null group by p_type) select cell_type, round(n / (select sum(n) from ty), 6) as share from ty order by 2 desc, 1 limit 11",
         "type_composition": _MEET + "select level_a, level_b, coalesce(p_type, p_brand) cell_type, cast(sum(degree) as bigint) degree from shared join part on root_id = p_partkey group by all",
         "connectivity_matrix": _PANEL + f"select {keys}, pre, post, synapses from m where transmitter = 'all' and source_group = 'NATION_12' and target_group = 'NATION_13'",
@@ -317,10 +342,18 @@ def oracle_sql() -> dict[str, str]:
         "matrix_order": _PANEL + f"select {keys}, side, cell, synapses, cast(row_number() over (partition by {keys}, side order by synapses desc, cell) as int) as position from mg where transmitter = 'all'",
         "scaled_totals": _PANEL + f"select {keys}, side, cell, synapses, round(case when side = 'target' then synapses / nullif(max(synapses) over w, 0) else (synapses - min(synapses) over w) / nullif(max(synapses) over w - min(synapses) over w, 0) end, 6) scaled from mg where transmitter = 'all' window w as (partition by {keys}, side)",
         "example_cells": _PANEL + "select * from ex",
-        "strongest_partner": _PANEL + f""", sel as (select {keys}, cell post, synapses total, sel_rank from ex where side = 'target'), sx as (select m.*, total, sel_rank from m join sel using ({keys}, post) where synapses > 0),
-best as (select {keys}, pre other, transmitter, post partner, synapses weight, total from sx where transmitter != 'all' and (source_group, target_group, pre) not in (select (source_group, target_group, post) from sel) qualify row_number() over (partition by {keys}, pre order by synapses desc, transmitter, sel_rank) = 1),
-both_ as (select * from best union all select {keys}, post, null, post, total, total from sel), top as (select {keys}, max(synapses) top from sx where transmitter = 'all' group by all)
-select {keys}, other, transmitter, partner, weight, round(weight / nullif(top, 0), 6) strength, partner || ' group (' || total || ' synapses)' as label from both_ left join top using ({keys})""",
-        "marginal_stats": _PANEL + f"select {keys}, transmitter, side, count(*) n, round(avg(synapses), 6) mean, round(avg(synapses) - {S.Z99} * stddev_pop(synapses) / sqrt(count(*)), 6) low, round(avg(synapses) + {S.Z99} * stddev_pop(synapses) / sqrt(count(*)), 6) high from mg group by all",
+        "strongest_partner": _partner("post", "pre", "target"),
+        "strongest_source_partner": _partner("pre", "post", "source"),
+        "marginal_stats": _stats("synapses"),
+        "partner_stats": _stats("partners"),
+        "partner_histogram": _PANEL + f"select {keys}, transmitter, side, cast(partners // 3 as bigint) bin, count(*) cells from mg group by all",
+        "analysis_connectivity": _stats("synapses"),
+        "analysis_pathways": _PARTS + "," + _nodes("p", "n") + "select grp, root_id, level, degree, p_type cell_type, p_brand hemibrain_type from n left join part on root_id = p_partkey",
+        "analysis_convergence": _score("hf", "hg"),
+        "convergence_score_first": _score("hf", "hg"),
+        "visit_overlap_first": _overlap("hf", "hg"),
+        "first_hit_levels": _VISITS + "select level, round(sum(p), 6) p from hf where level > 0 group by level",
+        "type_share_hits": _VISITS + ", ty as (select p_type cell_type, sum(p) n from ha join part on root_id = p_partkey where p_type is not null group by p_type) select cell_type, round(n / (select sum(n) from ty), 6) as share from ty order by 2 desc, 1 limit 11",
+        "collapse_last": f"with e as ({_EDGES.format(k='l_suppkey')}) select pre, post, weight from e where weight >= 30 qualify row_number() over (partition by pre, post order by neuropil desc, transmitter desc, weight desc) = 1",
         "marginal_histogram": _PANEL + f"select {keys}, transmitter, side, cast(synapses // 25 as bigint) bin, count(*) cells from mg group by all",
     }

@@ -28,7 +28,7 @@ def read_annotations(spark: SparkSession, path: str, sep: str | None = None, sch
 
 
 def without_sentinel(edges: DataFrame, sentinel: int = -1) -> DataFrame:
-    """Rows whose ends are both cells (older exports write -1 for none)."""
+    """Rows whose ends are both cells (older exports write -1 for none); a null end is none either."""
     return edges.where((F.col("pre") != sentinel) & (F.col("post") != sentinel))
 
 
