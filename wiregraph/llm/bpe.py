@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import threading
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries of the pair table and of the table of pieces at which it is emptied, so memory stays bounded.
-MOST_PAIRS, MOST_PIECES, LONG_PIECE = 400_000, 500_000, 64
+MOST_PAIRS, MOST_PIECES, LONG_PIECE = 400_000, 350_000, 64
+#: Seconds of rest after which a worker empties these tables, as it may stay alive beside the tasks of other stages.
+REST = 4
 #: Fixed value: the public pre-tokeniser pattern of byte-level BPE.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -130,9 +134,13 @@ class Codec:
         return out
 
     def _pieces(self, part: str) -> tuple[str, int]:
-        """Ids and count of a stretch of text, piece by piece."""
+        """Ids and count of a stretch of text, piece by piece; one that is a piece by itself is kept by `encode` alone."""
+        pieces = self.split(part)
+        if len(pieces) == 1 and part not in self.known:
+            ids = self.piece(part.encode("utf-8", "surrogatepass"))
+            return ",".join(map(str, ids)), len(ids)
         out, n = [], 0
-        for p in self.split(part):
+        for p in pieces:
             found = self.known.get(p)
             if found is None:
                 ids = self.piece(p.encode("utf-8", "surrogatepass"))
@@ -150,6 +158,7 @@ class Codec:
 
         A blank before a character that is none always starts a piece, so text is cut there and stretches are looked up.
         """
+        self.used = time.monotonic()
         out, n, words = [], 0, self.words
         for k, part in enumerate(self.at_special.split(text) if self.at_special else [text]):
             if k % 2:
@@ -175,6 +184,14 @@ class Codec:
                 n += found[1]
         return ",".join(out), n
 
+    def empty_at_rest(self) -> None:
+        """Empties the tables of what was seen, whenever nothing has been encoded for a while."""
+        while True:
+            time.sleep(REST)
+            if time.monotonic() - self.used > REST:
+                for table in (self.fits, self.words, self.known):
+                    table.clear()
+
     def decode(self, ids: np.ndarray) -> bytes:
         """Bytes of the tokens, gathered through the offset table."""
         n = self.length[ids]
@@ -188,7 +205,9 @@ _CODECS: dict[str, Codec] = {}
 def codec(path: str) -> Codec:
     """One per worker and vocabulary file."""
     if path not in _CODECS:
-        _CODECS[path] = Codec(path)
+        _CODECS[path] = c = Codec(path)
+        c.used = time.monotonic()
+        threading.Thread(target=c.empty_at_rest, daemon=True).start()
     return _CODECS[path]
 
 
