@@ -122,9 +122,10 @@ def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
 def distinct(data: np.ndarray, start: np.ndarray, size: np.ndarray, key: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(places of the first of each kind, the kind of every piece): pieces of one kind have the same key and bytes.
 
-    Pieces are matched by the hash of their bytes, `value`, and then compared byte for byte; those whose hash alone agrees are kinds of their own.
+    Pieces are matched by the hash of their bytes, `value`, and then compared byte for byte; those whose hash alone agrees are kinds of their own,
+    which later comparisons of all bytes put right.
     """
-    order = np.lexsort((size, value, key))
+    order = np.argsort(key ^ (value * np.uint64(0x9E3779B97F4A7C15)).view(np.int64))
     same = np.all([x[order][1:] == x[order][:-1] for x in (key, value, size)], axis=0)
     rank = np.arange(len(order))
     rank[1:][same] = 0
@@ -232,11 +233,17 @@ def _own_hashes(h: np.ndarray, document: np.ndarray, value: np.ndarray) -> tuple
     """Different hashes in order, which of them several documents of the block have, and how many different pieces."""
     if not len(h):
         return h, np.zeros(0, bool), np.zeros(0, np.int32)
-    order = np.lexsort((value, h))
+    order = np.argsort(h)
     h, document, value = h[order], document[order], value[order]
-    new = np.concatenate([[True], h[1:] != h[:-1]])
-    first = np.flatnonzero(new)
-    kinds = np.add.reduceat(new | np.concatenate([[True], value[1:] != value[:-1]]), first, dtype=np.int32)
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    n = np.diff(np.append(first, len(h)))
+    kinds = np.ones(len(first), np.int32)
+    again = np.flatnonzero(n > 1)
+    if len(again):  # hashes that occur once have one piece
+        at, of = _spread(first[again], n[again]), np.repeat(again, n[again])
+        order = np.lexsort((value[at], of))
+        v, of = value[at][order], of[order]
+        kinds[again] = np.add.reduceat(np.concatenate([[True], (of[1:] != of[:-1]) | (v[1:] != v[:-1])]), np.cumsum(n[again]) - n[again], dtype=np.int32)
     return h[first], np.maximum.reduceat(document, first) > np.minimum.reduceat(document, first), kinds
 
 
@@ -263,7 +270,7 @@ def _pieces(row, bits: int):
     stretch of windows (a single window each for hot anchors); runs: its first window and its document.
     """
     data, lengths, ids, (h, at, document, first, last, value) = _anchors_of(row)
-    own, _, _ = _own_hashes(h, document, value)
+    own = np.unique(h)
     shared, hot = np.zeros(len(own), bool), np.zeros(len(own), bool)
     marks = {m["shard"]: m for m in row.marks} if row.marks is not None else {}
     for s, places in _ranges(own, bits):
@@ -303,7 +310,7 @@ def _cuts(x: np.ndarray) -> Iterator[tuple[int, int]]:
 
 def _share(key: tuple, group: pd.DataFrame, most: int) -> pd.DataFrame:
     """For each block, which of its hashes of a share another document has too, and which are hot."""
-    hashes = [_unpack(b, np.int64) for b in group["hashes"]]
+    hashes = [np.frombuffer(b, np.int64) for b in group["hashes"]]  # too random to compress
     value, of, n = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
     hot = np.bincount(of, np.concatenate([_unpack(b, np.int32) for b in group["kinds"]]), len(value)) > most
     bits, marks = [], []
@@ -383,7 +390,7 @@ def _remove_repeats(documents: DataFrame, id_col: str, text_col: str, keep_text:
             for row in batch.itertuples():
                 found = _anchors_of(row)[3]
                 h, multi, kinds = _own_hashes(found[0], found[2], found[5])
-                rows = [(s, row.block, _pack(h[at]), np.packbits(multi[at]).tobytes(), _pack(kinds[at])) for s, at in _ranges(h, bits)]
+                rows = [(s, row.block, h[at].tobytes(), np.packbits(multi[at]).tobytes(), _pack(kinds[at])) for s, at in _ranges(h, bits)]
                 yield pd.DataFrame(rows, columns=["shard", "block", "hashes", "multi", "kinds"])
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
