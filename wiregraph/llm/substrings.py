@@ -270,15 +270,17 @@ def _pieces(row, bits: int):
     stretch of windows (a single window each for hot anchors); runs: its first window and its document.
     """
     data, lengths, ids, (h, at, document, first, last, value) = _anchors_of(row)
-    own = np.unique(h)
+    order = np.argsort(h)
+    new = np.concatenate([[True], h[order][1:] != h[order][:-1]])[: len(h)]
+    own, of = h[order][new], np.empty_like(order)
+    of[order] = np.cumsum(new) - 1
     shared, hot = np.zeros(len(own), bool), np.zeros(len(own), bool)
     marks = {m["shard"]: m for m in row.marks} if row.marks is not None else {}
     for s, places in _ranges(own, bits):
         if s in marks:
             for found, name in ((shared, "bits"), (hot, "hot")):
                 found[places] = np.unpackbits(np.frombuffer(zlib.decompress(marks[s][name]), np.uint8), count=len(places)).astype(bool)
-    of = np.searchsorted(own, h)
-    keep = np.flatnonzero(shared[of]) if len(h) else np.zeros(0, np.int64)
+    keep = np.flatnonzero(shared[of])
     if not len(keep):
         return data, lengths, ids, (h[:0],) * 5, h[:0], (first[:0], document[:0])
     hot = hot[of[keep]]
