@@ -4,8 +4,8 @@ Baier, "Linear-time Suffix Sorting" (2016): suffixes are grouped by their Lyndon
 descending order with pointers to the previous smaller suffix; a second pass then emits the order within each group,
 with no recursion and no renaming.
 
-Every 50-byte window has an anchor: the least hash of its 24-byte strings, which depends on the window's bytes alone, so
-equal windows have equal anchors. Windows that share an anchor lie in one piece of text, and pieces meet by the
+Every 50-byte window has an anchor: the least hash (by 48 bits) of its 24-byte strings, which depends on the window's
+bytes alone, so equal windows have equal anchors. Windows that share an anchor lie in one piece of text, and pieces meet by the
 anchor's hash: arrays over the pieces of a share of the hashes decide all their windows. Only anchors that two documents
 have are followed. Documents are packed into blocks, and each block sends a piece once however often it has it.
 
@@ -35,6 +35,8 @@ SPAN = LENGTH - GRAM + 1
 BAND = SPAN // 3
 PIECE = LENGTH + SPAN - 1  # bytes of the longest piece
 BLOCK_BYTES, SLICE_BYTES, SHARD_BYTES, ARRAY_BYTES = 4_000_000, 64_000, 2_000_000, 16_000
+#: The bits of a place in a slice; hashes are compared by the other 48.
+PLACE = np.int64(0xFFFF)
 #: Different pieces of an anchor, summed over blocks, from which on its windows go one by one.
 HOT = 20_000
 LAST = np.iinfo(np.int64).max
@@ -176,13 +178,12 @@ def _slice_anchors(data: np.ndarray, valid: np.ndarray, lo: int) -> tuple[np.nda
     """(hash, place, first, last, hash of the piece) for the windows that begin in a slice of a block; stretches end with the slice."""
     total, inverse = _rolling(data)
     h = _mixed((total[GRAM:] - total[:-GRAM]) * inverse[: len(data) - GRAM + 1])
-    least, place, width = h, np.zeros(len(h), np.int8), 1
-    while width < SPAN:  # the least of ever wider spans, the first one where several are equal
+    # the place in the low bits, which keeps the first of equal ones: the least of ever wider spans
+    least, width = (h & ~PLACE) | np.arange(len(h)), 1
+    while width < SPAN:
         k = min(width, SPAN - width)
-        later = least[k:] < least[:-k]
-        place = np.where(later, place[k:] + np.int8(k), place[:-k])
         least, width = np.minimum(least[k:], least[:-k]), width + k
-    at, valid = np.arange(len(least)) + place, valid[: len(least)]
+    at, valid = least & PLACE, valid[: len(least)]
     cut = np.append(np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (valid[1:] != valid[:-1])])), len(at))
     first, last = cut[:-1], cut[1:] - 1
     first, last = first[valid[first]], last[valid[first]]
