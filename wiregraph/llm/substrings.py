@@ -57,7 +57,26 @@ def suffix_array(text: list[int]) -> list[int]:
     g = len(members) - 1
     above[g] = -1
     while g >= 0:
-        own = sorted(i for i in members[g] if group[i] == g)
+        own = members[g]
+        if len(own) == 1:  # most groups: nothing to sort or count
+            i = own[0]
+            if group[i] == g:
+                p = i - 1
+                while p >= 0 and done[p]:
+                    p = smaller[p]
+                smaller[i] = p
+                done[i] = 1
+                final.append(own)
+                if p >= 0:
+                    low, new = group[p], len(members)
+                    high = above[low]
+                    members.append([p])
+                    below.append(low)
+                    above.append(high)
+                    above[low] = below[high] = group[p] = new
+            g = below[g]
+            continue
+        own = sorted([i for i in own if group[i] == g])
         counts: dict[int, int] = {}
         for i in own:
             p = i - 1
