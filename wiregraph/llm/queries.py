@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, class_lm, decontaminate, licenses, lines, ngram_join, quality, sharding, substrings, urls
+from . import bpe, class_lm, decontaminate, fingerprints, licenses, lines, negatives, ngram_join, quality, sharding, substrings, urls, whitening
 from .common import table
 
 
@@ -18,8 +18,11 @@ def queries() -> dict:
         "op8_url_filters": lambda s, d: urls.judge_pages(table(s, d, "pages")),
         "op9_ngram_jaccard_join": lambda s, d: ngram_join.report(table(s, d, "documents")),
         "op10_quality_rules": lambda s, d: quality.report(table(s, d, "documents"), table(s, d, "labels")),
+        "op11_embedding_whitening": lambda s, d: whitening.whiten(table(s, d, "embeddings")),
+        "op12_document_fingerprints": lambda s, d: fingerprints.report(table(s, d, "documents")),
+        "op13_hard_negatives": lambda s, d: negatives.report(table(s, d, "embeddings")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_benchmark_decontamination": decontaminate.ORACLE, "op8_url_filters": urls.ORACLE}
+    return {"op2_benchmark_decontamination": decontaminate.ORACLE, "op8_url_filters": urls.ORACLE, "op13_hard_negatives": negatives.ORACLE}
