@@ -1,14 +1,22 @@
 """The hand graph: known answers for every family of graph operators."""
 
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
+from wiregraph.functions.ranks import running
+from wiregraph.operators import bitmaps as B
 from wiregraph.operators import connectivity as C
 from wiregraph.operators import convergence as V
+from wiregraph.operators import cycles as Y
 from wiregraph.operators import groups as G
+from wiregraph.operators import marginals as M
 from wiregraph.operators import nodes as N
 from wiregraph.operators import paths as P
 from wiregraph.operators import stats as S
+from wiregraph.operators import thresholds as T
 from wiregraph.operators import walks as W
 from wiregraph.plans import analyses
 from wiregraph.schema import ANNOTATIONS, EDGES
@@ -86,17 +94,19 @@ def test_connectivity(spark, edges):
     assert {r.transmitter: r.synapses for r in C.transmitter_totals(m, edges).collect()} == {"ACH": 6, "GABA": 16, "GLUT": 0}
     marg = C.marginals(m, edges, s, t)
     assert {(r.side, r.cell - BASE): (r.synapses, r.partners) for r in marg.where("transmitter = 'all'").collect()} == {("source", 3): (6, 1), ("source", 4): (16, 2), ("target", 6): (10, 2), ("target", 7): (12, 1)}
-    best = {r.other - BASE: (r.transmitter, r.partner - BASE, r.weight, r.strength, r.label) for r in C.strongest_partner(m, C.examples(marg)).where("transmitter is not null").collect()}
+    rows = M.connected(m)
+    examples = M.examples(rows, M.summary(rows, s, t), s, t)
+    best = {r.other - BASE: (r.transmitter, r.partner - BASE, r.weight, r.strength, r.label) for r in C.strongest_partner(m, examples).where("transmitter is not null").collect()}
     assert best == {3: ("ACH", 6, 6, 0.5, f"{BASE + 6} group (10 synapses)"), 4: ("GABA", 7, 12, 1.0, f"{BASE + 7} group (12 synapses)")}
     assert {(r.pre - BASE, r.post - BASE): r.synapses for r in C.dense(m, s, t, "C", "E").collect()} == {(3, 6): 6, (3, 7): 0, (4, 6): 4, (4, 7): 12}
     assert {tuple(r)[1:] for r in C.wide(m.where("source_group = 'C'")).select("pre", str(BASE + 6), str(BASE + 7)).collect()} == {(6, 0), (4, 12)}
-    assert C.examples(marg, 1).count() == 2
-    back = {r.other - BASE: (r.transmitter, r.partner - BASE, r.weight) for r in C.strongest_partner(m, C.examples(marg), "source").where("transmitter is not null").collect()}
+    assert M.examples(rows, M.summary(rows, s, t), s, t, 1).count() == 2
+    back = {r.other - BASE: (r.transmitter, r.partner - BASE, r.weight) for r in C.strongest_partner(m, examples, "source").where("transmitter is not null").collect()}
     assert back == {6: ("ACH", 3, 6), 7: ("GABA", 4, 12)}
     same = C.marginals(C.matrix(edges, s, s), edges, s, s).where("transmitter = 'all' and side = 'source'")
     assert {r.cell - BASE: r.synapses for r in same.collect()} == {3: 3, 4: 0}
-    exact, boot = S.marginal_stats(marg), S.bootstrap_ci(marg, reps=500)
-    j = exact.join(boot, S.KEYS).select(exact["mean"] == boot["mean"], boot["low"] <= boot["mean"], boot["mean"] <= boot["high"]).collect()
+    exact, boot = M.stats(M.summary(rows, s, t, fill=M.all_keys(edges, s, t))), S.bootstrap_ci(marg, reps=500)
+    j = exact.join(boot, M.KEYS).select(exact["mean"] == boot["mean"], boot["low"] <= boot["mean"], boot["mean"] <= boot["high"]).collect()
     assert j and all(all(r) for r in j)
 
 
@@ -105,7 +115,9 @@ def test_analyses(spark, edges, annotations):
     assert summary(out["paths"]) == {("A", 1): (2, 21, 3), ("A", 2): (2, 22, 3), ("A", 3): (1, 9, 1)} and out["nodes"].count() == 6
     panel = analyses.connectivity_panel(edges, group(spark, C=[3, 4]), group(spark, E=[6, 7]))
     assert panel["matrix"].count() == 6 and {r.transmitter: r.synapses for r in panel["transmitters"].collect()} == {"ACH": 6, "GABA": 16, "GLUT": 0}
-    assert {r.side: (r.n, r["mean"]) for r in S.marginal_stats(panel["marginals"], "partners").where("transmitter = 'all'").collect()} == {"source": (2, 1.5), "target": (2, 1.5)}
+    assert {(r.side, r.bin): r.cells for r in panel["partners_histogram"].where("transmitter = 'all'").collect()} == {("source", 0): 2, ("target", 0): 2}
+    assert panel["strongest_source"].count() == panel["strongest_target"].count() == 4 and panel["scaled"].count() == panel["order"].count() == panel["examples"].count() == 4
+    assert {r.side: (r.n, r["mean"]) for r in panel["partners_stats"].where("transmitter = 'all'").collect()} == {"source": (2, 1.5), "target": (2, 1.5)}
 
 
 def test_bootstrap_of_large_groups(spark):
@@ -114,7 +126,8 @@ def test_bootstrap_of_large_groups(spark):
     few, many = (spark.sql(sql.format(x=x)) for x in ("false", "id % 4 = 0"))
     wide, narrow = (S.bootstrap_ci(few, reps=400, level=v).first() for v in (0.99, 0.5))
     assert wide["n"] == 250_000 and 0 <= wide["low"] <= narrow["low"] <= narrow["mean"] <= narrow["high"] <= wide["high"] and wide["high"] - wide["low"] > narrow["high"] - narrow["low"]
-    exact, boot = S.marginal_stats(many).first(), S.bootstrap_ci(many, reps=400).first()
+    groups = [spark.sql(f"select '{g}' grp, id root_id from range({n})") for g, n in (("s", 250_000), ("t", 1))]
+    exact, boot = M.stats(M.summary(many.withColumn("cell", F.monotonically_increasing_id()), *groups)).first(), S.bootstrap_ci(many, reps=400).first()
     assert boot["n"] == exact["n"] and boot["mean"] == pytest.approx(exact["mean"])
     assert [boot["low"] - boot["mean"], boot["high"] - boot["mean"]] == pytest.approx([exact["low"] - exact["mean"], exact["high"] - exact["mean"]], rel=0.25)
 
@@ -144,3 +157,133 @@ def test_sources_and_groups(spark, edges, annotations, tmp_path):
     assert G.threshold(edges, 11, "pair").count() == 3 and G.threshold(edges, 11).count() == 1
     with pytest.raises(Exception, match="annotated twice"):
         N.node_table(P.one_hop(edges, group(spark, A=[1])), annotations.union(annotations)).collect()
+
+
+def test_ranks_and_running_sums(spark):
+    """Over ranges, as one sorted list would give them: a key of most rows, null keys, ties told apart by another column."""
+    random.seed(2)
+    rows = [("hot" if i % 3 else random.choice(["a", "b", None]), random.randint(0, 5), i) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, v long, i long").repartition(5)
+    got = running(df, ["k"], [F.desc("v"), "i"], "v", "s").collect()
+    for key in {r[0] for r in rows}:
+        total = 0
+        want = {}
+        for _, v, i in sorted((r for r in rows if r[0] == key), key=lambda r: (-r[1], r[2])):
+            total += v
+            want[i] = total
+        assert {r["i"]: r["s"] for r in got if r["k"] == key} == want
+    assert sorted(r["place"] for r in running(df, [], ["i"]).collect()) == list(range(1, 401))
+    assert running(df.where("false"), ["k"], ["i"]).count() == 0
+
+
+def test_marginals_without_zeros(spark):
+    """The same means, bins, scales and examples as over zero-filled rows: cells without any connection, cells in two groups, a group of one."""
+    random.seed(8)
+    edges = spark.createDataFrame([(random.choice(range(0, 30, 2)), random.randrange(30), "X", random.randint(1, 9), random.choice(["p", "q", None])) for _ in range(60)], EDGES)
+    s = spark.createDataFrame([("a", i) for i in range(12)] + [("b", i) for i in range(10, 30)] + [("c", 99)], "grp string, root_id long")
+    m = C.matrix(edges, s, s).cache()
+    rows, full, keys = M.connected(m), C.marginals(m, edges, s, s).cache(), M.all_keys(edges, s, s)
+    assert keys.count() == 3 * 3 * 3 * 2 and full.count() == 33 * 3 * 3 * 2
+    plain = {}
+    for r in full.collect():
+        plain.setdefault((r.source_group, r.target_group, r.transmitter, r.side), []).append((r.synapses, r.cell))
+    for fill in (keys, None):
+        summary = M.summary(rows, s, s, fill=fill).cache()
+        want = {k: v for k, v in plain.items() if fill is not None or any(x for x, _ in v)}
+        got = {tuple(r)[:4]: (r.n, r["mean"]) for r in M.stats(summary).collect()}
+        assert got == {k: (len(v), pytest.approx(sum(x for x, _ in v) / len(v))) for k, v in want.items()}
+        bins = {tuple(r)[:5]: r.cells for r in M.histogram(rows, summary, 4).collect()}
+        assert bins == Counter((*k, x // 4) for k, v in want.items() for x, _ in v)
+        picked = {}
+        for r in M.examples(rows, summary, s, s).collect():
+            picked.setdefault((r.source_group, r.target_group, "all", r.side), set()).add((r.sel_rank, r.cell, r.synapses))
+        ranked = {k: sorted(v) for k, v in want.items() if k[2] == "all"}
+        assert picked == {k: {(i, v[i][1], v[i][0]) for i in {round(p * (len(v) - 1)) for p in (0, 0.25, 0.5, 0.75, 1)}} for k, v in ranked.items()}
+        for r in M.scaled(rows, summary).collect():
+            v = [x for x, _ in plain[r.source_group, r.target_group, "all", r.side]]
+            low, top = (0, max(v)) if r.side == "target" else (min(v), max(v))
+            assert r.scaled == (pytest.approx((r.synapses - low) / (top - low)) if top > low else None)
+    order = {(r.side, r.cell): r.position for r in M.order(rows).where("source_group = 'a' and target_group = 'b'").collect()}
+    for side in ("source", "target"):
+        assert [c for (x, c), _ in sorted(order.items(), key=lambda t: t[1]) if x == side] == [c for n, c in sorted(plain["a", "b", "all", side], key=lambda t: (-t[0], t[1])) if n]
+
+
+def test_bitmaps_of_many_groups(spark):
+    """130 groups in three words: the same rows as group by group, and the same grids as from each two groups' rows."""
+    random.seed(11)
+    edges = spark.createDataFrame([(random.randrange(60), random.randrange(60), random.choice("XY"), 1, "p") for _ in range(150)], EDGES).distinct().cache()
+    ids = {f"g{k:03}": random.sample(range(60), random.randint(1, 3)) for k in range(130)}
+    groups = spark.createDataFrame([(g, i) for g, xs in ids.items() for i in xs] + [(None, 1)], "grp string, root_id long")
+    names = B.numbered(groups)
+    start = B.members(groups, names)
+    e = {(r.pre, r.post) for r in edges.collect()}
+
+    def hops(roots, again):
+        seen, front, out = set(roots), set(roots), {}
+        for h in range(1, 4):
+            rows = {(a, b) for a, b in e if a in front and (again or b not in seen)}
+            front = {b for _, b in rows} - (set() if again else seen)
+            out[h] = rows
+            seen |= front
+        return out
+
+    plain = {(g, a, b, h) for g, xs in ids.items() for h, rows in hops(xs, False).items() for a, b in rows}
+    sets = B.path_sets(edges, start, 3).cache()
+    assert {(r.grp, r.pre, r.post, r.hop) for r in B.path_rows(sets, names).collect()} == plain
+    again = B.path_rows(B.path_sets(edges, start, 3, skip_recurrents=False), names)
+    assert {(r.grp, r.pre, r.post, r.hop) for r in again.collect()} == {(g, a, b, h) for g, xs in ids.items() for h, rows in hops(xs, True).items() for a, b in rows}
+    assert {tuple(r) for r in B.hop_summary(sets, names).collect()} == {tuple(r) for r in P.hop_summary(B.path_rows(sets, names)).collect()}
+    shared = B.shared_pairs(sets, names).cache()
+    of = {}
+    for g, a, b, h in plain:
+        of.setdefault((a, b), []).append((g, h))
+    degree, leaves, enters, pairs = Counter(), set(), set(), Counter()
+    for (a, b), gs in of.items():
+        for g, h in gs:
+            for x, i in gs:
+                if g < x:
+                    pairs[g, x] += 1
+                    degree[g, x, h - 1, i - 1] += 1
+                    degree[g, x, h, i] += 1
+                    leaves.add((g, x, h - 1, i - 1, a))
+                    enters.add((g, x, h, i, b))
+    assert {(r.group_a, r.group_b): r.pairs for r in B.intersections(shared).collect()} == pairs
+    assert {tuple(r)[:4]: r.degree for r in B.degree_grids(shared).collect()} == degree
+    grid = {tuple(r)[:4]: (r.cells, r.initial_cells) for r in B.cell_grids(sets, names).collect()}
+    assert grid == {k: (n, Counter(c[:4] for c in leaves - enters)[k]) for k, n in Counter(c[:4] for c in leaves | enters).items()}
+    assert {tuple(r) for r in B.common_rows(sets, names, "g001", "g002").select("pre", "post").collect()} == {p for p, gs in of.items() if {"g001", "g002"} <= {g for g, _ in gs}}
+    assert P.paths(edges, groups.where("false"), 2).count() == 0
+
+
+@pytest.mark.parametrize("rows", [[], [(1, 1)], [(1, 2), (2, 3)], [(1, 2), (2, 1), (2, 3), (3, 4), (4, 3)], None])
+def test_strong_components(spark, rows):
+    random.seed(3)
+    rows = [(random.randrange(40), random.randrange(40)) for _ in range(55)] if rows is None else rows
+    reach = set(rows)
+    while more := {(a, d) for a, b in reach for c, d in reach if b == c} - reach:
+        reach |= more
+    cells = {x for r in rows for x in r}
+    of = {c: min([c, *(x for x in cells if (c, x) in reach and (x, c) in reach)]) for c in cells}
+    df = spark.createDataFrame([*rows, *rows[:1], (None, 7)], "pre long, post long")
+    assert dict(map(tuple, Y.strong_components(df).collect())) == of
+    assert {r[0] for r in Y.beginnings(df).collect()} == {c for c in cells if all(of[a] == of[b] for a, b in reach if b == c)}
+
+
+def test_initial_cells_with_recurrents(spark, edges):
+    """On the hand graph 1 > 3, 4 > 6 > 1 is a cycle that nothing enters, and no cell is only `pre`."""
+    rows = P.paths(edges, group(spark, A=[1], B=[3]), 4, skip_recurrents=False)
+    common = V.edge_intersection(rows, "A", "B")
+    assert V.initial_cells(common).count() == 0
+    assert {r[0] - BASE for r in Y.beginnings(common).collect()} == {1, 3, 4, 6}
+
+
+@pytest.mark.parametrize("per,down", [("row", True), ("row", False), ("pair", True)])
+def test_every_threshold_from_one_run(spark, edges, per, down):
+    random.seed(5)
+    more = edges.union(spark.createDataFrame([(random.randrange(9) + BASE, random.randrange(9) + BASE, "Z", random.randint(0, 14), "GLUT") for _ in range(40)], EDGES)).distinct().cache()
+    groups = group(spark, A=[1, 5], B=[2])
+    rows = T.paths(more, groups, 4, down=down, per=per).cache()
+    for k in (0, 1, 2, 4, 5, 7, 9, 12, 14, 40):
+        own = P.paths(G.threshold(more, k, per), groups, 4, downstream=down, upstream=not down)
+        assert sorted(map(str, T.at_threshold(rows, k).collect())) == sorted(map(str, own.collect())), k
+    assert T.hop_summaries(rows, [4, 9]).where("threshold = 9").drop("threshold").count() == P.hop_summary(T.at_threshold(rows, 9)).count()

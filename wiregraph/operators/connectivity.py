@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PAIR = ["source_group", "target_group"]
-#: Target cells that meet the source cells in one task of a dense result.
-DENSE_TARGETS = 1000
+from .groups import every_pair
+from .marginals import KEYS, PAIR, all_keys, connected, members
+from .marginals import order as connected_order
 
 
 def pair_edges(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
@@ -32,38 +32,23 @@ def of_all(m: DataFrame) -> DataFrame:
     return m.where("transmitter = 'all'").drop("transmitter")
 
 
-def _names(df: DataFrame, column: str) -> list:
-    """The different names of groups or transmitters, on the driver: the result has a row for each cell and name."""
-    return sorted(r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().collect())
-
-
-def _times(df: DataFrame, column: str, values: list) -> DataFrame:
-    return df.withColumn(column, F.explode(F.lit(values) if values else F.array().cast("array<string>")))
-
-
 def marginals(m: DataFrame, edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
     """(pair, transmitter, side, cell, synapses, partners) of every cell of each group, zero without a partner.
 
-    `partners` counts cells with over 0 synapses. One row for each cell, opposite group and transmitter.
+    `partners` counts cells with over 0 synapses. One row for each cell, opposite group and transmitter is written: where the
+    zeros are not wanted as rows, the functions of `marginals` do without.
     """
-    keys = [*PAIR, "transmitter"]
-    found = m.groupingSets([[*keys, "pre"], [*keys, "post"]], *keys, "pre", "post").agg(F.sum("synapses").alias("synapses"), F.count_if(F.col("synapses") > 0).alias("partners"), F.grouping("post").alias("g"))
-    found = found.select(*keys, F.when(F.col("g") == 1, "source").otherwise("target").alias("side"), F.coalesce("pre", "post").alias("cell"), "synapses", "partners")
-    kinds = ["all", *_names(edges, "transmitter")]
-    s = _times(sources.distinct().withColumnRenamed("grp", "source_group"), "target_group", _names(targets, "grp")).withColumn("side", F.lit("source"))
-    t = _times(targets.distinct().withColumnRenamed("grp", "target_group"), "source_group", _names(sources, "grp")).withColumn("side", F.lit("target"))
-    cells = _times(s.unionByName(t), "transmitter", kinds).select(*keys, "side", F.col("root_id").alias("cell"))
-    return cells.join(found, [*keys, "side", "cell"], "left").na.fill(0, ["synapses", "partners"])
+    cells = members(sources, targets)
+    keys = all_keys(edges, sources, targets).withColumn("grp", F.when(F.col("side") == "source", F.col("source_group")).otherwise(F.col("target_group")))
+    found = connected(m)
+    return keys.join(cells, ["side", "grp"]).select(*KEYS, "cell").join(found, [*KEYS, "cell"], "left").na.fill(0, ["synapses", "partners"])
 
 
 def dense(m: DataFrame, sources: DataFrame, targets: DataFrame, source: str, target: str) -> DataFrame:
-    """(pre, post, synapses) for every cell of one source and one target group, zero where not connected, in parts of DENSE_TARGETS targets."""
+    """(pre, post, synapses) for every cell of one source and one target group, zero where not connected."""
     s, t = sources.where(F.col("grp") == source).select(F.col("root_id").alias("pre")).distinct(), targets.where(F.col("grp") == target).select(F.col("root_id").alias("post")).distinct()
-    parts = t.count() // DENSE_TARGETS + 1
-    t = t.withColumn("part", F.pmod(F.xxhash64("post"), F.lit(parts)))
-    full = s.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))).join(t, "part").drop("part")
     known = of_all(m).where((F.col("source_group") == source) & (F.col("target_group") == target)).select("pre", "post", "synapses")
-    return full.join(known, ["pre", "post"], "left").na.fill(0, ["synapses"])
+    return every_pair(s, t).join(known, ["pre", "post"], "left").na.fill(0, ["synapses"])
 
 
 def wide(m: DataFrame, posts: list[int] | None = None) -> DataFrame:
@@ -74,29 +59,13 @@ def wide(m: DataFrame, posts: list[int] | None = None) -> DataFrame:
 def transmitter_totals(m: DataFrame, edges: DataFrame) -> DataFrame:
     """Synapses of each pair of groups by every transmitter of the whole table, 0 where absent."""
     found = m.where("transmitter != 'all'").groupBy(*PAIR, "transmitter").agg(F.sum("synapses").alias("synapses"))
-    return _times(m.select(*PAIR).distinct(), "transmitter", _names(edges, "transmitter")).join(found, [*PAIR, "transmitter"], "left").na.fill(0, ["synapses"])
+    kinds = edges.where("transmitter is not null").select("transmitter").distinct()
+    return every_pair(m.select(*PAIR).distinct(), kinds).join(found, [*PAIR, "transmitter"], "left").na.fill(0, ["synapses"])
 
 
 def order(marg: DataFrame) -> DataFrame:
-    """(pair, side, cell, synapses, position): cells by total synapses, the most first, ties by id."""
-    w = Window.partitionBy(*PAIR, "side").orderBy(F.desc("synapses"), "cell")
-    return marg.where("transmitter = 'all'").withColumn("position", F.row_number().over(w)).select(*PAIR, "side", "cell", "synapses", "position")
-
-
-def scaled_totals(marg: DataFrame) -> DataFrame:
-    """Totals for display: targets divided by the largest, sources from least to largest; null where that divides by 0."""
-    w = Window.partitionBy(*PAIR, "side")
-    x, top, low = F.col("synapses"), F.max("synapses").over(w), F.min("synapses").over(w)
-    scaled = F.when(F.col("side") == "target", F.try_divide(x.cast("double"), top.cast("double"))).otherwise(F.try_divide((x - low).cast("double"), (top - low).cast("double")))
-    return marg.where("transmitter = 'all'").select(*PAIR, "side", "cell", "synapses", scaled.alias("scaled"))
-
-
-def examples(marg: DataFrame, n: int = 5) -> DataFrame:
-    """(pair, side, cell, synapses, sel_rank): up to n cells evenly spaced along the rising totals; each cell once."""
-    up = Window.partitionBy(*PAIR, "side").orderBy("synapses", "cell")
-    x = marg.where("transmitter = 'all'").withColumn("rank", F.row_number().over(up) - 1).withColumn("n", F.count("*").over(Window.partitionBy(*PAIR, "side")))
-    wanted = F.array(*[F.bround(F.lit(i / max(1, n - 1)) * (F.col("n") - 1), 0).cast("int") for i in range(n)])
-    return x.where(F.array_contains(wanted, F.col("rank"))).select(*PAIR, "side", "cell", "synapses", F.col("rank").alias("sel_rank"))
+    """(pair, side, cell, synapses, position): cells by total synapses, the most first, ties by id; zero-filled rows come last."""
+    return connected_order(marg)
 
 
 def strongest_partner(m: DataFrame, selected: DataFrame, side: str = "target") -> DataFrame:

@@ -58,3 +58,14 @@ def collapse(edges: DataFrame, edge_weight: str = "sum", order_col: str | None =
     if edge_weight != "last" or not order_col:
         raise ValueError("edge_weight: sum, or last with order_col")
     return rows.groupBy("pre", "post").agg(F.max_by("weight", F.struct(order_col, "neuropil", "transmitter", "weight")).alias("weight"))
+
+
+#: Rows of one side that meet the other side in one task of a full product.
+PRODUCT_ROWS = 1000
+
+
+def every_pair(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Each row of `left` with each of `right`, where that is what is asked for: in parts of PRODUCT_ROWS of `right`, each met by `left` in a task."""
+    parts = right.count() // PRODUCT_ROWS + 1
+    cut = right.withColumn("_part", F.pmod(F.xxhash64(*right.columns), F.lit(parts)))
+    return left.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))).join(cut, "_part").drop("_part")

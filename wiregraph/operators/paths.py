@@ -7,50 +7,21 @@ from pyspark.sql import functions as F
 
 from ..functions.storage import durable
 from ..schema import PATH, ROW, require
-
-
-def _frontiers(adjacency: DataFrame, groups: DataFrame, max_hops: int, revisit: bool) -> DataFrame:
-    """(grp, node, d): each hop's new cells, or with `revisit` all cells that a walk of d steps reaches.
-
-    Only ids move; each hop is written, so neither plans nor recomputation grow, and an empty hop ends the loop.
-    """
-    frontier = durable(groups.select("grp", F.col("root_id").alias("node")).distinct())
-    seen = frontier.withColumn("d", F.lit(0))
-    for hop in range(1, max_hops + 1):
-        reached = frontier.join(adjacency, frontier["node"] == adjacency["src"]).select("grp", F.col("dst").alias("node")).distinct()
-        if not revisit:
-            reached = reached.join(seen.select("grp", "node"), ["grp", "node"], "left_anti")
-        frontier = durable(reached)
-        if frontier.isEmpty():
-            break
-        seen = seen.union(frontier.withColumn("d", F.lit(hop)))
-    return seen
-
-
-def _one_way(edges: DataFrame, groups: DataFrame, max_hops: int, down: bool, skip_recurrents: bool) -> DataFrame:
-    start, stop = ("pre", "post") if down else ("post", "pre")
-    adjacency = durable(edges.select(F.col(start).alias("src"), F.col(stop).alias("dst")).distinct())
-    sign = 1 if down else -1
-    if skip_recurrents:
-        # a row is kept at hop h exactly if its ends are h - 1 and h hops from the roots
-        d = _frontiers(adjacency, groups, max_hops, False)
-        a, b = d.select("grp", F.col("node").alias(start), F.col("d").alias("da")), d.select("grp", F.col("node").alias(stop), F.col("d").alias("db"))
-        out = edges.join(a, start).join(b, ["grp", stop]).where("db = da + 1").withColumn("hop", (F.col("db") * sign).cast("int"))
-    else:
-        f = _frontiers(adjacency, groups, max_hops - 1, True)
-        out = edges.join(f.select("grp", F.col("node").alias(start), "d"), start).withColumn("hop", ((F.col("d") + 1) * sign).cast("int"))
-    return out.select(*PATH)
+from .bitmaps import members, numbered, path_rows, path_sets
 
 
 def paths(edges: DataFrame, groups: DataFrame, max_hops: int = 5, *, downstream: bool = True, upstream: bool = False, skip_recurrents: bool = True) -> DataFrame:
     """All connection rows on up to max_hops hops from each group, with `hop`: positive downstream, negative upstream.
 
     With skip_recurrents, rows that lead back to a cell already reached are left out. Both directions: a row may occur in both.
+    All groups expand together, as bitmaps; groups without a name have no rows.
     """
     if not (downstream or upstream):
         raise ValueError("choose downstream, upstream or both")
     edges = require(edges, *ROW).select(*ROW)
-    parts = [_one_way(edges, groups, max_hops, down, skip_recurrents) for down, wanted in ((True, downstream), (False, upstream)) if wanted]
+    names = numbered(groups)
+    start = durable(members(groups, names))
+    parts = [path_rows(path_sets(edges, start, max_hops, down, skip_recurrents), names) for down, wanted in ((True, downstream), (False, upstream)) if wanted]
     return parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0]
 
 

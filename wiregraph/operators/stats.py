@@ -1,4 +1,4 @@
-"""Means, intervals and histograms of marginals."""
+"""Bootstrap intervals of marginals."""
 
 from __future__ import annotations
 
@@ -9,25 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEYS = ["source_group", "target_group", "transmitter", "side"]
-#: Two-sided 99 % point of the normal distribution.
-Z99 = 2.5758293035489004
+from .marginals import KEYS
+
 #: Different values of a group in one part, and resamples drawn at once.
 PART_VALUES, STEP = 50_000, 256
 
 
-def marginal_stats(marg: DataFrame, value: str = "synapses", z: float = Z99) -> DataFrame:
-    """n, mean and a closed-form interval of each marginal; zero-filled cells count, so n is the size of the group."""
-    x = marg.groupBy(*KEYS).agg(F.count("*").alias("n"), F.mean(value).alias("mean"), F.stddev_pop(value).alias("sd"))
-    half = F.lit(z) * F.col("sd") / F.sqrt("n")
-    return x.select(*KEYS, "n", "mean", (F.col("mean") - half).alias("low"), (F.col("mean") + half).alias("high"))
-
-
-def marginal_histogram(marg: DataFrame, bin_width: int, value: str = "synapses") -> DataFrame:
-    """Cells in each bin of the given width, by its number."""
-    return marg.groupBy(*KEYS, F.floor(F.col(value) / bin_width).cast("long").alias("bin")).agg(F.count("*").alias("cells"))
-
-
 def _with(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     """Inner join on keys that may be null."""
     named = other.toDF(*[f"_{c}" if c in keys else c for c in other.columns])

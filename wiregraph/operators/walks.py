@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import running
 from ..functions.storage import durable
 from .groups import collapse
 
@@ -17,8 +18,7 @@ def transitions(path_edges: DataFrame, edge_weight: str = "sum", order_col: str
 
 def cumulative(trans: DataFrame) -> DataFrame:
     """Adds cum_lo and cum_hi: the range of a uniform draw times the total that leads to each edge."""
-    w = Window.partitionBy("pre").orderBy("post").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return trans.withColumn("cum_hi", F.sum("weight").over(w)).withColumn("cum_lo", F.col("cum_hi") - F.col("weight"))
+    return running(trans, ["pre"], ["post"], "weight", "cum_hi").withColumn("cum_lo", F.col("cum_hi") - F.col("weight"))
 
 
 def expected_visits(trans: DataFrame, starts: DataFrame, max_level: int, *, absorb: DataFrame | None = None, per_start: bool = True) -> DataFrame:

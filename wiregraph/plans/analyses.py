@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame
 from ..functions.storage import durable
 from ..operators import connectivity as C
 from ..operators import convergence as V
+from ..operators import marginals as M
 from ..operators import nodes as N
 from ..operators import paths as P
-from ..operators import stats as S
 from ..operators import walks as W
 
 
@@ -43,8 +43,18 @@ def downstream_convergence(edges: DataFrame, groups: DataFrame, group_a: str, gr
     return out
 
 
-def connectivity_panel(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> dict[str, DataFrame]:
-    """Matrices, marginals, totals, order and intervals for every pair of groups."""
+def connectivity_panel(edges: DataFrame, sources: DataFrame, targets: DataFrame, *, synapse_bin: int = 25, partner_bin: int = 3) -> dict[str, DataFrame]:
+    """Every pair of groups in one call: matrices, marginals, totals, order, scales, intervals and histograms of synapses and
+    partners on both sides, example cells and strongest partners from both sides.
+
+    Cells without a connection are counted, not written; pairs of groups without any connection have no rows.
+    """
     m = durable(C.matrix(edges, sources, targets))
-    marg = durable(C.marginals(m, edges, sources, targets))
-    return {"matrix": m, "marginals": marg, "transmitters": C.transmitter_totals(m, edges), "order": C.order(marg), "stats": S.marginal_stats(marg), "strongest": C.strongest_partner(m, C.examples(marg))}
+    rows = durable(M.connected(m))
+    out = {"matrix": m, "marginals": rows, "transmitters": C.transmitter_totals(m, edges), "order": M.order(rows)}
+    for value, width in (("synapses", synapse_bin), ("partners", partner_bin)):
+        s = durable(M.summary(rows, sources, targets, value))
+        out |= {f"{value}_stats": M.stats(s), f"{value}_histogram": M.histogram(rows, s, width, value)}
+        if value == "synapses":
+            out |= {"scaled": M.scaled(rows, s), "examples": (examples := durable(M.examples(rows, s, sources, targets)))}
+    return out | {"strongest_target": C.strongest_partner(m, examples), "strongest_source": C.strongest_partner(m, examples, "source")}

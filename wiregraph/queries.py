@@ -6,17 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.storage import durable
+from .operators import bitmaps as B
 from .operators import connectivity as C
 from .operators import convergence as V
+from .operators import cycles as Y
 from .operators import groups as G
+from .operators import marginals as M
 from .operators import nodes as N
 from .operators import paths as P
 from .operators import stats as S
+from .operators import thresholds as T
 from .operators import walks as W
 from .plans import analyses
 from .sources import derive
 
 THRESHOLD, HOPS = 46, 5
+#: Hops of the queries over all types at once.
+TYPE_HOPS = 3
+#: Thresholds that one run of the bottleneck expansion answers.
+THRESHOLDS = [30, 35, 40, 42, 44, 46, 47, 48, 49, 50]
 
 
 def _spec() -> dict:
@@ -40,6 +48,36 @@ class _Parts:
         return durable(N.node_table(rows))
 
 
+class _AllTypes:
+    """The thresholded part graph and a group for every type and brand of parts, their path sets as bitmaps."""
+
+    def __init__(self, spark: SparkSession, d: str):
+        self.edges = durable(G.threshold(derive.connections(spark, d, "l_partkey"), THRESHOLD))
+        cells = derive.part_annotations(spark, d).withColumn("kind", F.concat_ws(" ", "cell_type", "hemibrain_type"))
+        self.groups = durable(G.by_type(cells, "kind"))
+        self.names = B.numbered(self.groups)
+
+    def sets(self, **options) -> DataFrame:
+        return durable(B.path_sets(self.edges, B.members(self.groups, self.names), TYPE_HOPS, **options))
+
+    def shared(self) -> DataFrame:
+        return durable(B.shared_pairs(self.sets(), self.names))
+
+
+def _thresholded(per: str = "row", down: bool = True):
+    """The part graph's path rows for all thresholds, without a threshold before."""
+
+    def rows(s, d):
+        p = _Parts(s, d)
+        return durable(T.paths(p.all_edges, p.groups, HOPS, per=per, down=down))
+
+    return rows
+
+
+def _all_types(f):
+    return lambda s, d: f(_AllTypes(s, d))
+
+
 def _own(df: DataFrame, g: str) -> DataFrame:
     return df.where(F.col("grp") == g)
 
@@ -64,18 +102,28 @@ class _Meeting(_Parts):
 
 
 class _Panel:
-    """Suppliers grouped by nation: those of one region onto those of another."""
+    """Suppliers grouped by nation: those of one region onto those of another, or all onto all."""
 
-    def __init__(self, spark: SparkSession, d: str):
+    def __init__(self, spark: SparkSession, d: str, everything: bool = False):
         cells = durable(derive.supplier_annotations(spark, d))
         self.edges = durable(derive.connections(spark, d, "l_suppkey"))
-        self.sources = G.by_type(cells.where("hemibrain_type = 'ASIA'"))
-        self.targets = G.by_type(cells.where("hemibrain_type in ('ASIA', 'EUROPE')"))
+        self.sources = G.by_type(cells if everything else cells.where("hemibrain_type = 'ASIA'"))
+        self.targets = G.by_type(cells if everything else cells.where("hemibrain_type in ('ASIA', 'EUROPE')"))
         self.matrix = durable(C.matrix(self.edges, self.sources, self.targets))
 
     def marginals(self) -> DataFrame:
         return durable(C.marginals(self.matrix, self.edges, self.sources, self.targets))
 
+    def connected(self) -> DataFrame:
+        return durable(M.connected(self.matrix))
+
+    def summary(self, rows: DataFrame, value: str = "synapses", fill: bool = True) -> DataFrame:
+        return M.summary(rows, self.sources, self.targets, value, M.all_keys(self.edges, self.sources, self.targets) if fill else None)
+
+    def examples(self) -> DataFrame:
+        rows = self.connected()
+        return M.examples(rows, durable(self.summary(rows)), self.sources, self.targets)
+
 
 def _r(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
@@ -117,13 +165,22 @@ def _visit_query(first: bool, all_hits: bool):
 def _strongest(side: str):
     def query(s, d):
         p = _Panel(s, d)
-        return _r(C.strongest_partner(p.matrix, C.examples(p.marginals()), side), "strength")
+        return _r(C.strongest_partner(p.matrix, durable(p.examples()), side), "strength")
 
     return query
 
 
 def _marginal_stats(value: str):
-    return lambda s, d: _r(S.marginal_stats(_Panel(s, d).marginals(), value), "mean", "low", "high")
+    return _panel(lambda p: _r(M.stats(p.summary(p.connected(), value)), "mean", "low", "high"))
+
+
+def _histogram(width: int, value: str = "synapses", everything: bool = False):
+    def query(s, d):
+        p = _Panel(s, d, everything)
+        rows = p.connected()
+        return M.histogram(rows, p.summary(rows, value, not everything), width, value)
+
+    return query
 
 
 def _convergence(s, d):
@@ -133,7 +190,9 @@ def _convergence(s, d):
 
 def _connectivity(s, d):
     p = _Panel(s, d)
-    return _r(analyses.connectivity_panel(p.edges, p.sources, p.targets)["stats"], "mean", "low", "high")
+    out = analyses.connectivity_panel(p.edges, p.sources, p.targets)
+    both = [_r(out[f"{v}_stats"], "mean", "low", "high").select(F.lit(v).alias("value"), "*") for v in ("synapses", "partners")]
+    return both[0].unionByName(both[1])
 
 
 def _meeting(f):
@@ -194,6 +253,20 @@ def queries() -> dict:
         "analysis_pathways": lambda s, d: analyses.pathways((p := _Parts(s, d)).edges, p.groups, p.annotations, max_hops=HOPS)["nodes"],
         "analysis_convergence": _convergence,
         "analysis_connectivity": _connectivity,
+        "paths_all_types": _all_types(lambda t: B.hop_summary(t.sets(), t.names)),
+        "paths_all_types_upstream": _all_types(lambda t: B.hop_summary(t.sets(down=False), t.names)),
+        "paths_all_types_recurrent": _all_types(lambda t: B.hop_summary(t.sets(skip_recurrents=False), t.names)),
+        "all_types_intersections": _all_types(lambda t: B.intersections(t.shared())),
+        "all_types_degree_grids": _all_types(lambda t: B.degree_grids(t.shared())),
+        "all_types_cell_grids": _all_types(lambda t: B.cell_grids(t.sets(), t.names)),
+        "common_rows_of_types": _all_types(lambda t: B.common_rows(t.sets(), t.names, "LARGE Brand#4", "PROMO Brand#8")),
+        "strong_components": lambda s, d: Y.strong_components(_Parts(s, d).edges),
+        "initial_cells_recurrent": lambda s, d: Y.beginnings(durable(V.edge_intersection(_Parts(s, d).paths(skip_recurrents=False), "a", "b"))),
+        "beginnings_of_graph": lambda s, d: Y.beginnings(_Parts(s, d).edges),
+        "paths_by_threshold": lambda s, d: T.hop_summaries(_thresholded()(s, d), THRESHOLDS),
+        "paths_by_threshold_upstream": lambda s, d: T.hop_summaries(_thresholded(down=False)(s, d), THRESHOLDS),
+        "paths_by_pair_threshold": lambda s, d: T.hop_summaries(_thresholded("pair")(s, d), THRESHOLDS),
+        "threshold_after_paths": lambda s, d: T.at_threshold(_thresholded()(s, d), THRESHOLD),
         "connectivity_matrix": _panel(lambda p: C.of_all(p.matrix).where("source_group = 'NATION_12' and target_group = 'NATION_13'")),
         "connectivity_panel": _panel(lambda p: C.of_all(p.matrix)),
         "connectivity_by_transmitter": _panel(lambda p: p.matrix),
@@ -201,32 +274,44 @@ def queries() -> dict:
         "connectivity_dense": _panel(lambda p: C.dense(p.matrix, p.sources, p.targets, "NATION_12", "NATION_13")),
         "transmitter_totals": _panel(lambda p: C.transmitter_totals(p.matrix, p.edges)),
         "matrix_order": _panel(lambda p: C.order(p.marginals())),
-        "scaled_totals": _panel(lambda p: _r(C.scaled_totals(p.marginals()), "scaled")),
-        "example_cells": _panel(lambda p: C.examples(p.marginals())),
+        "scaled_totals": _panel(lambda p: _r(M.scaled(p.marginals(), p.summary(p.connected())), "scaled")),
+        "example_cells": _panel(lambda p: p.examples()),
         "strongest_partner": _strongest("target"),
         "strongest_source_partner": _strongest("source"),
         "marginal_stats": _marginal_stats("synapses"),
         "partner_stats": _marginal_stats("partners"),
-        "partner_histogram": _panel(lambda p: S.marginal_histogram(p.marginals(), 3, "partners")),
-        "marginal_histogram": _panel(lambda p: S.marginal_histogram(p.marginals(), 25)),
+        "partner_histogram": _histogram(3, "partners"),
+        "marginal_histogram": _histogram(25),
+        "panel_all_types": lambda s, d: _r(M.stats((p := _Panel(s, d, True)).summary(p.connected(), fill=False)), "mean", "low", "high"),
+        "panel_all_histogram": _histogram(2, "partners", True),
+        "panel_all_marginals": lambda s, d: _Panel(s, d, True).connected(),
+        "panel_all_examples": lambda s, d: _Panel(s, d, True).examples(),
+        "panel_all_scaled": lambda s, d: _r(M.scaled(rows := (p := _Panel(s, d, True)).connected(), p.summary(rows, fill=False)), "scaled"),
         "bootstrap_ci": _panel(lambda p: S.bootstrap_ci(p.marginals())),
     }
 
 
 _LEAD = "lead({k}) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)"
 _EDGES = "select pre, post, neuropil, cast(sum(q) as bigint) weight, transmitter from (select {k} pre, " + _LEAD + " post, l_returnflag neuropil, l_linestatus transmitter, cast(l_quantity as bigint) q from lineitem) where post is not null group by pre, post, neuropil, transmitter"
-_PARTS = f"""with recursive e0 as ({_EDGES.format(k="l_partkey")}), e as (select * from e0 where weight >= {THRESHOLD}),
-g as (select 'a' grp, p_partkey root_id from part where p_type = 'PROMO' and p_brand = 'Brand#8' union select 'b', p_partkey from part where p_type = 'LARGE' and p_brand = 'Brand#4'),
-wd as (select grp, root_id node, 0 hop from g union select grp, post, hop + 1 from wd join e on node = pre where hop < {HOPS}),
-wu as (select grp, root_id node, 0 hop from g union select grp, pre, hop + 1 from wu join e on node = post where hop < {HOPS}),
+
+
+def _parts_sql(groups: str, hops: int) -> str:
+    return f"""with recursive e0 as ({_EDGES.format(k="l_partkey")}), e as (select * from e0 where weight >= {THRESHOLD}),
+g as ({groups}),
+wd as (select grp, root_id node, 0 hop from g union select grp, post, hop + 1 from wd join e on node = pre where hop < {hops}),
+wu as (select grp, root_id node, 0 hop from g union select grp, pre, hop + 1 from wu join e on node = post where hop < {hops}),
 dd as (select grp, node, min(hop) d from wd group by all), du as (select grp, node, min(hop) d from wu group by all),
 p as (select a.grp, pre, post, neuropil, weight, transmitter, b.d as hop from e join dd a on pre = a.node join dd b on post = b.node and a.grp = b.grp and b.d = a.d + 1),
 pu as (select a.grp, pre, post, neuropil, weight, transmitter, -b.d as hop from e join du a on post = a.node join du b on pre = b.node and a.grp = b.grp and b.d = a.d + 1),
 pb as (select * from p union all select * from pu),
-pr as (select grp, pre, post, neuropil, weight, transmitter, w.hop + 1 as hop from e join wd w on pre = node where w.hop < {HOPS})
+pr as (select grp, pre, post, neuropil, weight, transmitter, w.hop + 1 as hop from e join wd w on pre = node where w.hop < {hops})
 """
 
 
+_PARTS = _parts_sql("select 'a' grp, p_partkey root_id from part where p_type = 'PROMO' and p_brand = 'Brand#8' union select 'b', p_partkey from part where p_type = 'LARGE' and p_brand = 'Brand#4'", HOPS)
+_TYPES = _parts_sql("select p_type || ' ' || p_brand grp, p_partkey root_id from part", TYPE_HOPS)
+
+
 def _nodes(p: str, name: str) -> str:
     key = "case when hop > 0 then abs(hop) else 1000 + abs(hop) end"
     return f"""{name}1 as (select grp, pre root_id, arg_min(hop, {key}) h from {p} group by all), {name}2 as (select grp, post root_id, arg_min(hop, {key}) h from {p} group by all),
@@ -261,8 +346,11 @@ _VISITS = _MEET + "," + _visits("va", "a", False) + "," + _visits("vb", "b", Fal
 ha as (select * from va where level = 0 or root_id in (select root_id from n where grp = 'b')), hb as (select * from vb where level = 0 or root_id in (select root_id from n where grp = 'a')),
 hf as (select * from fa where level = 0 or root_id in (select root_id from n where grp = 'b')), hg as (select * from fb where level = 0 or root_id in (select root_id from n where grp = 'a'))
 """
-_PANEL = f"""with e as ({_EDGES.format(k="l_suppkey")}), cells as (select s_suppkey root_id, n_name grp, r_name region from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey),
-s as (select grp source_group, root_id pre from cells where region = 'ASIA'), t as (select grp target_group, root_id post from cells where region in ('ASIA', 'EUROPE')),
+
+
+def _panel_sql(sources: str, targets: str) -> str:
+    return f"""with e as ({_EDGES.format(k="l_suppkey")}), cells as (select s_suppkey root_id, n_name grp, r_name region from supplier join nation on s_nationkey = n_nationkey join region on n_regionkey = r_regionkey),
+s as (select grp source_group, root_id pre from cells where {sources}), t as (select grp target_group, root_id post from cells where {targets}),
 x as (select source_group, target_group, transmitter, pre, post, weight from e join s using (pre) join t using (post)),
 m as (select source_group, target_group, transmitter, pre, post, cast(sum(weight) as bigint) synapses from x group by all union all select source_group, target_group, 'all', pre, post, cast(sum(weight) as bigint) from x group by all),
 kinds as (select distinct transmitter from e union select 'all'),
@@ -274,6 +362,9 @@ ex as (select source_group, target_group, side, cell, synapses, cast(r as int) s
 """
 
 
+_PANEL, _PANEL_ALL = _panel_sql("region = 'ASIA'", "region in ('ASIA', 'EUROPE')"), _panel_sql("true", "true")
+
+
 def _overlap(a: str, b: str) -> str:
     return _VISITS + f", o as (select a.level level_a, b.level level_b, sum(a.p * b.p) x from (select root_id, level, sum(p) p from {a} group by all) a join (select root_id, level, sum(p) p from {b} group by all) b using (root_id) where root_id in (select root_id from shared) group by all) select level_a, level_b, round(coalesce(x, 0) / (select sum(x) from o), 6) as share from grid left join o using (level_a, level_b)"
 
@@ -282,9 +373,26 @@ def _score(a: str, b: str) -> str:
     return _VISITS + f"select root_id, round(coalesce((select sum(p) from {a} where {a}.root_id = shared.root_id), 0) * coalesce((select sum(p) from {b} where {b}.root_id = shared.root_id), 0), 6) score from shared"
 
 
-def _stats(value: str) -> str:
-    half = f"{S.Z99} * stddev_pop({value}) / sqrt(count(*))"
-    return _PANEL + f"select source_group, target_group, transmitter, side, count(*) n, round(avg({value}), 6) mean, round(avg({value}) - {half}, 6) low, round(avg({value}) + {half}, 6) high from mg group by all"
+def _stats(value: str, panel: str = _PANEL, more: str = "") -> str:
+    half = f"{M.Z99} * stddev_pop({value}) / sqrt(count(*))"
+    return panel + f"select {more}source_group, target_group, transmitter, side, count(*) n, round(avg({value}), 6) mean, round(avg({value}) - {half}, 6) low, round(avg({value}) + {half}, 6) high from mg group by all"
+
+
+_REACH = ", cells as (select pre root_id from e union select post from e), reach as (select pre a, post b from e union select a, post from reach join e on pre = b)"
+_BEGIN = " select root_id from cells where not exists (select 1 from reach r where r.b = root_id and not exists (select 1 from reach q where q.a = r.b and q.b = r.a))"
+
+
+def _by_threshold(strength: str, near: str, far: str) -> str:
+    """Every threshold expanded by itself."""
+    groups = _PARTS[_PARTS.index("g as (") :].split("\nwd as")[0].rstrip(",")
+    return f"""with recursive e0 as ({_EDGES.format(k="l_partkey")}), s as (select *, {strength} strength from e0), ks as (select unnest({THRESHOLDS}) k), {groups},
+ek as (select k, s.* from s join ks on strength >= k), w as (select k, grp, root_id node, 0 hop from g, ks union select w.k, grp, {far}, hop + 1 from w join ek on node = {near} and w.k = ek.k where hop < {HOPS}),
+d as (select k, grp, node, min(hop) d from w group by all), p as (select e.k, a.grp, pre, post, weight, b.d hop from ek e join d a on a.k = e.k and e.{near} = a.node join d b on b.k = e.k and b.grp = a.grp and e.{far} = b.node and b.d = a.d + 1)
+select cast(k as int) threshold, grp, cast({'hop' if near == 'pre' else '-hop'} as int) hop, count(distinct {far}) cells, cast(sum(weight) as bigint) synapses, count(*) n_rows from p group by k, grp, hop"""
+
+
+_EACH = ", each_ as (select distinct grp, pre, post, hop from p), both_ as (select a.grp group_a, b.grp group_b, a.pre, a.post, a.hop hop_a, b.hop hop_b from each_ a join each_ b on a.pre = b.pre and a.post = b.post and a.grp < b.grp) "
+_ONLY = "select source_group, target_group, transmitter, side from mg group by all having sum(synapses) > 0"
 
 
 def _partner(mine: str, theirs: str, side: str) -> str:
@@ -347,7 +455,26 @@ def oracle_sql() -> dict[str, str]:
         "marginal_stats": _stats("synapses"),
         "partner_stats": _stats("partners"),
         "partner_histogram": _PANEL + f"select {keys}, transmitter, side, cast(partners // 3 as bigint) bin, count(*) cells from mg group by all",
-        "analysis_connectivity": _stats("synapses"),
+        "analysis_connectivity": _stats("synapses", more="'synapses' as value, ") + " having sum(synapses) > 0 union all select 'partners', * from (" + _stats("partners") + " having sum(synapses) > 0)",
+        "paths_all_types": _TYPES + _summary("p"),
+        "paths_all_types_upstream": _TYPES + _summary("pu"),
+        "paths_all_types_recurrent": _TYPES + _summary("pr"),
+        "all_types_intersections": _TYPES + _EACH + "select group_a, group_b, count(*) pairs from both_ group by all",
+        "all_types_degree_grids": _TYPES + _EACH + "select group_a, group_b, cast(hop_a - back as int) level_a, cast(hop_b - back as int) level_b, count(*) degree from both_, (select unnest([0, 1]) back) group by all",
+        "all_types_cell_grids": _TYPES + _EACH + "select group_a, group_b, cast(level_a as int) level_a, cast(level_b as int) level_b, count(*) cells, count(*) filter (leaves and not enters) initial_cells from (select group_a, group_b, cell, level_a, level_b, bool_or(leaves) leaves, bool_or(not leaves) enters from (select group_a, group_b, pre as cell, hop_a - 1 level_a, hop_b - 1 level_b, true leaves from both_ union all select group_a, group_b, post, hop_a, hop_b, false from both_) group by all) group by group_a, group_b, level_a, level_b",
+        "common_rows_of_types": _TYPES + "select * from p where grp = 'LARGE Brand#4' and (pre, post) in (select (pre, post) from p where grp = 'PROMO Brand#8')",
+        "strong_components": _PARTS + _REACH + "select root_id, least(root_id, coalesce(min(r.a), root_id)) component from cells left join (select x.a, x.b from reach x join reach y on x.a = y.b and x.b = y.a) r on r.b = root_id group by root_id",
+        "beginnings_of_graph": _PARTS + _REACH + _BEGIN,
+        "initial_cells_recurrent": _PARTS + ", c as (select distinct pre, post from pr where grp = 'a' and (pre, post) in (select (pre, post) from pr where grp = 'b'))" + _REACH.replace(" from e", " from c").replace(" join e ", " join c ") + _BEGIN,
+        "paths_by_threshold": _by_threshold("weight", "pre", "post"),
+        "paths_by_threshold_upstream": _by_threshold("weight", "post", "pre"),
+        "paths_by_pair_threshold": _by_threshold("sum(weight) over (partition by pre, post)", "pre", "post"),
+        "threshold_after_paths": _PARTS + "select * from p",
+        "panel_all_types": _stats("synapses", _PANEL_ALL) + " having sum(synapses) > 0",
+        "panel_all_histogram": _PANEL_ALL + f"select {keys}, transmitter, side, cast(partners // 2 as bigint) bin, count(*) cells from mg where ({keys}, transmitter, side) in ({_ONLY.replace('select ', 'select (', 1).replace(' from', ') from', 1)}) group by all",
+        "panel_all_marginals": _PANEL_ALL + "select * from mg where synapses > 0",
+        "panel_all_examples": _PANEL_ALL + "select * from ex",
+        "panel_all_scaled": _PANEL_ALL + f"select * from (select {keys}, side, cell, synapses, round(case when side = 'target' then synapses / nullif(max(synapses) over w, 0) else (synapses - min(synapses) over w) / nullif(max(synapses) over w - min(synapses) over w, 0) end, 6) scaled from mg where transmitter = 'all' window w as (partition by {keys}, side)) where synapses > 0",
         "analysis_pathways": _PARTS + "," + _nodes("p", "n") + "select grp, root_id, level, degree, p_type cell_type, p_brand hemibrain_type from n left join part on root_id = p_partkey",
         "analysis_convergence": _score("hf", "hg"),
         "convergence_score_first": _score("hf", "hg"),
