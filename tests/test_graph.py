@@ -250,7 +250,8 @@ def test_bitmaps_of_many_groups(spark):
     assert {(r.group_a, r.group_b): r.pairs for r in B.intersections(shared).collect()} == pairs
     assert {tuple(r)[:4]: r.degree for r in B.degree_grids(shared).collect()} == degree
     grid = {tuple(r)[:4]: (r.cells, r.initial_cells) for r in B.cell_grids(sets, names).collect()}
-    assert grid == {k: (n, Counter(c[:4] for c in leaves - enters)[k]) for k, n in Counter(c[:4] for c in leaves | enters).items()}
+    whole, first = Counter(c[:4] for c in leaves | enters), Counter(c[:4] for c in leaves - enters)
+    assert grid == {k: (n, first[k]) for k, n in whole.items()}
     assert {tuple(r) for r in B.common_rows(sets, names, "g001", "g002").select("pre", "post").collect()} == {p for p, gs in of.items() if {"g001", "g002"} <= {g for g, _ in gs}}
     assert P.paths(edges, groups.where("false"), 2).count() == 0
 
@@ -283,7 +284,7 @@ def test_every_threshold_from_one_run(spark, edges, per, down):
     more = edges.union(spark.createDataFrame([(random.randrange(9) + BASE, random.randrange(9) + BASE, "Z", random.randint(0, 14), "GLUT") for _ in range(40)], EDGES)).distinct().cache()
     groups = group(spark, A=[1, 5], B=[2])
     rows = T.paths(more, groups, 4, down=down, per=per).cache()
-    for k in (0, 1, 2, 4, 5, 7, 9, 12, 14, 40):
+    for k in (0, 4, 9, 14, 40):
         own = P.paths(G.threshold(more, k, per), groups, 4, downstream=down, upstream=not down)
         assert sorted(map(str, T.at_threshold(rows, k).collect())) == sorted(map(str, own.collect())), k
     assert T.hop_summaries(rows, [4, 9]).where("threshold = 9").drop("threshold").count() == P.hop_summary(T.at_threshold(rows, 9)).count()
