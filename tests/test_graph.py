@@ -20,7 +20,7 @@ from wiregraph.operators import thresholds as T
 from wiregraph.operators import walks as W
 from wiregraph.plans import analyses
 from wiregraph.schema import ANNOTATIONS, EDGES
-from wiregraph.sources import tables
+from wiregraph.sources import results, tables
 
 BASE = 720575940000000000
 ROWS = [(1, 3, "X", 10, "ACH"), (1, 4, "X", 5, "GABA"), (1, 4, "Y", 6, "GABA"), (2, 4, "X", 8, "ACH"), (2, 5, "Y", 2, "GLUT"), (3, 3, "X", 2, "ACH"), (3, 4, "X", 1, "ACH"), (3, 6, "X", 6, "ACH"), (4, 6, "Y", 4, "GABA"), (4, 7, "Y", 12, "GABA"), (5, 7, "X", 3, "GLUT"), (6, 1, "Y", 7, "ACH"), (7, 8, "X", 9, "ACH")]
@@ -105,7 +105,7 @@ def test_connectivity(spark, edges):
     assert back == {6: ("ACH", 3, 6), 7: ("GABA", 4, 12)}
     same = C.marginals(C.matrix(edges, s, s), edges, s, s).where("transmitter = 'all' and side = 'source'")
     assert {r.cell - BASE: r.synapses for r in same.collect()} == {3: 3, 4: 0}
-    exact, boot = M.stats(M.summary(rows, s, t, fill=M.all_keys(edges, s, t))), S.bootstrap_ci(marg, reps=500)
+    exact, boot = M.stats(M.summary(rows, s, t, fill=M.all_keys(edges, s, t))), S.bootstrap_ci(rows, s, t, reps=500)
     j = exact.join(boot, M.KEYS).select(exact["mean"] == boot["mean"], boot["low"] <= boot["mean"], boot["mean"] <= boot["high"]).collect()
     assert j and all(all(r) for r in j)
 
@@ -120,16 +120,76 @@ def test_analyses(spark, edges, annotations):
     assert {r.side: (r.n, r["mean"]) for r in panel["partners_stats"].where("transmitter = 'all'").collect()} == {"source": (2, 1.5), "target": (2, 1.5)}
 
 
-def test_bootstrap_of_large_groups(spark):
-    """A group of any size, in one part or more, has a percentile interval at the level asked for."""
-    sql = "select 's' source_group, 't' target_group, 'all' transmitter, 'source' side, cast(if(id < 3, 70000 + id, if({x}, id, 0)) as bigint) synapses from range(250000)"
-    few, many = (spark.sql(sql.format(x=x)) for x in ("false", "id % 4 = 0"))
-    wide, narrow = (S.bootstrap_ci(few, reps=400, level=v).first() for v in (0.99, 0.5))
-    assert wide["n"] == 250_000 and 0 <= wide["low"] <= narrow["low"] <= narrow["mean"] <= narrow["high"] <= wide["high"] and wide["high"] - wide["low"] > narrow["high"] - narrow["low"]
-    groups = [spark.sql(f"select '{g}' grp, id root_id from range({n})") for g, n in (("s", 250_000), ("t", 1))]
-    exact, boot = M.stats(M.summary(many.withColumn("cell", F.monotonically_increasing_id()), *groups)).first(), S.bootstrap_ci(many, reps=400).first()
-    assert boot["n"] == exact["n"] and boot["mean"] == pytest.approx(exact["mean"])
-    assert [boot["low"] - boot["mean"], boot["high"] - boot["mean"]] == pytest.approx([exact["low"] - exact["mean"], exact["high"] - exact["mean"]], rel=0.25)
+def test_bootstrap(spark):
+    """The weights by the definition; a group's interval, cells without a connection included, agrees with the closed form."""
+    import hashlib
+    import math
+
+    rows = spark.sql("select 's' source_group, 't' target_group, 'all' transmitter, 'source' side, id cell, id % 7 + 1 synapses, 1L partners from range(300)")
+    s, t = spark.sql("select 's' grp, id root_id from range(1000)"), spark.sql("select 't' grp, 5L root_id")
+    got = S.bootstrap_ci(rows, s, t, reps=200).first()
+
+    def drawn(rep, cell):
+        u, k, at = int(hashlib.md5(f"{rep}:{cell}".encode()).hexdigest()[:8], 16) / 2**32, 0, math.exp(-1)
+        while u >= at:
+            k += 1
+            at += math.exp(-1) / math.factorial(k)
+        return k
+
+    means = []
+    for rep in range(1, 201):
+        w = [drawn(rep, c) for c in range(1000)]
+        means.append(sum(w[c] * (c % 7 + 1) for c in range(300)) / sum(w))
+    means.sort()
+    at = lambda p: means[int(p * 199)] + (p * 199 - int(p * 199)) * (means[min(199, int(p * 199) + 1)] - means[int(p * 199)])
+    assert (got["n"], got["mean"], got["low"], got["high"]) == (1000, pytest.approx(sum(c % 7 + 1 for c in range(300)) / 1000), pytest.approx(at(0.005)), pytest.approx(at(0.995)))
+    exact = M.stats(M.summary(rows, s, t)).first()
+    assert [got["low"] - got["mean"], got["high"] - got["mean"]] == pytest.approx([exact["low"] - exact["mean"], exact["high"] - exact["mean"]], rel=0.3)
+
+
+def test_kept_results(spark, edges, tmp_path):
+    """A second run reads, a changed edge table, other options or other cells compute again, a killed write is never read."""
+    folder, calls = str(tmp_path / "kept"), []
+
+    def ask(edges, groups, hops=3, stop=False):
+        def compute(g):
+            calls.append(sorted(r[0] for r in g.select("grp").distinct().collect()))
+            out = P.paths(edges, g, hops)
+            return out.withColumn("hop", F.when(F.col("post") == 8 + BASE, F.raise_error(F.lit("killed")).cast("int")).otherwise(F.col("hop"))) if stop else out
+
+        del calls[:]
+        return sorted(map(str, results.kept(folder, "paths", edges, groups, {"hops": hops}, compute).collect()))
+
+    plain = lambda e, g, hops=3: sorted(map(str, P.paths(e, g, hops).collect()))
+    a, both = group(spark, **{"1": [1]}), group(spark, **{"1": [1], "b": [2], "none": [99]})
+    with pytest.raises(Exception, match="killed"):
+        ask(edges, a, stop=True)
+    assert ask(edges, a) == plain(edges, a) and calls == [["1"]]
+    assert ask(edges.repartition(3), a) == plain(edges, a) and calls == [[]]
+    assert ask(edges, both) == plain(edges, both) and calls == [["b", "none"]]
+    assert ask(edges, both) == plain(edges, both) and calls == [[]]
+    assert ask(edges, a) == plain(edges, a)
+    fewer = edges.where("weight > 1")
+    assert ask(fewer, both) == plain(fewer, both) and calls == [["1", "b", "none"]]
+    assert ask(edges, both, 2) == plain(edges, both, 2) and calls == [["1", "b", "none"]]
+    other = group(spark, **{"1": [1, 2], "b": [2]})
+    assert ask(edges, other) == plain(edges, other) and calls == [["1"]]
+
+
+def test_laid_out_edges(spark, edges):
+    """Neither a hop nor a level of visits moves the edges: what is shuffled is the other side alone."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        by = tables.laid_out(edges)
+        frontier = group(spark, A=[1, 2]).repartition(5)
+        for end in ("pre", "post"):
+            joined = frontier.join(by[end], frontier["root_id"] == by[end][end])
+            plan = joined._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan.replace("SelectedBucketsCount", "") or "bucketed" in plan.lower()
+            assert joined.count() == edges.join(frontier, edges[end] == frontier["root_id"]).count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
 def test_sources_and_groups(spark, edges, annotations, tmp_path):

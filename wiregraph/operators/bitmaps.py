@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranks import running
-from ..functions.storage import durable
+from ..functions.storage import bucketed, durable
 from ..schema import PATH, ROW
 
 WORD = 64
@@ -61,7 +61,7 @@ def expand(adjacency: DataFrame, start: DataFrame, max_hops: int, revisit: bool
 def path_sets(edges: DataFrame, start: DataFrame, max_hops: int, down: bool = True, skip_recurrents: bool = True) -> DataFrame:
     """Connection rows with `hop`, `word` and `bits`: the groups on whose pathways the row is at that hop (negative upstream)."""
     near, far = ("pre", "post") if down else ("post", "pre")
-    adjacency = durable(edges.select(F.col(near).alias("src"), F.col(far).alias("dst")).distinct())
+    adjacency = bucketed(edges.select(F.col(near).alias("src"), F.col(far).alias("dst")).distinct(), "src")
     sign = 1 if down else -1
     if skip_recurrents:
         # a row is kept at hop h exactly if its ends are h - 1 and h hops from the roots

@@ -2,57 +2,39 @@
 
 from __future__ import annotations
 
-import zlib
+import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .marginals import KEYS
+from .marginals import KEYS, members
 
-#: Different values of a group in one part, and resamples drawn at once.
-PART_VALUES, STEP = 50_000, 256
+#: A drawn number below 2^32 * CDF(k) of the Poisson distribution with mean 1 stands for a weight of at most k.
+WEIGHTS = [int(2**32 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(12)]
 
 
-def _with(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join on keys that may be null."""
-    named = other.toDF(*[f"_{c}" if c in keys else c for c in other.columns])
-    return df.join(named, [df[k].eqNullSafe(named[f"_{k}"]) for k in keys]).drop(*[f"_{k}" for k in keys])
+def weight(replicate: Column, cell: Column) -> Column:
+    """How often a cell is drawn in a replicate: Poisson with mean 1, from the md5 of both, so any engine gives the same."""
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", replicate.cast("string"), cell.cast("string"))), 1, 8), 16, 10).cast("long")
+    return sum(((u >= F.lit(w)).cast("int") for w in WEIGHTS), F.lit(0))
 
 
-def bootstrap_ci(marg: DataFrame, value: str = "synapses", reps: int = 10_000, level: float = 0.99, seed: int = 1) -> DataFrame:
-    """(keys, n, mean, low, high): percentile intervals of resampled means, for groups of every size alike.
+def bootstrap_ci(rows: DataFrame, sources: DataFrame, targets: DataFrame, value: str = "synapses", reps: int = 10_000, level: float = 0.99) -> DataFrame:
+    """(keys, n, mean, low, high): percentile intervals of resampled means over `connected` rows, cells without a connection included.
 
-    Groups are resampled as histograms of their different values, in parts that bound what a task holds: a part's share
-    of a resample's n draws is a multinomial draw over the parts' sizes, and its sum a multinomial draw over its values.
-    Draws depend on the seed and the names of group and part alone.
+    Poisson bootstrap: a replicate's mean is the weighted one, and a cell has one weight in a replicate wherever it
+    counts. So the weights of a group add up once for all its pairs and transmitters, and cells without a connection need
+    no rows. Nothing is held per group but its replicates' sums. Replicates that draw no cell of a group are left out.
     """
-    tail, names = 100 * (1 - level) / 2, ", ".join(f"{k} string" for k in KEYS)
-
-    def draw(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("v")
-        v, c, sizes, part = g["v"].to_numpy(float), g["c"].to_numpy(float), np.asarray(g["sizes"].iloc[0], np.int64), int(key[-1])
-        name = zlib.crc32(repr(key[:-1]).encode())
-        # every part of a group draws the same shares of all parts
-        shares, own = np.random.default_rng([seed, name]), np.random.default_rng([seed, name, part])
-        sums = []
-        step = max(1, min(STEP, 4_000_000 // max(len(v), len(sizes))))
-        for at in range(0, reps, step):
-            n = shares.multinomial(int(sizes.sum()), sizes / sizes.sum(), min(step, reps - at))[:, part]
-            sums.append(own.multinomial(n, c / c.sum()) @ v)
-        return pd.DataFrame({**dict(zip(KEYS, key)), "n": [int(c.sum())], "total": [float(c @ v)], "sums": [np.concatenate(sums)]})
-
-    def interval(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        n = int(g["n"].sum())
-        low, high = np.percentile(np.sum(list(g["sums"]), axis=0) / n, [tail, 100 - tail])
-        return pd.DataFrame([(*key, n, g["total"].sum() / n, low, high)])
-
-    histogram = marg.groupBy(*KEYS, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    kinds = histogram.groupBy(*KEYS).agg(F.ceil(F.count("*") / PART_VALUES).alias("parts"))
-    parted = _with(histogram, kinds, KEYS).withColumn("part", F.pmod(F.xxhash64("v"), F.col("parts")))
-    found = parted.groupBy(*KEYS, "part").agg(F.sum("c").alias("size")).groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("part", "size"))).alias("s"))
-    # parts without values leave no gap in the numbers
-    sizes = found.select(*KEYS, F.posexplode("s").alias("at", "x"), F.col("s.size").alias("sizes")).select(*KEYS, F.col("x.part").alias("part"), F.col("at").cast("int").alias("at"), "sizes")
-    sums = _with(parted, sizes, [*KEYS, "part"]).select(*KEYS, "at", "v", "c", "sizes").groupBy(*KEYS, "at").applyInPandas(draw, f"{names}, n long, total double, sums array<double>")
-    return sums.groupBy(*KEYS).applyInPandas(interval, f"{names}, n long, mean double, low double, high double")
+    times = F.explode(F.sequence(F.lit(1), F.lit(reps)))
+    all_cells = members(sources, targets)
+    drawn = all_cells.withColumn("rep", times).groupBy("side", "grp", "rep").agg(F.sum(weight(F.col("rep"), F.col("cell"))).alias("drawn"))
+    size = all_cells.groupBy("side", "grp").agg(F.count("*").alias("n"))
+    sums = rows.select(*KEYS, "cell", value).withColumn("rep", times).groupBy(*KEYS, "rep").agg(F.sum(weight(F.col("rep"), F.col("cell")) * F.col(value)).alias("s"))
+    own = F.when(F.col("side") == "source", F.col("source_group")).otherwise(F.col("target_group")).alias("grp")
+    means = sums.withColumn("grp", own).join(drawn, ["side", "grp", "rep"]).where("drawn > 0").withColumn("m", F.col("s") / F.col("drawn"))
+    tail = (1 - level) / 2
+    bounds = means.groupBy(*KEYS, "grp").agg(F.percentile("m", F.array(F.lit(tail), F.lit(1 - tail))).alias("q"))
+    total = rows.groupBy(*KEYS).agg(F.sum(value).alias("total"))
+    out = bounds.join(total, KEYS).join(size, ["side", "grp"])
+    return out.select(*KEYS, "n", (F.col("total") / F.col("n")).alias("mean"), F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))

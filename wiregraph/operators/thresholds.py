@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.storage import durable
+from ..functions.storage import bucketed, durable
 from ..schema import PATH, ROW, require
 
 #: Stands for no limit at the roots.
@@ -53,7 +53,7 @@ def paths(edges: DataFrame, groups: DataFrame, max_hops: int = 5, *, down: bool
     """
     near, far = ("pre", "post") if down else ("post", "pre")
     e = durable(_strength(require(edges, *ROW).select(*ROW), per))
-    adjacency = durable(e.groupBy(F.col(near).alias("src"), F.col(far).alias("dst")).agg(F.max("strength").alias("strength")))
+    adjacency = bucketed(e.groupBy(F.col(near).alias("src"), F.col(far).alias("dst")).agg(F.max("strength").alias("strength")), "src")
     d = distances(adjacency, groups, max_hops)
     a = d.select("grp", F.col("node").alias(near), (F.col("d") + 1).alias("d"), F.col("least").alias("la"), F.col("most").alias("ma"))
     b = d.select("grp", F.col("node").alias(far), "d", F.col("least").alias("lb"), F.col("most").alias("mb"))

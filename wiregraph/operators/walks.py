@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ranks import running
-from ..functions.storage import durable
+from ..functions.storage import bucketed, durable
 from .groups import collapse
 
 
@@ -29,8 +29,8 @@ def expected_visits(trans: DataFrame, starts: DataFrame, max_level: int, *, abso
     """
     keys = ["start", "root_id"] if per_start else ["root_id"]
     state = starts.select("root_id").distinct().withColumn("start", F.col("root_id")).withColumn("p", F.lit(1.0)).select(*keys, "p")
-    # read once a level, so made once
-    step, stop = durable(trans.select(F.col("pre").alias("root_id"), "post", F.col("p").alias("share"))), None if absorb is None else durable(absorb.select("root_id").distinct())
+    # joined once a level, so laid out for it
+    step, stop = bucketed(trans.select(F.col("pre").alias("root_id"), "post", F.col("p").alias("share")), "root_id"), None if absorb is None else durable(absorb.select("root_id").distinct())
     out = state.withColumn("level", F.lit(0))
     for level in range(1, max_level + 1):
         moving = state if stop is None or level == 1 else state.join(stop, "root_id", "left_anti")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.storage import durable
+from .functions.storage import durable, shared_dir
 from .operators import bitmaps as B
 from .operators import connectivity as C
 from .operators import convergence as V
@@ -18,9 +20,11 @@ from .operators import stats as S
 from .operators import thresholds as T
 from .operators import walks as W
 from .plans import analyses
-from .sources import derive
+from .sources import derive, results, tables
 
 THRESHOLD, HOPS = 46, 5
+#: Replicates of the registered bootstraps.
+BOOT_REPS = 2000
 #: Hops of the queries over all types at once.
 TYPE_HOPS = 3
 #: Thresholds that one run of the bottleneck expansion answers.
@@ -208,6 +212,29 @@ def _pair_thresholded(s, d):
     return G.collapse(G.threshold(e, 150, per="pair"))
 
 
+def _from_csv(s, d):
+    """The part graph as an older export, with a sentinel for cells without a partner and other names in the header, read back."""
+    e = derive.connections(s, d, "l_partkey")
+    lone = e.select("pre").distinct().selectExpr("pre", "-1L as post", "'' as neuropil", "1L as weight", "'' as transmitter")
+    path = f"{shared_dir(s)}/{uuid.uuid4().hex}.csv"
+    e.unionByName(lone).toDF("a", "b", "c", "d", "e").write.option("header", True).csv(path)
+    return tables.without_sentinel(tables.read_connections(s, path))
+
+
+def _from_tsv(s, d):
+    path = f"{shared_dir(s)}/{uuid.uuid4().hex}.tsv"
+    derive.part_annotations(s, d).write.option("header", True).option("sep", "\t").csv(path)
+    return tables.read_annotations(s, path)
+
+
+def _kept(s, d):
+    """Path rows of one group computed and kept, then asked for with both: the first is read, the second computed."""
+    p, folder = _Parts(s, d), f"{shared_dir(s)}/{uuid.uuid4().hex}"
+    ask = lambda groups: results.kept(folder, "paths", p.edges, groups, {"hops": HOPS}, lambda g: P.paths(p.edges, g, HOPS))
+    ask(_own(p.groups, "a"))
+    return ask(p.groups)
+
+
 def queries() -> dict:
     return {
         "edges_thresholded": lambda s, d: G.threshold(derive.connections(s, d, "l_partkey"), THRESHOLD),
@@ -267,6 +294,9 @@ def queries() -> dict:
         "paths_by_threshold_upstream": lambda s, d: T.hop_summaries(_thresholded(down=False)(s, d), THRESHOLDS),
         "paths_by_pair_threshold": lambda s, d: T.hop_summaries(_thresholded("pair")(s, d), THRESHOLDS),
         "threshold_after_paths": lambda s, d: T.at_threshold(_thresholded()(s, d), THRESHOLD),
+        "connections_from_csv": _from_csv,
+        "annotations_from_tsv": _from_tsv,
+        "kept_paths": _kept,
         "connectivity_matrix": _panel(lambda p: C.of_all(p.matrix).where("source_group = 'NATION_12' and target_group = 'NATION_13'")),
         "connectivity_panel": _panel(lambda p: C.of_all(p.matrix)),
         "connectivity_by_transmitter": _panel(lambda p: p.matrix),
@@ -287,7 +317,8 @@ def queries() -> dict:
         "panel_all_marginals": lambda s, d: _Panel(s, d, True).connected(),
         "panel_all_examples": lambda s, d: _Panel(s, d, True).examples(),
         "panel_all_scaled": lambda s, d: _r(M.scaled(rows := (p := _Panel(s, d, True)).connected(), p.summary(rows, fill=False)), "scaled"),
-        "bootstrap_ci": _panel(lambda p: S.bootstrap_ci(p.marginals())),
+        "bootstrap_ci": _panel(lambda p: _r(S.bootstrap_ci(p.connected(), p.sources, p.targets, reps=BOOT_REPS), "mean", "low", "high")),
+        "bootstrap_ci_partners": _panel(lambda p: _r(S.bootstrap_ci(p.connected(), p.sources, p.targets, "partners", reps=BOOT_REPS), "mean", "low", "high")),
     }
 
 
@@ -392,6 +423,14 @@ select cast(k as int) threshold, grp, cast({'hop' if near == 'pre' else '-hop'}
 
 
 _EACH = ", each_ as (select distinct grp, pre, post, hop from p), both_ as (select a.grp group_a, b.grp group_b, a.pre, a.post, a.hop hop_a, b.hop hop_b from each_ a join each_ b on a.pre = b.pre and a.post = b.post and a.grp < b.grp) "
+def _boot(value: str) -> str:
+    weight = " + ".join(f"cast(u >= {w} as int)" for w in S.WEIGHTS)
+    return _PANEL + f""", reps as (select unnest(range(1, {BOOT_REPS} + 1)) rep), w as (select cell, rep, {weight} w from (select cell, rep, ('0x' || substr(md5(rep || ':' || cell), 1, 8))::bigint u from (select distinct cell from mg), reps)),
+ms as (select source_group, target_group, transmitter, side, rep, sum(w * {value}) / nullif(sum(w), 0) m from mg join w using (cell) group by all),
+q as (select source_group, target_group, transmitter, side, quantile_cont(m, {(1 - 0.99) / 2}) low, quantile_cont(m, {1 - (1 - 0.99) / 2}) high from ms group by all)
+select source_group, target_group, transmitter, side, count(*) n, round(avg({value}), 6) mean, round(any_value(low), 6) low, round(any_value(high), 6) high from mg join q using (source_group, target_group, transmitter, side) group by all having sum(synapses) > 0"""
+
+
 _ONLY = "select source_group, target_group, transmitter, side from mg group by all having sum(synapses) > 0"
 
 
@@ -470,6 +509,11 @@ def oracle_sql() -> dict[str, str]:
         "paths_by_threshold_upstream": _by_threshold("weight", "post", "pre"),
         "paths_by_pair_threshold": _by_threshold("sum(weight) over (partition by pre, post)", "pre", "post"),
         "threshold_after_paths": _PARTS + "select * from p",
+        "bootstrap_ci": _boot("synapses"),
+        "bootstrap_ci_partners": _boot("partners"),
+        "connections_from_csv": f"with e as ({_EDGES.format(k='l_partkey')}) select pre, post, neuropil, weight, transmitter from e",
+        "annotations_from_tsv": "select p_partkey root_id, p_type cell_type, p_brand hemibrain_type from part",
+        "kept_paths": _PARTS + "select * from p",
         "panel_all_types": _stats("synapses", _PANEL_ALL) + " having sum(synapses) > 0",
         "panel_all_histogram": _PANEL_ALL + f"select {keys}, transmitter, side, cast(partners // 2 as bigint) bin, count(*) cells from mg where ({keys}, transmitter, side) in ({_ONLY.replace('select ', 'select (', 1).replace(' from', ') from', 1)}) group by all",
         "panel_all_marginals": _PANEL_ALL + "select * from mg where synapses > 0",

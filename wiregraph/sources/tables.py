@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import bucketed
 from ..schema import ANNOTATIONS, EDGES, ROW, require
 
 
@@ -43,3 +44,9 @@ def save(results: dict[str, DataFrame], folder: str, partition_by: dict[str, str
 
 def load(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame]:
     return {n: spark.read.parquet(f"{folder}/{n}") for n in names}
+
+
+def laid_out(edges: DataFrame) -> dict[str, DataFrame]:
+    """The connections twice, in sorted buckets of `pre` and of `post`, for analyses that join them by either end many times."""
+    rows = require(edges, *ROW).select(*ROW)
+    return {end: bucketed(rows, end) for end in ("pre", "post")}
