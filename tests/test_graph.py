@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from wiregraph.functions import hubs
 from wiregraph.functions.ranks import running
 from wiregraph.operators import bitmaps as B
 from wiregraph.operators import connectivity as C
@@ -348,3 +349,21 @@ def test_every_threshold_from_one_run(spark, edges, per, down):
         own = P.paths(G.threshold(more, k, per), groups, 4, downstream=down, upstream=not down)
         assert sorted(map(str, T.at_threshold(rows, k).collect())) == sorted(map(str, own.collect())), k
     assert T.hop_summaries(rows, [4, 9]).where("threshold = 9").drop("threshold").count() == P.hop_summary(T.at_threshold(rows, 9)).count()
+
+
+def test_hubs_in_parts(spark, monkeypatch):
+    """A cell with most of the edges is spread over many parts; hops, visits and thresholds come out as without."""
+    monkeypatch.setattr(hubs, "HUB_EDGES", 20)
+    random.seed(9)
+    pairs = {(0, i) for i in range(1, 400)} | {(i, 0) for i in range(1, 400, 7)} | {(random.randrange(400), random.randrange(400)) for _ in range(200)}
+    edges = spark.createDataFrame([(a, b, "X", random.randint(1, 9), "p") for a, b in sorted(pairs)], EDGES).cache()
+    laid = hubs.FromEnd(edges.select("pre", "post"), "pre", "post")
+    of = Counter(map(tuple, laid.edges.select("pre", "_part").collect()))
+    assert len([k for k in of if k[0] == 0]) >= 15 and max(of.values()) <= 60 and sum(of.values()) == len(pairs)
+    groups = spark.createDataFrame([("g", 7), ("g", 14), ("h", 3)], "grp string, root_id long")
+    trans = W.transitions(edges)
+    few = [P.hop_summary(P.paths(edges, groups, 3)), T.hop_summaries(T.paths(edges, groups, 3), [1, 5]), W.expected_visits(trans, groups, 3).select("start", "level", "root_id", F.round("p", 9))]
+    few = [sorted(map(str, x.collect())) for x in few]
+    monkeypatch.setattr(hubs, "HUB_EDGES", 10_000)
+    many = [P.hop_summary(P.paths(edges, groups, 3)), T.hop_summaries(T.paths(edges, groups, 3), [1, 5]), W.expected_visits(trans, groups, 3).select("start", "level", "root_id", F.round("p", 9))]
+    assert few == [sorted(map(str, x.collect())) for x in many] and all(few)

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.hubs import FromEnd
 from ..functions.ranks import running
-from ..functions.storage import bucketed, durable
+from ..functions.storage import durable
 from ..schema import PATH, ROW
 
 WORD = 64
@@ -39,7 +40,7 @@ def unpack(df: DataFrame, names: DataFrame) -> DataFrame:
     return df.withColumn("bit", F.explode(bits_of())).join(names, ["word", "bit"]).drop("word", "bit", "bits")
 
 
-def expand(adjacency: DataFrame, start: DataFrame, max_hops: int, revisit: bool = False) -> DataFrame:
+def expand(adjacency: FromEnd, start: DataFrame, max_hops: int, revisit: bool = False) -> DataFrame:
     """(node, word, bits, d): the groups that reach a cell first in d steps, or with `revisit` by any walk of d steps.
 
     Each hop is one join and one merge for all groups, is written, and an empty hop ends the loop.
@@ -47,7 +48,7 @@ def expand(adjacency: DataFrame, start: DataFrame, max_hops: int, revisit: bool
     frontier = durable(start)
     out = frontier.withColumn("d", F.lit(0))
     for hop in range(1, max_hops + 1):
-        reached = frontier.join(adjacency, frontier["node"] == adjacency["src"]).groupBy(F.col("dst").alias("node"), "word").agg(F.expr("bit_or(bits)").alias("bits"))
+        reached = adjacency.meet(frontier, "node").groupBy(F.col("dst").alias("node"), "word").agg(F.expr("bit_or(bits)").alias("bits"))
         if not revisit:
             seen = out.groupBy("node", "word").agg(F.expr("bit_or(bits)").alias("old"))
             reached = reached.join(seen, ["node", "word"], "left").selectExpr("node", "word", "bits & ~coalesce(old, 0L) as bits").where("bits != 0")
@@ -61,7 +62,7 @@ def expand(adjacency: DataFrame, start: DataFrame, max_hops: int, revisit: bool
 def path_sets(edges: DataFrame, start: DataFrame, max_hops: int, down: bool = True, skip_recurrents: bool = True) -> DataFrame:
     """Connection rows with `hop`, `word` and `bits`: the groups on whose pathways the row is at that hop (negative upstream)."""
     near, far = ("pre", "post") if down else ("post", "pre")
-    adjacency = bucketed(edges.select(F.col(near).alias("src"), F.col(far).alias("dst")).distinct(), "src")
+    adjacency = FromEnd(edges.select(F.col(near).alias("src"), F.col(far).alias("dst")).distinct(), "src", "dst")
     sign = 1 if down else -1
     if skip_recurrents:
         # a row is kept at hop h exactly if its ends are h - 1 and h hops from the roots

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.storage import bucketed, durable
+from ..functions.hubs import FromEnd
+from ..functions.storage import durable
 from ..schema import PATH, ROW, require
 
 #: Stands for no limit at the roots.
@@ -26,7 +27,7 @@ def _strength(edges: DataFrame, per: str) -> DataFrame:
     return edges.withColumn("strength", F.sum("weight").over(Window.partitionBy("pre", "post")))
 
 
-def distances(adjacency: DataFrame, groups: DataFrame, max_hops: int) -> DataFrame:
+def distances(adjacency: FromEnd, groups: DataFrame, max_hops: int) -> DataFrame:
     """(grp, node, d, least, most): thresholds from `least` to `most` at which a cell is d hops from its group.
 
     `adjacency` has (src, dst, strength), a row a pair. Only what is wider than at all earlier hops goes on.
@@ -34,7 +35,7 @@ def distances(adjacency: DataFrame, groups: DataFrame, max_hops: int) -> DataFra
     moving = durable(groups.selectExpr("grp", "root_id node").distinct().withColumn("most", F.lit(NO_LIMIT)))
     out = moving.select("grp", "node", F.lit(0).alias("d"), F.lit(0).cast("long").alias("least"), "most")
     for hop in range(1, max_hops + 1):
-        reached = moving.join(adjacency, moving["node"] == adjacency["src"]).groupBy("grp", F.col("dst").alias("node")).agg(F.max(F.least("most", "strength")).alias("most"))
+        reached = adjacency.meet(moving, "node").groupBy("grp", F.col("dst").alias("node")).agg(F.max(F.least("most", "strength")).alias("most"))
         before = out.groupBy("grp", "node").agg(F.max("most").alias("before"))
         # no wider than before: reached as soon at each threshold
         wider = reached.join(before, ["grp", "node"], "left").where("before is null or most > before")
@@ -53,7 +54,7 @@ def paths(edges: DataFrame, groups: DataFrame, max_hops: int = 5, *, down: bool
     """
     near, far = ("pre", "post") if down else ("post", "pre")
     e = durable(_strength(require(edges, *ROW).select(*ROW), per))
-    adjacency = bucketed(e.groupBy(F.col(near).alias("src"), F.col(far).alias("dst")).agg(F.max("strength").alias("strength")), "src")
+    adjacency = FromEnd(e.groupBy(F.col(near).alias("src"), F.col(far).alias("dst")).agg(F.max("strength").alias("strength")), "src", "dst")
     d = distances(adjacency, groups, max_hops)
     a = d.select("grp", F.col("node").alias(near), (F.col("d") + 1).alias("d"), F.col("least").alias("la"), F.col("most").alias("ma"))
     b = d.select("grp", F.col("node").alias(far), "d", F.col("least").alias("lb"), F.col("most").alias("mb"))

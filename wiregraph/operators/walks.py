@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hubs import FromEnd
 from ..functions.ranks import running
-from ..functions.storage import bucketed, durable
+from ..functions.storage import durable
 from .groups import collapse
 
 
@@ -25,16 +26,16 @@ def expected_visits(trans: DataFrame, starts: DataFrame, max_level: int, *, abso
     """(start, level, root_id, p): the exact mean number of visits of one walk from each start; mass with no way on ends.
 
     `absorb` (root_id): first hits; mass that reaches these cells at level 1 or later is counted there and goes no further.
-    Without per_start the starts are summed and `start` is left out, which keeps the state to cells.
+    Each level is a sparse product: the state's rows meet the edges of their cell, hubs in parts, and add up by target. Without per_start the starts are summed and `start` is left out, which keeps the state to cells.
     """
     keys = ["start", "root_id"] if per_start else ["root_id"]
     state = starts.select("root_id").distinct().withColumn("start", F.col("root_id")).withColumn("p", F.lit(1.0)).select(*keys, "p")
     # joined once a level, so laid out for it
-    step, stop = bucketed(trans.select(F.col("pre").alias("root_id"), "post", F.col("p").alias("share")), "root_id"), None if absorb is None else durable(absorb.select("root_id").distinct())
+    step, stop = FromEnd(trans.select("pre", "post", F.col("p").alias("share")), "pre", "post"), None if absorb is None else durable(absorb.select("root_id").distinct())
     out = state.withColumn("level", F.lit(0))
     for level in range(1, max_level + 1):
         moving = state if stop is None or level == 1 else state.join(stop, "root_id", "left_anti")
-        moved = moving.join(step, "root_id").withColumn("root_id", F.col("post")).groupBy(*keys).agg(F.sum(F.col("p") * F.col("share")).alias("p"))
+        moved = step.meet(moving, "root_id").withColumn("root_id", F.col("post")).groupBy(*keys).agg(F.sum(F.col("p") * F.col("share")).alias("p"))
         state = durable(moved)
         if state.isEmpty():
             break
