@@ -127,19 +127,33 @@ def degree_grids(shared: DataFrame) -> DataFrame:
     return ends.groupBy("group_a", "group_b", (F.col("hop_a") - F.col("back")).alias("level_a"), (F.col("hop_b") - F.col("back")).alias("level_b")).agg(F.sum("pairs").alias("degree"))
 
 
-def cell_grids(sets: DataFrame, names: DataFrame) -> DataFrame:
-    """(group_a, group_b, level_a, level_b, cells, initial_cells) of the common pairs of every two groups, for downstream pathways without recurrents.
+def cell_squares(sets: DataFrame) -> DataFrame:
+    """(cell, wa, ba, wb, any, first): the groups of word wb with which group ba of word wa shares a connection at the cell.
 
-    For each cell and two words of groups, a square of bits says which two groups share a connection that leaves it, and
-    another one for those that enter it; squares of one cell merge by `bit_or`. Rows grow with the cells' connections and
-    the square of the words, not of the groups. Initial cells only leave.
+    For each cell and two words, a square of bits says which two groups share a connection that leaves it, and another
+    one for those that enter it; squares of one cell merge by `bit_or`. Rows grow with the cells' connections and the square of
+    the words, not of the groups. `first`: those with which it shares only connections that leave.
     """
     each = durable(sets.groupBy("pre", "post", "word").agg(F.expr("bit_or(bits)").alias("bits")))
     both = each.selectExpr("pre", "post", "word wa", "bits x").join(each.selectExpr("pre", "post", "word wb", "bits y"), ["pre", "post"]).where("wa <= wb")
     ends = both.select(F.explode(F.array(F.struct(F.col("pre").alias("cell"), F.lit(True).alias("leaves")), F.struct(F.col("post").alias("cell"), F.lit(False).alias("leaves")))).alias("e"), "wa", "wb", "x", "y").select("e.*", "wa", "wb", "x", "y")
     square = lambda leaves: F.array(*[F.expr(f"bit_or(if({'' if leaves else 'not '}leaves and (shiftright(x, {i}) & 1L) = 1L, y, 0L))") for i in range(WORD)])
     cells = durable(ends.groupBy("cell", "wa", "wb").agg(square(True).alias("pre"), square(False).alias("post")))
-    rows = cells.select("cell", "wa", "wb", F.posexplode(F.arrays_zip("pre", "post")).alias("ba", "m")).selectExpr("cell", "wa", "ba", "wb", "m.pre | m.post as any", "m.pre & ~m.post as first").where("any != 0")
+    return cells.select("cell", "wa", "wb", F.posexplode(F.arrays_zip("pre", "post")).alias("ba", "m")).selectExpr("cell", "wa", "ba", "wb", "m.pre | m.post as any", "m.pre & ~m.post as first").where("any != 0")
+
+
+def _named(df: DataFrame, names: DataFrame) -> DataFrame:
+    """(wa, ba) and (wb, bb) replaced by the names of the two groups."""
+    a, b = names.withColumnsRenamed({"grp": "group_a", "word": "wa", "bit": "ba"}), names.withColumnsRenamed({"grp": "group_b", "word": "wb", "bit": "bb"})
+    return df.join(a, ["wa", "ba"]).join(b, ["wb", "bb"]).drop("wa", "ba", "wb", "bb")
+
+
+def cell_grids(sets: DataFrame, names: DataFrame, squares: DataFrame | None = None) -> DataFrame:
+    """(group_a, group_b, level_a, level_b, cells, initial_cells) of the common pairs of every two groups, for downstream pathways without recurrents.
+
+    Initial cells only leave. `squares` are of `cell_squares`, if there already.
+    """
+    rows = durable(cell_squares(sets)) if squares is None else squares
     ends = F.explode(F.array(F.struct(F.col("pre").alias("cell"), (F.col("hop") - 1).alias("level")), F.struct(F.col("post").alias("cell"), F.col("hop").alias("level")))).alias("e")
     levels = durable(sets.select(ends, "word", "bits").groupBy("e.cell", "e.level", "word").agg(F.expr("bit_or(bits)").alias("bits")))
     la, lb = levels.selectExpr("cell", "word wa", "level level_a", "bits la"), levels.selectExpr("cell", "word wb", "level level_b", "bits lb")
@@ -147,5 +161,32 @@ def cell_grids(sets: DataFrame, names: DataFrame) -> DataFrame:
     counted = at.groupBy("wa", "ba", "level_a", "wb", "level_b", "any", "first").agg(F.count("*").alias("n"))
     single = counted.withColumn("bb", F.explode(bits_of("any"))).where("wa < wb or ba < bb").withColumn("i", F.expr("if((shiftright(first, bb) & 1L) = 1L, n, 0L)"))
     sums = single.groupBy("wa", "ba", "wb", "bb", "level_a", "level_b").agg(F.sum("n").alias("cells"), F.sum("i").alias("initial_cells"))
-    a, b = names.withColumnsRenamed({"grp": "group_a", "word": "wa", "bit": "ba"}), names.withColumnsRenamed({"grp": "group_b", "word": "wb", "bit": "bb"})
-    return sums.join(a, ["wa", "ba"]).join(b, ["wb", "bb"]).select("group_a", "group_b", "level_a", "level_b", "cells", "initial_cells")
+    return _named(sums, names).select("group_a", "group_b", "level_a", "level_b", "cells", "initial_cells")
+
+
+def _met(visits: DataFrame, squares: DataFrame, names: DataFrame, a: str, b: str) -> DataFrame:
+    """Visits (wa, ba, cell, `a`) and (wb, bb, cell, `b`) of two groups at the cells that they have in common.
+
+    A row for each two groups at a cell: what is multiplied and added up there is of this size.
+    """
+    own = visits.join(names, "grp").withColumnRenamed("root_id", "cell")
+    x = own.selectExpr("cell", "word wa", "bit ba", a)
+    # a cell's groups of a word stand in one row until they are picked by the bits
+    y = own.groupBy("cell", F.col("word").alias("wb")).agg(F.collect_list(F.expr(f"struct(bit as bb, {b})")).alias("ys"))
+    both = squares.select("cell", "wa", "ba", "wb", "any").join(x, ["cell", "wa", "ba"]).join(y, ["cell", "wb"])
+    return both.withColumn("y", F.explode(F.expr("filter(ys, y -> (shiftright(any, y.bb) & 1L) = 1L and (wa < wb or ba < y.bb))"))).select("cell", "wa", "ba", "wb", a.split()[-1], "y.*")
+
+
+def visit_grids(visits: DataFrame, squares: DataFrame, names: DataFrame) -> DataFrame:
+    """(group_a, group_b, level_a, level_b, share): over the common cells of every two groups, products of their visits, scaled to sum 1; levels that meet only."""
+    met = _met(visits.withColumn("v", F.struct("level", "p")), squares, names, "v as va", "v as vb")
+    sums = met.groupBy("wa", "ba", "wb", "bb", F.col("va.level").alias("level_a"), F.col("vb.level").alias("level_b")).agg(F.sum(F.col("va.p") * F.col("vb.p")).alias("product"))
+    total = sums.groupBy("wa", "ba", "wb", "bb").agg(F.sum("product").alias("total"))
+    return _named(sums.join(total, ["wa", "ba", "wb", "bb"]).withColumn("share", F.try_divide("product", "total")), names).select("group_a", "group_b", "level_a", "level_b", "share")
+
+
+def scores(visits: DataFrame, squares: DataFrame, names: DataFrame) -> DataFrame:
+    """(group_a, group_b, root_id, score): A's visits times B's visits of each common cell, over all levels; cells that both visit only."""
+    total = visits.groupBy("grp", "root_id").agg(F.sum("p").alias("p"))
+    met = _met(total, squares, names, "p as pa", "p as pb").withColumn("score", F.col("pa") * F.col("pb"))
+    return _named(met, names).select("group_a", "group_b", F.col("cell").alias("root_id"), "score")

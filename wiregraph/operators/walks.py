@@ -74,3 +74,21 @@ def first_hit_levels(hits: DataFrame) -> DataFrame:
     `hits` are of `expected_visits` with these cells as `absorb`, taken in them by `hits_in`.
     """
     return hits.where("level > 0").groupBy("level").agg(F.sum("p").alias("p"))
+
+
+def group_visits(path_edges: DataFrame, groups: DataFrame, max_level: int) -> DataFrame:
+    """(grp, level, root_id, p): expected visits of one walk from each cell of each group that is on its pathways, summed over the starts.
+
+    All groups in one run: a group's walks follow the edges of its own path set. Cells of no path row start no walk.
+    """
+    edge = ["grp", "pre", "post"]
+    rows = path_edges.dropDuplicates([*edge, "neuropil", "transmitter", "weight"]).groupBy(*edge).agg(F.sum("weight").alias("weight"))
+    step = durable(rows.withColumn("share", F.col("weight") / F.sum("weight").over(Window.partitionBy("grp", "pre"))).selectExpr("grp", "pre as root_id", "post", "share"))
+    state = durable(groups.distinct().join(step.select("grp", "root_id").distinct(), ["grp", "root_id"], "left_semi").withColumn("p", F.lit(1.0)))
+    out = state.withColumn("level", F.lit(0))
+    for level in range(1, max_level + 1):
+        state = durable(state.join(step, ["grp", "root_id"]).groupBy("grp", F.col("post").alias("root_id")).agg(F.sum(F.col("p") * F.col("share")).alias("p")))
+        if state.isEmpty():
+            break
+        out = out.unionByName(state.withColumn("level", F.lit(level)))
+    return out.select("grp", "level", "root_id", "p")

@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from ..functions.storage import durable
+from ..operators import bitmaps as B
 from ..operators import connectivity as C
 from ..operators import convergence as V
 from ..operators import marginals as M
 from ..operators import nodes as N
 from ..operators import paths as P
 from ..operators import walks as W
+from ..sources.results import kept
 
 
-def pathways(edges: DataFrame, groups: DataFrame, annotations: DataFrame | None = None, **options) -> dict[str, DataFrame]:
-    """Path rows, cells and hop summary of every group."""
-    rows = durable(P.paths(edges, groups, **options))
+def pathways(edges: DataFrame, groups: DataFrame, annotations: DataFrame | None = None, *, keep: str | None = None, **options) -> dict[str, DataFrame]:
+    """Path rows, cells and hop summary of every group; with a folder to `keep` them in, rows of groups computed before are read."""
+    if keep is None:
+        rows = durable(P.paths(edges, groups, **options))
+    else:
+        rows = kept(keep, "paths", edges, groups, options, lambda g: P.paths(edges, g, **options))
     return {"paths": rows, "nodes": N.node_table(rows, annotations), "hops": P.hop_summary(rows)}
 
 
@@ -43,6 +48,20 @@ def downstream_convergence(edges: DataFrame, groups: DataFrame, group_a: str, gr
     return out
 
 
+def all_convergences(edges: DataFrame, groups: DataFrame, max_hops: int = 5) -> dict[str, DataFrame]:
+    """What any two groups' downstream pathways have in common, for all groups in one run, without recurrents.
+
+    Common pairs of cells, grids of cells, initial cells and degree by the two levels, grids of visits and scores, from
+    all hits, as `downstream_convergence` gives them for two groups with use_inits=False.
+    """
+    names = B.numbered(groups)
+    sets = durable(B.path_sets(edges, durable(B.members(groups, names)), max_hops))
+    shared, squares = durable(B.shared_pairs(sets, names)), durable(B.cell_squares(sets))
+    visits = durable(W.group_visits(B.path_rows(sets, names), groups, max_hops))
+    out = {"paths": sets, "names": names, "pairs": B.intersections(shared), "degree": B.degree_grids(shared), "cells": B.cell_grids(sets, names, squares)}
+    return out | {"visits": B.visit_grids(visits, squares, names), "scores": B.scores(visits, squares, names)}
+
+
 def connectivity_panel(edges: DataFrame, sources: DataFrame, targets: DataFrame, *, synapse_bin: int = 25, partner_bin: int = 3) -> dict[str, DataFrame]:
     """Every pair of groups in one call: matrices, marginals, totals, order, scales, intervals and histograms of synapses and
     partners on both sides, example cells and strongest partners from both sides.

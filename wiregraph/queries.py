@@ -78,6 +78,11 @@ def _thresholded(per: str = "row", down: bool = True):
     return rows
 
 
+def _all_convergences(s, d) -> dict:
+    t = _AllTypes(s, d)
+    return analyses.all_convergences(t.edges, t.groups, TYPE_HOPS)
+
+
 def _all_types(f):
     return lambda s, d: f(_AllTypes(s, d))
 
@@ -286,6 +291,8 @@ def queries() -> dict:
         "all_types_intersections": _all_types(lambda t: B.intersections(t.shared())),
         "all_types_degree_grids": _all_types(lambda t: B.degree_grids(t.shared())),
         "all_types_cell_grids": _all_types(lambda t: B.cell_grids(t.sets(), t.names)),
+        "all_types_visit_grids": lambda s, d: _r(_all_convergences(s, d)["visits"], "share"),
+        "all_types_scores": lambda s, d: _r(_all_convergences(s, d)["scores"], "score").where("score > 0"),
         "common_rows_of_types": _all_types(lambda t: B.common_rows(t.sets(), t.names, "LARGE Brand#4", "PROMO Brand#8")),
         "strong_components": lambda s, d: Y.strong_components(_Parts(s, d).edges),
         "initial_cells_recurrent": lambda s, d: Y.beginnings(durable(V.edge_intersection(_Parts(s, d).paths(skip_recurrents=False), "a", "b"))),
@@ -431,6 +438,8 @@ q as (select source_group, target_group, transmitter, side, quantile_cont(m, {(1
 select source_group, target_group, transmitter, side, count(*) n, round(avg({value}), 6) mean, round(any_value(low), 6) low, round(any_value(high), 6) high from mg join q using (source_group, target_group, transmitter, side) group by all having sum(synapses) > 0"""
 
 
+_WALKS = ", ".join(f"v{i} as (select v{i - 1}.grp, post root_id, sum(p * prob) p from v{i - 1} join tr on tr.grp = v{i - 1}.grp and pre = root_id group by all)" for i in range(1, TYPE_HOPS + 1))
+_COMMON = ", cc as (select distinct group_a, group_b, unnest([pre, post]) as cell from both_), tr as (select grp, pre, post, w / sum(w) over (partition by grp, pre) prob from (select grp, pre, post, sum(weight) w from p group by all)), v0 as (select distinct g.grp, root_id, 1.0::double p from g join p on p.grp = g.grp and pre = root_id), " + _WALKS + ", v as (" + " union all ".join(f"select grp, cast({i} as int) as level, root_id, p from v{i}" for i in range(TYPE_HOPS + 1)) + ") "
 _ONLY = "select source_group, target_group, transmitter, side from mg group by all having sum(synapses) > 0"
 
 
@@ -501,6 +510,8 @@ def oracle_sql() -> dict[str, str]:
         "all_types_intersections": _TYPES + _EACH + "select group_a, group_b, count(*) pairs from both_ group by all",
         "all_types_degree_grids": _TYPES + _EACH + "select group_a, group_b, cast(hop_a - back as int) level_a, cast(hop_b - back as int) level_b, count(*) degree from both_, (select unnest([0, 1]) back) group by all",
         "all_types_cell_grids": _TYPES + _EACH + "select group_a, group_b, cast(level_a as int) level_a, cast(level_b as int) level_b, count(*) cells, count(*) filter (leaves and not enters) initial_cells from (select group_a, group_b, cell, level_a, level_b, bool_or(leaves) leaves, bool_or(not leaves) enters from (select group_a, group_b, pre as cell, hop_a - 1 level_a, hop_b - 1 level_b, true leaves from both_ union all select group_a, group_b, post, hop_a, hop_b, false from both_) group by all) group by group_a, group_b, level_a, level_b",
+        "all_types_visit_grids": _TYPES + _EACH + _COMMON + ", o as (select group_a, group_b, a.level level_a, b.level level_b, sum(a.p * b.p) x from cc join v a on a.grp = group_a and a.root_id = cell join v b on b.grp = group_b and b.root_id = cell group by all) select group_a, group_b, level_a, level_b, round(x / sum(x) over (partition by group_a, group_b), 6) as share from o",
+        "all_types_scores": _TYPES + _EACH + _COMMON + "select * from (select group_a, group_b, cell root_id, round(a.p * b.p, 6) score from cc join (select grp, root_id, sum(p) p from v group by all) a on a.grp = group_a and a.root_id = cell join (select grp, root_id, sum(p) p from v group by all) b on b.grp = group_b and b.root_id = cell) where score > 0",
         "common_rows_of_types": _TYPES + "select * from p where grp = 'LARGE Brand#4' and (pre, post) in (select (pre, post) from p where grp = 'PROMO Brand#8')",
         "strong_components": _PARTS + _REACH + "select root_id, least(root_id, coalesce(min(r.a), root_id)) component from cells left join (select x.a, x.b from reach x join reach y on x.a = y.b and x.b = y.a) r on r.b = root_id group by root_id",
         "beginnings_of_graph": _PARTS + _REACH + _BEGIN,

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ..functions.storage import durable
+
 MANIFEST = "made string, members string, grp string, n_rows long"
 
 
@@ -46,19 +48,17 @@ def kept(folder: str, name: str, inputs: DataFrame, groups: DataFrame, options:
     made = F.md5(F.concat(F.lit(json.dumps(dict(options), sort_keys=True, default=str)), F.lit(" "), F.lit(_hash(inputs).first()["h"])))
     groups = groups.where("grp is not null").select("grp", "root_id").distinct()
     wanted = _hash(groups, "grp").withColumnRenamed("h", "members").withColumn("made", made)
-    lacking = wanted.join(manifest(folder, name, inputs), ["made", "members", "grp"], "left_anti").select("made", "members", "grp")
+    # written, so that data and manifest agree
+    lacking = durable(wanted.join(manifest(folder, name, inputs), ["made", "members", "grp"], "left_anti").select("made", "members", "grp"))
     data = f"{folder}/{name}/data"
-    todo = lacking.collect() if lacking.count() <= 1000 else None  # names only; more are joined
-    if todo is None or todo:
-        # fixed before the write, which the manifest must agree with
-        lacking = lacking.sparkSession.createDataFrame(todo, "made string, members string, grp string") if todo else lacking
+    if lacking.isEmpty():
+        schema = compute(groups.where("false")).schema
+    else:
         found = compute(groups.join(lacking, "grp", "left_semi"))
-        found.join(lacking, "grp").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("made", "members", "grp").parquet(data)
         schema = found.schema
+        found.join(lacking, "grp").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("made", "members", "grp").parquet(data)
         there = _read(inputs, data, schema).join(lacking, ["made", "members", "grp"], "left_semi").groupBy("made", "members", "grp").agg(F.count("*").alias("n_rows"))
         lacking.join(there, ["made", "members", "grp"], "left").na.fill(0, ["n_rows"]).select("made", "members", "grp", "n_rows").write.mode("append").parquet(f"{folder}/{name}/manifest")
-    else:
-        schema = compute(groups.where("false")).schema
     return _read(inputs, data, schema).join(wanted, ["made", "members", "grp"], "left_semi").select(*schema.names)
 
 
