@@ -2,9 +2,10 @@
 
 A paragraph is what stands between blank lines, however its lines are wrapped. Windows of its words are scored by sparse
 logistic regression over word 1- and 2-grams, trained on licence notices against a bounded sample of documents, against
-notices in reverse and against single words; probabilities are calibrated on templates that were not fitted. A family holds in a
+notices in reverse and against single words; probabilities are calibrated on templates that were not fitted. Sentences that name a licence without granting it are rows of `unknown`. A family holds in a
 window if it is likelier than `unknown` and a template of it is there too: its name as it is, and the template's 2-grams
-in order. So a paragraph can hold several families. Every window of every paragraph of every document is scored.
+in order. So a paragraph can hold several families. Every window that has a word of ANCHORS is scored, of every paragraph
+of every document; each template has such a word, so no other window can hold one.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from .common import once, row_key, same_key
 NAMES = {
     "agpl": ["gnu affero general public license", "affero gpl"],
     "apache": ["apache license", "apache software license"],
-    "bsd": ["bsd license", "bsd 2-clause license", "bsd 3-clause license", "new bsd license", "simplified bsd license"],
-    "cc-by": ["cc by 4.0", "cc by 3.0", "creative commons attribution 4.0 international license", "creative commons attribution 3.0 unported license"],
-    "cc-by-nc": ["cc by-nc 4.0", "cc by-nc 3.0", "creative commons attribution-noncommercial 4.0 international license", "creative commons attribution-noncommercial 3.0 unported license"],
-    "cc-by-sa": ["cc by-sa 4.0", "cc by-sa 3.0", "creative commons attribution-sharealike 4.0 international license", "creative commons attribution-sharealike 3.0 unported license"],
+    "bsd": ["bsd license", "bsd 2-clause license", "bsd 3-clause license", "new bsd license", "simplified bsd license", "bsd-style license"],
+    "cc-by": ["creative commons attribution license", "cc by 4.0", "cc by 3.0", "creative commons attribution 4.0 international license", "creative commons attribution 3.0 unported license"],
+    "cc-by-nc": ["creative commons attribution-noncommercial license", "cc by-nc 4.0", "cc by-nc 3.0", "creative commons attribution-noncommercial 4.0 international license", "creative commons attribution-noncommercial 3.0 unported license"],
+    "cc-by-sa": ["creative commons attribution-sharealike license", "cc by-sa 4.0", "cc by-sa 3.0", "creative commons attribution-sharealike 4.0 international license", "creative commons attribution-sharealike 3.0 unported license"],
     "cc0": ["cc0 1.0 universal", "cc0 license", "creative commons zero license"],
     "epl": ["eclipse public license"],
     "eupl": ["european union public licence", "european union public license"],
@@ -53,24 +54,61 @@ IDENTIFIERS = {
     "mpl": ["mpl-2.0"],
     "zlib": ["zlib"],
 }
-#: Sentences of public notices that name no licence; 30 words at most.
+#: Sentences of public licence texts and of the notices that go with them; 30 words at most.
 NOTICES = {
-    "apache": ["you may not use this file except in compliance with the license you may obtain a copy of the license at"],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
-    "gpl": ["this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"],
-    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
-    "mit": ["permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"],
-    "mpl": ["this source code form is subject to the terms of the mozilla public license v 2.0"],
+    "agpl": ["you should have received a copy of the gnu affero general public license along with this program", "under the terms of the gnu affero general public license as published by the free software foundation"],
+    "apache": [
+        "you may not use this file except in compliance with the license you may obtain a copy of the license at",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis",
+        "without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+        "www.apache.org licenses license-2.0",
+        "apache license version 2.0 january 2004 terms and conditions for use reproduction and distribution",
+    ],
+    "bsd": [
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to",
+    ],
+    "cc0": ["to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "dedicated the work to the public domain by waiving all rights to the work worldwide under copyright law"],
+    "epl": ["this program and the accompanying materials are made available under the terms of the eclipse public license"],
+    "eupl": ["licensed under the eupl version 1.2 or as soon they will be approved by the european commission subsequent versions of the eupl"],
+    "gpl": [
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+        "you should have received a copy of the gnu general public license along with this program",
+        "gnu general public license version 3 29 june 2007",
+        "gnu general public license version 2 june 1991",
+    ],
+    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "the software is provided as is and the author disclaims all warranties with regard to this software"],
+    "lgpl": ["you should have received a copy of the gnu lesser general public license along with this library", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"],
+    "mit": [
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability",
+    ],
+    "mpl": ["this source code form is subject to the terms of the mozilla public license v 2.0", "if a copy of the mpl was not distributed with this file you can obtain one at", "mozilla public license version 2.0"],
     "proprietary": ["all rights reserved", "no part may be reproduced without prior written permission", "unauthorized copying of this file via any medium is strictly prohibited"],
-    "zlib": ["permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely"],
+    "zlib": [
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages",
+        "altered source versions must be plainly marked as such and must not be misrepresented as being the original software",
+    ],
 }
 #: How notices bring a name, and an identifier.
 FRAMES = ("licensed under the {}", "licensed under {}", "released under the {}", "distributed under the {}", "published under the {}", "made available under the {}", "provided under the terms of the {}", "this work is licensed under a {}", "this file is licensed under the {}", "subject to the terms of the {}", "governed by the {}")
-SHORT_FRAMES = ("spdx-license-identifier {}", "license {}", "licensed under {}", "licensed under the {}")
+SHORT_FRAMES = ("spdx-license-identifier {}", "license {}", "licensed under {}", "licensed under the {}", "released under {}", "{} licensed")
+#: How other sentences speak of a licence that they do not grant: rows of `unknown` in training.
+MENTIONS = ("not licensed under the {}", "never released under the {}", "no longer licensed under the {}", "is not available under the {}", "unlike the {}", "incompatible with the {}", "instead of the {}", "rather than the {}", "an article about the {}", "what is the {}", "the history of the {}", "compared with the {}", "lawyers discuss the {}", "previously under the {}", "neither the {} nor", "did not use the {}", "not covered by the {}", "does not accept the {}", "moved away from the {}", "a book on the {}", "a debate about the {}", "the authors of the {} wrote", "critics of the {} say", "the text of the {} was written", "a violation of the {}")
 #: Words of which every template has one: windows without any are not scored.
-ANCHORS = "license licence licensed released distributed published available provided subject governed spdx-license-identifier redistribution redistribute permission reserved reproduced copying".split()
+ANCHORS = sorted(
+    {"license", "licenses", "licence", "licensed", "released", "distributed", "published", "available", "provided", "subject", "governed", "spdx-license-identifier", "reserved", "reproduced", "copying"}
+    | {"bsd-style", "redistribution", "redistributions", "redistribute", "permission", "warranties", "contributors", "waived", "waiving", "eupl", "mpl", "sublicense", "altered", "gnu", "gpl", "cc", "cc0", "commons"}
+    | {i for ids in IDENTIFIERS.values() for i in ids}
+)
 #: Words that say nothing of a licence alone; 1- and 2-grams of these only are no features.
-STOP = frozenset("a all and any are as at be by for form forms free in is it may no not of on or part person or subject terms the this to under use via with without work you".split())
+STOP = frozenset("a all and any are as at be by for form forms free in is it may of on or part person or subject terms the this to under use via with without work you".split())
 WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 #: Words of a window and between the starts of two: notices of up to 30 words stand whole in one.
 WINDOW, STRIDE = 60, 30
@@ -79,7 +117,7 @@ SAMPLE_DOCUMENTS, FOUND = 400, 0.75
 #: Least probability of a family against `unknown`.
 SURE = 0.5
 #: Weight of a template in training, shared by its parts; other rows weigh 1.
-WEIGHT = 12.0
+WEIGHT = 24.0
 TEMPERATURES = (0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0)
 UNKNOWN = "unknown"
 
@@ -88,7 +126,9 @@ def templates() -> list[tuple[str, str, str]]:
     """(family, name that must be there as it is or '', text) of every template."""
     out = [(f, n, frame.format(n)) for f, names in NAMES.items() for n in names for frame in FRAMES]
     out += [(f, n, frame.format(n)) for f, names in IDENTIFIERS.items() for n in names for frame in SHORT_FRAMES]
-    return out + [(f, "", t) for f, texts in NOTICES.items() for t in texts]
+    out += [(f, n, n) for f, names in NAMES.items() for n in names]  # a title, which the classifier tells from a mention
+    # a notice that names its licence must name it: those of related families differ in little else
+    return out + [(f, max((n for n in NAMES.get(f, []) if n in t), key=len, default=""), t) for f, texts in NOTICES.items() for t in texts]
 
 
 FAMILIES = sorted({f for f, _, _ in templates()})
@@ -102,7 +142,7 @@ def _hash(gram: str) -> int:
 
 def _features() -> list[str]:
     found = set()
-    for _, _, text in templates():
+    for text in [*(t for _, _, t in templates()), *(m.replace("{}", "the") for m in MENTIONS)]:
         words = text.split()
         found |= {w for w in words if w not in STOP} | {f"{a} {b}" for a, b in zip(words, words[1:]) if not (a in STOP and b in STOP)}
     return sorted(found)
@@ -165,14 +205,15 @@ class Model:
         return once(df, "logits", F.expr(f"transform(sequence(0, {n - 1}), k -> get({bias}, k) + aggregate(ids, 0.0D, (a, i) -> a + get({flat}, i * {n} + k)))"))
 
     def judged(self, df: DataFrame) -> DataFrame:
-        """(.., family, p, share, confirmed): a row for each family that is likelier than `unknown` in a window."""
+        """(.., family, p, share, confirmed): a row for each family that is likelier than `unknown` in a window; p is its probability among all classes."""
         n = len(FAMILIES)
         odds = f"1 / (1 + exp((get(logits, {n}) - get(logits, k)) / {self.temperature!r}D))"
+        share = f"1 / aggregate(logits, 0.0D, (a, z) -> a + exp((z - get(logits, k)) / {self.temperature!r}D))"
         x = self.scored(once(df, "ids", F.expr(self.lookup.of("words"))).where("size(ids) > 0"))
         x = once(x, "likely", F.expr(f"filter(sequence(0, {n - 1}), k -> {odds} >= {SURE!r}D)")).where("size(likely) > 0")
         x = once(x, "joined", F.expr("concat(' ', array_join(words, ' '), ' ')"))
         x = once(x, "shares", F.expr(_shares()))
-        x = x.withColumn("k", F.explode("likely")).withColumn("p", F.expr(odds)).withColumn("family", F.expr(f"get({_array(FAMILIES, 'string')}, k)"))
+        x = x.withColumn("k", F.explode("likely")).withColumn("p", F.expr(share)).withColumn("family", F.expr(f"get({_array(FAMILIES, 'string')}, k)"))
         x = once(x, "share", F.expr("coalesce(array_max(transform(filter(shares, s -> s.k = k), s -> s.share)), 0.0D)"))
         return x.withColumn("confirmed", F.col("share") >= FOUND).drop("ids", "logits", "likely", "joined", "shares", "k")
 
@@ -186,8 +227,9 @@ def _cut(words: list[str]) -> list[list[str]]:
 def train(documents: DataFrame, *, id_col="doc_id", text_col="text", sample: int = SAMPLE_DOCUMENTS) -> Model:
     """Fits on the templates and on the paragraphs of `sample` documents: those whose ids hash lowest, by the ids alone.
 
-    Three quarters of the templates, by hash, with all their parts, and of the other rows fit the weights. The rest
-    chooses the temperature with the least log loss, so that probabilities, that of `unknown` included, mean what they say.
+    Three quarters of the templates, by hash, with all their parts, and of the other rows fit weights with which the rest
+    chooses the temperature of least log loss, so that probabilities, that of `unknown` included, mean what they say on
+    texts that were not fitted. Then all rows fit the weights.
     """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.functions import array_to_vector
@@ -201,6 +243,7 @@ def train(documents: DataFrame, *, id_col="doc_id", text_col="text", sample: int
         parts = _cut(words)
         made += [(FAMILIES.index(f), part, fit, WEIGHT / len(parts)) for part in parts] + [(unknown, words[::-1], fit, 1.0)]
     made += [(unknown, [g], zlib.crc32(g.encode()) % 4 != 0, 1.0) for g in grams if " " not in g and g not in {i for x in IDENTIFIERS.values() for i in x}]
+    made += [(unknown, frame.format(n).split(), zlib.crc32(frame.format(n).encode()) % 4 != 0, 1.0) for names in NAMES.values() for n in names for frame in MENTIONS]
     made += [(unknown, ["."], bool(i % 4), 1.0) for i in range(20)]
     known = spark.createDataFrame(made, "label int, words array<string>, fit boolean, weight double")
     few = documents.select(id_col).where(F.col(id_col).isNotNull()).distinct().orderBy(F.xxhash64(F.col(id_col)), id_col).limit(sample)
@@ -211,13 +254,18 @@ def train(documents: DataFrame, *, id_col="doc_id", text_col="text", sample: int
     rows = known.unionByName(free.select(F.lit(unknown).alias("label"), "words", (F.pmod(F.xxhash64("words"), F.lit(4)) != 0).alias("fit"), F.lit(1.0).alias("weight")))
     rows = once(rows, "ids", F.expr(model.lookup.of("words"))).repartition(2).cache()  # bounded by `sample`; each iteration is a job
     vector = array_to_vector(F.expr(f"transform(sequence(0, {len(grams) - 1}), i -> if(array_contains(ids, i), 1.0D, 0.0D))"))
-    fitted = LogisticRegression(family="multinomial", regParam=0.0003, elasticNetParam=0.1, maxIter=60, standardization=False, weightCol="weight").fit(rows.where("fit").select(F.col("label").cast("double"), "weight", vector.alias("features")))
-    model.weights, model.bias = [list(map(float, r)) for r in fitted.coefficientMatrix.toArray()], [float(b) for b in fitted.interceptVector.toArray()]
+
+    def fit(some: DataFrame) -> None:
+        f = LogisticRegression(family="multinomial", regParam=0.0003, elasticNetParam=0.1, maxIter=60, standardization=False, weightCol="weight").fit(some.select(F.col("label").cast("double"), "weight", vector.alias("features")))
+        model.weights, model.bias = [list(map(float, r)) for r in f.coefficientMatrix.toArray()], [float(b) for b in f.interceptVector.toArray()]
+
+    fit(rows.where("fit"))
     held = model.scored(rows.where("not fit"))
     loss = [F.expr(f"avg(ln(aggregate(logits, 0.0D, (a, z) -> a + exp((z - get(logits, label)) / {t!r}D))))").alias(f"t{k}") for k, t in enumerate(TEMPERATURES)]
     found = held.agg(*loss).first()
     losses = [math.inf if found[k] is None else found[k] for k in range(len(TEMPERATURES))]
     model.temperature = TEMPERATURES[losses.index(min(losses))]
+    fit(rows)
     rows.unpersist()
     return model
 
