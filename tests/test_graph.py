@@ -367,3 +367,21 @@ def test_hubs_in_parts(spark, monkeypatch):
     monkeypatch.setattr(hubs, "HUB_EDGES", 10_000)
     many = [P.hop_summary(P.paths(edges, groups, 3)), T.hop_summaries(T.paths(edges, groups, 3), [1, 5]), W.expected_visits(trans, groups, 3).select("start", "level", "root_id", F.round("p", 9))]
     assert few == [sorted(map(str, x.collect())) for x in many] and all(few)
+
+
+def test_all_convergences(spark, edges):
+    """For three groups at once, what the analysis of each two gives, from all hits."""
+    groups = group(spark, A=[1], B=[2], C=[3, 5])
+    whole = analyses.all_convergences(edges, groups, 3)
+    whole = {k: v.cache() for k, v in whole.items()}
+    of = lambda k, a, b: whole[k].where((F.col("group_a") == a) & (F.col("group_b") == b))
+    for a, b in (("A", "B"), ("A", "C"), ("B", "C")):
+        own = analyses.downstream_convergence(edges, groups, a, b, use_inits=False, max_hops=3)
+        grid = {(r.level_a, r.level_b): (r.cells, r.degree, r.initial_cells) for r in own["overlap"].where("cells > 0").collect()}
+        degree = {(r.level_a, r.level_b): r.degree for r in of("degree", a, b).collect()}
+        assert {(r.level_a, r.level_b): (r.cells, degree[r.level_a, r.level_b], r.initial_cells) for r in of("cells", a, b).collect()} == grid
+        assert of("pairs", a, b).first().pairs == own["common"].select("pre", "post").distinct().count()
+        scores = {r.root_id: pytest.approx(r.score) for r in own["score"].where("score > 0").collect()}
+        assert {r.root_id: r.score for r in of("scores", a, b).collect()} == scores and scores
+        shares = {(r.level_a, r.level_b): pytest.approx(r.share) for r in own["visit_overlap"].where("share > 0").collect()}
+        assert {(r.level_a, r.level_b): r.share for r in of("visits", a, b).where("share > 0").collect()} == shares
