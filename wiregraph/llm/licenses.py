@@ -105,7 +105,6 @@ MENTIONS = ("not licensed under the {}", "never released under the {}", "no long
 ANCHORS = sorted(
     {"license", "licenses", "licence", "licensed", "released", "distributed", "published", "available", "provided", "subject", "governed", "spdx-license-identifier", "reserved", "reproduced", "copying"}
     | {"bsd-style", "redistribution", "redistributions", "redistribute", "permission", "warranties", "contributors", "waived", "waiving", "eupl", "mpl", "sublicense", "altered", "gnu", "gpl", "cc", "cc0", "commons"}
-    | {i for ids in IDENTIFIERS.values() for i in ids}
 )
 #: Words that say nothing of a licence alone; 1- and 2-grams of these only are no features.
 STOP = frozenset("a all and any are as at be by for form forms free in is it may of on or part person or subject terms the this to under use via with without work you".split())
