@@ -94,6 +94,23 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.report(empty, bench).count() == 0 and decontaminate.report(docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_of_a_hot_window(spark):
+    """A passage that many items and most documents share, beside windows of nine other lengths, in one scan."""
+    hot = " ".join(f"h{i}" for i in range(12))
+    docs = spark.createDataFrame([(i, f"a b{i} {hot} tail " + " ".join(f"w{i % m}" for m in range(1, 10))) for i in range(400)] + [(400, "clean words only")], "doc_id long, text string")
+    items = [(i, f"{hot} end of item{i}") for i in range(150)] + [(1000 + m, " ".join(f"w{m}x" for _ in range(m))) for m in range(1, 10)] + [(2000, "w0 w1")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found, _ = decontaminate.hits(docs, bench)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    got = {r["doc_id"]: r for r in decontaminate.decontaminate(docs, bench).collect()}
+    assert len(got) == 401 and not got[400]["contaminated"] and got[400]["item_ids"] == []
+    for i in range(400):
+        tail = [i % m for m in range(1, 10)]
+        pairs = {p + j for p in range(8) if tail[p : p + 2] == [0, 1] for j in (0, 1)}
+        assert len(got[i]["item_ids"]) == 150 + bool(pairs) and got[i]["n_hit"] == 12 + len(pairs)
+
+
 def repeats_removed(docs):
     """Rows of remove_repeats, by a table of all 50-byte strings."""
     all_rows = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()]
