@@ -221,6 +221,8 @@ def test_lines(docs, empty):
     assert [0 in gone[[i for i, _ in all_rows].index(i)] for i in footers] == [False] + [True] * (len(footers) - 1)
     assert got.columns[: len(docs.columns)] == docs.columns
     assert lines.dedup(empty).count() == 0
+    with pytest.raises(ValueError, match="n_lines"):
+        lines.dedup(docs.withColumn("n_lines", F.lit(1)))
 
 
 def made_up(n=48):
@@ -408,6 +410,11 @@ def test_join_recall(spark):
     assert all(got[i] <= n for i, n in enumerate(links)) and sum(got.values()) >= 0.9 * sum(links) > 100
 
 
+def test_join_needs_tries(docs):
+    with pytest.raises(ValueError, match="tries"):
+        ngram_join.join(docs, trees=4)
+
+
 def test_quality(spark, docs, empty):
     def plain(t):
         w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
@@ -436,11 +443,11 @@ def test_quality(spark, docs, empty):
 def test_quality_few_labels(spark):
     """300 good labels a stratum certify joint settings; 250 do not, and a rule that loses good documents stays off."""
     rate = lambda r: {"n_words": 1000, "word_chars": 5000, "n_symbols": r, "n_dup_lines": 0, "n_repeat_words": 0, "n_exclaims": 0, "n_lines": 10}
-    made = [(s, i, q, {**rate(160 if q == 0 and i % 2 else 0), "n_exclaims": (60 if q == 0 and not i % 2 else 0), "n_dup_lines": int(i % 10 == 0)}) for s, good in (("de", 300), ("en", 300), ("es", 300), ("fr", 250)) for q, n in ((1, good), (0, 40)) for i in range(n)]
+    made = [(s, i, q, {**rate(160 if q == 0 and i % 2 else 0), "n_exclaims": (60 if q == 0 and not i % 2 else 0), "n_dup_lines": int(i % 10 == 0)}) for s, good in (("de", 300), ("en", 300), (None, 300), ("fr", 250)) for q, n in ((1, good), (0, 40)) for i in range(n)]
     rows_ = [(k, s, q, *[m[c] for c in quality.FEATURES]) for k, (s, _, q, m) in enumerate(made)]
     x = spark.createDataFrame(rows_, "doc_id long, lang string, quality int, " + ", ".join(f"{c} long" for c in quality.FEATURES))
     cuts = {r["stratum"]: (r["cut_symbols"], r["cut_exclamations"], r["cut_duplicate_lines"]) for r in quality.cutoffs(x.drop("quality"), x.select("doc_id", "quality")).collect()}
-    assert cuts == {s: (150, 50, None) for s in ("de", "en", "es")}
+    assert cuts == {s: (150, 50, None) for s in ("de", "en", "")}  # a null language is a stratum of its own
 
 
 def test_quality_cutoffs(spark):

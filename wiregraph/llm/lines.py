@@ -175,8 +175,10 @@ def dedup(documents: DataFrame, *, id_col="doc_id", text_col="text", min_docs: i
     Rows alike in id and text count as one document and are treated alike. A line of any length is parsed whole; one whose
     leading tokens vary without a digit is in another leaf and belongs to no template of this one. Lines with fewer than
     AGREE of their tokens constant are none's. An empty table gives no rows; columns may have any names but n_lines and
-    n_dropped, which then occur twice.
+    n_dropped, with which it is a ValueError.
     """
+    if clash := {"n_lines", "n_dropped"}.intersection(documents.columns):
+        raise ValueError(f"columns of the result: {sorted(clash)}")
     docs = keyed(documents, id_col, text_col)
     gone = dropped_lines(documents, id_col=id_col, text_col=text_col, min_docs=min_docs)
     gone = gone.hint("merge")  # it grows with the documents, so it is never broadcast

@@ -251,6 +251,8 @@ def _verify(trees: int, threshold: Fraction):
 
 def forest(documents: DataFrame, sets: DataFrame, *, id_col="doc_id", text_col="text", threshold=THRESHOLD, trees=TREES, recall=RECALL) -> tuple[DataFrame, list[tuple[int, float]]]:
     """(u, links, head) rows of the sets with partners, once for each task that compared them; and the measured recall at each depth."""
+    if found_at(threshold, DEPTHS[-1], trees) < recall:
+        raise ValueError(f"{trees} tries find a pair at {threshold} by {DEPTHS[-1]} labels with less than {recall}: take more tries")
     exact = Fraction(threshold).limit_denominator(10_000)
     docs = documents.select(*row_key(id_col, text_col), F.col(text_col).alias("t"))
     known, found, steps = None, None, []
