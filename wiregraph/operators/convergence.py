@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import bitmaps as B
 from .nodes import degrees, levels
 
 
@@ -15,10 +16,13 @@ def edge_intersection(path_edges: DataFrame, group_a: str, group_b: str) -> Data
 
 
 def all_intersections(path_edges: DataFrame) -> DataFrame:
-    """(group_a, group_b, pairs): common edges of every two groups, in one self-join on the pair."""
-    pairs = path_edges.select("grp", "pre", "post").distinct()
-    a, b = pairs.withColumnRenamed("grp", "group_a"), pairs.withColumnRenamed("grp", "group_b")
-    return a.join(b, ["pre", "post"]).where("group_a < group_b").groupBy("group_a", "group_b").agg(F.count("*").alias("pairs"))
+    """(group_a, group_b, pairs): common edges of every two groups that have any, whatever their hops.
+
+    By bitmaps of stretches of pairs, so two groups meet once a stretch and not on each pair; a null group or end meets none.
+    """
+    names = B.numbered(path_edges)
+    own = path_edges.select("grp", "pre", "post").join(names, "grp").groupBy("pre", "post", "word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits"))
+    return B.intersections(B.shared_pairs(own.withColumn("hop", F.lit(0)), names))
 
 
 def initial_cells(common: DataFrame) -> DataFrame:

@@ -14,12 +14,14 @@ from ..functions.storage import durable, forget
 
 
 def _trim(edges: DataFrame) -> DataFrame:
-    """The edges between cells that have others before and after them, within these edges."""
+    """The edges between cells that have others before and after them, within these edges.
+
+    An edge's first cell has one after it and its last cell one before it, so a step asks only for the others: one job a step.
+    """
     n = edges.count()
     while n:
-        both = durable(edges.select(F.col("pre").alias("cell")).intersect(edges.select("post")))
-        kept = durable(edges.join(both, edges["pre"] == both["cell"], "left_semi").join(both, edges["post"] == both["cell"], "left_semi"))
-        forget(both)
+        entered, left = edges.select(F.col("post").alias("cell")).distinct(), edges.select(F.col("pre").alias("cell")).distinct()
+        kept = durable(edges.join(entered, edges["pre"] == entered["cell"], "left_semi").join(left, edges["post"] == left["cell"], "left_semi"))
         now = kept.count()
         forget(edges)
         edges = kept
@@ -30,11 +32,13 @@ def _trim(edges: DataFrame) -> DataFrame:
 
 
 def _colours(edges: DataFrame) -> DataFrame:
-    """(cell, colour): the largest id from which a way leads to the cell, itself included."""
+    """(cell, colour): the largest id from which a way leads to the cell, itself included. Colours go two connections on in each job."""
     colour = durable(edges.select(F.col("pre").alias("cell")).union(edges.select("post")).distinct().withColumn("colour", F.col("cell")))
+    along = edges.select(F.col("pre").alias("cell"), "post")
+    step = lambda x: x.join(along, "cell").groupBy(F.col("post").alias("cell")).agg(F.max("colour").alias("colour"))
     moving = colour
     while not moving.isEmpty():
-        told = moving.join(edges, moving["cell"] == edges["pre"]).groupBy(F.col("post").alias("cell")).agg(F.max("colour").alias("told"))
+        told = (one := step(moving)).union(step(one)).groupBy("cell").agg(F.max("colour").alias("told"))
         now = durable(colour.join(told, "cell", "left").select("cell", F.greatest("colour", "told").alias("colour"), (F.coalesce("told", "colour") > F.col("colour")).alias("new")))
         forget(colour)
         colour, moving = now.select("cell", "colour"), now.where("new").select("cell", "colour")
@@ -42,14 +46,15 @@ def _colours(edges: DataFrame) -> DataFrame:
 
 
 def _closed(edges: DataFrame, colour: DataFrame) -> DataFrame:
-    """(cell, colour): the cells of each colour from which a way within it leads to its id."""
+    """(cell, colour): the cells of each colour from which a way within it leads to its id, two connections back in each job."""
     from_, to = colour.select(F.col("cell").alias("pre"), "colour"), colour.select(F.col("cell").alias("post"), "colour")
-    within = durable(edges.join(from_, "pre").join(to, ["post", "colour"]).select("pre", "post", "colour"))
+    within = durable(edges.join(from_, "pre").join(to, ["post", "colour"]).select("pre", F.col("post").alias("cell"), "colour"))
+    back = lambda x: x.join(within, ["cell", "colour"]).select(F.col("pre").alias("cell"), "colour").distinct()
     found = moving = durable(colour.where("cell = colour"))
     while True:
-        back = moving.join(within, (moving["cell"] == within["post"]) & (moving["colour"] == within["colour"])).select(within["pre"].alias("cell"), within["colour"]).distinct()
-        moving = durable(back.join(found, ["cell", "colour"], "left_anti"))
+        moving = durable((one := back(moving)).union(back(one)).distinct().join(found, ["cell", "colour"], "left_anti"))
         if moving.isEmpty():
+            forget(within)
             return found
         found = found.union(moving)
 
