@@ -5,10 +5,12 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,6 +150,45 @@ def test_substrings(docs, empty):
     assert rows(substrings.remove_repeats(common, hot=50), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == repeats_removed(common)
 
 
+def test_substrings_memory():
+    """Peaks in a task: anchors of a block of 4 MB in under 64 MB, the owners of a share of 4 MB of pieces in under 64 MB."""
+    rng = np.random.default_rng(1)
+    data, lengths = rng.integers(97, 123, 4_000_000, np.uint8), np.array([0, 49, 50, 51, 0, 849, *[1000] * 3999, 1])
+    tracemalloc.start()
+    try:
+        _, _, document, first, last, _ = substrings.anchors(data, lengths)
+        peaks = [tracemalloc.get_traced_memory()[1]]
+        n = 52_000
+        size, at = np.full(n, substrings.PIECE, np.uint8), np.full(n, substrings.SPAN - 1, np.uint8)
+        data[76 * (n - 1) : 76 * n] = data[:76]
+        data[76 * (n - 2) : 76 * (n - 2) + 71] = [*data[:70], 0]
+        group = pd.DataFrame({"block": ["0-0"], "ids": [substrings._pack(np.arange(n)[::-1])], "places": [substrings._pack(at)], "lengths": [substrings._pack(size)], "data": [zlib.compress(data[: 76 * n].tobytes(), 1)]})
+        tracemalloc.reset_peak()
+        least = substrings._unpack(substrings._resolve((0,), group)["least"][0], np.int64).reshape(n, substrings.SPAN)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+    finally:
+        tracemalloc.stop()
+    assert max(peaks) < 64e6, peaks
+    assert np.array_equal(np.bincount(document, last - first + 1, len(lengths)), np.maximum(lengths - 49, 0))
+    assert (least[1:-2] == np.arange(n)[::-1][1:-2, None]).all() and (least[[0, -1]] == 0).sum() == 2 * substrings.SPAN
+    assert least[-2].tolist() == [0] * 21 + [1] * 6
+
+
+def test_substrings_move_no_texts(spark, docs, monkeypatch):
+    """The joins of blocks with marks and owners shuffle these, not the texts."""
+    plans, write = [], substrings.durable
+    monkeypatch.setattr(substrings, "durable", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        got = substrings.remove_repeats(docs)
+    finally:
+        spark.conf.set(key, old)
+    assert plans[-1].count("SortMergeJoin") == 2 and plans[-1].count("Exchange ") == 2
+    assert rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == repeats_removed(docs)
+
+
 def test_ids_stay_exact(spark):
     """Ids that doubles cannot hold, one null among them, in one batch: through every operator whose rows pass Python."""
     base = " ".join(f"word{i}" for i in range(80))

@@ -40,12 +40,13 @@ def forget(df: DataFrame) -> None:
         remove(df.sparkSession, f.rsplit("/", 1)[0])
 
 
-def bucketed(df: DataFrame, *keys: str) -> DataFrame:
+def bucketed(df: DataFrame, *keys: str, deal: bool = True) -> DataFrame:
     """`df` written once to the shared folder in buckets of the keys, sorted by them: joins on these move only the other side.
 
-    For tables that are joined again and again. As many buckets as there are shuffle partitions, a file each.
+    For tables that are joined again and again. As many buckets as there are shuffle partitions, a file each; or, if not
+    dealt, a file for each bucket of which a task has rows, without a shuffle: for tables of few large rows.
     """
     spark, name = df.sparkSession, f"laid_out_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(n, *keys).write.bucketBy(n, *keys).sortBy(*keys).format("parquet").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    (df.repartition(n, *keys) if deal else df).write.bucketBy(n, *keys).sortBy(*keys).format("parquet").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     return spark.table(name)

@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.storage import bucketed
 from .common import batch_bytes, durable
 from .ngram_join import _powers
 
@@ -35,6 +36,7 @@ SPAN = LENGTH - GRAM + 1
 BAND = SPAN // 3
 PIECE = LENGTH + SPAN - 1  # bytes of the longest piece
 BLOCK_BYTES, SLICE_BYTES, SHARD_BYTES, ARRAY_BYTES = 4_000_000, 64_000, 2_000_000, 16_000
+PART_BYTES = 250_000  # of pieces hashed at once: tables of eight bytes each, kept by the worker
 #: The bits of a place in a slice; hashes are compared by the other 48.
 PLACE = np.int64(0xFFFF)
 #: Different pieces of an anchor, summed over blocks, from which on its windows go one by one.
@@ -186,8 +188,10 @@ def anchors(data: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, ...]:
     if len(data) < LENGTH:
         return (np.zeros(0, np.int64),) * 6
     ends = np.cumsum(lengths)
-    valid = np.zeros(len(data), bool)
-    valid[_spread(ends - lengths, np.maximum(lengths - LENGTH + 1, 0))] = True
+    step, long = np.zeros(len(data), np.int8), lengths >= LENGTH
+    step[(ends - lengths)[long]] = 1
+    step[ends[long] - LENGTH + 1] = -1
+    valid = np.cumsum(step, dtype=np.int8).view(bool)
     parts = [_slice_anchors(data[lo : lo + SLICE_BYTES + LENGTH - 1], valid[lo : lo + SLICE_BYTES], lo) for lo in range(0, len(data) - LENGTH + 1, SLICE_BYTES)]
     h, at, first, last, value = (np.concatenate(x) for x in zip(*parts))
     return h, at, np.searchsorted(ends, first, side="right"), first, last, value
@@ -279,7 +283,7 @@ def _ranges(h: np.ndarray, bits: int) -> Iterator[tuple[int, np.ndarray]]:
 def _window_hashes(data: np.ndarray, start: np.ndarray) -> np.ndarray:
     """The hash of the 50 bytes from each place on, as `_rolling` gives it."""
     view, power = np.lib.stride_tricks.sliding_window_view(data, LENGTH), _powers(LENGTH)[0][:LENGTH]
-    parts = np.array_split(start, len(start) // 50_000 + 1)
+    parts = np.array_split(start, len(start) // 10_000 + 1)
     return np.concatenate([((view[p].astype(np.uint64) + np.uint64(1)) * power).sum(1, dtype=np.uint64) for p in parts])
 
 
@@ -342,19 +346,37 @@ def _share(key: tuple, group: pd.DataFrame, most: int) -> pd.DataFrame:
     return pd.DataFrame({"block": group["block"].to_numpy(), "shard": key[0], "bits": bits, "hot": marks})
 
 
-def _meeting(total: np.ndarray, inverse: np.ndarray, h: np.ndarray, at: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Which pieces can share a window with another.
+def _bands(at: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(bytes before the anchor, which pieces have the 42 bytes from there on).
 
     A window has its anchor and 26 bytes more, so many before it and the rest after it; windows with 0 to 8, 9 to 17 or
     18 to 26 before it agree at least on 18 bytes around the anchor.
     """
-    found = np.zeros(len(h), bool)
     for before in range(0, SPAN, BAND):
-        after = SPAN - BAND - before
-        own = np.flatnonzero((at >= before) & (at + GRAM + after <= size))
-        a = (start + at)[own] - before
-        value = (total[a + before + GRAM + after] - total[a]) * inverse[a] ^ h[own].view(np.uint64)
-        _, kind, n = np.unique(value, return_inverse=True, return_counts=True)
+        yield before, np.flatnonzero((at >= before) & (at - before + GRAM + SPAN - BAND <= size))
+
+
+def _piece_hashes(data: np.ndarray, at: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """The hashes of each piece's anchor, of the piece, and of the bands around the anchor that `_bands` says it has."""
+    h, value, *around = np.zeros((2 + len(range(0, SPAN, BAND)), len(start)), np.uint64)
+    cuts = np.unique(np.append(np.searchsorted(start, np.arange(0, len(data), PART_BYTES)), len(start)))
+    for p, q in zip(cuts, cuts[1:]):
+        total, inverse = _rolling(data[start[p] : start[q - 1] + size[q - 1]])
+        a, n, place = start[p:q] - start[p], size[p:q], at[p:q]
+        anchor = a + place
+        h[p:q] = (total[anchor + GRAM] - total[anchor]) * inverse[anchor]
+        value[p:q] = (total[a + n] - total[a]) * inverse[a]
+        for (before, own), found in zip(_bands(place, n), around):
+            left = anchor[own] - before
+            found[p + own] = (total[left + GRAM + SPAN - BAND] - total[left]) * inverse[left]
+    return _mixed(h), value, around
+
+
+def _meeting(h: np.ndarray, at: np.ndarray, size: np.ndarray, around: list[np.ndarray]) -> np.ndarray:
+    """Which pieces can share a window with another: those that have a band in common."""
+    found = np.zeros(len(h), bool)
+    for (_, own), value in zip(_bands(at, size), around):
+        _, kind, n = np.unique(value[own] ^ h[own].view(np.uint64), return_inverse=True, return_counts=True)
         found[own[n[kind] > 1]] = True
     return found
 
@@ -366,16 +388,15 @@ def _resolve(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
     data = np.frombuffer(b"".join(zlib.decompress(x) for x in group["data"]), np.uint8)
     counts = [len(_unpack(x, np.uint8)) for x in group["lengths"]]
     start = np.cumsum(size) - size
-    total, inverse = _rolling(data)
-    h = _mixed((total[start + at + GRAM] - total[start + at]) * inverse[start + at])  # of the anchors
-    kinds, found = distinct(data, start, size, h, (total[start + size] - total[start]) * inverse[start])
+    h, value, around = _piece_hashes(data, at, start, size)
+    kinds, found = distinct(data, start, size, h, value)
     owner = np.full(len(kinds), LAST)
     np.minimum.at(owner, found, ids)
-    h, at, start, size = h[kinds], at[kinds], start[kinds], size[kinds]
+    h, at, start, size, around = h[kinds], at[kinds], start[kinds], size[kinds], [x[kinds] for x in around]
     windows = size - LENGTH + 1
     begin = np.cumsum(windows) - windows
     least = np.repeat(owner, windows)  # so it is where a piece meets no other
-    meeting = np.flatnonzero(_meeting(total, inverse, h, at, start, size))
+    meeting = np.flatnonzero(_meeting(h, at, size, around))
     meeting = meeting[np.argsort(h[meeting], kind="stable")]
     batch, bytes_ = [], 0
     stretches = list(_cuts(h[meeting]))
@@ -398,13 +419,13 @@ def remove_repeats(documents: DataFrame, *, id_col="doc_id", text_col="text", ke
     under 50 bytes stay whole, very long ones are cut into slices but judged whole. An empty table gives no rows; no other
     column is read.
     """
-    with batch_bytes(documents.sparkSession, "8m"):
+    with batch_bytes(documents.sparkSession, "4m"):
         return _remove_repeats(documents, id_col, text_col, keep_text, hot)
 
 
 def _remove_repeats(documents: DataFrame, id_col: str, text_col: str, keep_text: bool, hot: int) -> DataFrame:
-    cut = durable(blocks(documents, id_col, text_col))
-    size = cut.agg(F.sum(F.length("data"))).first()[0] or 0
+    cut = bucketed(blocks(documents, id_col, text_col), "block", deal=False)  # joined twice; the texts never pass a shuffle
+    size = cut.agg(F.sum(F.aggregate("lengths", F.lit(0).cast("long"), lambda a, n: a + n))).first()[0] or 0
     bits = max(1, (size // SHARD_BYTES).bit_length())  # as many shares as the input has parts of that size
 
     def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -429,7 +450,11 @@ def _remove_repeats(documents: DataFrame, id_col: str, text_col: str, keep_text:
                 step = np.zeros(len(data) + 1, np.int8)
                 windows = size - LENGTH + 1
                 begin = np.cumsum(windows) - windows
-                least = np.concatenate([_unpack(x["least"], np.int64) for x in sorted(row.owners, key=lambda x: x["shard"])]) if len(found) else begin
+                least, done = np.empty(windows.sum(), np.int64), 0
+                for x in sorted(row.owners, key=lambda x: x["shard"]) if len(found) else ():
+                    own = _unpack(x["least"], np.int64)
+                    least[done : done + len(own)] = own
+                    done += len(own)
                 for part in np.array_split(np.arange(len(found)), len(found) // 20_000 + 1):
                     n = windows[found[part]]
                     earlier = least[_spread(begin[found[part]], n)] < np.repeat(ids[document[part]], n)
